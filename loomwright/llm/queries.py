@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .common import table
+from .packing import op4_pack
 from .tokens import op7_token_table
 
 
 def queries() -> dict:
     return {
+        "op4_packing": lambda spark, d: op4_pack(spark, table(spark, d, "documents")),
         "op7_token_ids": lambda spark, d: op7_token_table(spark, table(spark, d, "documents")),
     }
 
