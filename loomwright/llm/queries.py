@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from .common import table
+from .langid import op9_language
 from .packing import op4_pack
 from .tokens import op7_token_table
+from .toxicity import op2_toxicity
+from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": lambda spark, d: op2_toxicity(spark, table(spark, d, "documents"), table(spark, d, "labels")),
         "op4_packing": lambda spark, d: op4_pack(spark, table(spark, d, "documents")),
         "op7_token_ids": lambda spark, d: op7_token_table(spark, table(spark, d, "documents")),
+        "op9_language": lambda spark, d: op9_language(spark, table(spark, d, "documents")),
+        "op8_warc": lambda spark, d: op8_warc(spark, table(spark, d, "pages")),
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op8_warc": OP8_SQL}
