@@ -38,8 +38,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
                 some = batch.slice(at, 512)
                 out = []
                 parts = some.column(2).to_pylist()
-                for doc_id, text, part in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), parts, strict=True):
-                    ids = np.append(enc.encode(text), np.uint32(end_id)).astype(np.uint32)
+                for doc_id, ids, part in zip(some.column(0).to_pylist(), enc.encode_all(some.column(1).to_pylist()), parts, strict=True):
+                    ids = np.append(ids, np.uint32(end_id)).astype(np.uint32)
                     for k, a in enumerate(range(0, len(ids), capacity)):
                         own = ids[a : a + capacity]
                         n = len(own)

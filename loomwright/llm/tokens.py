@@ -20,13 +20,23 @@ from pyspark.sql import functions as F
 
 from .common import partitions, shared_dir
 
-_SPLIT = re.compile(r"[ \n\t\r]+")
+_SPACE = re.compile(r"[ \n\t\r]+")
+_KEPT = "\x1c\x1d\x1e\x1f"
 _MARK = "<|endoftext|>"
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+class _Slots(dict):
+    """Piece to slot number; a new piece gets the next slot and waits in ``new``."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = slot = len(self)
+        self.new.append(piece)
+        return slot
+
+
 class Encoder:
-    """Encodes texts piece by piece between ASCII white space, remembering pieces.
+    """Encodes texts piece by piece between white space, remembering pieces.
 
     The tokenizer drops white space and no pre-token spans it, so a text's ids are
     the ids of its pieces joined; a corpus repeats most pieces.  ``most`` bounds the
@@ -38,86 +48,112 @@ class Encoder:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.mark = self.tokenizer.token_to_id(_MARK)
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        self.ends_word = np.zeros(size, dtype=bool)  # ids of tokens that end a pre-token
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_word[i] = token.endswith("</w>")
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.ids = np.empty(1 << 16, dtype=np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.known = _Slots()
+        self.known.new = []
+        self.ids, self.size = np.empty(1 << 16, dtype=self.kind), 0
         self.starts, self.ends = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int32)
-        self.size, self.slots = 0, 1
 
-    def _add(self, pieces: list[str], ids: np.ndarray, bounds: np.ndarray) -> None:
-        end, slots = self.size + len(ids), self.slots + len(pieces)
+    def _add(self, slots: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> None:
+        end = self.size + len(ids)
         if end > len(self.ids):
             self.ids = np.resize(self.ids, 2 * end)
-        if slots > len(self.starts):
-            self.starts, self.ends = np.resize(self.starts, 2 * slots), np.resize(self.ends, 2 * slots)
+        if len(self.known) > len(self.starts):
+            self.starts, self.ends = np.resize(self.starts, 2 * len(self.known)), np.resize(self.ends, 2 * len(self.known))
         self.ids[self.size : end] = ids
-        self.starts[self.slots : slots], self.ends[self.slots : slots] = self.size + bounds[:-1], self.size + bounds[1:]
-        self.known.update(zip(pieces, range(self.slots, slots), strict=True))
-        self.size, self.slots = end, slots
-
-    def _learn(self, pieces: list[str]) -> None:
-        """ASCII pieces share the ids of their lower-case form, and of a letter's word and the point or comma after it."""
-        known, whole, parts, odd = self.known, [], [], []
-        for p in pieces:
-            if "<|" in p:
-                odd.append(p)
-            elif p.isascii():
+        self.starts[slots], self.ends[slots] = self.size + bounds[:-1], self.size + bounds[1:]
+        self.size = end
+
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int64)
+
+    def _learn(self) -> None:
+        """Encodes the pieces that wait.  ASCII pieces share the ids of their lower-case
+        form, and of a letter's word and the point or comma after it."""
+        known, parts = self.known, []
+        words: list[str] = []  # letters only: one pre-token each
+        others: list[str] = []
+        odd: list[str] = []  # may hold special tokens themselves
+
+        def sort_in(p: str) -> None:
+            (words if p.isalpha() else odd if "<|" in p else others).append(p)
+
+        new, known.new = known.new, []
+        for p in new:
+            if p.isascii() and "<" not in p:
                 low = p.lower()
                 if len(low) > 1 and low[-1] in ".," and low[-2].isalpha():
-                    parts.append((p, low[:-1], low[-1]))
+                    parts.append((known[p], known[low[:-1]], known[low[-1]]))
                 elif low != p:
-                    parts.append((p, low, ""))
+                    parts.append((known[p], known[low], known[""]))
                 else:
-                    whole.append(p)
+                    sort_in(p)
+            else:
+                sort_in(p)
+        new, known.new = known.new, []  # the forms that those led to
+        for p in new:
+            sort_in(p)
+        slot = lambda pieces: np.array([known[p] for p in pieces], dtype=np.int64)
+        if words:
+            ids = self._plain(" ".join(words))
+            bounds = np.append(0, np.flatnonzero(self.ends_word[ids]) + 1)
+            if len(bounds) == len(words) + 1:
+                self._add(slot(words), ids, bounds)
             else:
-                whole.append(p)
-        new = [p for p in dict.fromkeys([*whole, *(x for _, *ab in parts for x in ab)]) if p not in known]
-        if new:  # in one call, with a special token between pieces
-            ids = np.array(self.tokenizer.encode_batch_fast([_MARK.join(new) + _MARK], add_special_tokens=False)[0].ids, dtype=np.int64)
+                others += words
+        if others:  # in one call, with a special token between pieces
+            ids = self._plain(_MARK.join(others) + _MARK)
             marks = np.flatnonzero(ids == self.mark)
-            self._add(new, np.delete(ids, marks), np.append(0, marks - np.arange(len(marks))))
-        for p in odd:  # may hold special tokens themselves
-            ids = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, dtype=np.int64)
-            self._add([p], ids, np.array([0, len(ids)]))
-        parts = [x for x in parts if x[0] not in known]
+            self._add(slot(others), np.delete(ids, marks), np.append(0, marks - np.arange(len(marks))))
+        for p in odd:
+            ids = self._plain(p)
+            self._add(slot([p]), ids, np.array([0, len(ids)]))
         if parts:
-            a = np.array([known[x] for _, x, _ in parts])
-            b = np.array([known[x] for _, _, x in parts])
-            pair = np.stack([a, b], 1).ravel()
-            ids, bounds = self._gather(pair)
-            self._add([p for p, _, _ in parts], ids, bounds[::2])
+            own, a, b = np.array(parts, dtype=np.int64).T
+            ids, bounds = self._gather(np.stack([a, b], 1).ravel())
+            self._add(own, ids, bounds[::2])
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start = self.starts[at].astype(np.int64)
         size = self.ends[at] - start
         end = np.cumsum(size)
-        return self.ids[np.repeat(start - (end - size), size) + np.arange(int(end[-1]))], np.append(0, end)
+        total = int(end[-1]) if len(end) else 0
+        return self.ids[np.repeat(start - (end - size), size) + np.arange(total)], np.append(0, end)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text."""
-        if not text:
-            return np.empty(0, dtype=np.uint16)
-        if len(text) > 1 << 22:  # very long: part by part, cut only at white space
-            cuts, at = [0], 1 << 21
-            while at < len(text) and (m := _SPLIT.search(text, at)):
-                cuts.append(m.start())
-                at = m.start() + (1 << 21)
-            if len(cuts) == 1:
-                return self._encode(_SPLIT.split(text))
-            return np.concatenate([self._encode(_SPLIT.split(text[a:b])) for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)])
-        return self._encode(_SPLIT.split(text))
-
-    def _encode(self, pieces: list[str]) -> np.ndarray:
-        known = self.known
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if new:
-            if len(known) + len(new) > self.most:
-                self._clear()
-                known, new = self.known, [p for p in dict.fromkeys(pieces) if p]
-            self._learn(new)
-        return self._gather(np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces)))[0]
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each whole text.  New pieces of about a million characters are learned together."""
+        out: list[np.ndarray] = []
+        some, chars = [], 0
+        for text in texts:
+            some.append(text or "")
+            chars += len(some[-1])
+            if chars > 1 << 20:
+                out += self._encode(some)
+                some, chars = [], 0
+        return out + (self._encode(some) if some else [])
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > self.most:
+            self._clear()
+        found = []
+        for text in texts:
+            # str.split also cuts at U+001C to U+001F, which the tokenizer keeps
+            pieces = _SPACE.split(text) if any(c in text for c in _KEPT) else text.split()
+            found.append(np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces)))
+        if self.known.new:
+            self._learn()
+        return [self._gather(at)[0] for at in found]
 
 
 def encoder(path: str) -> Encoder:
@@ -163,7 +199,7 @@ def write_token_table(
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                ids = [np.append(enc.encode(t), end_id) for t in some.column(1).to_pylist()]
+                ids = [np.append(x, np.uint16(end_id)) for x in enc.encode_all(some.column(1).to_pylist())]
                 sizes = np.array([len(x) for x in ids], dtype=np.int64)
                 ends = np.cumsum(sizes)
                 values = np.concatenate(ids).astype(np.int32)
@@ -208,8 +244,8 @@ def read_token_table(spark: SparkSession, path: str, low: int | None = None, hig
         rows = rows.where(F.col("doc_id") >= low)
     if high is not None:
         rows = rows.where(F.col("doc_id") <= high)
-    offsets = part_offsets(spark, path)
-    return rows.join(offsets, "part").select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    offsets = part_offsets(spark, path)  # one row a file, so small enough to broadcast
+    return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
