@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .langid import op9_language
+from .licenses import OP10_SQL, op10_licenses
 from .packing import op4_pack
 from .tokens import op7_token_table
 from .toxicity import op2_toxicity
@@ -12,6 +13,7 @@ from .warc import OP8_SQL, op8_warc
 
 def queries() -> dict:
     return {
+        "op10_licenses": lambda spark, d: op10_licenses(spark, table(spark, d, "documents")),
         "op2_toxicity": lambda spark, d: op2_toxicity(spark, table(spark, d, "documents"), table(spark, d, "labels")),
         "op4_packing": lambda spark, d: op4_pack(spark, table(spark, d, "documents")),
         "op7_token_ids": lambda spark, d: op7_token_table(spark, table(spark, d, "documents")),
@@ -21,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_warc": OP8_SQL}
+    return {"op8_warc": OP8_SQL, "op10_licenses": OP10_SQL}
