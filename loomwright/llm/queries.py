@@ -6,6 +6,7 @@ from .common import table
 from .langid import op9_language
 from .licenses import OP10_SQL, op10_licenses
 from .packing import op4_pack
+from .pii import op1_pii
 from .tokens import op7_token_table
 from .toxicity import op2_toxicity
 from .warc import OP8_SQL, op8_warc
@@ -13,6 +14,7 @@ from .warc import OP8_SQL, op8_warc
 
 def queries() -> dict:
     return {
+        "op1_pii": lambda spark, d: op1_pii(spark, table(spark, d, "documents")),
         "op10_licenses": lambda spark, d: op10_licenses(spark, table(spark, d, "documents")),
         "op2_toxicity": lambda spark, d: op2_toxicity(spark, table(spark, d, "documents"), table(spark, d, "labels")),
         "op4_packing": lambda spark, d: op4_pack(spark, table(spark, d, "documents")),
