@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .decontam import op5_decontamination
 from .langid import op9_language
 from .licenses import OP10_SQL, op10_licenses
 from .packing import op4_pack
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op10_licenses": lambda spark, d: op10_licenses(spark, table(spark, d, "documents")),
         "op2_toxicity": lambda spark, d: op2_toxicity(spark, table(spark, d, "documents"), table(spark, d, "labels")),
         "op4_packing": lambda spark, d: op4_pack(spark, table(spark, d, "documents")),
+        "op5_decontamination": lambda spark, d: op5_decontamination(spark, table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op7_token_ids": lambda spark, d: op7_token_table(spark, table(spark, d, "documents")),
         "op9_language": lambda spark, d: op9_language(spark, table(spark, d, "documents")),
         "op8_warc": lambda spark, d: op8_warc(spark, table(spark, d, "pages")),
