@@ -1,6 +1,6 @@
 """Benchmark decontamination (5): SimHash of item-sized windows, verified exactly.
 
-Words are runs of letters and digits, A-Z lower-cased.  For a benchmark item of L
+Words are runs of letters and digits in lower case.  For a benchmark item of L
 words every window of L words of a document that shares at least one 5-word shingle
 with the item (others have similarity 0) gets a 64-bit SimHash.  A multi-index over
 eight blocks, each probed within 2 bits, finds every item of that length within
@@ -56,7 +56,7 @@ class Index:
         self.lengths: dict[int, dict] = {}
         found = []
         for item_id, text in items:
-            words = word_hashes(text, NON_WORD)
+            words = word_hashes((text or "").lower(), NON_WORD)
             if len(words):
                 found.append((item_id, len(words), shingles(words, WORDS)))
         keys, owner = [], []
@@ -82,7 +82,7 @@ class Index:
 
     def search(self, text: str | None, least: float = 0.8) -> list[tuple[int, int, float]]:
         """(item_id, first word, similarity) of the best window for each item found."""
-        words = word_hashes(text, NON_WORD)
+        words = word_hashes((text or "").lower(), NON_WORD)
         best: dict[int, tuple[float, int]] = {}
         for k in self.widths:
             if len(words) >= k:
