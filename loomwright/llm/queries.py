@@ -6,6 +6,7 @@ from .common import table
 from .decontam import op5_decontamination
 from .langid import op9_language
 from .licenses import OP10_SQL, op10_licenses
+from .ngramjoin import op3_ngram_join
 from .packing import op4_pack
 from .pii import op1_pii
 from .tokens import op7_token_table
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op1_pii": lambda spark, d: op1_pii(spark, table(spark, d, "documents")),
         "op10_licenses": lambda spark, d: op10_licenses(spark, table(spark, d, "documents")),
         "op2_toxicity": lambda spark, d: op2_toxicity(spark, table(spark, d, "documents"), table(spark, d, "labels")),
+        "op3_ngram_join": lambda spark, d: op3_ngram_join(spark, table(spark, d, "documents")),
         "op4_packing": lambda spark, d: op4_pack(spark, table(spark, d, "documents")),
         "op5_decontamination": lambda spark, d: op5_decontamination(spark, table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op7_token_ids": lambda spark, d: op7_token_table(spark, table(spark, d, "documents")),
