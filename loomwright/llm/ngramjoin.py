@@ -15,8 +15,8 @@ halves also get prefix signatures (their first n - ceil(4n/5) + 1 shingles by ha
 which any two sets in reach share.  Nothing is lost by either.
 
 Signatures are dealt into buckets by their hash, packed, and grouped with numpy.
-Pairs of nodes that share one are gathered by the pair's locality keys (the top bits
-of a set's smallest shingle), each text is sent once to each such group, and pairs
+Pairs of nodes that share one are gathered by a locality key (the top bits of the
+smaller node's smallest shingle), each text is sent once to each such group, and pairs
 are compared exactly unless they are already connected there.  A group gives a
 spanning forest of its links, never all its pairs.  Signatures of more than ``hot``
 nodes first compare with their smallest node only; what those comparisons leave in
@@ -115,6 +115,20 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * n >= 80 * (len(a) + len(b) - n)
 
 
+def possible(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that counts of shingles in 256 ranges don't rule out: what two sets' counts
+    differ by in all is at most the number of elements that one of them lacks."""
+    if not len(i):
+        return i, j
+    counts = np.array([np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=256), 30_000) for s in sets], dtype=np.int16)
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    keep = np.zeros(len(i), dtype=bool)
+    for at in range(0, len(i), 8192):
+        x, y = i[at : at + 8192], j[at : at + 8192]
+        keep[at : at + 8192] = 9 * np.abs(counts[x] - counts[y]).sum(1, dtype=np.int64) <= size[x] + size[y]
+    return i[keep], j[keep]
+
+
 def nodes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node (null for an empty set)."""
 
@@ -166,10 +180,9 @@ def signature_rows(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(run, "bucket long, nodes binary, counts binary, sigs binary")
 
 
-def _keyed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The group of a pair: its two locality keys."""
-    with np.errstate(over="ignore"):
-        return mix(mix((a >> _LOW).astype(U)) + (b >> _LOW).astype(U) * U(0x9E3779B97F4A7C15)).view(np.int64)
+def _keyed(a: np.ndarray) -> np.ndarray:
+    """The group of a pair: the locality key of its smaller node, which families of copies share."""
+    return mix((a >> _LOW).astype(U)).view(np.int64)
 
 
 _PAIRS = "hot boolean, key long, n long, a binary, b binary"
@@ -183,7 +196,7 @@ def _pair_rows(a: np.ndarray, b: np.ndarray):
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     code = np.unique(at[: len(a)].astype(np.int64) * len(ids) + at[len(a) :])
     a, b = ids[code // len(ids)], ids[code % len(ids)]
-    key = _keyed(a, b)
+    key = _keyed(a)
     order = np.argsort(key, kind="stable")
     a, b, key = a[order], b[order], key[order]
     cuts = np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1)), len(key))
@@ -320,7 +333,7 @@ def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, most: int = 1 <<
     rows = texts.unionByName(dealt.select("key", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("string").alias("text"), "a", "b"))
 
     def compare(batches):
-        at, sets, root = None, {}, {}
+        at, sets, root, left, right = None, {}, {}, [], []
 
         def find(x):
             while root[x] != x:
@@ -329,6 +342,19 @@ def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, most: int = 1 <<
             return x
 
         def links():
+            if left:
+                ids, at = np.unique(np.concatenate(left + right), return_inverse=True)
+                code = np.unique(at[: len(at) // 2].astype(np.int64) * len(ids) + at[len(at) // 2 :])  # each pair once
+                held = [int(n) for n in ids if int(n) in sets]
+                place = {n: k for k, n in enumerate(held)}
+                where = np.array([place.get(int(n), -1) for n in ids])
+                i, j = where[code // len(ids)], where[code % len(ids)]
+                i, j = i[(ok := (i >= 0) & (j >= 0))], j[ok]
+                i, j = possible([sets[n] for n in held], i, j)
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    x, y = held[x], held[y]
+                    if (p := find(x)) != (q := find(y)) and similar(sets[x], sets[y]):
+                        root[max(p, q)] = min(p, q)
             out = [(n, find(n)) for n in root if find(n) != n]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
@@ -338,15 +364,14 @@ def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, most: int = 1 <<
                 key, kind, node, text, a, b = (c[i].as_py() for c in batch.columns)
                 if key != at:
                     yield from links()
-                    at, sets, root = key, {}, {}
+                    at, sets, root, left, right = key, {}, {}, [], []
                 if kind == 0:
                     s = shingle_set(text)
                     if len(s) and node_of(s) == node:  # another row of this doc_id may hold another text
                         sets[node], root[node] = s, node
                 else:
-                    for x, y in zip(np.frombuffer(a, np.int64).tolist(), np.frombuffer(b, np.int64).tolist(), strict=True):
-                        if x in root and y in root and (p := find(x)) != (q := find(y)) and similar(sets[x], sets[y]):
-                            root[max(p, q)] = min(p, q)
+                    left.append(np.frombuffer(a, np.int64))
+                    right.append(np.frombuffer(b, np.int64))
         yield from links()
 
     return rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(compare, "a long, b long")
