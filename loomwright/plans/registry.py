@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import series_queries, text_queries, vector_queries
+
+_MODULES = (vector_queries, series_queries, text_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.ORACLES.items()}
