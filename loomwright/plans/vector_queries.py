@@ -158,7 +158,7 @@ ORACLES = {
     "tau_by_topic": _head() + f", {_MV.format(by='query_idx, member', src='top')}, s AS (SELECT query_idx, member, sum(v*u) AS stance FROM mv JOIN ax USING (pos) GROUP BY ALL), r AS (SELECT query_idx, {_RANK.format(p='PARTITION BY query_idx')} AS rank, substr(member, 2)::INT AS ext FROM s), t AS (SELECT x.query_idx AS query_idx, {_TAU} AS tau FROM r x JOIN r y ON x.query_idx = y.query_idx AND x.ext < y.ext GROUP BY x.query_idx) SELECT query_idx % 3 AS topic, round(avg(tau), 6) AS tau, count(*) AS n FROM t GROUP BY 1",
     "tau_by_query_size": _head() + f", {_MV.format(by='query_idx, member', src='top')}, p AS (SELECT query_idx, member, sum(v*u) AS stance FROM mv JOIN ax USING (pos) GROUP BY ALL), dr AS (SELECT rep, query_idx, row_number() OVER (PARTITION BY rep ORDER BY md5('s:' || rep || ':' || query_idx)) AS place FROM bat, (SELECT unnest(range(10)) AS rep)), s AS (SELECT size, rep, member, avg(stance) AS stance FROM p JOIN dr USING (query_idx), (SELECT unnest([1, 3, 5, 8]) AS size) WHERE place <= size GROUP BY ALL), r AS (SELECT size, rep, {_RANK.format(p='PARTITION BY size, rep')} AS rank, substr(member, 2)::INT AS ext FROM s), t AS (SELECT x.size AS size, x.rep AS rep, {_TAU} AS tau FROM r x JOIN r y ON x.size = y.size AND x.rep = y.rep AND x.ext < y.ext GROUP BY ALL) SELECT size::BIGINT AS size, round(quantile_cont(tau, 0.5), 6) AS median_tau, round(stddev_pop(tau), 6) AS spread FROM t GROUP BY size",
     "left_join_vectors": f"SELECT source, count(*) AS n, count(embedding) AS with_vector, round(sum(coalesce({_DOT.format(a='embedding', b='embedding')}, 0)), 4) AS squares FROM documents LEFT JOIN embeddings ON doc_id = vec_id GROUP BY source",
-    "confusion_recall": f"WITH {_CH}, {_MV.format(by='member', src='ch')}, q AS (SELECT member AS pred, list(v ORDER BY pos) AS q FROM mv GROUP BY member), s AS (SELECT member, pred, row_number() OVER (PARTITION BY chunk_id ORDER BY round({_DOT.format(a='embedding', b='q')}, 9) DESC, pred) AS r FROM ch, q) SELECT member AS "true", pred, count(*) AS n FROM s WHERE r = 1 GROUP BY ALL",
-    "recall_tau": f"WITH {_CH}, {_MV.format(by='member', src='ch')}, q AS (SELECT member AS pred, list(v ORDER BY pos) AS q FROM mv GROUP BY member), s AS (SELECT member, pred, row_number() OVER (PARTITION BY chunk_id ORDER BY round({_DOT.format(a='embedding', b='q')}, 9) DESC, pred) AS r FROM ch, q), a AS (SELECT member AS "true", avg((member = pred)::INT) AS recall FROM s WHERE r = 1 GROUP BY member) SELECT "true", round(recall, 6) AS recall, round(2 * greatest(recall, 1 - recall) - 1, 6) AS tau FROM a",
+    "confusion_recall": f"WITH {_CH}, {_MV.format(by='member', src='ch')}, q AS (SELECT member AS pred, list(v ORDER BY pos) AS q FROM mv GROUP BY member), s AS (SELECT member, pred, row_number() OVER (PARTITION BY chunk_id ORDER BY round({_DOT.format(a='embedding', b='q')}, 9) DESC, pred) AS r FROM ch, q) SELECT member AS \"true\", pred, count(*) AS n FROM s WHERE r = 1 GROUP BY ALL",
+    "recall_tau": f"WITH {_CH}, {_MV.format(by='member', src='ch')}, q AS (SELECT member AS pred, list(v ORDER BY pos) AS q FROM mv GROUP BY member), s AS (SELECT member, pred, row_number() OVER (PARTITION BY chunk_id ORDER BY round({_DOT.format(a='embedding', b='q')}, 9) DESC, pred) AS r FROM ch, q), a AS (SELECT member AS \"true\", avg((member = pred)::INT) AS recall FROM s WHERE r = 1 GROUP BY member) SELECT \"true\", round(recall, 6) AS recall, round(2 * greatest(recall, 1 - recall) - 1, 6) AS tau FROM a",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}
