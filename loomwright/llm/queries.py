@@ -6,6 +6,7 @@ from .common import table
 from .decontam import op5_decontamination
 from .langid import op9_language
 from .licenses import OP10_SQL, op10_licenses
+from .neardup import op6_near_duplicates
 from .ngramjoin import op3_ngram_join
 from .packing import op4_pack
 from .pii import op1_pii
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op3_ngram_join": lambda spark, d: op3_ngram_join(spark, table(spark, d, "documents")),
         "op4_packing": lambda spark, d: op4_pack(spark, table(spark, d, "documents")),
         "op5_decontamination": lambda spark, d: op5_decontamination(spark, table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op6_near_duplicates": lambda spark, d: op6_near_duplicates(spark, table(spark, d, "embeddings")),
         "op7_token_ids": lambda spark, d: op7_token_table(spark, table(spark, d, "documents")),
         "op9_language": lambda spark, d: op9_language(spark, table(spark, d, "documents")),
         "op8_warc": lambda spark, d: op8_warc(spark, table(spark, d, "pages")),
