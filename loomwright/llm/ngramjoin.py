@@ -116,17 +116,23 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def possible(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that counts of shingles in 256 ranges don't rule out: what two sets' counts
+    """The pairs that counts of shingles in ranges of hashes don't rule out: what two sets' counts
     differ by in all is at most the number of elements that one of them lacks."""
     if not len(i):
         return i, j
-    counts = np.array([np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=256), 30_000) for s in sets], dtype=np.int16)
     size = np.array([len(s) for s in sets], dtype=np.int64)
-    keep = np.zeros(len(i), dtype=bool)
-    for at in range(0, len(i), 8192):
-        x, y = i[at : at + 8192], j[at : at + 8192]
-        keep[at : at + 8192] = 9 * np.abs(counts[x] - counts[y]).sum(1, dtype=np.int64) <= size[x] + size[y]
-    return i[keep], j[keep]
+    for bits, step in ((8, 8192), (12, 2048)):  # more ranges for what the coarse ones leave: they tell large sets apart
+        if bits > 8 and (not len(i) or size[i].max() < 200):
+            break
+        keep = np.zeros(len(i), dtype=bool)
+        for at in range(0, len(i), step):
+            x, y = i[at : at + step], j[at : at + step]
+            own, where = np.unique(np.concatenate([x, y]), return_inverse=True)
+            counts = np.array([np.minimum(np.bincount((sets[k] >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 120) for k in own], dtype=np.int8)
+            gap = np.abs(counts[where[: len(x)]] - counts[where[len(x) :]]).sum(1, dtype=np.int64)
+            keep[at : at + step] = 9 * gap <= size[x] + size[y]
+        i, j = i[keep], j[keep]
+    return i, j
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -262,45 +268,88 @@ def candidate_rows(packed: DataFrame, hot: int) -> DataFrame:
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _PAIRS)
 
 
-def cross_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of each hot signature's nodes that lie in different components so far."""
+def cross_pairs(members: DataFrame, roots: DataFrame, held: int = 1 << 22) -> DataFrame:
+    """Pairs of each hot signature's nodes that lie in different components so far.
+
+    Signatures with the same smallest node mostly have the same members, so they are
+    taken together and a pair of theirs is given once.
+    """
 
     def unpack(batches):
         for batch in batches:
             for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 node = np.frombuffer(ids, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), key)), pa.array(node)], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), node[0])), pa.array(np.full(len(node), key)), pa.array(node)], names=["hub", "key", "node"])
+
+    def merged(codes, ids):
+        code = np.unique(np.concatenate(codes))
+        names = np.array(list(ids), dtype=np.int64)
+        return names[code >> 32], names[code & 0xFFFFFFFF]
 
     def run(batches):
-        at, node, root = None, [], []
+        at, node, root, codes, ids, n = (None, None), [], [], [], {}, 0
+
+        def close():
+            place = np.array([ids.setdefault(x, len(ids)) for x in node], dtype=np.int64)
+            own = np.array(root, dtype=np.int64)
+            for i in range(0, len(place), 512):
+                far = own[i : i + 512, None] != own[None, i:]
+                x, y = np.nonzero(far)
+                x, y = place[i : i + 512][x], place[i:][y]
+                codes.append(np.unique((np.minimum(x, y) << 32) | np.maximum(x, y)))
+            return sum(map(len, codes))
+
         for batch in batches:
-            for key, n, r in zip(*(c.to_numpy().tolist() for c in batch.columns), strict=True):
-                if key != at:
-                    yield from close(node, root)
-                    at, node, root = key, [], []
-                node.append(n)
+            for hub, key, member, r in zip(*(c.to_numpy().tolist() for c in batch.columns), strict=True):
+                if (hub, key) != at:
+                    if node:
+                        n = close()
+                    if codes and (hub != at[0] or n > held):
+                        pair = merged(codes, ids)
+                        if hub != at[0] or len(pair[0]) > held // 2:
+                            yield from _pair_rows(*pair)
+                            codes, ids, n = [], {}, 0
+                        else:
+                            codes[:] = [np.unique(np.concatenate(codes))]
+                    at, node, root = (hub, key), [], []
+                node.append(member)
                 root.append(r)
-        yield from close(node, root)
+        if node:
+            close()
+        if codes:
+            yield from _pair_rows(*merged(codes, ids))
 
-    def close(node, root):
-        node, root = np.array(node, dtype=np.int64), np.array(root, dtype=np.int64)
-        for i in range(0, len(node), 512):
-            for j in range(i, len(node), 2048):
-                x, y = np.meshgrid(np.arange(i, min(i + 512, len(node))), np.arange(j, min(j + 2048, len(node))), indexing="ij")
-                far = (root[x] != root[y]) & (x < y)
-                if far.any():
-                    yield from _pair_rows(node[x[far]], node[y[far]])
+    single = members.select("key", "a").mapInArrow(unpack, "hub long, key long, node long")
+    rooted = single.join(roots, "node", "left").select("hub", "key", "node", F.coalesce("root", "node").alias("root"))
+    return rooted.repartition("hub").sortWithinPartitions("hub", "key", "node").mapInArrow(run, _PAIRS)
+
+
+def distinct_pairs(pairs: DataFrame, held: int = 1 << 22) -> DataFrame:
+    """Each group's pairs once, but for groups of more than ``held`` pairs, where a pair may come again."""
+
+    def run(batches):
+        at, left, right, n = None, [], [], 0
+        for batch in batches:
+            for key, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != at or n > held:
+                    if left:
+                        yield from _pair_rows(np.concatenate(left), np.concatenate(right))
+                    at, left, right, n = key, [], [], 0
+                left.append(np.frombuffer(a, np.int64))
+                right.append(np.frombuffer(b, np.int64))
+                n += len(left[-1])
+        if left:
+            yield from _pair_rows(np.concatenate(left), np.concatenate(right))
 
-    single = members.select("key", "a").mapInArrow(unpack, "key long, node long")
-    rooted = single.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    return rooted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, _PAIRS)
+    return pairs.select("key", "a", "b").repartition("key").sortWithinPartitions("key").mapInArrow(run, _PAIRS)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, most: int = 1 << 18) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, most: int = 1 << 20) -> DataFrame:
     """a, b: for each group of candidate pairs a spanning forest of its links.
 
     Groups of more than ``most`` pairs are split by both nodes' hashes, so what a task holds is bounded.
     """
+    pairs = stored(distinct_pairs(pairs), "distinct-pairs")
     sizes = pairs.groupBy("key").agg(F.sum("n").alias("total")).select("key", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("total") / most))).cast("int").alias("parts"))
 
     def split(batches):
