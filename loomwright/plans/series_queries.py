@@ -13,7 +13,7 @@ from loomwright.operators import statistics as S
 def months(spark: SparkSession, d: str) -> DataFrame:
     """date (month start), value, i: average order price by month."""
     o = spark.read.parquet(f"{d}/orders.parquet")
-    m = o.groupBy(F.trunc("o_orderdate", "month").alias("date")).agg(F.round(F.avg("o_totalprice"), 2).alias("value"))
+    m = o.groupBy(F.trunc("o_orderdate", "month").alias("date")).agg(F.round(F.avg("o_totalprice"), 6).alias("value"))
     return m.withColumn("i", (F.row_number().over(Window.orderBy("date")) - 1).cast("long"))
 
 
@@ -25,7 +25,7 @@ def panel(spark, d):
 
 
 def _days(spark, d):
-    return spark.read.parquet(f"{d}/orders.parquet").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.round(F.avg("o_totalprice"), 2).alias("value"))
+    return spark.read.parquet(f"{d}/orders.parquet").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.round(F.avg("o_totalprice"), 6).alias("value"))
 
 
 def _meetings(spark):
@@ -172,7 +172,7 @@ def auc_rank(spark, d):
     return S.auc(j.select("n_chars", "quality"), "n_chars", "quality").select(_r("auc"))
 
 
-_MO = "mo AS (SELECT date, value, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT date_trunc('month', o_orderdate)::DATE AS date, round(avg(o_totalprice), 2) AS value FROM orders GROUP BY 1))"
+_MO = "mo AS (SELECT date, value, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT date_trunc('month', o_orderdate)::DATE AS date, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY 1))"
 _PA = _MO + ", p0 AS (SELECT *, value / 1000 AS x FROM mo), p1 AS (SELECT *, coalesce(x - avg(x) OVER (ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS m, lead(x) OVER (ORDER BY i) AS nx FROM p0), p AS (SELECT *, round_even(coalesce(nx - x, 0), 0) AS y FROM p1)"
 _ME = "me AS (SELECT unnest(generate_series(DATE '1994-12-15', DATE '2001-12-15', INTERVAL 1 MONTH))::DATE AS date)"
 _YOY = "k AS (SELECT me.date, mo.date AS key, mo.value AS now FROM me ASOF LEFT JOIN mo ON me.date >= mo.date), yy AS (SELECT k.date, round((now / o.value - 1) * 100, 6) AS yoy FROM k LEFT JOIN mo o ON o.date = (k.key - INTERVAL 12 MONTH)::DATE)"
@@ -185,7 +185,7 @@ _ACT = "ev AS (SELECT 'u' || (user_id % 20) AS member, ts::DATE AS posted, value
 
 ORACLES = {
     "asof_value": f"WITH {_MO}, {_ME} SELECT me.date, mo.value FROM me ASOF LEFT JOIN mo ON me.date >= mo.date",
-    "asof_offset": f"WITH {_ME}, dy AS (SELECT o_orderdate::DATE AS date, round(avg(o_totalprice), 2) AS value FROM orders GROUP BY 1), l AS (SELECT date, date + 8 AS later FROM me) SELECT l.date, dy.value FROM l ASOF LEFT JOIN dy ON l.later >= dy.date",
+    "asof_offset": f"WITH {_ME}, dy AS (SELECT o_orderdate::DATE AS date, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY 1), l AS (SELECT date, date + 8 AS later FROM me) SELECT l.date, dy.value FROM l ASOF LEFT JOIN dy ON l.later >= dy.date",
     "yoy_series": f"WITH {_MO}, {_ME}, {_YOY} SELECT date, yoy FROM yy",
     "briefing": f"WITH {_MO}, {_ME}, {_YOY} SELECT k.date, k.now AS value, yy.yoy, (k.now IS NOT NULL AND yy.yoy IS NOT NULL) AS has_text FROM k JOIN yy USING (date)",
     "decisions": f"WITH {_MO}, {_ME}, s AS (SELECT date, value / 10000 AS value FROM mo), mm AS (SELECT date + 10 AS date, date + 18 AS later FROM me), b AS (SELECT mm.date, mm.later, s.value AS before FROM mm ASOF LEFT JOIN s ON mm.date >= s.date), a AS (SELECT b.*, s.value AS a0 FROM b ASOF LEFT JOIN s ON b.later >= s.date), c AS (SELECT date, before, CASE WHEN (SELECT max(date) FROM s) > date THEN a0 END AS after FROM a), e AS (SELECT *, round_even((after - before) * 100, 0)::BIGINT AS bps FROM c) SELECT date, round(before, 6) AS before, round(after, 6) AS after, bps, CASE WHEN bps > 0 THEN 'hike' WHEN bps < 0 THEN 'cut' WHEN bps = 0 THEN 'hold' END AS label FROM e",

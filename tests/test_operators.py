@@ -1,0 +1,132 @@
+import datetime
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomwright.functions import scalar as T
+from loomwright.operators import committee as C
+from loomwright.operators import ingest as I
+from loomwright.operators import likeness as L
+from loomwright.operators import retrieval as R
+from loomwright.operators import statistics as S
+from loomwright.sources import readers
+from loomwright.streaming import incremental
+
+
+def one(spark, column, value, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(column(F.col("x")).alias("y")).first()["y"]
+
+
+def test_themes_take_the_first_match(spark):
+    assert one(spark, T.theme_of, "asset prices") == "Inflation & prices"
+    assert one(spark, T.theme_of, "jobless") == "Employment & labor"
+    assert one(spark, T.theme_of, "") == "Other" and one(spark, T.theme_of, None) == "Other"
+
+
+def test_top_k_ties_nulls_and_nan(spark):
+    rows = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.0]), (3, "a", None), (4, "a", [float("nan"), 0.0])], "chunk_id long, member string, embedding array<float>")
+    battery = spark.createDataFrame([(0, [1.0, 0.0])], "query_idx long, q array<float>")
+    got = R.top_k(R.scored(rows, battery), 5).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in got] == [1, 2, 4]
+
+
+def test_weighted_with_beta_zero_orders_as_relevance(spark):
+    rng = np.random.default_rng(0)
+    rows = spark.createDataFrame([(i, "a", 0, float(rng.random()), float(i)) for i in range(20)], "chunk_id long, member string, query_idx long, rel double, age double")
+    a = [r["chunk_id"] for r in R.top_k(rows, 5).orderBy("rank").collect()]
+    assert a == [r["chunk_id"] for r in R.top_k_weighted(rows, 5, 0.0, 2.0).orderBy("rank").collect()]
+    assert R.top_k_weighted(rows.limit(1), 5, 0.6, 2.0).first()["score"] == 0.0
+
+
+def test_as_of_before_hit_gap_after(spark):
+    d = datetime.date
+    series = spark.createDataFrame([(d(2020, 1, 10), 1.0), (d(2020, 2, 10), 2.0)], "date date, value double")
+    left = spark.createDataFrame([(d(2020, 1, 1),), (d(2020, 1, 10),), (d(2020, 1, 20),), (d(2021, 1, 1),), (None,)], "date date")
+    got = {r["date"]: r["value"] for r in S.as_of(left, series, "date").collect()}
+    assert got == {d(2020, 1, 1): None, d(2020, 1, 10): 1.0, d(2020, 1, 20): 1.0, d(2021, 1, 1): 2.0, None: None}
+
+
+def test_walk_forward_is_least_squares(spark):
+    rng = np.random.default_rng(1)
+    x, m, y = rng.random((3, 40))
+    rows = spark.createDataFrame([(i, float(x[i]), float(m[i]), float(y[i])) for i in range(40)], "i long, x double, m double, y double")
+    got = {r["i"]: r["pred"] for r in S.walk_forward(rows, "x", "y", 16, "m").collect()}
+    for i in (16, 25, 39):
+        b = np.linalg.lstsq(np.c_[np.ones(i), x[:i], m[:i]], y[:i], rcond=None)[0]
+        assert math.isclose(got[i], b @ [1, x[i], m[i]], rel_tol=1e-8)
+    assert got[15] is None
+
+
+def test_permutation_p():
+    assert math.isclose(S.permutation_p(3, 1.0), 2 / 6) and S.permutation_p(5, 0.0) == 1.0
+
+
+def test_roles(spark):
+    d = datetime.date
+    dates = spark.createDataFrame([(d(2018, 2, 4),), (d(2018, 2, 5),), (d(2012, 6, 1),), (None,)], "date date")
+    r = {(x["member"], x["date"]): x for x in C.roles(dates, C.offices(spark), C.rotation(spark)).collect()}
+    assert r["Jerome H. Powell", d(2018, 2, 4)]["is_chair"] is False and r["Jerome H. Powell", d(2018, 2, 5)]["is_chair"] is True
+    assert r["Kevin M. Warsh", d(2012, 6, 1)]["office"] is None and r["Kevin M. Warsh", None]["is_voting"] is None
+
+
+def test_passages():
+    assert I.split_passage("") == [] and I.split_passage(None) == []
+    long = "A" * 50 + ". " + "B" * 50 + "."
+    assert I.split_passage("short\n\n" + long, 60) == ["short " + "A" * 50 + ".", "B" * 50 + "."]
+    assert I.split_passage("C" * 100, 60) == ["C" * 100]
+
+
+def test_turns_and_clean(spark):
+    text = "CHAIR SMITH. Hello there.\n12\n3 of 20 January meeting\nMore\nMR. JONES. No.\nVICE CHAIR SMITH. Again CHAIR SMITH. inside"
+    t = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [r["body"] for r in I.turns(t, F.lit("Smith"), 5).orderBy("pos").collect()] == ["Hello there. More", "Again CHAIR SMITH. inside"]
+
+
+def test_retry():
+    calls = []
+
+    def fail():
+        calls.append(1)
+        raise OSError
+
+    with pytest.raises(OSError):
+        I.Retry(3, sleep=lambda s: None)(fail)
+    assert len(calls) == 3
+
+
+def test_article_text():
+    html = '<nav><p>menu</p></nav><div id="article"><p>One <b>two</b></p><div class="video"><p>play</p></div><p>Return to text</p><p>Note</p></div>'
+    assert readers.article_text(html) == "One two" and readers.article_text(None) == ""
+
+
+def test_lda_separates():
+    rng = np.random.default_rng(2)
+    x = np.r_[rng.normal(0, 1, (40, 5)), rng.normal(3, 1, (40, 5))]
+    y = np.repeat(["a", "b"], 40)
+    assert (np.array(["a", "b"])[L.log_probabilities(L.fit(x, y), x).argmax(1)] == y).mean() > 0.97
+
+
+def test_incremental_stream_is_idempotent(spark, tmp_path):
+    schema = "postUrl string, postedAt timestamp, member string"
+    rows = spark.createDataFrame([("u1", datetime.datetime(2024, 1, 1), "a"), ("u2", datetime.datetime(2024, 1, 2), "b"), ("u1", datetime.datetime(2024, 1, 1), "a")], schema)
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    rows.write.parquet(src)
+    for _ in range(2):
+        incremental.run_available(spark, src, rows.schema, out, cp)
+    assert sorted((r["postUrl"], r["chunk_id"]) for r in spark.read.parquet(out).collect()) == [("u1", 0), ("u2", 1)]
+    spark.createDataFrame([("u2", datetime.datetime(2024, 1, 3), "b"), ("u3", datetime.datetime(2024, 1, 3), "b")], schema).write.mode("append").parquet(src)
+    incremental.run_available(spark, src, rows.schema, out, cp)
+    assert sorted((r["postUrl"], r["chunk_id"]) for r in spark.read.parquet(out).collect()) == [("u1", 0), ("u2", 1), ("u3", 2)]
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("observation_date,X\n2020-01-01,1.5\n2020-02-01,.\n")
+    assert [r["value"] for r in readers.macro_csv(spark, str(tmp_path / "a.csv"), "X").collect()] == [1.5]
+    (tmp_path / "b.json").write_text('["p", "q"]')
+    assert [tuple(r) for r in readers.json_list(spark, str(tmp_path / "b.json")).collect()] == [(0, "p"), (1, "q")]
+    with pytest.raises(FileNotFoundError):
+        readers.read_config(spark, str(tmp_path), "none")
+    with pytest.raises(ValueError):
+        readers.load_chunks(spark, str(tmp_path), "other")
