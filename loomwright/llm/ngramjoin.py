@@ -15,8 +15,8 @@ halves also get prefix signatures (their first n - ceil(4n/5) + 1 shingles by ha
 which any two sets in reach share.  Nothing is lost by either.
 
 Signatures are dealt into buckets by their hash, packed, and grouped with numpy.
-Pairs of nodes that share one are gathered by a locality key (the top bits of the
-smaller node's smallest shingle), each text is sent once to each such group, and pairs
+Pairs of nodes that share one are gathered by the smallest node of that signature, which
+a family of copies shares, each text is sent once to each such group, and pairs
 are compared exactly unless they are already connected there.  A group gives a
 spanning forest of its links, never all its pairs.  Signatures of more than ``hot``
 nodes first compare with their smallest node only; what those comparisons leave in
@@ -35,7 +35,7 @@ from .common import stored
 from .graph import components
 from .textnum import U, mix, shingle_set
 
-_LOW = 44  # bits of a node that tell sets of one locality key apart
+_LOW = 44  # bits of a node that tell sets with one smallest shingle apart
 _HIGH_SIZE = 1 << 40
 
 
@@ -75,7 +75,7 @@ _SHAPES: dict[int, tuple[int, int]] = {}
 
 
 def node_of(s: np.ndarray) -> int:
-    """An id of a set: locality key (19 bits of its smallest shingle), then 44 bits of all."""
+    """An id of a set: 19 bits of its smallest shingle, then 44 bits of all."""
     with np.errstate(over="ignore"):
         h = int(mix(np.array([np.sum(mix(s + U(7))) + U(len(s))], dtype=U))[0])
     return ((int(s[0]) >> 45) << _LOW) | (h & ((1 << _LOW) - 1))
@@ -186,28 +186,20 @@ def signature_rows(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(run, "bucket long, nodes binary, counts binary, sigs binary")
 
 
-def _keyed(a: np.ndarray) -> np.ndarray:
-    """The group of a pair: the locality key of its smaller node, which families of copies share."""
-    return mix((a >> _LOW).astype(U)).view(np.int64)
-
-
 _PAIRS = "hot boolean, key long, n long, a binary, b binary"
 
 
-def _pair_rows(a: np.ndarray, b: np.ndarray):
-    """Distinct pairs (a < b), a row for each group."""
+def _pair_rows(a: np.ndarray, b: np.ndarray, key: np.ndarray):
+    """Distinct (key, pair) with a < b, a row for each key."""
     if not len(a):
         return
     a, b = np.minimum(a, b), np.maximum(a, b)
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    code = np.unique(at[: len(a)].astype(np.int64) * len(ids) + at[len(a) :])
-    a, b = ids[code // len(ids)], ids[code % len(ids)]
-    key = _keyed(a)
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort((b, a, key))
     a, b, key = a[order], b[order], key[order]
-    cuts = np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1)), len(key))
-    rows = [(False, int(key[i]), int(j - i), a[i:j].tobytes(), b[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
-    yield _batch(rows)
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (key[1:] != key[:-1]))
+    a, b, key = a[new], b[new], key[new]
+    cuts = np.flatnonzero(np.append(np.append(True, key[1:] != key[:-1]), True))
+    yield _batch([(False, int(key[i]), int(j - i), a[i:j].tobytes(), b[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])])
 
 
 def _batch(rows):
@@ -226,7 +218,7 @@ def candidate_rows(packed: DataFrame, hot: int) -> DataFrame:
         own, sig = own[new], sig[new]
         first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         size = np.diff(np.append(first, len(sig)))
-        a, b, held, seen = [], [], 0, set()
+        a, b, hub, held, seen = [], [], [], 0, set()
         for m in np.unique(size[size > 1]).tolist():
             starts = first[size == m]
             if m <= hot:
@@ -236,10 +228,11 @@ def candidate_rows(packed: DataFrame, hot: int) -> DataFrame:
                     some = starts[at : at + step]
                     a.append(own[(some[:, None] + i).ravel()])
                     b.append(own[(some[:, None] + j).ravel()])
+                    hub.append(np.repeat(own[some], len(i)))
                     held += len(a[-1])
                     if held > 1 << 22:
-                        yield from _pair_rows(np.concatenate(a), np.concatenate(b))
-                        a, b, held = [], [], 0
+                        yield from _pair_rows(np.concatenate(a), np.concatenate(b), np.concatenate(hub))
+                        a, b, hub, held = [], [], [], 0
             else:
                 for s in starts.tolist():
                     members = own[s : s + m]
@@ -247,10 +240,11 @@ def candidate_rows(packed: DataFrame, hot: int) -> DataFrame:
                         seen.add(h)
                         a.append(np.full(m - 1, members[0]))
                         b.append(members[1:])
+                        hub.append(a[-1])
                         held += m
                         yield _batch([(True, int(sig[s].view(np.int64)), m, members.tobytes(), b"")])
         if a:
-            yield from _pair_rows(np.concatenate(a), np.concatenate(b))
+            yield from _pair_rows(np.concatenate(a), np.concatenate(b), np.concatenate(hub))
 
     def run(batches):
         at, own, sig = None, [], []
@@ -307,7 +301,7 @@ def cross_pairs(members: DataFrame, roots: DataFrame, held: int = 1 << 22) -> Da
                     if codes and (hub != at[0] or n > held):
                         pair = merged(codes, ids)
                         if hub != at[0] or len(pair[0]) > held // 2:
-                            yield from _pair_rows(*pair)
+                            yield from _pair_rows(*pair, np.full(len(pair[0]), at[0]))
                             codes, ids, n = [], {}, 0
                         else:
                             codes[:] = [np.unique(np.concatenate(codes))]
@@ -317,7 +311,8 @@ def cross_pairs(members: DataFrame, roots: DataFrame, held: int = 1 << 22) -> Da
         if node:
             close()
         if codes:
-            yield from _pair_rows(*merged(codes, ids))
+            pair = merged(codes, ids)
+            yield from _pair_rows(*pair, np.full(len(pair[0]), at[0]))
 
     single = members.select("key", "a").mapInArrow(unpack, "hub long, key long, node long")
     rooted = single.join(roots, "node", "left").select("hub", "key", "node", F.coalesce("root", "node").alias("root"))
@@ -333,13 +328,13 @@ def distinct_pairs(pairs: DataFrame, held: int = 1 << 22) -> DataFrame:
             for key, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != at or n > held:
                     if left:
-                        yield from _pair_rows(np.concatenate(left), np.concatenate(right))
+                        yield from _pair_rows(np.concatenate(left), np.concatenate(right), np.full(n, at))
                     at, left, right, n = key, [], [], 0
                 left.append(np.frombuffer(a, np.int64))
                 right.append(np.frombuffer(b, np.int64))
                 n += len(left[-1])
         if left:
-            yield from _pair_rows(np.concatenate(left), np.concatenate(right))
+            yield from _pair_rows(np.concatenate(left), np.concatenate(right), np.full(n, at))
 
     return pairs.select("key", "a", "b").repartition("key").sortWithinPartitions("key").mapInArrow(run, _PAIRS)
 
