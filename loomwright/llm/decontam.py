@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import released, small_batches
 from .textnum import NON_WORD, shingles, word_hashes
 
 RADIUS, WORDS = 23, 5
@@ -143,6 +144,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block_items:
     time, so what reaches a worker is bounded; each block is a pass over the documents.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null and item_id is not null")
     blocks = max(1, -(-items.count() // block_items))
     df = docs.withColumn("hits", F.array().cast(_HITS))
@@ -168,7 +170,7 @@ def _marked(df: DataFrame, index, least: float) -> DataFrame:
             cols[hits_at] = pa.array([a + b for a, b in zip(old, new, strict=True)], kind)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return df.mapInArrow(find, df.schema)
+    return df.mapInArrow(released(find), df.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:

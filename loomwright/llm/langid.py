@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fraction, held_out, learnable
+from .common import fraction, held_out, learnable, released, small_batches
 
 BINS = 4096
 _LETTER = re.compile(r"[^\W\d_]")
@@ -109,6 +109,7 @@ def identify(docs: DataFrame, per_language: int = 400, clusters: int = 4, keep:
     ``und`` (score 0, not accepted) if the text is null or has no letter, or if nothing
     can be learned.  Rows that repeat are judged alike, each by its text alone.
     """
+    small_batches(docs.sparkSession)
     rows = training_rows(docs, per_language)
     model = fit([t for t, _ in rows], [x for _, x in rows], clusters)
     spark = docs.sparkSession
@@ -130,7 +131,7 @@ def identify(docs: DataFrame, per_language: int = 400, clusters: int = 4, keep:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], names=[*keys, "lang_pred", "score", "accepted"])
 
     schema = kept.schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
-    return docs.select(F.col("text").cast("string").alias("_text"), *(keep or keys)).mapInArrow(judge, schema)
+    return docs.select(F.col("text").cast("string").alias("_text"), *(keep or keys)).mapInArrow(released(judge), schema)
 
 
 def op9_language(spark: SparkSession, docs: DataFrame) -> DataFrame:

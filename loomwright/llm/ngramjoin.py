@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, small_batches, stored
 from .graph import components
 from .textnum import U, mix, shingle_set
 
@@ -128,7 +128,7 @@ def possible(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.n
         for at in range(0, len(i), step):
             x, y = i[at : at + step], j[at : at + step]
             own, where = np.unique(np.concatenate([x, y]), return_inverse=True)
-            counts = np.array([np.minimum(np.bincount((sets[k] >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 120) for k in own], dtype=np.int8)
+            counts = np.array([np.minimum(np.bincount((sets[k] >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 120).astype(np.int8) for k in own])
             gap = np.abs(counts[where[: len(x)]] - counts[where[len(x) :]]).sum(1, dtype=np.int64)
             keep[at : at + step] = 9 * gap <= size[x] + size[y]
         i, j = i[keep], j[keep]
@@ -148,7 +148,7 @@ def nodes(docs: DataFrame) -> DataFrame:
                     node.append(node_of(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n_shingles", "node"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), "doc_id long, n_shingles long, node long")
 
 
 def signature_rows(docs: DataFrame, buckets: int) -> DataFrame:
@@ -183,7 +183,7 @@ def signature_rows(docs: DataFrame, buckets: int) -> DataFrame:
         if found:
             yield pack(found)
 
-    return docs.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(run, "bucket long, nodes binary, counts binary, sigs binary")
+    return docs.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(released(run), "bucket long, nodes binary, counts binary, sigs binary")
 
 
 _PAIRS = "hot boolean, key long, n long, a binary, b binary"
@@ -230,7 +230,7 @@ def candidate_rows(packed: DataFrame, hot: int) -> DataFrame:
                     b.append(own[(some[:, None] + j).ravel()])
                     hub.append(np.repeat(own[some], len(i)))
                     held += len(a[-1])
-                    if held > 1 << 22:
+                    if held > 1 << 21:
                         yield from _pair_rows(np.concatenate(a), np.concatenate(b), np.concatenate(hub))
                         a, b, hub, held = [], [], [], 0
             else:
@@ -259,7 +259,7 @@ def candidate_rows(packed: DataFrame, hot: int) -> DataFrame:
         if own:
             yield from close(own, sig)
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _PAIRS)
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(run), _PAIRS)
 
 
 def cross_pairs(members: DataFrame, roots: DataFrame, held: int = 1 << 22) -> DataFrame:
@@ -314,9 +314,9 @@ def cross_pairs(members: DataFrame, roots: DataFrame, held: int = 1 << 22) -> Da
             pair = merged(codes, ids)
             yield from _pair_rows(*pair, np.full(len(pair[0]), at[0]))
 
-    single = members.select("key", "a").mapInArrow(unpack, "hub long, key long, node long")
+    single = members.select("key", "a").mapInArrow(released(unpack), "hub long, key long, node long")
     rooted = single.join(roots, "node", "left").select("hub", "key", "node", F.coalesce("root", "node").alias("root"))
-    return rooted.repartition("hub").sortWithinPartitions("hub", "key", "node").mapInArrow(run, _PAIRS)
+    return rooted.repartition("hub").sortWithinPartitions("hub", "key", "node").mapInArrow(released(run), _PAIRS)
 
 
 def distinct_pairs(pairs: DataFrame, held: int = 1 << 22) -> DataFrame:
@@ -336,7 +336,7 @@ def distinct_pairs(pairs: DataFrame, held: int = 1 << 22) -> DataFrame:
         if left:
             yield from _pair_rows(np.concatenate(left), np.concatenate(right), np.full(n, at))
 
-    return pairs.select("key", "a", "b").repartition("key").sortWithinPartitions("key").mapInArrow(run, _PAIRS)
+    return pairs.select("key", "a", "b").repartition("key").sortWithinPartitions("key").mapInArrow(released(run), _PAIRS)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, most: int = 1 << 20) -> DataFrame:
@@ -363,7 +363,7 @@ def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, most: int = 1 <<
             if rows:
                 yield _batch(rows)
 
-    dealt = stored(pairs.join(sizes, "key").select("key", "parts", "a", "b").mapInArrow(split, _PAIRS), "pairs")
+    dealt = stored(pairs.join(sizes, "key").select("key", "parts", "a", "b").mapInArrow(released(split), _PAIRS), "pairs")
 
     def wanted(batches):
         for batch in batches:
@@ -372,7 +372,7 @@ def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, most: int = 1 <<
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), key)), pa.array(node)], names=["key", "node"])
 
     first = ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    need = dealt.select("key", "a", "b").mapInArrow(wanted, "key long, node long").distinct().join(first, "node")
+    need = dealt.select("key", "a", "b").mapInArrow(released(wanted), "key long, node long").distinct().join(first, "node")
     texts = need.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id").select("key", F.lit(0).alias("kind"), "node", "text", F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"))
     rows = texts.unionByName(dealt.select("key", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("string").alias("text"), "a", "b"))
 
@@ -418,7 +418,7 @@ def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, most: int = 1 <<
                     right.append(np.frombuffer(b, np.int64))
         yield from links()
 
-    return rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(compare, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(released(compare), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, hot: int = 128, bucket_size: int = 250_000) -> DataFrame:
@@ -428,6 +428,7 @@ def jaccard_join(docs: DataFrame, hot: int = 128, bucket_size: int = 250_000) ->
     Rows with equal sets are linked; a null doc_id takes part and is the smallest only
     where there is no other.  Rows that repeat a doc_id are all kept.
     """
+    small_batches(docs.sparkSession)
     ids = stored(nodes(docs), "sets")
     total = ids.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(1, int(0.6 * total / bucket_size))

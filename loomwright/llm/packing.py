@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, small_batches, stored
 from .tokens import crc32_ids, default_vocabulary, encoder
 
 CAPACITY = 2048
@@ -30,6 +30,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     documents of their own.  ``local_rank`` counts pieces of one length in one part.
     """
     vocabulary = vocabulary or default_vocabulary()
+    small_batches(docs.sparkSession)
 
     def cut(batches):
         enc, seen = encoder(vocabulary), np.zeros(capacity + 1, dtype=np.int64)
@@ -48,7 +49,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long")
+    return rows.mapInArrow(released(cut), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long")
 
 
 def best_configuration(price: np.ndarray, most: np.ndarray | None, capacity: int) -> np.ndarray:
@@ -174,7 +175,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = rows.join(counts, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local_rank")).alias("rank"))
-    return ranked.mapInArrow(put, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(released(put), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def _placement(found: list[tuple[np.ndarray, int]], capacity: int):
