@@ -17,20 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import released, small_batches, stored
+from .common import released, stored
 from .tokens import crc32_ids, default_vocabulary, encoder
 
 CAPACITY = 2048
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 0, remember: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, part, local_rank of every piece.
 
     Null and empty texts hold only the end id.  Rows that repeat a doc_id are
     documents of their own.  ``local_rank`` counts pieces of one length in one part.
+    Workers keep what they learned of the tokenizer for later tasks if ``remember``; else
+    they forget it with each task, which costs time and leaves the memory to later steps.
     """
     vocabulary = vocabulary or default_vocabulary()
-    small_batches(docs.sparkSession)
 
     def cut(batches):
         enc, seen = encoder(vocabulary), np.zeros(capacity + 1, dtype=np.int64)
@@ -47,6 +48,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
                         out.append((doc_id, k, a, n, crc32_ids(own), part, int(seen[n])))
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"])
+        if not remember:
+            enc.forget()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part"))
     return rows.mapInArrow(released(cut), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long")
@@ -151,10 +154,10 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
     return out + _fill(rest, capacity)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 0, remember: bool = True) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    rows = stored(pieces(docs, capacity, vocabulary, end_id), "pieces")
+    rows = stored(pieces(docs, capacity, vocabulary, end_id, remember), "pieces")
     counts = rows.groupBy("part", "length").agg(F.count("*").alias("n"))
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = stored(counts.select("part", "length", "n", earlier.alias("before")), "piece-counts")

@@ -55,6 +55,10 @@ class Encoder:
             self.ends_word[i] = token.endswith("</w>")
         self._clear()
 
+    def forget(self) -> None:
+        """Drops what was learned of pieces."""
+        self._clear()
+
     def _clear(self) -> None:
         self.known = _Slots()
         self.known.new = []
