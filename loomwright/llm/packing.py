@@ -3,15 +3,22 @@
 Documents become pieces of at most ``capacity`` tokens.  Only the histogram of
 piece lengths (at most ``capacity`` numbers, whatever the corpus holds) reaches the
 driver.  There the fractional covering program "fewest sequences so that every
-length is covered" is solved by multiplicative weights: each step prices the
-lengths, and a knapsack dynamic program finds the fullest-priced configuration.
-The weights of the configurations are rounded down to whole sequences; what is
-left is filled by the same dynamic program restricted to lengths still open, so
-the tail stays tight.  Placing the pieces is then arithmetic on (length, rank).
+length is covered" is solved to a relative gap of 0.001 between its total and a lower
+bound.  The columns of a greedy packing, which cover every length, come first, held
+against the bound of prices in proportion to length: where they meet the gap, as on
+most tables with many short pieces, they are the solution and no step is needed.  Else
+multiplicative weights go on: each step prices the lengths, a knapsack dynamic program
+finds the best configuration around each length, all near the best price are stepped,
+and the sum is scaled by the least covered length; the better of the two is taken.  If
+the steps run out first, a warning names the gap.  Numbers of sequences are rounded
+down, and the greedy packing holds what is left.  Placing the pieces is then arithmetic
+on (length, rank).
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -55,26 +62,28 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     return rows.mapInArrow(released(cut), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long")
 
 
-def best_configuration(price: np.ndarray, most: np.ndarray | None, capacity: int) -> np.ndarray:
-    """Lengths (with repeats) of the configuration of the highest total price.
+def _knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Highest total price within each room 0..capacity, and the length taken last there (0: leave one free).
 
     Unbounded knapsack over 1..capacity; ``price[l]`` <= 0 leaves a length out.
-    With ``most`` no length is used more often than that (the rest is refilled).
     """
     lengths = np.flatnonzero(price > 0)
-    if most is not None:
-        lengths = lengths[most[lengths] > 0]
     value, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    worth = price[lengths]
+    worth, upto = price[lengths], np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        n = np.searchsorted(lengths, c, side="right")
+        n = upto[c]
         value[c] = value[c - 1]
         if n:
             got = value[c - lengths[:n]] + worth[:n]
             k = int(np.argmax(got))
             if got[k] > value[c]:
                 value[c], pick[c] = got[k], lengths[k]
-    out, c = [], capacity
+    return value, pick
+
+
+def _configuration(first: int, pick: np.ndarray, capacity: int) -> np.ndarray:
+    """The best configuration that holds ``first``, longest length first."""
+    out, c = [first], capacity - first
     while c:
         if pick[c]:
             out.append(int(pick[c]))
@@ -115,6 +124,50 @@ def _fill(rest: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
+def cover(need: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 400, rate: float = 0.25) -> tuple[list[tuple[np.ndarray, float]], float, float]:
+    """Configurations with (fractional) numbers of sequences that cover every length, their total, and a lower bound of it.
+
+    The total is at most 1 + ``gap`` times the bound, unless the rounds run out before.
+    """
+    rows = np.flatnonzero(need)
+    best: list[tuple[np.ndarray, float]] = [(own, float(times)) for own, times in _fill(need, capacity)]
+    total = sum(x for _, x in best)
+    weight = np.zeros(capacity + 1)
+    weight[rows] = need[rows] * rows / capacity  # at first a length is priced at its room
+    bound = float(weight.sum())
+    share = np.zeros(capacity + 1)
+    share[rows] = 1.0 / need[rows]
+    found: dict[bytes, float] = {}
+    covered = np.zeros(capacity + 1)
+    for _ in range(rounds):
+        if total <= (1 + gap) * bound:
+            break
+        price = weight * share
+        value, pick = _knapsack(price, capacity)
+        # prices at which no configuration is worth more than 1 bound the total from below
+        bound = max(bound, float(weight.sum() / value[capacity]))
+        near = rows[price[rows] + value[capacity - rows] >= (1 - gap) * value[capacity]]
+        gain = np.zeros(capacity + 1)
+        for length in near[np.argsort(covered[near], kind="stable")].tolist():
+            own = _configuration(length, pick, capacity)
+            kinds, counts = np.unique(own, return_counts=True)
+            step = float(np.min((1.0 - gain[kinds]) * need[kinds] / counts))  # no length is covered more than once a round
+            if step > 1e-9:
+                key = own.tobytes()
+                found[key] = found.get(key, 0.0) + step
+                gain[kinds] += counts * step * share[kinds]
+        covered += gain
+        weight *= np.exp(-rate * gain)
+        weight /= weight.sum()
+        least = float(covered[rows].min())
+        if least > 0 and sum(found.values()) / least < total:
+            best = [(np.frombuffer(key, dtype=np.int64), x / least) for key, x in found.items()]
+            total = sum(x for _, x in best)
+    if total > (1 + gap) * bound:
+        logging.getLogger(__name__).warning("packing: %d rounds left a gap of %.4f (total %.1f, bound %.1f)", rounds, total / bound - 1, total, bound)
+    return best, total, bound
+
+
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 400, rate: float = 0.25) -> list[tuple[np.ndarray, int]]:
     """(lengths of a configuration, number of sequences) that hold the histogram exactly."""
     need = np.zeros(capacity + 1, dtype=np.int64)
@@ -126,28 +179,10 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
         need[capacity] = 0
     if not need.any():
         return out
-    open_ = need > 0
-    # multiplicative weights on the covering rows, in the units "share of a length covered"
-    share = np.where(open_, 1.0 / np.maximum(need, 1), 0.0)
-    weight, found, covered = open_.astype(float), {}, np.zeros(capacity + 1)
-    for _ in range(rounds):
-        own = best_configuration(weight * share, None, capacity)
-        kinds, counts = np.unique(own, return_counts=True)
-        step = float(np.min(need[kinds] / counts))  # the largest step that overcovers none
-        key = own.tobytes()
-        found[key] = found.get(key, 0.0) + step
-        gain = counts * step * share[kinds]
-        covered[kinds] += gain
-        weight[kinds] *= np.exp(-rate * gain)
-        if weight.max() < 1e-12:
-            break
-    least = covered[open_].min()
-    scale = 1.0 / max(least, covered[open_].mean(), 1e-9)
     rest = need.copy()
-    for key, x in sorted(found.items(), key=lambda kv: -kv[1]):
-        own = np.frombuffer(key, dtype=np.int64)
+    for own, x in sorted(cover(need, capacity, rounds=rounds, rate=rate)[0], key=lambda c: -c[1]):
         kinds, counts = np.unique(own, return_counts=True)
-        times = int(min(np.floor(x * scale), np.min(rest[kinds] // counts)))
+        times = int(min(np.floor(x + 1e-9), np.min(rest[kinds] // counts)))
         if times > 0:
             out.append((own, times))
             rest[kinds] -= counts * times

@@ -104,6 +104,27 @@ def test_packing_places_every_piece_once(spark, docs):
     assert len(by_seq) <= -(-sum(r["length"] for r in rows) // 2048) + 2
 
 
+def test_packing_program_covers_every_length():
+    lengths = np.clip(np.random.default_rng(2).lognormal(5.5, 1.2, 400_000).astype(int), 1, 2047)
+    histogram = {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    few = {51: 4000, 27: 4000, 26: 4000, 23: 8000, 25: 4000, 24: 4000}  # greedy alone takes 8334
+    for h, capacity, most in ((histogram, 2048, 1.0002 * lengths.sum() / 2048), (few, 100, 8000)):
+        found = packing.configurations(h, capacity)
+        held = np.zeros(capacity + 1, dtype=np.int64)
+        for own, times in found:
+            assert own.sum() <= capacity
+            np.add.at(held, own, times)
+        assert {int(n): int(held[n]) for n in np.flatnonzero(held)} == h
+        assert sum(times for _, times in found) <= most
+        need = np.array([h.get(n, 0) for n in range(capacity + 1)])
+        program, total, bound = packing.cover(need, capacity)
+        covered, whole = np.zeros(capacity + 1), 0
+        for own, x in program:
+            np.add.at(covered, own, x)
+            whole += len(own) * int(x + 1e-9)
+        assert (covered >= need - 1e-6 * need).all() and total <= 1.006 * bound and whole >= 0.99 * need.sum()
+
+
 def test_warc_chunks_and_corruption(spark):
     big = "é<p>" * 3000
     pages = spark.createDataFrame([(1, "http://a/", big), (2, None, big), (3, "u", None), (4, "u", "small"), (5, "u", "small"), (6, "u\r\nX: y", big + "z")], "page_id long, url string, html string")
