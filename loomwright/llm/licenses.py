@@ -1,6 +1,7 @@
 """License scans (10): exact set-similarity join of text blocks with license templates.
 
-Native: DataFrame functions only.  Blocks are lines.  A block meets a template of n
+Native: DataFrame functions only.  Blocks are lines, and windows of as many words as
+the template has, over the whole text, so a notice wrapped over lines is met.  A block meets a template of n
 distinct words if it holds at least ceil(threshold * n) of them.  The template words
 are ordered by their frequency in the whole corpus, rarest first, so a block that
 meets a template must hold one of its first n - need + 1 words (prefix filter), have
@@ -58,6 +59,10 @@ def _template_words(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[0-9a-z]+", text.lower())))
 
 
+def _length(text: str) -> int:
+    return len(re.findall(r"[0-9a-z]+", text.lower()))
+
+
 def word_frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
     """How often each of the given words (a parameter of fixed size) stands in all documents,
     between white space and without the marks after it.  Any order keeps the join exact."""
@@ -72,9 +77,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFr
     Null and empty texts have no words and no labels (empty strings), score 0.  The
     score is 1 where a phrase stands, else the best containment of a met template.
     """
-    rows = [(label, _template_words(text)) for label, text in templates]
-    often = word_frequencies(docs, sorted({w for _, ws in rows for w in ws}))
-    rows = [(label, sorted(ws, key=lambda w: (often.get(w, 0), w))) for label, ws in rows]
+    rows = [(label, _template_words(text), _length(text)) for label, text in templates]
+    often = word_frequencies(docs, sorted({w for _, ws, _ in rows for w in ws}))
+    rows = [(label, sorted(ws, key=lambda w: (often.get(w, 0), w)), length) for label, ws, length in rows]
     new = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     kept = [c for c in docs.columns if c not in new]
     low = F.col("_low")
@@ -94,15 +99,20 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFr
     # templates: a met block holds at least one of ANY n - need + 1 of a template's words, so
     # texts and lines are first probed for that many of the longer, then rarer words
     probes: set[str] = set()
-    for _, ws in rows:
+    for _, ws, _ in rows:
         probes |= set(sorted(ws, key=lambda w: (len(w) < 4, ws.index(w)))[: len(ws) - _need(ws, threshold) + 1])
     probed = _probe(sorted(w for w in probes if not any(v != w and v in w for v in probes)))
     lines = F.filter(F.split(low, "\n"), probed)
     df = df.withColumn("_blocks", F.when(probed(low), F.transform(lines, lambda x: F.array_distinct(words_of(x)))))
+    # windows are only needed where a text of several lines holds enough of a template's words somewhere
+    df = df.withColumn("_all", F.when(probed(low) & F.contains(low, F.lit("\n")), words_of(low)))
+    df = df.withColumn("_distinct", F.array_distinct("_all"))
     met = []
-    for label, ws in rows:
+    for label, ws, length in rows:
         need, n = _need(ws, threshold), len(ws)
-        best = F.array_max(F.transform(F.col("_blocks"), _overlap(ws, need)))
+        in_line = F.array_max(F.transform(F.col("_blocks"), _overlap(ws, need)))
+        enough = F.size(F.array_intersect(F.array(*map(F.lit, ws)), F.col("_distinct"))) >= need
+        best = F.greatest(in_line, F.when(enough, _best_window(F.col("_all"), ws, need, length)))
         met.append(F.when(best >= need, F.struct(F.lit(label).alias("label"), (best / n).cast("double").alias("share"))))
     none = F.array().cast("array<struct<label:string,share:double>>")
     df = df.withColumn("_met", F.when(F.col("_blocks").isNotNull(), F.array_compact(F.array(*met))).otherwise(none))
@@ -150,6 +160,13 @@ def _overlap(ordered: list[str], need: int):
     return count
 
 
+def _best_window(words: Column, ordered: list[str], need: int, length: int) -> Column:
+    """The most template words in any ``length`` words one after another; windows begin with a template word."""
+    overlap = _overlap(ordered, need)
+    starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.get(words, i - 1).isin(ordered))
+    return F.array_max(F.transform(starts, lambda i: overlap(F.array_distinct(F.slice(words, i, F.lit(length))))))
+
+
 def _need(words: list[str], threshold: float) -> int:
     return max(1, math.ceil(threshold * len(words) - 1e-9))
 

@@ -215,6 +215,20 @@ def test_licenses(spark):
     assert got[4]["n_base"] == 2 and (got[4]["first_word"], got[4]["last_word"]) == (1, 6) and got[5]["labels"] == "mit" and got[6]["score"] == 0.0 and got[2]["n_words"] == 0
 
 
+def test_licenses_wrapped_over_lines(spark):
+    import textwrap
+
+    notices = dict(licenses.TEMPLATES)  # the last template of each label
+    notices["apache"], notices["gpl"] = licenses.TEMPLATES[1][1], licenses.TEMPLATES[3][1]
+    far = " ".join(f"{w} {'filler ' * 30}" for w in notices["bsd"].split()).replace("filler filler ", "filler\n")
+    rows = [(label, f"{'plain words\n' * 9}# {textwrap.fill(text, width, subsequent_indent='# ')}\nplain words") for label, text in notices.items() for width in (24, 48)]
+    rows += [("", far), ("", "Redistribution and use in source\nand binary forms")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = ids_of(licenses.scan(docs).collect())
+    assert [got[i]["labels"] for i in range(len(rows))] == [label for label, _ in rows]
+    assert all(got[i]["score"] == 1.0 for i, (label, _) in enumerate(rows) if label) and got[len(rows) - 1]["score"] == 0.0
+
+
 def test_near_duplicates_equal_brute_force(spark):
     r = np.random.default_rng(6)
     base = r.normal(size=(40, 16))
