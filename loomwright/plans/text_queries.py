@@ -139,7 +139,7 @@ def speaker_turns(spark, d):
 
 def _rows(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    return e.where("label < 4").select(F.lit("all").alias("part"), (F.col("vec_id") % 5).cast("long").alias("fold"), F.concat(F.lit("m"), F.col("label").cast("string")).alias("label"), "embedding")
+    return e.where("label is not null").select(F.lit("all").alias("part"), (F.col("vec_id") % 5).cast("long").alias("fold"), F.concat(F.lit("m"), F.col("label").cast("string")).alias("label"), "embedding")
 
 
 def attribution(spark, d):
@@ -149,7 +149,8 @@ def attribution(spark, d):
 def detectability(spark, d):
     """Two-way accuracy of each member against member m0 as tau."""
     r = _rows(spark, d)
-    pairs = r.where("label = 'm0'").crossJoin(F.broadcast(spark.createDataFrame([("m1",), ("m2",), ("m3",)], "p string"))).withColumn("part", F.col("p")).drop("p")
+    others = r.where("label <> 'm0'").select(F.col("label").alias("p")).distinct()
+    pairs = r.where("label = 'm0'").crossJoin(F.broadcast(others)).withColumn("part", F.col("p")).drop("p")
     both = pairs.unionByName(r.where("label <> 'm0'").withColumn("part", F.col("label")))
     a = L.cross_validated(both).groupBy("part").agg(F.avg((F.col("true") == F.col("pred")).cast("int")).alias("acc"))
     return a.select("part", F.round(T.detect_tau(F.col("acc")), 6).alias("tau"))

@@ -130,3 +130,14 @@ def test_readers(spark, tmp_path):
         readers.read_config(spark, str(tmp_path), "none")
     with pytest.raises(ValueError):
         readers.load_chunks(spark, str(tmp_path), "other")
+
+
+def test_attribution_and_detectability_use_every_label(spark, tmp_path):
+    from loomwright.plans import text_queries
+
+    r = np.random.default_rng(8)
+    rows = [(i, (np.eye(8)[i % 6] * 9 + r.normal(size=8)).tolist(), i % 6) for i in range(180)] + [(180, [0.0] * 8, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {x["true"]: (x["n"], x["recall"]) for x in text_queries.attribution(spark, str(tmp_path)).collect()}
+    assert got == {f"m{k}": (30, 1.0) for k in range(6)}
+    assert {x["part"]: x["tau"] for x in text_queries.detectability(spark, str(tmp_path)).collect()} == {f"m{k}": 1.0 for k in range(1, 6)}
