@@ -90,7 +90,8 @@ class Lexicon:
             else:
                 excused.append((at, end))
         if excused:
-            best = {at: w for at, w in best.items() if not any(a <= at <= b for a, b in excused)}
+            # b is the blank after the phrase, where the next word's entry begins
+            best = {at: w for at, w in best.items() if not any(a <= at < b for a, b in excused)}
         total = sum(best.values())
         words = folded.count(" ") - 1
         return math.log1p(total), math.log1p(100.0 * total / (words + 20))

@@ -166,6 +166,13 @@ def test_toxicity_folds_and_learns(spark):
     assert [x["predicted"] for x in toxicity.score(docs, lex).orderBy("doc_id").collect()] == [1, 0]
 
 
+def test_toxicity_counts_a_word_right_after_an_exception():
+    lex = toxicity.Lexicon(weights={toxicity.fold("blargish")[:-1]: 3.0}, exceptions=[toxicity.fold("not blargish")])
+    a = lex.automaton()
+    assert lex.features(a, "kabar not blargish kabar") == (0.0, 0.0)
+    assert lex.features(a, "kabar not blargish blargish")[0] == np.log1p(3.0) and lex.features(a, "not blargish, not blargish") == (0.0, 0.0)
+
+
 def test_decontamination_finds_planted(spark):
     r = random.Random(5)
     item = " ".join(r.choices(WORDS, k=40))
