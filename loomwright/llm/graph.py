@@ -13,7 +13,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round is two aggregations and joins over the edges, written to the shared
     folder; the number of rounds grows with the logarithm of the longest chain.
-    Nothing but two numbers a round reaches the driver.
+    Nothing but two numbers a round reaches the driver.  Raises if ``most_rounds`` are
+    too few for the components to settle.
     """
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
@@ -29,4 +30,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

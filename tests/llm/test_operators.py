@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomwright.llm import decontam, langid, licenses, neardup, ngramjoin, packing, pii, textnum, tokens, toxicity, warc
+from loomwright.llm import decontam, graph, langid, licenses, neardup, ngramjoin, packing, pii, textnum, tokens, toxicity, warc
 from loomwright.llm.common import shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -274,3 +274,47 @@ def test_pipeline_stages_keep_columns(spark, docs):
     kept = {r["doc_id"] for r in d.collect()}
     joined = ids_of(ngramjoin.jaccard_join(corpus_pipeline.language(spark, docs, "")).collect())
     assert kept == {r["component_id"] for r in joined.values()}
+
+
+def test_components_raise_if_rounds_run_out(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    assert {r["root"] for r in graph.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError, match="settled"):
+        graph.components(chain, most_rounds=1)
+
+
+def test_pipeline_run_equals_plain_python(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    r = random.Random(9)
+    en, de = "the and of that with shing from which these would other about".split(), "der und die nicht mit ein auch werden eine sich dieser haben".split()
+    say = lambda i, n: " ".join(r.choices(en if i % 2 else de, k=n))
+    item = say(1, 40)
+    texts = {i: say(i, 60 + i) for i in range(80)}
+    texts |= {80: texts[3] + " extra", 81: texts[4], 82: None, 83: "", 84: "123 !! 456", 85: f"{say(1, 50)} {item} {say(1, 50)}"}
+    texts |= {86: f"{say(0, 60)} joe.smith@example.org {say(0, 30)}", 87: say(1, 5000)}
+    rows = [(i, t, "en" if i % 2 else "de", "s", len(t or "")) for i, t in texts.items()]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = {i: t for i, t in texts.items() if re.search("[a-z]", t or "")}
+    grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    sets = {i: grams(t) for i, t in left.items()}
+    left = {i: t for i, t in left.items() if not any(j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in sets)}
+    left = {i: t for i, t in left.items() if item not in t}
+    left = {i: re.sub(PATTERNS["email"], "[EMAIL]", t) for i, t in left.items()}
+    assert set(texts) - set(left) == {80, 81, 82, 83, 84, 85} and "[EMAIL]" in left[86]
+    tokenizer, want = Tokenizer.from_file(tokens.default_vocabulary()), set()
+    for i, t in left.items():
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want |= {(i, k, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(ids), 2048))}
+
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(g["doc_id"], g["piece"], g["start"], g["length"], g["ids_crc32"]) for g in got} == want
+    by_seq = {}
+    for g in got:
+        by_seq.setdefault(g["sequence_id"], []).append((g["offset"], g["length"]))
+    for s in by_seq.values():
+        s.sort()
+        assert s[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(s, s[1:])) and sum(x[1] for x in s) <= 2048
+    assert sorted(by_seq) == list(range(len(by_seq))) and len(by_seq) <= -(-sum(g["length"] for g in got) // 2048) + 1
