@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -16,7 +16,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Nothing but two numbers a round reaches the driver.  Raises if ``most_rounds`` are
     too few for the components to settle.
     """
-    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    scratch = Scratch(edges.sparkSession)
+    e = scratch.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,7 +26,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         new = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        e = stored(new.where("u <> v").distinct(), "edges")
+        old, e = e, scratch.stored(new.where("u <> v").distinct(), "edges")
+        scratch.drop(old)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

@@ -14,14 +14,20 @@ still share a filled one with every set in reach.  The rare sets with more empty
 halves also get prefix signatures (their first n - ceil(4n/5) + 1 shingles by hash),
 which any two sets in reach share.  Nothing is lost by either.
 
-Signatures are dealt into buckets by their hash, packed, and grouped with numpy.
-Pairs of nodes that share one are gathered by the smallest node of that signature, which
-a family of copies shares, each text is sent once to each such group, and pairs
-are compared exactly unless they are already connected there.  A group gives a
-spanning forest of its links, never all its pairs.  Signatures of more than ``hot``
-nodes first compare with their smallest node only; what those comparisons leave in
-different components is then paired across components, so hot groups of copies
-collapse before any pairing.
+Signatures are dealt into buckets by their hash, packed, and grouped with numpy.  The
+nodes of a signature are a block; a signature of more than ``most`` nodes gives several
+blocks.  Equal blocks are kept once.  Pairs are never listed before they are filtered:
+
+* First each node of a block meets the block's smallest node only.  A sketch of each
+  set (how many shingles lie in each range of hashes) rules out nearly every pair that
+  isn't similar; texts are read for the rest alone, and compared exactly.
+* What those links leave in different components is then compared, block by block (and
+  block against block of one large signature), by the sketches, in cells of bounded
+  size; again texts are read only for pairs that the sketches leave.
+
+The sketch bound is exact: what two sets' counts differ by in all is at most the number
+of elements that one of them lacks.  Intermediate tables and shuffle files are removed
+once their last reader is done.
 """
 
 from __future__ import annotations
@@ -31,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import released, small_batches, stored
+from .common import Scratch, released, small_batches
 from .graph import components
 from .textnum import U, mix, shingle_set
 
-_LOW = 44  # bits of a node that tell sets with one smallest shingle apart
 _HIGH_SIZE = 1 << 40
+_SIG_BYTES = 5  # of a signature's hash that tell signatures of one bucket apart
 
 
 def _bands() -> np.ndarray:
@@ -75,10 +81,9 @@ _SHAPES: dict[int, tuple[int, int]] = {}
 
 
 def node_of(s: np.ndarray) -> int:
-    """An id of a set: 19 bits of its smallest shingle, then 44 bits of all."""
+    """A 64-bit id of a set."""
     with np.errstate(over="ignore"):
-        h = int(mix(np.array([np.sum(mix(s + U(7))) + U(len(s))], dtype=U))[0])
-    return ((int(s[0]) >> 45) << _LOW) | (h & ((1 << _LOW) - 1))
+        return int(mix(np.array([np.sum(mix(s + U(7))) + U(len(s))], dtype=U)).view(np.int64)[0])
 
 
 def signatures(s: np.ndarray) -> np.ndarray:
@@ -115,40 +120,74 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * n >= 80 * (len(a) + len(b) - n)
 
 
-def possible(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that counts of shingles in ranges of hashes don't rule out: what two sets' counts
-    differ by in all is at most the number of elements that one of them lacks."""
-    if not len(i):
-        return i, j
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    for bits, step in ((8, 8192), (12, 2048)):  # more ranges for what the coarse ones leave: they tell large sets apart
-        if bits > 8 and (not len(i) or size[i].max() < 200):
-            break
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles lie in each of 64, 256, 1024, ... equal ranges of hashes (255: or more),
+    four or fewer a range on average."""
+    bits = 6
+    while len(s) > 4 << bits:
+        bits += 2
+    return np.minimum(np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _coarser(counts: np.ndarray, ranges: int) -> np.ndarray:
+    """The sketches over fewer ranges; exact, as saturated counts stay saturated."""
+    if counts.shape[1] == ranges:
+        return counts
+    return np.minimum(counts.reshape(len(counts), ranges, -1).sum(2, dtype=np.int64), 255).astype(np.uint8)
+
+
+class Sketches:
+    """Sizes and sketches of some nodes; finds the pairs of them that these don't rule out."""
+
+    def __init__(self, sizes: np.ndarray, sketches: list[bytes]):
+        self.sizes = sizes
+        self.width = np.array([len(x) for x in sketches], dtype=np.int64)
+        self.place = np.empty(len(sketches), dtype=np.int64)
+        self.counts = {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.place[own] = np.arange(len(own))
+            self.counts[w] = np.frombuffer(b"".join([sketches[k] for k in own.tolist()]), np.uint8).reshape(-1, w)
+
+    def possible(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y = self.sizes[i], self.sizes[j]
+        fits = 100 * np.minimum(x, y) >= 80 * np.maximum(x, y)
+        i, j = i[fits], j[fits]
         keep = np.zeros(len(i), dtype=bool)
-        for at in range(0, len(i), step):
-            x, y = i[at : at + step], j[at : at + step]
-            own, where = np.unique(np.concatenate([x, y]), return_inverse=True)
-            counts = np.array([np.minimum(np.bincount((sets[k] >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 120).astype(np.int8) for k in own])
-            gap = np.abs(counts[where[: len(x)]] - counts[where[len(x) :]]).sum(1, dtype=np.int64)
-            keep[at : at + step] = 9 * gap <= size[x] + size[y]
-        i, j = i[keep], j[keep]
-    return i, j
+        kinds = self.width[i] * (1 << 32) + self.width[j]
+        for kind in np.unique(kinds).tolist():
+            v, w = kind >> 32, kind & 0xFFFFFFFF
+            own, step = np.flatnonzero(kinds == kind), max(1, (1 << 21) // max(v, w))
+            for at in range(0, len(own), step):
+                some = own[at : at + step]
+                a = _coarser(self.counts[v][self.place[i[some]]], min(v, w))
+                b = _coarser(self.counts[w][self.place[j[some]]], min(v, w))
+                gap = (np.maximum(a, b) - np.minimum(a, b)).sum(1, dtype=np.int64)
+                keep[some] = 9 * gap <= self.sizes[i[some]] + self.sizes[j[some]]
+        return i[keep], j[keep]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a hash of the text that tells rows of one doc_id apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("of_text"))
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set)."""
+def sets(docs: DataFrame) -> DataFrame:
+    """doc_id, of_text, n_shingles, node and sketch (null for an empty set)."""
 
     def run(batches):
         for batch in batches:
-            n, node = [], []
             for at in range(0, batch.num_rows, 256):
-                for t in batch.column(1).slice(at, 256).to_pylist():
+                some, n, node, counts = batch.slice(at, 256), [], [], []
+                for t in some.column(1).to_pylist():
                     s = shingle_set(t)
                     n.append(len(s))
                     node.append(node_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n_shingles", "node"])
+                    counts.append(sketch(s) if len(s) else None)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(counts, pa.binary())], names=["doc_id", "of_text", "n_shingles", "node", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), "doc_id long, n_shingles long, node long")
+    return _rows(docs).mapInArrow(released(run), "doc_id long, of_text long, n_shingles long, node long, sketch binary")
 
 
 def signature_rows(docs: DataFrame, buckets: int) -> DataFrame:
@@ -159,7 +198,8 @@ def signature_rows(docs: DataFrame, buckets: int) -> DataFrame:
         sig = np.concatenate(list(found.values()))
         bucket = (sig % U(buckets)).astype(np.int64)
         order = np.lexsort((own, bucket))
-        own, sig, bucket = own[order], sig[order], bucket[order]
+        own, bucket = own[order], bucket[order]
+        sig = np.ascontiguousarray((sig[order] // U(buckets)).view(np.uint8).reshape(-1, 8)[:, :_SIG_BYTES])
         cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
         rows = [[], [], [], []]
         for a, b in zip(cuts, cuts[1:]):
@@ -186,263 +226,261 @@ def signature_rows(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(released(run), "bucket long, nodes binary, counts binary, sigs binary")
 
 
-_PAIRS = "hot boolean, key long, n long, a binary, b binary"
+_BLOCKS = "hub long, sig long, no int, members binary"
 
 
-def _pair_rows(a: np.ndarray, b: np.ndarray, key: np.ndarray):
-    """Distinct (key, pair) with a < b, a row for each key."""
-    if not len(a):
-        return
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((b, a, key))
-    a, b, key = a[order], b[order], key[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (key[1:] != key[:-1]))
-    a, b, key = a[new], b[new], key[new]
-    cuts = np.flatnonzero(np.append(np.append(True, key[1:] != key[:-1]), True))
-    yield _batch([(False, int(key[i]), int(j - i), a[i:j].tobytes(), b[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])])
+def _block_batch(hub: np.ndarray, members: np.ndarray, sig: np.ndarray | None = None, no: int = 0):
+    """Blocks of one size: a row of ``members`` each."""
+    n, width = members.shape
+    of = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())] if sig is None else [pa.array(sig), pa.array([no], pa.int32())]
+    offsets = pa.py_buffer((np.arange(n + 1) * 8 * width).astype(np.int32).tobytes())
+    data = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(np.ascontiguousarray(members).tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(hub), *of, data], names=["hub", "sig", "no", "members"])
 
 
-def _batch(rows):
-    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["hot", "key", "n", "a", "b"])
+def block_rows(packed: DataFrame, most: int, held: int) -> DataFrame:
+    """The nodes that share a signature, two at least, and the smallest of them (hub).
 
+    A signature of more than ``most`` nodes gives several blocks, numbered under its sig (else null).
+    A task holds about ``held`` signatures: beyond that, blocks of the signatures with many nodes are
+    given out at once, and only their smallest node stays.
+    """
 
-def candidate_rows(packed: DataFrame, hot: int) -> DataFrame:
-    """Packed candidate pairs, and the members of hot signatures (hot, signature, n, nodes)."""
-
-    def close(own, sig):
+    def ordered(own, sig):
         own, sig = np.concatenate(own), np.concatenate(sig)
         order = np.lexsort((own, sig))
         own, sig = own[order], sig[order]
         new = np.append(True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1]))
         own, sig = own[new], sig[new]
         first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        size = np.diff(np.append(first, len(sig)))
-        a, b, hub, held, seen = [], [], [], 0, set()
-        for m in np.unique(size[size > 1]).tolist():
-            starts = first[size == m]
-            if m <= hot:
-                i, j = np.triu_indices(m, 1)
-                step = max(1, (1 << 21) // len(i))
-                for at in range(0, len(starts), step):
-                    some = starts[at : at + step]
-                    a.append(own[(some[:, None] + i).ravel()])
-                    b.append(own[(some[:, None] + j).ravel()])
-                    hub.append(np.repeat(own[some], len(i)))
-                    held += len(a[-1])
-                    if held > 1 << 21:
-                        yield from _pair_rows(np.concatenate(a), np.concatenate(b), np.concatenate(hub))
-                        a, b, hub, held = [], [], [], 0
-            else:
-                for s in starts.tolist():
-                    members = own[s : s + m]
-                    if (h := hash(members.tobytes())) not in seen:  # the same members again add nothing
-                        seen.add(h)
-                        a.append(np.full(m - 1, members[0]))
-                        b.append(members[1:])
-                        hub.append(a[-1])
-                        held += m
-                        yield _batch([(True, int(sig[s].view(np.int64)), m, members.tobytes(), b"")])
-        if a:
-            yield from _pair_rows(np.concatenate(a), np.concatenate(b), np.concatenate(hub))
+        return own, sig, first, np.diff(np.append(first, len(sig)))
+
+    def large(bucket, own, sig, first, size, given):
+        """Blocks of the signatures of many nodes."""
+        for a, n in zip(first.tolist(), size.tolist()):
+            name = int(sig[a])
+            key = mix(np.array([name], dtype=U) ^ mix(np.array([bucket], dtype=U))).view(np.int64)
+            for at in range(0, n, most):
+                members = own[a + at : a + min(n, at + most)]
+                yield _block_batch(own[a : a + 1], members[None], key, given.get(name, 0))
+                given[name] = given.get(name, 0) + 1
+
+    def small(own, first, size):
+        for m in np.unique(size).tolist():
+            starts, step = first[size == m], max(1, (1 << 20) // m)
+            for at in range(0, len(starts), step):
+                members = np.unique(own[starts[at : at + step, None] + np.arange(m)], axis=0)
+                yield _block_batch(members[:, 0], members)
 
     def run(batches):
-        at, own, sig = None, [], []
+        at, own, sig, n, bound, given = None, [], [], 0, held, {}
+
+        def close():
+            o, s, first, size = ordered(own, sig)
+            several = (size > most) | np.isin(s[first], np.array(list(given), dtype=U))
+            yield from large(at, o, s, first[several & (size > 1)], size[several & (size > 1)], given)
+            yield from small(o, first[~several & (size > 1)], size[~several & (size > 1)])
+
         for batch in batches:
             for bucket, ids, counts, sigs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != at:
                     if own:
-                        yield from close(own, sig)
-                    at, own, sig = bucket, [], []
+                        yield from close()
+                    at, own, sig, n, bound, given = bucket, [], [], 0, held, {}
                 own.append(np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32)))
-                sig.append(np.frombuffer(sigs, U))
+                wide = np.zeros((len(sigs) // _SIG_BYTES, 8), dtype=np.uint8)
+                wide[:, :_SIG_BYTES] = np.frombuffer(sigs, np.uint8).reshape(-1, _SIG_BYTES)
+                sig.append(wide.view(U).ravel())
+                n += len(own[-1])
+                if n > bound:
+                    o, s, first, size = ordered(own, sig)
+                    many = size > most
+                    yield from large(at, o, s, first[many], size[many], given)
+                    stay = np.repeat(~many, size)
+                    stay[first] = True
+                    own, sig = [o[stay]], [s[stay]]
+                    n = len(own[0])
+                    bound = max(held, 2 * n)
         if own:
-            yield from close(own, sig)
-
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(run), _PAIRS)
+            yield from close()
 
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(run), _BLOCKS)
 
-def cross_pairs(members: DataFrame, roots: DataFrame, held: int = 1 << 22) -> DataFrame:
-    """Pairs of each hot signature's nodes that lie in different components so far.
 
-    Signatures with the same smallest node mostly have the same members, so they are
-    taken together and a pair of theirs is given once.
-    """
+def star(blocks: DataFrame) -> DataFrame:
+    """a, b: each block's smallest node with each of the others, once."""
 
-    def unpack(batches):
+    def run(batches):
         for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                node = np.frombuffer(ids, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), node[0])), pa.array(np.full(len(node), key)), pa.array(node)], names=["hub", "key", "node"])
+            hub = batch.column(0).to_numpy()
+            ids = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            if ids:
+                a, b = np.repeat(hub, [len(x) for x in ids]), np.concatenate(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
-    def merged(codes, ids):
-        code = np.unique(np.concatenate(codes))
-        names = np.array(list(ids), dtype=np.int64)
-        return names[code >> 32], names[code & 0xFFFFFFFF]
+    return blocks.select("hub", "members").mapInArrow(released(run), "a long, b long").distinct()
 
-    def run(batches):
-        at, node, root, codes, ids, n = (None, None), [], [], [], {}, 0
 
-        def close():
-            place = np.array([ids.setdefault(x, len(ids)) for x in node], dtype=np.int64)
-            own = np.array(root, dtype=np.int64)
-            for i in range(0, len(place), 512):
-                far = own[i : i + 512, None] != own[None, i:]
-                x, y = np.nonzero(far)
-                x, y = place[i : i + 512][x], place[i:][y]
-                codes.append(np.unique((np.minimum(x, y) << 32) | np.maximum(x, y)))
-            return sum(map(len, codes))
+def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that sizes and sketches don't rule out.  A frequent ``a`` is left to AQE's skew join."""
 
+    def run(batches):
         for batch in batches:
-            for hub, key, member, r in zip(*(c.to_numpy().tolist() for c in batch.columns), strict=True):
-                if (hub, key) != at:
-                    if node:
-                        n = close()
-                    if codes and (hub != at[0] or n > held):
-                        pair = merged(codes, ids)
-                        if hub != at[0] or len(pair[0]) > held // 2:
-                            yield from _pair_rows(*pair, np.full(len(pair[0]), at[0]))
-                            codes, ids, n = [], {}, 0
-                        else:
-                            codes[:] = [np.unique(np.concatenate(codes))]
-                    at, node, root = (hub, key), [], []
-                node.append(member)
-                root.append(r)
-        if node:
-            close()
-        if codes:
-            pair = merged(codes, ids)
-            yield from _pair_rows(*pair, np.full(len(pair[0]), at[0]))
-
-    single = members.select("key", "a").mapInArrow(released(unpack), "hub long, key long, node long")
-    rooted = single.join(roots, "node", "left").select("hub", "key", "node", F.coalesce("root", "node").alias("root"))
-    return rooted.repartition("hub").sortWithinPartitions("hub", "key", "node").mapInArrow(released(run), _PAIRS)
-
-
-def distinct_pairs(pairs: DataFrame, held: int = 1 << 22) -> DataFrame:
-    """Each group's pairs once, but for groups of more than ``held`` pairs, where a pair may come again."""
+            n = batch.num_rows
+            if n:
+                sizes = np.concatenate([batch.column(2).to_numpy(), batch.column(4).to_numpy()])
+                i, j = Sketches(sizes, batch.column(3).to_pylist() + batch.column(5).to_pylist()).possible(np.arange(n), np.arange(n) + n)
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[i]), pa.array(batch.column(1).to_numpy()[j - n])], names=["a", "b"])
+
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(released(run), "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, scratch: Scratch, what: str) -> DataFrame:
+    """The pairs whose texts' sets are similar.  A text is read for each node of a pair, and goes with each pair."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    need = scratch.stored(ends.join(nodes, "node").select("node", F.col("doc_id").alias("_doc_id"), F.col("of_text").alias("_of_text")), f"{what}-need")
+    rows = _rows(docs).where("text is not null")
+    found = rows.join(need, rows["doc_id"].eqNullSafe(need["_doc_id"]) & (rows["of_text"] == need["_of_text"])).select("node", "text").dropDuplicates(["node"])
+    texts = scratch.stored(found, f"{what}-texts")
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t_{x}"))
 
     def run(batches):
-        at, left, right, n = None, [], [], 0
+        known: dict[int, np.ndarray] = {}  # the sets of the latest nodes on the left
         for batch in batches:
-            for key, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != at or n > held:
-                    if left:
-                        yield from _pair_rows(np.concatenate(left), np.concatenate(right), np.full(n, at))
-                    at, left, right, n = key, [], [], 0
-                left.append(np.frombuffer(a, np.int64))
-                right.append(np.frombuffer(b, np.int64))
-                n += len(left[-1])
-        if left:
-            yield from _pair_rows(np.concatenate(left), np.concatenate(right), np.full(n, at))
-
-    return pairs.select("key", "a", "b").repartition("key").sortWithinPartitions("key").mapInArrow(released(run), _PAIRS)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """a, b: for each group of candidate pairs a spanning forest of its links.
-
-    Groups of more than ``most`` pairs are split by both nodes' hashes, so what a task holds is bounded.
+            keep = []
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                for a, x, y in zip(*(some.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                    if a not in known:
+                        if len(known) >= 8:
+                            known.pop(next(iter(known)))
+                        known[a] = shingle_set(x)
+                    keep.append(similar(known[a], shingle_set(y)))
+            if any(keep):
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    links = scratch.stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(released(run), "a long, b long"), what)
+    scratch.drop(need, texts)
+    return links
+
+
+def across(blocks: DataFrame, nodes: DataFrame, roots: DataFrame, cell: int) -> DataFrame:
+    """Pairs of nodes of one signature that lie in different components so far, without those that
+    the sketches rule out.  In a block, its smallest node has met the others already.
+
+    Blocks of one smallest node mostly hold the same nodes, so they go together, each node once, in
+    cells of blocks that hold about ``cell`` members in all.
     """
-    pairs = stored(distinct_pairs(pairs), "distinct-pairs")
-    sizes = pairs.groupBy("key").agg(F.sum("n").alias("total")).select("key", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("total") / most))).cast("int").alias("parts"))
+    one = blocks.where("sig is null and length(members) > 16").select("hub", F.col("members").alias("x"), F.lit(None).cast("binary").alias("y"))
+    many = blocks.where("sig is not null")
+    within = many.select("hub", F.col("members").alias("x"), F.lit(None).cast("binary").alias("y"))
+    first, second = many.alias("f"), many.alias("s")
+    between = first.join(second, (F.col("f.sig") == F.col("s.sig")) & (F.col("f.no") < F.col("s.no"))).select(F.col("s.hub").alias("hub"), F.col("f.members").alias("x"), F.col("s.members").alias("y"))
+    todo = one.unionByName(within).unionByName(between)
+    weight = todo.groupBy("hub").agg((F.sum(F.length("x") + F.coalesce(F.length("y"), F.lit(0))) / 8).alias("members"))
+    parts = weight.select("hub", F.ceil(F.col("members") / cell).cast("int").alias("parts"))
+    dealt = todo.join(parts, "hub").select("hub", F.pmod(F.xxhash64("x", "y"), F.col("parts")).cast("int").alias("part"), "x", "y")
 
-    def split(batches):
-        for batch in batches:
-            rows = []
-            for key, parts, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if parts == 1:
-                    rows.append((False, key, 0, a, b))
-                    continue
-                x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
-                deal = lambda v, parts=parts: (mix(v.view(U)) % U(parts)).astype(np.int64)
-                cell = deal(x) * parts + deal(y)
-                for c in np.unique(cell).tolist():
-                    own = cell == c
-                    rows.append((False, key ^ (c * 0x9E3779B97F4A7C1 & ((1 << 62) - 1)), 0, x[own].tobytes(), y[own].tobytes()))
-            if rows:
-                yield _batch(rows)
-
-    dealt = stored(pairs.join(sizes, "key").select("key", "parts", "a", "b").mapInArrow(released(split), _PAIRS), "pairs")
-
-    def wanted(batches):
+    def unpack(batches):
         for batch in batches:
-            for key, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                node = np.unique(np.frombuffer(a + b, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), key)), pa.array(node)], names=["key", "node"])
+            for hub, part, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                node = np.unique(np.frombuffer(x + (y or b""), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), hub)), pa.array(np.full(len(node), part, dtype=np.int32)), pa.array(node)], names=["hub", "part", "node"])
 
-    first = ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    need = dealt.select("key", "a", "b").mapInArrow(released(wanted), "key long, node long").distinct().join(first, "node")
-    texts = need.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id").select("key", F.lit(0).alias("kind"), "node", "text", F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"))
-    rows = texts.unionByName(dealt.select("key", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("string").alias("text"), "a", "b"))
+    member = dealt.mapInArrow(released(unpack), "hub long, part int, node long").distinct()
+    member = member.join(nodes.select("node", "n", "sketch"), "node").join(roots, "node", "left")
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = member.select("hub", "part", F.lit(0).alias("kind"), "node", F.coalesce("root", "node").alias("root"), "n", F.col("sketch").alias("x"), null("binary").alias("y"))
+    rows = rows.unionByName(dealt.select("hub", "part", F.lit(1).alias("kind"), null("long").alias("node"), null("long").alias("root"), null("long").alias("n"), "x", "y"))
 
     def compare(batches):
-        at, sets, root, left, right = None, {}, {}, [], []
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        def links():
-            if left:
-                ids, at = np.unique(np.concatenate(left + right), return_inverse=True)
-                code = np.unique(at[: len(at) // 2].astype(np.int64) * len(ids) + at[len(at) // 2 :])  # each pair once
-                held = [int(n) for n in ids if int(n) in sets]
-                place = {n: k for k, n in enumerate(held)}
-                where = np.array([place.get(int(n), -1) for n in ids])
-                i, j = where[code // len(ids)], where[code % len(ids)]
-                i, j = i[(ok := (i >= 0) & (j >= 0))], j[ok]
-                i, j = possible([sets[n] for n in held], i, j)
-                for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    x, y = held[x], held[y]
-                    if (p := find(x)) != (q := find(y)) and similar(sets[x], sets[y]):
-                        root[max(p, q)] = min(p, q)
-            out = [(n, find(n)) for n in root if find(n) != n]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+        at, node, todo = None, [], []
+
+        def close():
+            if not todo:
+                return
+            node.sort()
+            ids, root, size = (np.array(c, dtype=np.int64) for c in list(zip(*node, strict=True))[:3])
+            counts, pairs, seen = Sketches(size, [r[3] for r in node]), [], 0
+            hub = ids == at[0]
+
+            def found():
+                i, j = np.divmod(np.unique(np.concatenate(pairs)), len(ids))
+                i, j = counts.possible(i, j)
+                return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+
+            for x, y in todo:
+                i = np.searchsorted(ids, np.frombuffer(x, np.int64))
+                if y is None:
+                    i = j = i[~hub[i]]
+                else:
+                    j = np.searchsorted(ids, np.frombuffer(y, np.int64))
+                for k in range(0, len(i), 512):
+                    own = i[k : k + 512]
+                    u, v = np.nonzero(root[own][:, None] != root[j][None])
+                    u, v = own[u], j[v]
+                    near = 100 * np.minimum(size[u], size[v]) >= 80 * np.maximum(size[u], size[v])
+                    pairs.append(np.unique(np.minimum(u, v)[near] * len(ids) + np.maximum(u, v)[near]))
+                    seen += len(pairs[-1])
+                    if seen > 1 << 21:
+                        pairs[:] = [np.unique(np.concatenate(pairs))]
+                        seen = len(pairs[0])
+                        if seen > 1 << 20:
+                            yield found()
+                            pairs, seen = [], 0
+            if pairs:
+                yield found()
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                key, kind, node, text, a, b = (c[i].as_py() for c in batch.columns)
-                if key != at:
-                    yield from links()
-                    at, sets, root, left, right = key, {}, {}, [], []
+            for hub, part, kind, n, root, size, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (hub, part) != at:
+                    yield from close()
+                    at, node, todo = (hub, part), [], []
                 if kind == 0:
-                    s = shingle_set(text)
-                    if len(s) and node_of(s) == node:  # another row of this doc_id may hold another text
-                        sets[node], root[node] = s, node
+                    node.append((n, root, size, x))
                 else:
-                    left.append(np.frombuffer(a, np.int64))
-                    right.append(np.frombuffer(b, np.int64))
-        yield from links()
+                    todo.append((x, y))
+        yield from close()
 
-    return rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(released(compare), "a long, b long")
+    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "kind").mapInArrow(released(compare), "a long, b long").distinct()
 
 
-def jaccard_join(docs: DataFrame, hot: int = 128, bucket_size: int = 250_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, most: int = 2048, bucket_size: int = 1 << 20, cell: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     Null, empty and wordless texts have no shingles and are components of their own.
     Rows with equal sets are linked; a null doc_id takes part and is the smallest only
     where there is no other.  Rows that repeat a doc_id are all kept.
     """
-    small_batches(docs.sparkSession)
-    ids = stored(nodes(docs), "sets")
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark)
+    ids = scratch.stored(sets(docs), "sets")
     total = ids.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(1, int(0.6 * total / bucket_size))
-    found = stored(candidate_rows(signature_rows(docs, buckets), hot), "candidates")
-    pairs, members = found.where("not hot").select("key", "n", "a", "b"), found.where("hot")
-    links = stored(verified(pairs, docs, ids), "links")
-    roots = components(links)
-    if members.limit(1).count():
-        more = stored(cross_pairs(members, roots), "cross").select("key", "n", "a", "b")
-        links = links.unionByName(stored(verified(more, docs, ids), "links"))
-        roots = components(links)
-    named = ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(stored(roots, "roots"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of_text")).alias("row")
+    nodes = ids.where("node is not null").groupBy("node").agg(own, F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
+    nodes = scratch.stored(nodes.select("node", "row.doc_id", "row.of_text", "n", "sketch"), "nodes")
+    found = scratch.stored(block_rows(signature_rows(docs, buckets), most, 3 * bucket_size), "found")
+    blocks = scratch.stored(found.where("sig is null").distinct().unionByName(found.where("sig is not null")), "blocks")
+    scratch.drop(found)
+    maybe = scratch.stored(sketched(star(blocks), nodes), "maybe")
+    links = verified(maybe, docs, nodes, scratch, "links")
+    scratch.drop(maybe)
+    roots = scratch.stored(components(links), "roots")
+    more = scratch.stored(across(blocks, nodes, roots, cell), "more")
+    scratch.drop(blocks)
+    if not more.isEmpty():
+        further = verified(more, docs, nodes, scratch, "further")
+        scratch.drop(roots)
+        roots = scratch.stored(components(links.unionByName(further)), "roots")
+        scratch.drop(further)
+    named = nodes.select("node", F.col("doc_id").alias("least")).join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = named.join(of_root, "root").select("node", "component_id")
+    of_node = scratch.stored(named.join(of_root, "root").select("node", "component_id"), "of-node")
+    scratch.drop(links, more, nodes, roots)
     return ids.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -39,7 +39,7 @@ def ids_of(rows):
 
 
 def test_join_equals_brute_force(spark, docs):
-    got = ids_of(ngramjoin.jaccard_join(docs, hot=4).collect())
+    got = ids_of(ngramjoin.jaccard_join(docs, most=4, bucket_size=300, cell=16).collect())
     sets = {}
     for i, t in enumerate(texts()):
         w = [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) if x]
