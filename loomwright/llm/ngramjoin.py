@@ -120,20 +120,24 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * n >= 80 * (len(a) + len(b) - n)
 
 
+_QUARTERS = np.array([0, 2, 4, 6], dtype=np.uint8)
+
+
 def sketch(s: np.ndarray) -> bytes:
-    """How many shingles lie in each of 64, 256, 1024, ... equal ranges of hashes (255: or more),
-    four or fewer a range on average."""
+    """How many shingles (3: or more) lie in each of 64, 256, 1024, ... equal ranges of hashes, as many
+    ranges as shingles at least; two bits a range."""
     bits = 6
-    while len(s) > 4 << bits:
+    while len(s) > 1 << bits:
         bits += 2
-    return np.minimum(np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+    counts = np.minimum(np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 3).astype(np.uint8)
+    return np.bitwise_or.reduce(counts.reshape(-1, 4) << _QUARTERS, axis=1).tobytes()
 
 
 def _coarser(counts: np.ndarray, ranges: int) -> np.ndarray:
-    """The sketches over fewer ranges; exact, as saturated counts stay saturated."""
+    """Counts over fewer ranges; exact, as saturated counts stay saturated."""
     if counts.shape[1] == ranges:
         return counts
-    return np.minimum(counts.reshape(len(counts), ranges, -1).sum(2, dtype=np.int64), 255).astype(np.uint8)
+    return np.minimum(counts.reshape(len(counts), ranges, -1).sum(2, dtype=np.int64), 3).astype(np.uint8)
 
 
 class Sketches:
@@ -141,13 +145,14 @@ class Sketches:
 
     def __init__(self, sizes: np.ndarray, sketches: list[bytes]):
         self.sizes = sizes
-        self.width = np.array([len(x) for x in sketches], dtype=np.int64)
+        self.width = 4 * np.array([len(x) for x in sketches], dtype=np.int64)
         self.place = np.empty(len(sketches), dtype=np.int64)
         self.counts = {}
         for w in np.unique(self.width).tolist():
             own = np.flatnonzero(self.width == w)
             self.place[own] = np.arange(len(own))
-            self.counts[w] = np.frombuffer(b"".join([sketches[k] for k in own.tolist()]), np.uint8).reshape(-1, w)
+            packed = np.frombuffer(b"".join([sketches[k] for k in own.tolist()]), np.uint8)
+            self.counts[w] = ((packed[:, None] >> _QUARTERS) & 3).reshape(-1, w)
 
     def possible(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x, y = self.sizes[i], self.sizes[j]
@@ -337,11 +342,23 @@ def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(released(run), "a long, b long")
 
 
+SLOTS = 1 << 21
+
+
+def among(rows: DataFrame, wanted: DataFrame, kind: str = "left_semi") -> DataFrame:
+    """The rows whose of_text may be one of the ``wanted`` (or, with left_anti, is none of them), without a shuffle.
+
+    Only a hash to 2^21 slots is broadcast, so at most that many numbers, whatever the corpus holds.
+    """
+    slots = wanted.select(F.pmod(wanted.columns[0], F.lit(SLOTS)).alias("_slot")).distinct()
+    return rows.join(F.broadcast(slots), F.pmod("of_text", F.lit(SLOTS)) == F.col("_slot"), kind)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, scratch: Scratch, what: str) -> DataFrame:
     """The pairs whose texts' sets are similar.  A text is read for each node of a pair, and goes with each pair."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     need = scratch.stored(ends.join(nodes, "node").select("node", F.col("doc_id").alias("_doc_id"), F.col("of_text").alias("_of_text")), f"{what}-need")
-    rows = _rows(docs).where("text is not null")
+    rows = among(_rows(docs).where("text is not null"), need.select("_of_text"))
     found = rows.join(need, rows["doc_id"].eqNullSafe(need["_doc_id"]) & (rows["of_text"] == need["_of_text"])).select("node", "text").dropDuplicates(["node"])
     texts = scratch.stored(found, f"{what}-texts")
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t_{x}"))
@@ -448,7 +465,8 @@ def across(blocks: DataFrame, nodes: DataFrame, roots: DataFrame, cell: int) ->
 
 
 def jaccard_join(docs: DataFrame, most: int = 2048, bucket_size: int = 1 << 20, cell: int = 4096) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+    """doc_id, n_shingles, component_id of every row, and of_text (a hash of the text) and root, which names
+    its group (null without shingles).
 
     Null, empty and wordless texts have no shingles and are components of their own.
     Rows with equal sets are linked; a null doc_id takes part and is the smallest only
@@ -479,10 +497,32 @@ def jaccard_join(docs: DataFrame, most: int = 2048, bucket_size: int = 1 << 20,
         scratch.drop(further)
     named = nodes.select("node", F.col("doc_id").alias("least")).join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = scratch.stored(named.join(of_root, "root").select("node", "component_id"), "of-node")
+    of_node = scratch.stored(named.join(of_root, "root").select("node", "component_id", "root"), "of-node")
     scratch.drop(links, more, nodes, roots)
-    return ids.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return ids.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "of_text", "root")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group: the smallest doc_id (null last), then the smallest text hash.
+
+    Rows without shingles are in no group and stay.  Only the texts of groups of several rows
+    are moved: the others are told apart by a hash to a fixed number of slots, which is broadcast.
+    """
+    scratch = Scratch(docs.sparkSession)
+    joined = scratch.stored(jaccard_join(docs).where("root is not null").select("doc_id", "of_text", "root"), "joined")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of_text")
+    groups = joined.groupBy("root").agg(F.count("*").alias("rows"), F.min(row).alias("best")).where("rows > 1")
+    member = joined.join(groups, "root").select("doc_id", "of_text", (row == F.col("best")).alias("_stays")).distinct()
+    member = scratch.stored(member.select(F.col("doc_id").alias("_id"), F.col("of_text").alias("_of"), "_stays"), "members")
+    scratch.drop(joined)
+    known = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("of_text"))
+    alone = among(known, member.select("_of"), "left_anti")
+    maybe = among(known, member.select("_of"))
+    told = maybe.join(member, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("of_text") == F.col("_of")), "left")
+    others, first = told.where("_stays is null"), told.where("_stays").dropDuplicates(["_doc", "of_text"])
+    back = [F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)]
+    return alone.select(*back).unionByName(others.select(*back)).unionByName(first.select(*back))
 
 
 def op3_ngram_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return jaccard_join(docs)
+    return jaccard_join(docs).drop("of_text", "root")

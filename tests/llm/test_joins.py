@@ -66,6 +66,22 @@ def test_join_equals_brute_force_on_families(spark, most, bucket, cell):
     assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == plain(rows)
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, of_text string").repartition(5)
+    got = ngramjoin.one_of_each(docs)
+    assert got.columns == docs.columns
+    got = got.collect()
+    groups = {}
+    joined = ngramjoin.jaccard_join(docs).collect()
+    for x in joined:
+        if x["root"] is not None:
+            groups.setdefault(x["root"], []).append(x["doc_id"])
+    best = [min(ids, key=lambda i: (i is None, i or 0)) for ids in groups.values()]
+    without = [i for i, t in rows if not (t or "").split()]
+    assert Counter(r["doc_id"] for r in got) == Counter(best + without)
+
+
 def test_sketches_lose_no_similar_pair():
     r = np.random.default_rng(5)
     for n in (1, 9, 100, 257, 1030, 5000):
@@ -84,8 +100,10 @@ def test_sketches_lose_no_similar_pair():
 
 
 def test_saturated_sketches_coarsen_exactly():
-    counts = np.random.default_rng(2).integers(0, 400, (5, 256))
-    fine = np.minimum(counts, 255).astype(np.uint8)
-    want = np.minimum(counts.reshape(5, 64, 4).sum(2), 255)
-    assert (ngramjoin._coarser(fine, 64) == want).all()
+    counts = np.random.default_rng(2).integers(0, 7, (5, 256))
+    fine = np.minimum(counts, 3).astype(np.uint8)
+    assert (ngramjoin._coarser(fine, 64) == np.minimum(counts.reshape(5, 64, 4).sum(2), 3)).all()
+    s = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 200, dtype=np.uint64) << np.uint64(1))
+    held = ngramjoin.Sketches(np.array([200]), [ngramjoin.sketch(s)]).counts[256][0]
+    assert (held == np.minimum(np.bincount((s >> np.uint64(56)).astype(int), minlength=256), 3)).all()
     assert len(shingle_set("a b c d e f")) == 2
