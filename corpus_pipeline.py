@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import shared_dir, table
 from loomwright.llm.decontam import decontaminate
 from loomwright.llm.langid import identify
-from loomwright.llm.ngramjoin import jaccard_join
+from loomwright.llm.ngramjoin import one_of_each
 from loomwright.llm.packing import pack
 from loomwright.llm.pii import redact
 
@@ -27,8 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group stays."""
-    kept = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return one_of_each(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
