@@ -222,7 +222,7 @@ def signature_rows(docs: DataFrame, buckets: int) -> DataFrame:
                     if len(s) and (n := node_of(s)) not in found:
                         found[n] = signatures(s)
                         held += len(found[n])
-                        if held > 1 << 20:
+                        if held > 1 << 19:
                             yield pack(found)
                             found, held = {}, 0
         if found:
