@@ -383,12 +383,13 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, scratch: Scrat
     return links
 
 
-def across(blocks: DataFrame, nodes: DataFrame, roots: DataFrame, cell: int) -> DataFrame:
+def across(blocks: DataFrame, pairs: DataFrame, nodes: DataFrame, roots: DataFrame, cell: int) -> DataFrame:
     """Pairs of nodes of one signature that lie in different components so far, without those that
     the sketches rule out.  In a block, its smallest node has met the others already.
 
-    Blocks of one smallest node mostly hold the same nodes, so they go together, each node once, in
-    cells of blocks that hold about ``cell`` members in all.
+    Blocks of one smallest node mostly hold the same nodes, so they go together, each node once: in one
+    cell, or where they hold more than ``cell`` nodes or 16 times as many members, in several.
+    ``pairs`` are those of the smallest nodes, whose number is that of the nodes.
     """
     one = blocks.where("sig is null and length(members) > 16").select("hub", F.col("members").alias("x"), F.lit(None).cast("binary").alias("y"))
     many = blocks.where("sig is not null")
@@ -397,7 +398,9 @@ def across(blocks: DataFrame, nodes: DataFrame, roots: DataFrame, cell: int) ->
     between = first.join(second, (F.col("f.sig") == F.col("s.sig")) & (F.col("f.no") < F.col("s.no"))).select(F.col("s.hub").alias("hub"), F.col("f.members").alias("x"), F.col("s.members").alias("y"))
     todo = one.unionByName(within).unionByName(between)
     weight = todo.groupBy("hub").agg((F.sum(F.length("x") + F.coalesce(F.length("y"), F.lit(0))) / 8).alias("members"))
-    parts = weight.select("hub", F.ceil(F.col("members") / cell).cast("int").alias("parts"))
+    weight = weight.join(pairs.groupBy(F.col("a").alias("hub")).agg(F.count("*").alias("others")), "hub", "left")
+    parts = F.ceil(F.greatest(F.coalesce("others", F.lit(0)) / cell, F.col("members") / (16 * cell))).cast("int")
+    parts = weight.select("hub", F.greatest(parts, F.lit(1)).alias("parts"))
     dealt = todo.join(parts, "hub").select("hub", F.pmod(F.xxhash64("x", "y"), F.col("parts")).cast("int").alias("part"), "x", "y")
 
     def unpack(batches):
@@ -420,35 +423,27 @@ def across(blocks: DataFrame, nodes: DataFrame, roots: DataFrame, cell: int) ->
                 return
             node.sort()
             ids, root, size = (np.array(c, dtype=np.int64) for c in list(zip(*node, strict=True))[:3])
-            counts, pairs, seen = Sketches(size, [r[3] for r in node]), [], 0
-            hub = ids == at[0]
-
-            def found():
-                i, j = np.divmod(np.unique(np.concatenate(pairs)), len(ids))
-                i, j = counts.possible(i, j)
-                return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
-
+            counts, hub, n = Sketches(size, [r[3] for r in node]), ids == at[0], len(ids)
+            place = []  # of each block's nodes, of the two blocks to compare
             for x, y in todo:
                 i = np.searchsorted(ids, np.frombuffer(x, np.int64))
                 if y is None:
-                    i = j = i[~hub[i]]
+                    place.append((i[~hub[i]],) * 2)
                 else:
                     j = np.searchsorted(ids, np.frombuffer(y, np.int64))
-                for k in range(0, len(i), 512):
-                    own = i[k : k + 512]
-                    u, v = np.nonzero(root[own][:, None] != root[j][None])
-                    u, v = own[u], j[v]
-                    near = 100 * np.minimum(size[u], size[v]) >= 80 * np.maximum(size[u], size[v])
-                    pairs.append(np.unique(np.minimum(u, v)[near] * len(ids) + np.maximum(u, v)[near]))
-                    seen += len(pairs[-1])
-                    if seen > 1 << 21:
-                        pairs[:] = [np.unique(np.concatenate(pairs))]
-                        seen = len(pairs[0])
-                        if seen > 1 << 20:
-                            yield found()
-                            pairs, seen = [], 0
-            if pairs:
-                yield found()
+                    place += [(i, j), (j, i)]
+            rows = max(1, (1 << 22) // n)
+            for low in range(0, n, rows):  # some rows of the table of all pairs at a time
+                met = np.zeros((min(rows, n - low), n), dtype=bool)
+                for i, j in place:
+                    own = i[np.searchsorted(i, low) : np.searchsorted(i, low + rows)] - low
+                    met[own[:, None], j[None]] = True
+                own = np.arange(low, low + len(met))
+                met &= (root[own][:, None] != root[None]) & (own[:, None] < np.arange(n)[None])
+                i, j = np.nonzero(met)
+                i, j = counts.possible(i + low, j)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
 
         for batch in batches:
             for hub, part, kind, n, root, size, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -484,12 +479,13 @@ def jaccard_join(docs: DataFrame, most: int = 2048, bucket_size: int = 1 << 20,
     found = scratch.stored(block_rows(signature_rows(docs, buckets), most, 3 * bucket_size), "found")
     blocks = scratch.stored(found.where("sig is null").distinct().unionByName(found.where("sig is not null")), "blocks")
     scratch.drop(found)
-    maybe = scratch.stored(sketched(star(blocks), nodes), "maybe")
+    pairs = scratch.stored(star(blocks), "star")
+    maybe = scratch.stored(sketched(pairs, nodes), "maybe")
     links = verified(maybe, docs, nodes, scratch, "links")
     scratch.drop(maybe)
     roots = scratch.stored(components(links), "roots")
-    more = scratch.stored(across(blocks, nodes, roots, cell), "more")
-    scratch.drop(blocks)
+    more = scratch.stored(across(blocks, pairs, nodes, roots, cell), "more")
+    scratch.drop(blocks, pairs)
     if not more.isEmpty():
         further = verified(more, docs, nodes, scratch, "further")
         scratch.drop(roots)
