@@ -64,9 +64,11 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def stored(self, df: DataFrame, what: str) -> DataFrame:
+    def stored(self, df: DataFrame, what: str, light: bool = False) -> DataFrame:
+        """``df`` written and read back; a ``light`` table, whose last step is cheap, in as many files as there
+        are cores at most, not one a shuffle partition."""
         path = shared_dir(self.spark, what)
-        out = _stored(df, path)
+        out = _stored(df.coalesce(self.spark.sparkContext.defaultParallelism) if light else df, path)
         self.paths[id(out)] = (path, out)
         return out
 

@@ -357,10 +357,10 @@ def among(rows: DataFrame, wanted: DataFrame, kind: str = "left_semi") -> DataFr
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, scratch: Scratch, what: str) -> DataFrame:
     """The pairs whose texts' sets are similar.  A text is read for each node of a pair, and goes with each pair."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need = scratch.stored(ends.join(nodes, "node").select("node", F.col("doc_id").alias("_doc_id"), F.col("of_text").alias("_of_text")), f"{what}-need")
+    need = scratch.stored(ends.join(nodes, "node").select("node", F.col("doc_id").alias("_doc_id"), F.col("of_text").alias("_of_text")), f"{what}-need", light=True)
     rows = among(_rows(docs).where("text is not null"), need.select("_of_text"))
     found = rows.join(need, rows["doc_id"].eqNullSafe(need["_doc_id"]) & (rows["of_text"] == need["_of_text"])).select("node", "text").dropDuplicates(["node"])
-    texts = scratch.stored(found, f"{what}-texts")
+    texts = scratch.stored(found, f"{what}-texts", light=True)
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t_{x}"))
 
     def run(batches):
@@ -475,25 +475,25 @@ def jaccard_join(docs: DataFrame, most: int = 2048, bucket_size: int = 1 << 20,
     buckets = max(1, int(0.6 * total / bucket_size))
     own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of_text")).alias("row")
     nodes = ids.where("node is not null").groupBy("node").agg(own, F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
-    nodes = scratch.stored(nodes.select("node", "row.doc_id", "row.of_text", "n", "sketch"), "nodes")
+    nodes = scratch.stored(nodes.select("node", "row.doc_id", "row.of_text", "n", "sketch"), "nodes", light=True)
     found = scratch.stored(block_rows(signature_rows(docs, buckets), most, 3 * bucket_size), "found")
-    blocks = scratch.stored(found.where("sig is null").distinct().unionByName(found.where("sig is not null")), "blocks")
+    blocks = scratch.stored(found.where("sig is null").distinct().unionByName(found.where("sig is not null")), "blocks", light=True)
     scratch.drop(found)
-    pairs = scratch.stored(star(blocks), "star")
-    maybe = scratch.stored(sketched(pairs, nodes), "maybe")
+    pairs = scratch.stored(star(blocks), "star", light=True)
+    maybe = scratch.stored(sketched(pairs, nodes), "maybe", light=True)
     links = verified(maybe, docs, nodes, scratch, "links")
     scratch.drop(maybe)
-    roots = scratch.stored(components(links), "roots")
+    roots = scratch.stored(components(links), "roots", light=True)
     more = scratch.stored(across(blocks, pairs, nodes, roots, cell), "more")
     scratch.drop(blocks, pairs)
     if not more.isEmpty():
         further = verified(more, docs, nodes, scratch, "further")
         scratch.drop(roots)
-        roots = scratch.stored(components(links.unionByName(further)), "roots")
+        roots = scratch.stored(components(links.unionByName(further)), "roots", light=True)
         scratch.drop(further)
     named = nodes.select("node", F.col("doc_id").alias("least")).join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = scratch.stored(named.join(of_root, "root").select("node", "component_id", "root"), "of-node")
+    of_node = scratch.stored(named.join(of_root, "root").select("node", "component_id", "root"), "of-node", light=True)
     scratch.drop(links, more, nodes, roots)
     return ids.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "of_text", "root")
 
@@ -505,11 +505,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     are moved: the others are told apart by a hash to a fixed number of slots, which is broadcast.
     """
     scratch = Scratch(docs.sparkSession)
-    joined = scratch.stored(jaccard_join(docs).where("root is not null").select("doc_id", "of_text", "root"), "joined")
+    joined = scratch.stored(jaccard_join(docs).where("root is not null").select("doc_id", "of_text", "root"), "joined", light=True)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of_text")
     groups = joined.groupBy("root").agg(F.count("*").alias("rows"), F.min(row).alias("best")).where("rows > 1")
     member = joined.join(groups, "root").select("doc_id", "of_text", (row == F.col("best")).alias("_stays")).distinct()
-    member = scratch.stored(member.select(F.col("doc_id").alias("_id"), F.col("of_text").alias("_of"), "_stays"), "members")
+    member = scratch.stored(member.select(F.col("doc_id").alias("_id"), F.col("of_text").alias("_of"), "_stays"), "members", light=True)
     scratch.drop(joined)
     known = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("of_text"))
     alone = among(known, member.select("_of"), "left_anti")
