@@ -10,7 +10,9 @@ local_start, n_tokens) can be read alone.
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -40,73 +42,83 @@ class Encoder:
 
     The tokenizer drops white space and no pre-token spans it, so a text's ids are
     the ids of its pieces joined; a corpus repeats most pieces.  ``most`` bounds the
-    memory: the store starts afresh when it is full.
+    memory: when more pieces are known, those that were used often stay, half as many.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        # the same vocabulary for words of lower-case letters alone, which the normalizer and the pre-tokenizer's patterns leave as they are
+        plain = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "added_tokens": []}
+        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.words = Tokenizer.from_str(json.dumps(plain))
         self.mark = self.tokenizer.token_to_id(_MARK)
         size = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
         self.ends_word = np.zeros(size, dtype=bool)  # ids of tokens that end a pre-token
         for token, i in self.tokenizer.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
-        self._clear()
-
-    def forget(self) -> None:
-        """Drops what was learned of pieces."""
-        self._clear()
-
-    def _clear(self) -> None:
         self.known = _Slots()
         self.known.new = []
         self.ids, self.size = np.empty(1 << 16, dtype=self.kind), 0
-        self.starts, self.ends = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int32)
+        self.starts, self.ends, self.used = (np.zeros(1 << 16, dtype=np.int32) for _ in range(3))
+
+    def _trim(self) -> None:
+        """Keeps the pieces that were used most, at most half of ``most`` and those used twice at least."""
+        n, half = len(self.known), self.most // 2
+        used = self.used[:n]
+        least = max(2, int(np.partition(used, n - half)[n - half]) + 1)
+        keep = np.flatnonzero(used >= least)
+        ids, bounds = self._gather(keep)
+        pieces = list(self.known)
+        self.known = _Slots(zip([pieces[k] for k in keep.tolist()], range(len(keep))))
+        self.known.new = []
+        self.ids, self.size = np.concatenate([ids, np.empty(1 << 16, dtype=self.kind)]), len(ids)
+        self.used[: len(keep)] = used[keep] // 2
+        self.used[len(keep) :] = 0
+        self.starts[: len(keep)], self.ends[: len(keep)] = bounds[:-1], bounds[1:]
 
     def _add(self, slots: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> None:
         end = self.size + len(ids)
         if end > len(self.ids):
             self.ids = np.resize(self.ids, 2 * end)
         if len(self.known) > len(self.starts):
-            self.starts, self.ends = np.resize(self.starts, 2 * len(self.known)), np.resize(self.ends, 2 * len(self.known))
+            more = np.zeros(2 * len(self.known) - len(self.starts), dtype=np.int32)
+            self.starts, self.ends, self.used = (np.concatenate([x, more]) for x in (self.starts, self.ends, self.used))
         self.ids[self.size : end] = ids
         self.starts[slots], self.ends[slots] = self.size + bounds[:-1], self.size + bounds[1:]
         self.size = end
 
-    def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int64)
+    def _plain(self, text: str, tokenizer=None) -> np.ndarray:
+        return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int64)
 
     def _learn(self) -> None:
         """Encodes the pieces that wait.  ASCII pieces share the ids of their lower-case
         form, and of a letter's word and the point or comma after it."""
-        known, parts = self.known, []
-        words: list[str] = []  # letters only: one pre-token each
-        others: list[str] = []
-        odd: list[str] = []  # may hold special tokens themselves
-
-        def sort_in(p: str) -> None:
-            (words if p.isalpha() else odd if "<|" in p else others).append(p)
-
+        known, parts, bases = self.known, [], []
         new, known.new = known.new, []
         for p in new:
             if p.isascii() and "<" not in p:
                 low = p.lower()
-                if len(low) > 1 and low[-1] in ".," and low[-2].isalpha():
+                if low[-1:] in ".," and low[-2:-1].isalpha():
                     parts.append((known[p], known[low[:-1]], known[low[-1]]))
                 elif low != p:
                     parts.append((known[p], known[low], known[""]))
                 else:
-                    sort_in(p)
+                    bases.append(p)
             else:
-                sort_in(p)
-        new, known.new = known.new, []  # the forms that those led to
-        for p in new:
-            sort_in(p)
-        slot = lambda pieces: np.array([known[p] for p in pieces], dtype=np.int64)
+                bases.append(p)
+        bases, known.new = bases + known.new, []  # with the forms that those led to
+        words, others = [], []
+        for p in bases:  # words: one pre-token each
+            (words if p.isalpha() and p == p.lower() and (p.isascii() or unicodedata.is_normalized("NFC", p)) else others).append(p)
+        odd = [p for p in others if "<|" in p]  # may hold special tokens themselves
+        if odd:
+            others = [p for p in others if "<|" not in p]
+        slot = lambda pieces: np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
         if words:
-            ids = self._plain(" ".join(words))
+            ids = self._plain(" ".join(words), self.words)
             bounds = np.append(0, np.flatnonzero(self.ends_word[ids]) + 1)
             if len(bounds) == len(words) + 1:
                 self._add(slot(words), ids, bounds)
@@ -135,35 +147,47 @@ class Encoder:
         """The ids of a whole text."""
         return self.encode_all([text])[0]
 
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each whole text.  New pieces of about a million characters are learned together."""
+    def encode_all(self, texts) -> list[np.ndarray]:
+        """The ids of each whole text of a list or an Arrow column."""
         out: list[np.ndarray] = []
+        for ids, ends in self.encode_parts(texts):
+            out += np.split(ids, ends[1:-1])
+        return out
+
+    def encode_parts(self, texts):
+        """(ids, bounds of each text) for parts of about a million characters, whose new pieces are learned together."""
         some, chars = [], 0
-        for text in texts:
-            some.append(text or "")
-            chars += len(some[-1])
-            if chars > 1 << 20:
-                out += self._encode(some)
-                some, chars = [], 0
-        return out + (self._encode(some) if some else [])
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        for at in range(0, len(texts), 64):
+            for text in texts[at : at + 64] if isinstance(texts, list) else texts.slice(at, 64).to_pylist():
+                some.append(text or "")
+                chars += len(some[-1])
+                if chars > 1 << 20:
+                    yield self._encode(some)
+                    some, chars = [], 0
+        if some:
+            yield self._encode(some)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.most:
-            self._clear()
-        found = []
+            self._trim()
+        found, words, look = [], [0], self.known.__getitem__
         for text in texts:
             # str.split also cuts at U+001C to U+001F, which the tokenizer keeps
             pieces = _SPACE.split(text) if any(c in text for c in _KEPT) else text.split()
-            found.append(np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces)))
+            found.append(np.fromiter(map(look, pieces), dtype=np.int64, count=len(pieces)))
+            words.append(len(pieces))
         if self.known.new:
             self._learn()
-        return [self._gather(at)[0] for at in found]
+        at = np.concatenate(found)
+        self.used[: len(self.known)] += np.bincount(at, minlength=len(self.known)).astype(np.int32)
+        ids, bounds = self._gather(at)
+        return ids, bounds[np.cumsum(words)]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = 1 << 20) -> Encoder:
     """One encoder a Python worker and vocabulary file, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+    if path not in _ENCODERS or _ENCODERS[path].most != most:
+        _ENCODERS[path] = Encoder(path, most)
     return _ENCODERS[path]
 
 
@@ -178,6 +202,15 @@ def crc32_ids(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
 
 
+def files_for(docs: DataFrame, size: int = 64 << 20, least: int = 8 << 20) -> int:
+    """How many files a table that is made from ``docs`` should have, from the plan's estimate of its bytes."""
+    spark = docs.sparkSession
+    held = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if held > 1 << 58:  # unknown
+        return partitions(spark)
+    return max(1, -(-held // size), min(spark.sparkContext.defaultParallelism, -(-held // least)))
+
+
 def write_token_table(
     docs: DataFrame,
     path: str,
@@ -192,7 +225,9 @@ def write_token_table(
 
     Null and empty texts give only the end id; a null doc_id sorts first; rows that
     repeat a doc_id are all kept, in order of their text's hash.  Other columns are
-    ignored.  The text is moved once, by doc_id range, so each file is a sorted range.
+    ignored.  The text is moved once, by doc_id range, so each file is a sorted range;
+    without ``files`` there is one for each 64 MB that the plan expects to read, or for
+    each 8 MB as long as cores are free.
     """
     vocabulary = vocabulary or default_vocabulary()
     schema = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
@@ -201,20 +236,20 @@ def write_token_table(
     def encode(batches):
         enc, start = encoder(vocabulary), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                ids = [np.append(x, np.uint16(end_id)) for x in enc.encode_all(some.column(1).to_pylist())]
-                sizes = np.array([len(x) for x in ids], dtype=np.int64)
-                ends = np.cumsum(sizes)
-                values = np.concatenate(ids).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(start + ends - sizes), pa.array(sizes), lists], schema=arrow)
-                start += int(ends[-1])
+            at = 0
+            for ids, bounds in enc.encode_parts(batch.column(1)):
+                some = batch.slice(at, len(bounds) - 1)
+                at += some.num_rows
+                values = np.insert(ids.astype(np.int32), bounds[1:], end_id)
+                bounds = bounds + np.arange(len(bounds))
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(start + bounds[:-1]), pa.array(np.diff(bounds)), lists], schema=arrow)
+                start += int(bounds[-1])
 
     spark = docs.sparkSession
     ranged = (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(files or partitions(spark), "doc_id")
+        .repartitionByRange(files or files_for(docs), "doc_id")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .withColumn("part", F.spark_partition_id())
     )
