@@ -2,17 +2,13 @@
 
 Documents become pieces of at most ``capacity`` tokens.  Only the histogram of
 piece lengths (at most ``capacity`` numbers, whatever the corpus holds) reaches the
-driver.  There the fractional covering program "fewest sequences so that every
-length is covered" is solved to a relative gap of 0.001 between its total and a lower
-bound.  The columns of a greedy packing, which cover every length, come first, held
-against the bound of prices in proportion to length: where they meet the gap, as on
-most tables with many short pieces, they are the solution and no step is needed.  Else
-multiplicative weights go on: each step prices the lengths, a knapsack dynamic program
-finds the best configuration around each length, all near the best price are stepped,
-and the sum is scaled by the least covered length; the better of the two is taken.  If
-the steps run out first, a warning names the gap.  Numbers of sequences are rounded
-down, and the greedy packing holds what is left.  Placing the pieces is then arithmetic
-on (length, rank).
+driver.  There the covering program "fewest sequences so that every length is covered"
+is solved by multiplicative weights: in each round a knapsack dynamic program prices all
+configurations, and every length that is behind its share of the round is brought up by
+one that is nearly the best with it.  Many are, as most rooms can be filled exactly; one
+is drawn, so that no filler is used up alone.  The fractional numbers are rounded to
+whole sequences, the longest lengths first, and what is left is solved again.  Placing
+the pieces is then arithmetic on (length, rank).
 """
 
 from __future__ import annotations
@@ -30,24 +26,22 @@ from .tokens import crc32_ids, default_vocabulary, encoder
 CAPACITY = 2048
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 0, remember: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 0, known: int = 1 << 20) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, part, local_rank of every piece.
 
     Null and empty texts hold only the end id.  Rows that repeat a doc_id are
     documents of their own.  ``local_rank`` counts pieces of one length in one part.
-    Workers keep what they learned of the tokenizer for later tasks if ``remember``; else
-    they forget it with each task, which costs time and leaves the memory to later steps.
     """
     vocabulary = vocabulary or default_vocabulary()
 
     def cut(batches):
-        enc, seen = encoder(vocabulary), np.zeros(capacity + 1, dtype=np.int64)
+        enc, seen = encoder(vocabulary, known), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 out = []
                 parts = some.column(2).to_pylist()
-                for doc_id, ids, part in zip(some.column(0).to_pylist(), enc.encode_all(some.column(1).to_pylist()), parts, strict=True):
+                for doc_id, ids, part in zip(some.column(0).to_pylist(), enc.encode_all(some.column(1)), parts, strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype(np.uint32)
                     for k, a in enumerate(range(0, len(ids), capacity)):
                         own = ids[a : a + capacity]
@@ -55,41 +49,49 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
                         out.append((doc_id, k, a, n, crc32_ids(own), part, int(seen[n])))
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"])
-        if not remember:
-            enc.forget()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part"))
     return rows.mapInArrow(released(cut), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long")
 
 
-def _knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Highest total price within each room 0..capacity, and the length taken last there (0: leave one free).
-
-    Unbounded knapsack over 1..capacity; ``price[l]`` <= 0 leaves a length out.
-    """
+def _knapsack(price: np.ndarray, capacity: int) -> np.ndarray:
+    """Highest total price within each room 0..capacity: unbounded knapsack over 1..capacity; ``price[l]`` <= 0
+    leaves a length out."""
     lengths = np.flatnonzero(price > 0)
-    value, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
+    value = np.zeros(capacity + 1)
     worth, upto = price[lengths], np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
         n = upto[c]
         value[c] = value[c - 1]
         if n:
-            got = value[c - lengths[:n]] + worth[:n]
-            k = int(np.argmax(got))
-            if got[k] > value[c]:
-                value[c], pick[c] = got[k], lengths[k]
-    return value, pick
-
-
-def _configuration(first: int, pick: np.ndarray, capacity: int) -> np.ndarray:
-    """The best configuration that holds ``first``, longest length first."""
-    out, c = [first], capacity - first
-    while c:
-        if pick[c]:
-            out.append(int(pick[c]))
-            c -= int(pick[c])
-        else:
-            c -= 1
+            value[c] = max(value[c], float((value[c - lengths[:n]] + worth[:n]).max()))
+    return value
+
+
+def _configuration(first: int, value: np.ndarray, price: np.ndarray, lengths: np.ndarray, wanted: np.ndarray, capacity: int, random: np.random.Generator, slack: float) -> np.ndarray:
+    """A configuration that holds ``first`` and whose price is within ``slack`` of the best that does.
+
+    The table of the knapsack is walked back; of the lengths that keep the price within the slack one is
+    drawn, in proportion to what is wanted of it and to the fourth power of the length, which spares short
+    pieces for the gaps that only they fill.
+    """
+    out, room = [first], capacity - first
+    while room:
+        some = lengths[: np.searchsorted(lengths, room, side="right")]
+        loss = value[room] - (value[room - some] + price[some])
+        near = loss <= slack + 1e-12
+        weight = np.where(near, some.astype(float) ** 4, 0.0)
+        if (weight * wanted[some]).any():
+            weight *= wanted[some]
+        elif value[room] - value[room - 1] <= slack + 1e-12 or not near.any():
+            slack -= value[room] - value[room - 1]  # leave one place free
+            room -= 1
+            continue
+        upto = np.cumsum(weight)
+        k = min(int(np.searchsorted(upto, random.random() * upto[-1], side="right")), len(some) - 1)
+        out.append(int(some[k]))
+        slack -= max(0.0, float(loss[k]))
+        room -= out[-1]
     return np.array(sorted(out, reverse=True), dtype=np.int64)
 
 
@@ -124,80 +126,92 @@ def _fill(rest: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def cover(need: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 400, rate: float = 0.25) -> tuple[list[tuple[np.ndarray, float]], float, float]:
-    """Configurations with (fractional) numbers of sequences that cover every length, their total, and a lower bound of it.
+def cover(need: np.ndarray, capacity: int, rounds: int = 12, rate: float = 0.02, slack: float = 5e-4, seed: int = 4) -> tuple[dict[int, dict[bytes, float]], float, float]:
+    """A fractional cover: for each length the configurations that were opened for it with their numbers of
+    sequences; their total; and a lower bound of any cover's total.
 
-    The total is at most 1 + ``gap`` times the bound, unless the rounds run out before.
+    Multiplicative weights: a length's price is its room times exp(-rate x how far it is ahead of the round's
+    share of its pieces).  In each round a knapsack over these prices is solved, and each length that is
+    behind, the longest first, is brought up by a configuration within ``slack`` of the best that holds it.
+    Prices at which no configuration is worth more than 1 bound the total from below.
     """
+    random = np.random.default_rng(seed)
     rows = np.flatnonzero(need)
-    best: list[tuple[np.ndarray, float]] = [(own, float(times)) for own, times in _fill(need, capacity)]
-    total = sum(x for _, x in best)
-    weight = np.zeros(capacity + 1)
-    weight[rows] = need[rows] * rows / capacity  # at first a length is priced at its room
-    bound = float(weight.sum())
-    share = np.zeros(capacity + 1)
-    share[rows] = 1.0 / need[rows]
-    found: dict[bytes, float] = {}
+    room = np.arange(capacity + 1) / capacity
     covered = np.zeros(capacity + 1)
-    for _ in range(rounds):
-        if total <= (1 + gap) * bound:
-            break
-        price = weight * share
-        value, pick = _knapsack(price, capacity)
-        # prices at which no configuration is worth more than 1 bound the total from below
-        bound = max(bound, float(weight.sum() / value[capacity]))
-        near = rows[price[rows] + value[capacity - rows] >= (1 - gap) * value[capacity]]
-        gain = np.zeros(capacity + 1)
-        for length in near[np.argsort(covered[near], kind="stable")].tolist():
-            own = _configuration(length, pick, capacity)
+    found: dict[int, dict[bytes, float]] = {}
+    bound = float((need * room).sum())
+    for k in range(1, rounds + 1):
+        ahead = np.zeros(capacity + 1)
+        ahead[rows] = covered[rows] / need[rows] - (k - 1) / rounds
+        price = np.where(need > 0, room * np.exp(-rate * ahead), 0.0)
+        value = _knapsack(price, capacity)
+        bound = max(bound, float((need * price).sum() / value[capacity]))
+        wanted = np.maximum(need * (k / rounds) - covered, 0.0)
+        for length in rows[::-1].tolist():
+            if wanted[length] <= 1e-9:
+                continue
+            own = _configuration(length, value, price, rows, wanted, capacity, random, slack)
             kinds, counts = np.unique(own, return_counts=True)
-            step = float(np.min((1.0 - gain[kinds]) * need[kinds] / counts))  # no length is covered more than once a round
-            if step > 1e-9:
-                key = own.tobytes()
-                found[key] = found.get(key, 0.0) + step
-                gain[kinds] += counts * step * share[kinds]
-        covered += gain
-        weight *= np.exp(-rate * gain)
-        weight /= weight.sum()
-        least = float(covered[rows].min())
-        if least > 0 and sum(found.values()) / least < total:
-            best = [(np.frombuffer(key, dtype=np.int64), x / least) for key, x in found.items()]
-            total = sum(x for _, x in best)
-    if total > (1 + gap) * bound:
-        logging.getLogger(__name__).warning("packing: %d rounds left a gap of %.4f (total %.1f, bound %.1f)", rounds, total / bound - 1, total, bound)
-    return best, total, bound
-
-
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 400, rate: float = 0.25) -> list[tuple[np.ndarray, int]]:
-    """(lengths of a configuration, number of sequences) that hold the histogram exactly."""
+            step = float(wanted[length]) / int(counts[kinds == length][0])
+            column = found.setdefault(length, {})
+            column[own.tobytes()] = column.get(own.tobytes(), 0.0) + step
+            covered[kinds] += counts * step
+            wanted[kinds] = np.maximum(wanted[kinds] - counts * step, 0.0)
+    return found, sum(sum(c.values()) for c in found.values()), bound
+
+
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY, programs: int = 12) -> tuple[list[tuple[np.ndarray, int]], int, float]:
+    """(lengths of a configuration, number of sequences) that hold the histogram exactly; how many sequences
+    the program gave; and the bound below which no packing can be.
+
+    Rounding: the longest lengths first, each takes the configurations that were opened for it, most used
+    first, in whole numbers and as long as pieces are left for them.  What is left is a smaller program of
+    its own, until one gives nothing; the few pieces left then are filled in, the longest first.
+    """
     need = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         need[length] = n
     out: list[tuple[np.ndarray, int]] = []
-    if need[capacity]:
-        out.append((np.array([capacity]), int(need[capacity])))
+    full = int(need[capacity])
+    if full:
+        out.append((np.array([capacity]), full))
         need[capacity] = 0
-    if not need.any():
-        return out
-    rest = need.copy()
-    for own, x in sorted(cover(need, capacity, rounds=rounds, rate=rate)[0], key=lambda c: -c[1]):
-        kinds, counts = np.unique(own, return_counts=True)
-        times = int(min(np.floor(x + 1e-9), np.min(rest[kinds] // counts)))
-        if times > 0:
-            out.append((own, times))
-            rest[kinds] -= counts * times
-    return out + _fill(rest, capacity)
+    least, by_program = 0.0, 0
+    for attempt in range(programs):
+        if not need.any():
+            break
+        found, _, bound = cover(need, capacity, seed=4 + attempt)
+        least, before = least or bound, by_program
+        for length in sorted(found, reverse=True):
+            for key, x in sorted(found[length].items(), key=lambda c: -c[1]):
+                own = np.frombuffer(key, dtype=np.int64)
+                kinds, counts = np.unique(own, return_counts=True)
+                times = int(min(np.ceil(x - 1e-9), np.min(need[kinds] // counts)))
+                if times > 0:
+                    out.append((own, times))
+                    need[kinds] -= counts * times
+                    by_program += times
+        if by_program == before:
+            break
+    out += _fill(need, capacity)
+    total = sum(times for _, times in out)
+    logging.getLogger(__name__).info("packing: %d sequences, %d full pieces, %d by the program; bound %.1f", total, full, by_program, full + least)
+    return out, by_program, full + least
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 0, remember: bool = True) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 0, known: int = 1 << 20) -> DataFrame:
+    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    ``known`` bounds the pieces of text whose ids a worker remembers.
+    """
     spark = docs.sparkSession
-    rows = stored(pieces(docs, capacity, vocabulary, end_id, remember), "pieces")
+    rows = stored(pieces(docs, capacity, vocabulary, end_id, known), "pieces")
     counts = rows.groupBy("part", "length").agg(F.count("*").alias("n"))
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = stored(counts.select("part", "length", "n", earlier.alias("before")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    place = _placement(configurations(histogram, capacity), capacity)
+    place = _placement(configurations(histogram, capacity)[0], capacity)
 
     def put(batches):
         first, count, base, slot_at, slots = place

@@ -104,25 +104,64 @@ def test_packing_places_every_piece_once(spark, docs):
     assert len(by_seq) <= -(-sum(r["length"] for r in rows) // 2048) + 2
 
 
-def test_packing_program_covers_every_length():
-    lengths = np.clip(np.random.default_rng(2).lognormal(5.5, 1.2, 400_000).astype(int), 1, 2047)
-    histogram = {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True), strict=True)}
-    few = {51: 4000, 27: 4000, 26: 4000, 23: 8000, 25: 4000, 24: 4000}  # greedy alone takes 8334
-    for h, capacity, most in ((histogram, 2048, 1.0002 * lengths.sum() / 2048), (few, 100, 8000)):
-        found = packing.configurations(h, capacity)
-        held = np.zeros(capacity + 1, dtype=np.int64)
-        for own, times in found:
-            assert own.sum() <= capacity
-            np.add.at(held, own, times)
-        assert {int(n): int(held[n]) for n in np.flatnonzero(held)} == h
-        assert sum(times for _, times in found) <= most
-        need = np.array([h.get(n, 0) for n in range(capacity + 1)])
-        program, total, bound = packing.cover(need, capacity)
-        covered, whole = np.zeros(capacity + 1), 0
-        for own, x in program:
+def test_packing_places_what_the_tokenizer_gives(spark, docs):
+    from tokenizers import Tokenizer
+
+    tokenizer, want = Tokenizer.from_file(tokens.default_vocabulary()), {}
+    for i, text in enumerate(texts()):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        want |= {(i, k): (a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(ids), 2048))}
+    clash = docs.withColumn("length", F.lit("mine")).withColumn("part", F.lit(1))
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in packing.pack(clash).collect()} == want
+
+
+@pytest.mark.parametrize("kind", ["prose", "few", "halves"])
+def test_packing_program_places_nearly_all(kind):
+    r = np.random.default_rng(2)
+    capacity = 100 if kind == "few" else 2048
+    if kind == "prose":
+        lengths = np.clip(r.lognormal(5.5, 1.2, 400_000).astype(int), 1, 2047)
+        histogram, most = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True)), 1.0005 * lengths.sum() / 2048
+    elif kind == "few":  # the longest first alone takes 8334
+        histogram, most = {51: 4000, 27: 4000, 26: 4000, 23: 8000, 25: 4000, 24: 4000}, 8100
+    else:  # two pieces fit at most
+        lengths = r.integers(900, 1148, 20_000)
+        histogram, most = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True)), 10_900
+    found, by_program, bound = packing.configurations(histogram, capacity)
+    held = np.zeros(capacity + 1, dtype=np.int64)
+    for own, times in found:
+        assert own.sum() <= capacity and times > 0
+        np.add.at(held, own, times)
+    total = sum(times for _, times in found)
+    assert {int(n): int(held[n]) for n in np.flatnonzero(held)} == histogram
+    assert bound <= total <= most and by_program >= 0.95 * total
+
+
+def test_packing_cover_is_one_and_bounded():
+    need = np.zeros(65, dtype=np.int64)
+    need[[60, 40, 33, 30, 20, 4, 3]] = [5, 7, 2, 6, 9, 12, 1]
+    found, total, bound = packing.cover(need, 64)
+    covered = np.zeros(65)
+    for columns in found.values():
+        for key, x in columns.items():
+            own = np.frombuffer(key, dtype=np.int64)
+            assert own.sum() <= 64
             np.add.at(covered, own, x)
-            whole += len(own) * int(x + 1e-9)
-        assert (covered >= need - 1e-6 * need).all() and total <= 1.006 * bound and whole >= 0.99 * need.sum()
+    assert (covered >= need - 1e-6).all() and bound <= total + 1e-9
+    assert packing.configurations({}, 64) == ([], 0, 0.0) and packing.configurations({64: 3}, 64)[1:] == (0, 3.0)
+
+
+def test_encoder_forgets_rare_pieces_only(spark):
+    from tokenizers import Tokenizer
+
+    r = random.Random(8)
+    enc, plain = tokens.Encoder(tokens.default_vocabulary(), most=300), Tokenizer.from_file(tokens.default_vocabulary())
+    odd = ["", None, "a\u00a0b \x1cc\x0bd", "Ünï çode É", "<|endoftext|> x <|startoftext|>", "don't I'll 12,345.67 e.g. U.S.A.", "x" * 5000, "日本語 テキスト", "ﬁne Å ǅ ß İ", "..., . ,a a, A. Z,"]
+    for _ in range(40):
+        some = [" ".join("".join(r.choices("abcdeXYZé", k=r.randint(1, 7))) + r.choice(["", ".", ",", "!"]) for _ in range(200)) for _ in range(3)] + odd
+        got = enc.encode_all(some)
+        assert [x.tolist() for x in got] == [plain.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert len(enc.known) < 4000
 
 
 def test_warc_chunks_and_corruption(spark):
