@@ -205,7 +205,7 @@ def crc32_ids(ids: np.ndarray) -> int:
 def files_for(docs: DataFrame, size: int = 64 << 20, least: int = 8 << 20) -> int:
     """How many files a table that is made from ``docs`` should have, from the plan's estimate of its bytes."""
     spark = docs.sparkSession
-    held = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    held = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if held > 1 << 58:  # unknown
         return partitions(spark)
     return max(1, -(-held // size), min(spark.sparkContext.defaultParallelism, -(-held // least)))
