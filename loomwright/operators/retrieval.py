@@ -2,6 +2,9 @@
 
 Members' vectors stay one row each.  The query side is the small side of every cross
 join (a battery of questions); it is broadcast only when its size is below a bound.
+Rankings sort (group, chunk_id, score) rows without vectors; the few winners then meet
+their vectors.  A mean of vectors projected on an axis is the mean of their projections,
+so positions need one number a chunk.
 """
 
 from __future__ import annotations
@@ -15,8 +18,12 @@ BATTERY_BOUND = 10_000
 
 
 def small(df: DataFrame, bound: int = BATTERY_BOUND) -> DataFrame:
-    """Broadcast if it has at most ``bound`` rows, else leave the choice to Spark."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    """Broadcast as local rows if it has at most ``bound`` rows; else Spark joins it by blocks.
+
+    The rows are read once, here, so no later plan works them out again.
+    """
+    rows = df.limit(bound + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= bound else df
 
 
 def scored(chunks: DataFrame, battery: DataFrame) -> DataFrame:
@@ -35,18 +42,47 @@ def top_k(rows: DataFrame, k: int, by: tuple[str, ...] = ("query_idx", "member")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def z_score(x: Column, w) -> Column:
-    """Population z-score in a window; 0 where the spread is at most 1e-9."""
-    sd = F.stddev_pop(x).over(w)
-    return F.when(sd > 1e-9, (x - F.avg(x).over(w)) / F.when(sd > 1e-9, sd)).otherwise(0.0)
+def winners(chunks: DataFrame, battery: DataFrame, k: int) -> DataFrame:
+    """query_idx, member, chunk_id, rel, rank of the k best chunks of each member and query, with the chunk's other columns."""
+    slim = scored(chunks, battery).select("query_idx", "member", "chunk_id", "rel")
+    return top_k(slim, k).join(chunks.drop("member"), "chunk_id")
+
+
+def expanding_top_k(rows: DataFrame, meetings: DataFrame, k: int, by: tuple[str, ...] = ("member", "query_idx"), score: str = "rel") -> DataFrame:
+    """date, rows: the k best of each group among the rows ``posted`` on or before each meeting, with ``rank``.
+
+    Rows go to the first meeting that sees them, and only the k best of each group and
+    meeting go on; each meeting then ranks what the meetings up to it kept.  So what is
+    paired with the calendar (a small side) no longer grows with the rows.
+    """
+    days = small(meetings.select("date").distinct())
+    seen = small(meetings.select(F.sort_array(F.collect_set("date")).alias("_days")))  # one row
+    first = F.expr("filter(_days, d -> d >= posted)")
+    fresh = rows.crossJoin(seen).withColumn("_first", F.get(first, F.lit(0))).drop("_days").where("_first is not null")
+    kept = top_k(fresh, k, (*by, "_first"), score).drop("rank")
+    return top_k(kept.join(days, F.col("_first") <= F.col("date")), k, ("date", *by), score).drop("_first")
+
+
+def z_score(x: Column, mean: Column, sd: Column) -> Column:
+    """Population z-score; 0 where the spread is at most 1e-9."""
+    return F.when(sd > 1e-9, (x - mean) / F.when(sd > 1e-9, sd)).otherwise(0.0)
 
 
 def top_k_weighted(rows: DataFrame, k: int, beta: float, tau: float, by: tuple[str, ...] = ("query_idx", "member")) -> DataFrame:
-    """Ranks by z(relevance) + beta * z(exp(-max(age, 0) / tau)); rows need ``rel`` and ``age`` in years."""
-    w = Window.partitionBy(*by)
-    fresh = F.exp(-F.greatest(F.col("age"), F.lit(0.0)) / tau)
-    rows = rows.withColumn("fresh", fresh)
-    return top_k(rows.withColumn("score", z_score(F.col("rel"), w) + beta * z_score(F.col("fresh"), w)), k, by, "score")
+    """Ranks by z(relevance) + beta * z(exp(-max(age, 0) / tau)); rows need ``rel`` and ``age`` in years.
+
+    Means and spreads are aggregated before the ranking, with partial sums, so no group is sorted for them.
+    """
+    rows = rows.withColumn("fresh", F.exp(-F.greatest(F.col("age"), F.lit(0.0)) / tau))
+    spread = rows.groupBy(*by).agg(*[f(c).alias(f"_{n}_{c}") for c in ("rel", "fresh") for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+    z = lambda c: z_score(F.col(c), F.col(f"_mean_{c}"), F.col(f"_sd_{c}"))
+    both = rows.join(spread, list(by)).withColumn("score", z("rel") + beta * z("fresh"))
+    return top_k(both.select(*rows.columns, "score"), k, by, "score")
+
+
+def age_in_years(posted: Column, at: Column) -> Column:
+    """Whole days from ``posted`` to ``at``, in years of 365.25 days."""
+    return F.datediff(at, posted) / 365.25
 
 
 def mean_vectors(rows: DataFrame, by: tuple[str, ...], vector: str = "embedding") -> DataFrame:
@@ -56,10 +92,22 @@ def mean_vectors(rows: DataFrame, by: tuple[str, ...], vector: str = "embedding"
 
 def pooled_retrieved(chunks: DataFrame, battery: DataFrame, k: int) -> DataFrame:
     """member, pos, v: mean over queries of the mean of each query's k best vectors."""
-    one = mean_vectors(top_k(scored(chunks, battery), k), ("query_idx", "member"))
+    one = mean_vectors(winners(chunks, battery, k), ("query_idx", "member"))
     return one.groupBy("member", "pos").agg(F.avg("v").alias("v"))
 
 
+def on_axis(chunks: DataFrame, ax: DataFrame) -> DataFrame:
+    """``chunks`` with ``on_axis``: each vector's dot product with the axis (one row of numbers, broadcast)."""
+    u = ax.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "u"))), lambda p: p["u"]).alias("_u"))
+    return chunks.crossJoin(F.broadcast(u)).withColumn("on_axis", dot(F.col("embedding"), F.col("_u"))).drop("_u")
+
+
+def positions_retrieved(chunks: DataFrame, battery: DataFrame, ax: DataFrame, k: int) -> DataFrame:
+    """member, query_idx, stance: the mean position of each query's k best chunks, without moving a vector."""
+    rows = scored(on_axis(chunks, ax), battery).select("query_idx", "member", "chunk_id", "rel", "on_axis")
+    return top_k(rows, k).groupBy("member", "query_idx").agg(F.avg("on_axis").alias("stance"))
+
+
 def axis(anchors: DataFrame) -> DataFrame:
     """pos, u: unit vector from the mean of pole 'low' to the mean of pole 'high' (norm + 1e-12)."""
     rows = anchors.select("pole", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))

@@ -8,23 +8,32 @@ from pyspark.sql import functions as F
 ROWS_BOUND = 5_000
 
 
-def kendall(rows: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """by..., tau: Kendall's tau-b over the pairs of each group (plain tau without ties).
+def kendall(rows: DataFrame, a: str, b: str, by: tuple[str, ...] = (), bound: int = ROWS_BOUND) -> DataFrame:
+    """by..., tau: Kendall's tau-b over the pairs of each group (plain tau without ties); null without two different values.
 
-    Pairs need an ordering column ``i``.  Meant for ranked lists (members, meetings):
-    every pair of a group is compared, so a group is limited to a few thousand rows.
+    Meant for ranked lists (members, meetings): a group is one row's array, whose pairs
+    are compared in place.  A group of more than ``bound`` rows raises.  Rows with a null
+    or NaN on either side are left out.
     """
-    x, y = rows.alias("x"), rows.alias("y")
-    on = F.col("x.i") < F.col("y.i")
-    for k in by:
-        on = on & F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}"))
-    da, db = F.signum(F.col(f"x.{a}") - F.col(f"y.{a}")), F.signum(F.col(f"x.{b}") - F.col(f"y.{b}"))
-    n1, n2 = F.sum(F.abs(da)), F.sum(F.abs(db))
-    tau = F.when((n1 > 0) & (n2 > 0), F.sum(da * db) / F.sqrt(F.when((n1 > 0) & (n2 > 0), n1 * n2)))
-    pairs = x.join(y, on)
-    if by:
-        return pairs.groupBy(*[F.col(f"x.{k}").alias(k) for k in by]).agg(tau.alias("tau"))
-    return pairs.agg(tau.alias("tau"))
+    good = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(F.col(a).cast("double")) & ~F.isnan(F.col(b).cast("double")))
+    point = F.struct(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    lists = good.groupBy(*by).agg(F.count("*").alias("_n"), F.slice(F.collect_list(point), 1, bound + 1).alias("_p"))
+    checked = F.when(F.col("_n") > bound, F.raise_error(F.lit(f"kendall: more than {bound} rows in a group")).cast("array<struct<a:double,b:double>>")).otherwise(F.col("_p"))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def against_later(p, i):
+        def add(acc, q):
+            x, y = F.signum(p["a"] - q["a"]), F.signum(p["b"] - q["b"])
+            return F.struct((acc["s"] + x * y).alias("s"), (acc["x"] + F.abs(x)).alias("x"), (acc["y"] + F.abs(y)).alias("y"))
+
+        return F.aggregate(F.slice("_p", i + 2, F.size("_p")), zero, add)
+
+    def plus(acc, t):
+        return F.struct(*[(acc[c] + t[c]).alias(c) for c in ("s", "x", "y")])
+
+    sums = lists.withColumn("_p", checked).select(*by, F.aggregate(F.transform("_p", against_later), zero, plus).alias("t"))
+    fine = (F.col("t.x") > 0) & (F.col("t.y") > 0)
+    return sums.select(*by, F.when(fine, F.col("t.s") / F.sqrt(F.when(fine, F.col("t.x") * F.col("t.y")))).alias("tau"))
 
 
 def permutation_p(n: int, tau: float) -> float:
@@ -39,26 +48,66 @@ def permutation_p(n: int, tau: float) -> float:
     return min(1.0, sum(c for k, c in enumerate(counts) if abs(pairs - 2 * k) >= away - 1e-9) / math.factorial(n))
 
 
+def two_sided_p(rows: DataFrame, tau: str = "tau", n: str = "n") -> DataFrame:
+    """``rows`` with ``p``: the exact permutation p-value of each (tau, n); for the few rows of a result table."""
+
+    @F.udf("double")
+    def p_of(value, items):
+        return None if value is None else permutation_p(int(items), float(value))
+
+    return rows.withColumn("p", p_of(F.col(tau), F.col(n)))
+
+
+def ranged(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """``rows`` written once, sorted by ranges of ``order``; ``_place`` is the range (above bit 33) and the place in it."""
+    from loomwright.sources.shared import stored
+
+    return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "ranged")
+
+
+def running_before(rows: DataFrame, order: str, *sums: str) -> DataFrame:
+    """``rows`` with ``before_<c>``: the sum of each column over the rows that come earlier in ``order`` (no ties).
+
+    Ranges are summed in parallel; what earlier ranges hold is a table of one row a range.
+    """
+    placed = ranged(rows, order).withColumn("_part", F.shiftright("_place", 33))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = placed.groupBy("_part").agg(*[F.sum(c).alias(f"_all_{c}") for c in sums])
+    whole = whole.select("_part", *[F.coalesce(F.sum(f"_all_{c}").over(upto), F.lit(0)).alias(f"_all_{c}") for c in sums])
+    inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(whole), "_part")  # one row a range
+    return out.select(*rows.columns, *[(F.col(f"_all_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"before_{c}") for c in sums])
+
+
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """auc by the rank sum; tied scores rank positives first, not averaged; null if a class is absent."""
-    r = rows.withColumn("r", F.row_number().over(Window.orderBy(score, F.col(label).desc())))
-    p, n = F.sum(F.when(F.col(label) == 1, 1).otherwise(0)), F.sum(F.when(F.col(label) == 0, 1).otherwise(0))
-    return r.agg(F.when((p > 0) & (n > 0), (F.sum(F.when(F.col(label) == 1, F.col("r"))) - p * (p + 1) / 2) / F.when((p > 0) & (n > 0), p * n)).alias("auc"))
+    """auc by the rank sum; tied scores rank positives first, not averaged; null if a class is absent.
+
+    Rows are counted by score first; a positive is above the negatives of lower scores.
+    """
+    count = lambda v: F.sum(F.when(F.col(label) == v, 1).otherwise(0)).cast("long")
+    by_score = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(count(1).alias("pos"), count(0).alias("neg"))
+    r = running_before(by_score, "s", "neg")
+    p, n = F.sum("pos"), F.sum("neg")
+    return r.agg(F.when((p > 0) & (n > 0), F.sum(F.col("pos") * F.col("before_neg")) / F.when((p > 0) & (n > 0), p * n)).alias("auc"))
 
 
 def as_of(left: DataFrame, series: DataFrame, on: str, date: str = "date", value: str = "value", out: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
-    """left with ``out``: the series' value at its greatest date <= left's ``on``, else null.
+    """left with ``out``: the series' value at its greatest date <= left's ``on``, else null; of equal dates the largest value.
 
-    One union, sorted by key and time, and a running last value: both sides may be large,
-    no pair is made, and a series key is the only thing that is partitioned on.
+    Dates are days, so what is sorted is the calendar: the distinct days of either side (of
+    each key in ``by``), with a running last value.  Rows of ``left`` only look their day up.
     """
     key = [F.col(k) for k in by]
-    names = left.columns
-    a = left.select(F.struct(*names).alias("_row"), F.col(on).cast("date").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("double").alias("_v"), *key)
-    b = series.select(F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col(date).cast("date").alias("_t"), F.lit(0).alias("_side"), F.col(value).cast("double").alias("_v"), *key)
+    asked = left.select(F.col(on).cast("date").alias("_t"), *key).where("_t is not null").distinct()
+    known = series.where(F.col(value).isNotNull()).groupBy(F.col(date).cast("date").alias("_t"), *key).agg(F.max(F.col(value).cast("double")).alias("_v"))
+    both = asked.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast("double")}).unionByName(known.withColumn("_side", F.lit(0)))
     w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = a.unionByName(b).withColumn("_found", F.when(F.col("_t").isNotNull(), F.last("_v", ignorenulls=True).over(w)))
-    return both.where("_side = 1").select("_row.*", F.col("_found").alias(out))
+    found = both.withColumn("_found", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    found = found.select(F.col("_t").alias("_day"), *[F.col(k).alias(f"_by_{k}") for k in by], F.col("_found").alias("_value"))
+    match = F.col(on).cast("date") == F.col("_day")
+    for k in by:
+        match = match & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
+    return left.join(found, match, "left").select(*[c for c in left.columns if c != out], F.col("_value").alias(out))
 
 
 def sign_class(x: Column, band: Column | float) -> Column:
@@ -109,9 +158,12 @@ def dead_band(rows: DataFrame, x: str, y: str, m: str | None = None, start: int
 
 
 def lead_lag(rows: DataFrame, a: str, b: str, low: int = -2, high: int = 8) -> DataFrame:
-    """shift, n, r: Pearson correlation of a[t] with b[t + shift]; null for fewer than three pairs."""
+    """shift, n, r, tau: Pearson and Kendall correlation of a[t] with b[t + shift]; null for fewer than three
+    pairs.  Pairs with a null or NaN are left out."""
     shifts = rows.sparkSession.range(low, high + 1).select(F.col("id").alias("shift"))
     x = rows.select("i", F.col(a).alias("_a")).crossJoin(F.broadcast(shifts))
     y = rows.select(F.col("i").alias("j"), F.col(b).alias("_b"))
-    j = x.join(y, F.col("j") == F.col("i") + F.col("shift")).where("_a is not null and _b is not null")
-    return j.groupBy("shift").agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.corr("_a", "_b")).alias("r"))
+    j = x.join(y, F.col("j") == F.col("i") + F.col("shift")).where("_a is not null and _b is not null and not isnan(_a) and not isnan(_b)")
+    r = j.groupBy("shift").agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.corr("_a", "_b")).alias("r"))
+    tau = kendall(j, "_a", "_b", ("shift",))
+    return r.join(tau, "shift", "left").select("shift", "n", "r", F.when(F.col("n") >= 3, F.col("tau")).alias("tau"))

@@ -62,7 +62,7 @@ def briefing(spark, d):
     """One row a meeting: as-of value, year-over-year change and a sentence; null where one is missing."""
     a = asof_value(spark, d).join(yoy_series(spark, d), "date")
     text = F.format_string("Conditions as of %s: the level is %.2f, %.1f%% over the year.", F.col("date").cast("string"), "value", "yoy")
-    return a.select("date", "value", "yoy", F.when(F.col("value").isNotNull() & F.col("yoy").isNotNull(), text).isNotNull().alias("has_text"))
+    return a.select("date", "value", "yoy", F.when(F.col("value").isNotNull() & F.col("yoy").isNotNull(), text).alias("text"))
 
 
 def decisions(spark, d):
@@ -89,7 +89,7 @@ def walkforward_class(spark, d):
 
 
 def lead_lag(spark, d):
-    return S.lead_lag(panel(spark, d), "m", "y").select("shift", "n", _r("r"))
+    return S.lead_lag(panel(spark, d), "m", "y").select("shift", "n", _r("r"), _r("tau"))
 
 
 def kendall_tau_b(spark, d):
@@ -161,7 +161,7 @@ def committee_index(spark, d):
 
 
 def modal_vote(spark, d):
-    v = _activity(spark, d).where("event_id % 7 < 3").withColumn("meeting", F.weekofyear("posted"))
+    v = _activity(spark, d).withColumn("meeting", F.weekofyear("posted"))
     v = v.select("meeting", vote_of(F.concat(F.lit("I would "), F.element_at(F.array(F.lit("Hike."), F.lit("cut"), F.lit("wait")), (F.col("event_id") % 3 + 1).cast("int")))).alias("vote"), F.col("event_id").alias("pos"))
     return C.modal_vote(v)
 
@@ -187,13 +187,13 @@ ORACLES = {
     "asof_value": f"WITH {_MO}, {_ME} SELECT me.date, mo.value FROM me ASOF LEFT JOIN mo ON me.date >= mo.date",
     "asof_offset": f"WITH {_ME}, dy AS (SELECT o_orderdate::DATE AS date, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY 1), l AS (SELECT date, date + 8 AS later FROM me) SELECT l.date, dy.value FROM l ASOF LEFT JOIN dy ON l.later >= dy.date",
     "yoy_series": f"WITH {_MO}, {_ME}, {_YOY} SELECT date, yoy FROM yy",
-    "briefing": f"WITH {_MO}, {_ME}, {_YOY} SELECT k.date, k.now AS value, yy.yoy, (k.now IS NOT NULL AND yy.yoy IS NOT NULL) AS has_text FROM k JOIN yy USING (date)",
+    "briefing": f"WITH {_MO}, {_ME}, {_YOY} SELECT k.date, k.now AS value, yy.yoy, CASE WHEN k.now IS NOT NULL AND yy.yoy IS NOT NULL THEN printf('Conditions as of %s: the level is %.2f, %.1f%% over the year.', k.date::VARCHAR, k.now, yy.yoy) END AS text FROM k JOIN yy USING (date)",
     "decisions": f"WITH {_MO}, {_ME}, s AS (SELECT date, value / 10000 AS value FROM mo), mm AS (SELECT date + 10 AS date, date + 18 AS later FROM me), b AS (SELECT mm.date, mm.later, s.value AS before FROM mm ASOF LEFT JOIN s ON mm.date >= s.date), a AS (SELECT b.*, s.value AS a0 FROM b ASOF LEFT JOIN s ON b.later >= s.date), c AS (SELECT date, before, CASE WHEN (SELECT max(date) FROM s) > date THEN a0 END AS after FROM a), e AS (SELECT *, round_even((after - before) * 100, 0)::BIGINT AS bps FROM c) SELECT date, round(before, 6) AS before, round(after, 6) AS after, bps, CASE WHEN bps > 0 THEN 'hike' WHEN bps < 0 THEN 'cut' WHEN bps = 0 THEN 'hold' END AS label FROM e",
     "momentum": f"WITH {_PA} SELECT i, round(m, 6) AS m, lag(sign(y)::INT, 1, 99) OVER (ORDER BY i) AS prev, sign(y)::INT AS sign FROM p",
     "walkforward_ols1": f"WITH {_PA}, {_O1} SELECT i, round(b0 + b1 * x, 4) AS pred FROM g WHERE i >= 16",
     "walkforward_ols2": f"WITH {_PA}, c AS (SELECT *, covar_pop(x, x) OVER w AS sxx, covar_pop(m, m) OVER w AS smm, covar_pop(x, m) OVER w AS sxm, covar_pop(x, y) OVER w AS sxy, covar_pop(m, y) OVER w AS smy, avg(x) OVER w AS ax, avg(m) OVER w AS am, avg(y) OVER w AS ay FROM p {_W}), b AS (SELECT *, (sxy * smm - smy * sxm) / (sxx * smm - sxm * sxm) AS b1, (smy * sxx - sxy * sxm) / (sxx * smm - sxm * sxm) AS b2 FROM c WHERE i >= 16) SELECT i, round(ay - b1 * ax - b2 * am + b1 * x + b2 * m, 4) AS pred FROM b",
     "walkforward_class": f"WITH {_PA}, {_DB} SELECT i, round(band, 6)::DOUBLE AS band, cls::INT AS cls FROM dc",
-    "lead_lag": f"WITH {_PA} SELECT shift, count(*) AS n, round(corr(a.m, b.y), 6) AS r FROM p a, (SELECT unnest(range(-2, 9)) AS shift) JOIN p b ON b.i = a.i + shift GROUP BY shift",
+    "lead_lag": f"WITH {_PA}, j AS (SELECT shift, a.i AS t, a.m, b.y FROM p a, (SELECT unnest(range(-2, 9)) AS shift) JOIN p b ON b.i = a.i + shift), k AS (SELECT u.shift, sum(sign(u.m - v.m) * sign(u.y - v.y)) / sqrt(sum(abs(sign(u.m - v.m))) * sum(abs(sign(u.y - v.y)))) AS tau FROM j u JOIN j v ON u.shift = v.shift AND u.t < v.t GROUP BY u.shift) SELECT shift, count(*) AS n, round(corr(m, y), 6) AS r, round(any_value(tau), 6) AS tau FROM j JOIN k USING (shift) GROUP BY shift",
     "kendall_tau_b": f"WITH {_PA} SELECT round(sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y)))), 6) AS tau FROM p a JOIN p b ON a.i < b.i",
     "base_rate": f"WITH {_PA}, c AS (SELECT sign(y) AS cls, count(*) AS n FROM p GROUP BY 1) SELECT round(max(n) / sum(n), 6) AS base_rate, sum(n)::BIGINT AS n FROM c",
     "baseline_accuracy": f"WITH {_PA}, {_DB}, j AS (SELECT i, cls, lag(sign(y)::INT, 1, 99) OVER (ORDER BY i) AS prev, sign(y) AS s FROM p JOIN dc USING (i)) SELECT round(avg((prev = s)::INT) FILTER (prev <> 99), 6) AS persistence, round(avg((cls = s)::INT) FILTER (cls <> 99), 6) AS walk_forward FROM j WHERE i >= 24",
@@ -204,7 +204,7 @@ ORACLES = {
     "office_range_join": f"WITH {_OFF}, dt AS (SELECT unnest(generate_series(DATE '2010-01-15', DATE '2026-06-15', INTERVAL 3 MONTH))::DATE AS date), mb AS (SELECT DISTINCT member FROM o), h AS (SELECT mb.member, dt.date, office FROM dt CROSS JOIN mb LEFT JOIN o ON o.member = mb.member AND start <= dt.date AND (stop IS NULL OR dt.date < stop)) SELECT member, date, office, coalesce(office IN ('governor', 'chair', 'pres:NY'), false) OR coalesce(year(date) % md = rm, false) AS is_voting, coalesce(office = 'chair', false) AS is_chair FROM h LEFT JOIN rot ON 'pres:' || bank = office",
     "roster": f"WITH {_ACT} SELECT date, member, count(*)::BIGINT AS n FROM ev JOIN wk ON posted <= date GROUP BY ALL HAVING count(*) >= 5",
     "committee_index": f"WITH {_ACT}, v AS (SELECT date, member, avg(value) AS v FROM ev JOIN wk ON posted <= date GROUP BY ALL HAVING count(value) >= 5) SELECT date, round(avg(v), 6) AS \"index\", count(*) AS n_members FROM v GROUP BY date",
-    "modal_vote": f"WITH {_ACT}, c AS (SELECT weekofyear(posted)::INT AS meeting, CASE event_id % 3 WHEN 0 THEN 'hike' WHEN 1 THEN 'cut' ELSE 'hold' END AS vote, count(*) AS n, min(event_id) AS f FROM ev WHERE event_id % 7 < 3 GROUP BY ALL) SELECT meeting, vote, n FROM (SELECT *, row_number() OVER (PARTITION BY meeting ORDER BY n DESC, f) AS r FROM c) WHERE r = 1",
+    "modal_vote": f"WITH {_ACT}, c AS (SELECT weekofyear(posted)::INT AS meeting, CASE event_id % 3 WHEN 0 THEN 'hike' WHEN 1 THEN 'cut' ELSE 'hold' END AS vote, count(*) AS n, min(event_id) AS f FROM ev GROUP BY ALL) SELECT meeting, vote, n FROM (SELECT *, row_number() OVER (PARTITION BY meeting ORDER BY n DESC, f) AS r FROM c) WHERE r = 1",
     "auc_rank": "WITH r AS (SELECT quality AS y, row_number() OVER (ORDER BY n_chars, quality DESC) AS r FROM labels JOIN documents USING (doc_id)) SELECT round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) AS auc FROM r",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}

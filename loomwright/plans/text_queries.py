@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomwright.functions import scalar as T
 from loomwright.operators import ingest as I
 from loomwright.operators import likeness as L
-from loomwright.sources import readers
+from loomwright.sources import pages
 
 
 def _docs(spark, d):
@@ -34,21 +34,24 @@ def theme_bucket(spark, d):
 
 
 def theme_by_language(spark, d):
-    return _docs(spark, d).groupBy("lang", T.theme_of(F.col("text")).alias("theme")).agg(F.count("*").alias("n"))
+    low = _docs(spark, d).select("lang", F.lower("text").alias("low"))  # lower-cased once, in a scan of its own
+    return low.groupBy("lang", T.theme_of(F.col("low"), lowered=True).alias("theme")).agg(F.count("*").alias("n"))
 
 
 def seed_words(spark, d):
-    x = _docs(spark, d).select("doc_id", F.substring("text", 1, 200).alias("q"))
+    x = _docs(spark, d).select("doc_id", F.col("text").alias("q"))
     w = T.words(F.col("q"))
     x = x.withColumns({"n": F.size(w), "seed": T.seed_of(F.col("q"))}).where("n >= 8")
     return x.select("doc_id", "n", "seed", F.greatest(F.lit(1), F.col("n") - F.size(T.words(F.col("seed")))).alias("remaining"))
 
 
 def matched_lengths(spark, d):
-    """Two texts cut to the shorter one's number of words, where that is 3 or more."""
-    x = _docs(spark, d).select("doc_id", T.words(F.substring("text", 1, 120)).alias("a"), T.words(F.substring("text", 121, 90)).alias("b"))
+    """What follows each text's seed and the whole text before it in its source, cut to the shorter one's number of
+    words, where that is 3 or more."""
+    x = _docs(spark, d).select("doc_id", "source", T.words(F.col("text")).alias("w"))
+    x = x.withColumn("a", F.expr("slice(w, greatest(4, int(floor(size(w) * 0.5))) + 1, size(w))")).withColumn("b", F.lag("w").over(Window.partitionBy("source").orderBy("doc_id")))
     m = F.least(F.size("a"), F.size("b"))
-    return x.withColumn("m", m).where("m >= 3").select("doc_id", "m", F.array_join(F.expr("slice(a, 1, m)"), " ").alias("a"), F.array_join(F.expr("slice(b, 1, m)"), " ").alias("b"))
+    return x.where("a is not null and b is not null").withColumn("m", m).where("m >= 3").select("doc_id", "m", F.array_join(F.expr("slice(a, 1, m)"), " ").alias("a"), F.array_join(F.expr("slice(b, 1, m)"), " ").alias("b"))
 
 
 def clean_turns(spark, d):
@@ -61,7 +64,7 @@ def slugify(spark, d):
 
 
 def url_dates(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 10 = 0")
+    o = spark.read.parquet(f"{d}/orders.parquet")
     u = o.select("o_orderkey", F.concat(F.lit("/review/r"), F.date_format("o_orderdate", "yyMMdd")).alias("u"), F.concat(F.lit("Held on "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(".")).alias("t"))
     return u.select("o_orderkey", T.url_date(F.col("u"), r"/review/r(\d{2})(\d{2})(\d{2})").alias("by_url"), T.page_date(F.col("t")).alias("by_text"))
 
@@ -76,19 +79,20 @@ def clean_replies(spark, d):
 
 def _records(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
-    return e.select(F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("member"), F.col("event_type").alias("source"), F.concat(F.lit("http://x/"), (F.col("event_id") % 700).cast("string")).alias("postUrl"), F.col("ts").alias("postedAt"), "event_id")
+    return e.select(F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("member"), F.col("event_type").alias("source"), F.concat(F.lit("http://x/"), F.floor(F.col("event_id") / 2).cast("string")).alias("postUrl"), F.col("ts").alias("postedAt"), "event_id")
 
 
 def anti_join_new(spark, d):
     """Late records whose URL is new and that aren't older than their (member, source)'s mark."""
     r = _records(spark, d)
-    old, new = r.where("event_id < 400"), r.where("event_id >= 400 and event_id < 1000")
+    old, new = r.where("postedAt < '2024-01-10'"), r.where("postedAt >= '2024-01-05'")  # what is stored, and what a later visit finds
     return I.new_records(new, old).select("event_id", "member", "source")
 
 
 def next_ids(spark, d):
     r = _records(spark, d).withColumn("chunk_id", F.col("event_id"))
-    return I.numbered(r.where("event_id >= 500 and event_id < 700"), r.where("event_id < 500"), ("postedAt", "event_id")).select("event_id", "chunk_id")
+    half = F.col("postedAt") < F.lit("2024-01-16").cast("timestamp_ntz")
+    return I.numbered(r.where(~half), r.where(half), ("postedAt", "event_id")).select("event_id", "chunk_id")
 
 
 def high_water_mark(spark, d):
@@ -114,8 +118,9 @@ def json_fields(spark, d):
 
 def link_dates(spark, d):
     """The first link of each date in a page of links, by position."""
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey < 2000")
-    h = o.select((F.col("o_orderkey") % 7).alias("page"), "o_orderkey", F.concat(F.lit('<a href="/f/X'), F.date_format("o_orderdate", "yyyyMMdd"), F.lit('meeting.pdf">')).alias("a"))
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    h = o.select((F.col("o_custkey") % 700).alias("page"), "o_orderkey", F.concat(F.lit('<a href="/f/X'), F.date_format("o_orderdate", "yyyyMMdd"), F.lit('meeting.pdf">')).alias("a"))
+    # one page lists the orders of some customers, so the pages grow in number before they grow in size
     h = h.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "a"))), lambda x: x["a"]), " ").alias("html"))
     x = h.select("page", F.posexplode(F.regexp_extract_all("html", F.lit(r"X(\d{8})meeting\.pdf"), 1)).alias("pos", "day"))
     r = x.withColumn("r", F.row_number().over(Window.partitionBy("page", "day").orderBy("pos"))).where("r = 1")
@@ -123,18 +128,35 @@ def link_dates(spark, d):
 
 
 def passages(spark, d):
-    p = I.passages(_docs(spark, d).select("doc_id", "text"))
-    return p.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("passage")).alias("longest"))
+    """Every passage of every document."""
+    return I.passages(_docs(spark, d).select("doc_id", "text"))
 
 
 def article_text(spark, d):
-    return readers.articles(spark.read.parquet(f"{d}/pages.parquet")).select("page_id", F.length("text").alias("n"))
+    return pages.texts(spark.read.parquet(f"{d}/pages.parquet")).select("page_id", "text")
+
+
+def page_body(spark, d):
+    return pages.texts(spark.read.parquet(f"{d}/pages.parquet"), pages.body_text).select("page_id", "text")
+
+
+def page_rendered(spark, d):
+    return pages.texts(spark.read.parquet(f"{d}/pages.parquet"), pages.rendered_text).select("page_id", "text")
+
+
+def _transcripts(spark, d, user, other):
+    """doc_id, text: each conversation as a transcript, its roles as headers."""
+    head = F.when(F.col("role") == "user", user).otherwise(other)
+    c = spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", head.alias("h"), F.regexp_replace("text", "\n", " ").alias("t")))).alias("x"))
+    return c.select(F.col("conv_id").alias("doc_id"), F.array_join(F.transform("x", lambda s: F.concat(s["h"], s["t"])), "\n").alias("text"))
 
 
 def speaker_turns(spark, d):
-    c = spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("role") == "user", "CHAIR SMITH. ").otherwise("MR. JONES. ").alias("h"), F.regexp_replace("text", "\n", " ").alias("t")))).alias("x"))
-    t = c.select(F.col("conv_id").alias("doc_id"), F.array_join(F.transform("x", lambda s: F.concat(s["h"], s["t"])), "\n").alias("text"))
-    return I.turns(t, F.lit("Smith")).select("doc_id", "pos", F.length("body").alias("n"))
+    return I.turns(_transcripts(spark, d, "CHAIR SMITH. ", "MR. JONES. "), F.lit("Smith")).select("doc_id", "pos", "body")
+
+
+def chair_turns(spark, d):
+    return I.chair_turns(_transcripts(spark, d, "CHAIR SMITH. ", "STEVE J. JONES. "), F.lit("Smith")).select("doc_id", "pos", "body")
 
 
 def _rows(spark, d):
@@ -162,7 +184,7 @@ def hash_split(spark, d):
 
 def responses(spark, d):
     b = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.lit("You are a member.").alias("system"), "text")
-    prompt = I.stance_prompt(F.col("text"), F.array(F.substring("text", 1, 20)))
+    prompt = I.stance_prompt(F.col("text"), F.array(F.col("text")))
     return I.respond(b, I.EchoGeneration(), prompt).select("item_id", "response")
 
 
@@ -175,28 +197,36 @@ def _theme_sql(col):
 
 
 _W = "list_filter(regexp_split_to_array({t}, '\\s+'), lambda w: w <> '')"
-_REC = "r AS (SELECT 'u' || (user_id % 10) AS member, event_type AS source, 'http://x/' || (event_id % 700) AS \"postUrl\", ts AS \"postedAt\", event_id FROM events)"
-_NOISE = r"^\s*(\d+\s+of\s+\d+|page\s+\d+|january|february|march|april|may|june|july|august|september|october|november|december)\b.*meeting"
+_REC = "r AS (SELECT 'u' || (user_id % 10) AS member, event_type AS source, 'http://x/' || (event_id // 2) AS \"postUrl\", ts AS \"postedAt\", event_id FROM events)"
+def _clean_sql(col):
+    """A turn as one line, in SQL."""
+    months = "|".join(T.MONTHS)
+    mark = rf"(regexp_matches(lower(s), '^\s*(?:\d+\s+of\s+\d+|page\s+\d+|{months})\b') AND contains(lower(s), 'meeting')) OR regexp_full_match(s, '\d{{1,4}}')"
+    lines = f"list_filter(list_transform(string_split({col}, chr(10)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '' AND NOT ({mark}))"
+    return f"trim(regexp_replace(array_to_string({lines}, ' '), '\\s+', ' ', 'g'))"
+
 
 ORACLES = {
     "corpus_composition": "SELECT 'source' AS dim, source AS key, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY ALL UNION ALL SELECT 'lang', lang, count(*) FROM documents WHERE lang IS NOT NULL GROUP BY ALL UNION ALL SELECT 'size', least(n_chars // 1000, 10)::VARCHAR, count(*) FROM documents GROUP BY ALL",
     "corpus_by_year": "SELECT year(o_orderdate)::INT AS year, count(*) AS n FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 2000 GROUP BY 1",
     "theme_bucket": f"SELECT {_theme_sql(chr(112) + '_name || chr(32) || p_type')} AS theme, count(*) AS n FROM part GROUP BY 1",
     "theme_by_language": f"SELECT lang, {_theme_sql('text')} AS theme, count(*) AS n FROM documents GROUP BY ALL",
-    "seed_words": f"WITH x AS (SELECT doc_id, {_W.format(t='substr(text, 1, 200)')} AS w FROM documents) SELECT doc_id, len(w)::INT AS n, array_to_string(w[1:greatest(4, floor(len(w) * 0.5)::INT)], ' ') AS seed, greatest(1, len(w) - greatest(4, floor(len(w) * 0.5)::INT))::INT AS remaining FROM x WHERE len(w) >= 8",
-    "matched_lengths": f"WITH x AS (SELECT doc_id, {_W.format(t='substr(text, 1, 120)')} AS a, {_W.format(t='substr(text, 121, 90)')} AS b FROM documents), y AS (SELECT *, least(len(a), len(b)) AS m FROM x) SELECT doc_id, m::INT AS m, array_to_string(a[1:m], ' ') AS a, array_to_string(b[1:m], ' ') AS b FROM y WHERE m >= 3",
-    "clean_turns": f"WITH x AS (SELECT conv_id, turn, trim(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '' AND NOT regexp_matches(s, '(?i){_NOISE}') AND NOT regexp_full_match(s, '\\d{{1,4}}')), ' '), '\\s+', ' ', 'g')) AS body FROM conversations) SELECT * FROM x WHERE length(body) >= 80",
+    "seed_words": f"WITH x AS (SELECT doc_id, {_W.format(t='text')} AS w FROM documents) SELECT doc_id, len(w)::INT AS n, array_to_string(w[1:greatest(4, floor(len(w) * 0.5)::INT)], ' ') AS seed, greatest(1, len(w) - greatest(4, floor(len(w) * 0.5)::INT))::INT AS remaining FROM x WHERE len(w) >= 8",
+    "matched_lengths": f"WITH w AS (SELECT doc_id, source, {_W.format(t='text')} AS w FROM documents), x AS (SELECT doc_id, w[greatest(4, floor(len(w) * 0.5)::INT) + 1:] AS a, lag(w) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM w), y AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE least(len(a), len(b)) END AS m FROM x) SELECT doc_id, m::INT AS m, array_to_string(a[1:m], ' ') AS a, array_to_string(b[1:m], ' ') AS b FROM y WHERE m >= 3",
+    "clean_turns": "WITH x AS (SELECT conv_id, turn, " + _clean_sql("text") + " AS body FROM conversations) SELECT * FROM x WHERE length(body) >= 80",
+    "speaker_turns": "WITH c AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role, " + _clean_sql("replace(text, chr(10), ' ')") + " AS body FROM conversations) SELECT doc_id, pos::INT AS pos, body FROM c WHERE role = 'user' AND length(body) >= 80",
+    "chair_turns": "WITH c AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role, " + _clean_sql("replace(text, chr(10), ' ')") + " AS body FROM conversations) SELECT doc_id, pos::INT AS pos, body FROM c WHERE role = 'user' AND length(body) >= 80",
     "slugify": "SELECT page_id, right(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug, 'https://example.org' || regexp_replace(url, '^https?://[^/]+', '') AS url FROM pages",
-    "url_dates": "SELECT o_orderkey, CASE WHEN year(o_orderdate) < 2000 THEN (o_orderdate + INTERVAL 100 YEAR)::DATE ELSE o_orderdate::DATE END AS by_url, o_orderdate::DATE AS by_text FROM orders WHERE o_orderkey % 10 = 0",
+    "url_dates": "SELECT o_orderkey, CASE WHEN year(o_orderdate) < 2000 THEN (o_orderdate + INTERVAL 100 YEAR)::DATE ELSE o_orderdate::DATE END AS by_url, o_orderdate::DATE AS by_text FROM orders",
     "cache_keys": "SELECT doc_id, sha1('m:64:' || coalesce(text, '')) AS key FROM documents",
     "clean_replies": "SELECT item_id, trim(trim(trim(regexp_replace(' \"' || text || '\"' || chr(10), '\\s+', ' ', 'g')), '\"“”')) AS reply FROM benchmark",
-    "anti_join_new": f"WITH {_REC}, o AS (SELECT * FROM r WHERE event_id < 400), h AS (SELECT member, source, max(\"postedAt\") AS mark FROM o GROUP BY ALL) SELECT event_id, r.member, r.source FROM r LEFT JOIN h USING (member, source) WHERE event_id BETWEEN 400 AND 999 AND coalesce(\"postedAt\" >= mark, true) AND NOT EXISTS (SELECT 1 FROM o WHERE o.\"postUrl\" = r.\"postUrl\")",
-    "next_ids": f"WITH {_REC} SELECT event_id, 499 + row_number() OVER (ORDER BY \"postedAt\", event_id) AS chunk_id FROM r WHERE event_id BETWEEN 500 AND 699",
+    "anti_join_new": f"WITH {_REC}, o AS (SELECT * FROM r WHERE \"postedAt\" < '2024-01-10'), h AS (SELECT member, source, max(\"postedAt\") AS mark FROM o GROUP BY ALL) SELECT event_id, r.member, r.source FROM r LEFT JOIN h USING (member, source) WHERE \"postedAt\" >= '2024-01-05' AND coalesce(\"postedAt\" >= mark, true) AND NOT EXISTS (SELECT 1 FROM o WHERE o.\"postUrl\" = r.\"postUrl\")",
+    "next_ids": f"WITH {_REC} SELECT event_id, (SELECT max(event_id) FROM r WHERE \"postedAt\" < '2024-01-16') + row_number() OVER (ORDER BY \"postedAt\", event_id) AS chunk_id FROM r WHERE \"postedAt\" >= '2024-01-16'",
     "high_water_mark": f"WITH {_REC} SELECT member, strftime(max(\"postedAt\"), '%Y-%m-%d') AS mark, count(DISTINCT \"postUrl\") AS urls FROM r GROUP BY member",
     "opinion_numbers": "SELECT conv_id AS source_id, turn AS chunk, 'opinion-' || conv_id || '-' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS opinion_id FROM conversations",
     "keyed_union": "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS v, count(*) AS n FROM orders GROUP BY 1",
     "json_fields": "SELECT coalesce(json_extract_string(props, '$.k'), '') AS k, count(*) AS n FROM events GROUP BY 1",
-    "link_dates": "WITH x AS (SELECT o_orderkey % 7 AS page, row_number() OVER (PARTITION BY o_orderkey % 7 ORDER BY o_orderkey) - 1 AS pos, o_orderdate::DATE AS day FROM orders WHERE o_orderkey < 2000) SELECT page, min(pos)::INT AS pos, day FROM x GROUP BY page, day",
+    "link_dates": "WITH x AS (SELECT o_custkey % 700 AS page, row_number() OVER (PARTITION BY o_custkey % 700 ORDER BY o_orderkey) - 1 AS pos, o_orderdate::DATE AS day FROM orders) SELECT page, min(pos)::INT AS pos, day FROM x GROUP BY page, day",
     "hash_split": "WITH x AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('0:' || doc_id), doc_id) <= 10 AS t FROM documents) SELECT source, sum(t::INT)::BIGINT AS n_test, max(doc_id) FILTER (t) AS last FROM x GROUP BY source",
 }
-QUERIES = {n: globals()[n] for n in (*ORACLES, "passages", "article_text", "speaker_turns", "attribution", "detectability", "responses", "embedded_texts")}
+QUERIES = {n: globals()[n] for n in (*ORACLES, "passages", "article_text", "page_body", "page_rendered", "attribution", "detectability", "responses", "embedded_texts")}

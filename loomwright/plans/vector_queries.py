@@ -31,12 +31,12 @@ def _r(c, n=6):
 
 
 def topk_retrieve(spark, d):
-    t = R.top_k(R.scored(chunks(spark, d), battery(spark, d)), 3)
+    t = R.top_k(R.scored(chunks(spark, d), battery(spark, d)).select("query_idx", "member", "chunk_id", "rel"), 3)
     return t.select("query_idx", "member", "chunk_id", F.col("rank").cast("long").alias("rank"), _r("rel"))
 
 
 def topk_weighted(spark, d):
-    rows = R.scored(chunks(spark, d), battery(spark, d, 5)).withColumn("age", F.pmod("chunk_id", F.lit(900)) / 365.25)
+    rows = R.scored(chunks(spark, d), battery(spark, d)).select("query_idx", "member", "chunk_id", "rel", (F.pmod("chunk_id", F.lit(900)) / 365.25).alias("age"))
     t = R.top_k_weighted(rows, 3, 0.6, 2.0)
     return t.select("query_idx", "member", "chunk_id", F.col("rank").cast("long").alias("rank"), _r("score", 5))
 
@@ -51,7 +51,8 @@ def stance_corpus(spark, d):
 
 
 def _stance_retrieved(spark, d, k=3):
-    return R.ranked(R.project(R.pooled_retrieved(chunks(spark, d), battery(spark, d), k), R.axis(anchors(spark, d))))
+    each = R.positions_retrieved(chunks(spark, d), battery(spark, d), R.axis(anchors(spark, d)), k)
+    return R.ranked(each.groupBy("member").agg(F.avg("stance").alias("stance")))
 
 
 def stance_retrieved(spark, d):
@@ -64,27 +65,32 @@ def _external(spark):
 
 
 def _tau(s, spark, by=()):
-    return S.kendall(s.join(_external(spark), "member").withColumn("i", F.col("ext")), "rank", "ext", by)
+    return S.kendall(s.join(_external(spark), "member"), "rank", "ext", by)
 
 
 def kendall_stance(spark, d):
     return _tau(_stance_retrieved(spark, d), spark).select(_r("tau"))
 
 
+def kendall_p(spark, d):
+    """The exact permutation p-value of the retrieved ranking's tau."""
+    s = _stance_retrieved(spark, d).join(_external(spark), "member")
+    t = S.kendall(s, "rank", "ext").crossJoin(F.broadcast(s.agg(F.count("*").alias("n"))))
+    return S.two_sided_p(t).select("n", _r("tau"), _r("p"))
+
+
 def tau_by_depth(spark, d):
     """tau for k = 1..5 in one plan: the ranks up to 5 are made once and reused for each depth."""
-    top = R.top_k(R.scored(chunks(spark, d), battery(spark, d)), 5)
+    rows = R.scored(R.on_axis(chunks(spark, d), R.axis(anchors(spark, d))), battery(spark, d)).select("query_idx", "member", "chunk_id", "rel", "on_axis")
     ks = spark.range(1, 6).select(F.col("id").alias("k"))
-    each = top.crossJoin(F.broadcast(ks)).where("rank <= k")
-    one = R.mean_vectors(each, ("k", "query_idx", "member")).groupBy("k", "member", "pos").agg(F.avg("v").alias("v"))
-    s = R.project(one, R.axis(anchors(spark, d)), ("k", "member"))
+    each = R.top_k(rows, 5).crossJoin(F.broadcast(ks)).where("rank <= k")
+    s = each.groupBy("k", "query_idx", "member").agg(F.avg("on_axis").alias("v")).groupBy("k", "member").agg(F.avg("v").alias("stance"))
     s = s.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.round("stance", 9).desc(), "member")))
     return _tau(s, spark, ("k",)).select("k", _r("tau"))
 
 
 def _per_query(spark, d):
-    one = R.mean_vectors(R.top_k(R.scored(chunks(spark, d), battery(spark, d)), 3), ("query_idx", "member"))
-    return R.project(one, R.axis(anchors(spark, d)), ("query_idx", "member"))
+    return R.positions_retrieved(chunks(spark, d), battery(spark, d), R.axis(anchors(spark, d)), 3)
 
 
 def tau_by_topic(spark, d):
@@ -146,7 +152,7 @@ _TAU = "sum(sign(x.rank - y.rank) * sign(x.ext - y.ext)) / sqrt(sum(abs(sign(x.r
 
 ORACLES = {
     "topk_retrieve": _head() + " SELECT query_idx, member, chunk_id, rank, round(rel, 6) AS rel FROM top",
-    "topk_weighted": f"""WITH {_CH}, {_B.format(n=5)}, {_SC}, z AS (SELECT *, exp(-greatest((chunk_id % 900) / 365.25, 0) / 2.0) AS fresh FROM sc),
+    "topk_weighted": f"""WITH {_CH}, {_B.format(n=15)}, {_SC}, z AS (SELECT *, exp(-greatest((chunk_id % 900) / 365.25, 0) / 2.0) AS fresh FROM sc),
         s AS (SELECT *, (rel - avg(rel) OVER w) / (stddev_pop(rel) OVER w) + 0.6 * (fresh - avg(fresh) OVER w) / (stddev_pop(fresh) OVER w) AS score FROM z WINDOW w AS (PARTITION BY query_idx, member)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_idx, member ORDER BY score DESC, chunk_id) AS rank FROM s)
         SELECT query_idx, member, chunk_id, rank, round(score, 5) AS score FROM r WHERE rank <= 3""",
@@ -161,4 +167,4 @@ ORACLES = {
     "confusion_recall": f"WITH {_CH}, {_MV.format(by='member', src='ch')}, q AS (SELECT member AS pred, list(v ORDER BY pos) AS q FROM mv GROUP BY member), s AS (SELECT member, pred, row_number() OVER (PARTITION BY chunk_id ORDER BY round({_DOT.format(a='embedding', b='q')}, 9) DESC, pred) AS r FROM ch, q) SELECT member AS \"true\", pred, count(*) AS n FROM s WHERE r = 1 GROUP BY ALL",
     "recall_tau": f"WITH {_CH}, {_MV.format(by='member', src='ch')}, q AS (SELECT member AS pred, list(v ORDER BY pos) AS q FROM mv GROUP BY member), s AS (SELECT member, pred, row_number() OVER (PARTITION BY chunk_id ORDER BY round({_DOT.format(a='embedding', b='q')}, 9) DESC, pred) AS r FROM ch, q), a AS (SELECT member AS \"true\", avg((member = pred)::INT) AS recall FROM s WHERE r = 1 GROUP BY member) SELECT \"true\", round(recall, 6) AS recall, round(2 * greatest(recall, 1 - recall) - 1, 6) AS tau FROM a",
 }
-QUERIES = {name: globals()[name] for name in ORACLES}
+QUERIES = {name: globals()[name] for name in (*ORACLES, "kendall_p")}

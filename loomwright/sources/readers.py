@@ -1,11 +1,7 @@
-"""Readers: parquet configs, JSON settings, macro CSV, feeds, HTML pages."""
+"""Readers: parquet configs, JSON settings, macro CSV, feeds."""
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,18 +17,20 @@ def read_config(spark: SparkSession, root: str, config: str) -> DataFrame:
 
 
 def load_chunks(spark: SparkSession, root: str, embeddings: str = "none", provider=None) -> DataFrame:
-    """Chunks by chunk_id; ``cached`` joins stored vectors, ``compute`` embeds the stance text."""
+    """Chunks by chunk_id; ``cached`` joins stored vectors, ``compute`` embeds the stance text (one call a distinct text)."""
     if embeddings not in ("none", "cached", "compute"):
         raise ValueError(f"embeddings: {embeddings!r}")
-    chunks = read_config(spark, root, "chunks").orderBy("chunk_id")
+    chunks = read_config(spark, root, "chunks")
     if embeddings == "cached":
-        return chunks.join(read_config(spark, root, "embeddings").select("chunk_id", "embedding"), "chunk_id", "left")
-    if embeddings == "compute":
+        chunks = chunks.join(read_config(spark, root, "embeddings").select("chunk_id", "embedding"), "chunk_id", "left")
+    elif embeddings == "compute":
+        from loomwright.functions.scalar import cache_key
         from loomwright.operators.ingest import embedded
 
-        v = embedded(chunks, provider, "stance").select(F.col("text").alias("_t"), "embedding")
-        return chunks.join(v, F.coalesce("stance", F.lit("")) == F.col("_t"), "left").drop("_t")
-    return chunks
+        v = embedded(chunks, provider, "stance").select(F.col("key").alias("_key"), "embedding")
+        key = cache_key(provider.model, provider.size, F.coalesce("stance", F.lit("")))
+        chunks = chunks.join(v, key == F.col("_key"), "left").drop("_key")
+    return chunks.orderBy("chunk_id")
 
 
 def json_map(spark: SparkSession, path: str, value: str = "string") -> DataFrame:
@@ -68,69 +66,3 @@ def feed(text: DataFrame, first: str, last: str, since=None) -> DataFrame:
     posted = F.coalesce(F.try_to_timestamp("d"), F.try_to_timestamp("d", F.lit("M/d/yyyy h:mm:ss a")), F.try_to_timestamp("d", F.lit("M/d/yyyy")))
     items = items.withColumn("posted", F.to_date(posted))
     return items.where(F.coalesce(F.col("posted") >= F.lit(since).cast("date"), F.lit(True))) if since else items
-
-
-class _Article(HTMLParser):
-    """Paragraphs of the article, without scripts, navigation and players."""
-
-    SKIP, VOID = {"script", "style", "nav", "footer", "header", "noscript"}, {"br", "img", "input", "meta", "link", "hr", "source", "wbr", "area", "base", "col", "embed", "param", "track"}
-    PLAYER = re.compile(r"video|media|player|sr-only", re.I)
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool]] = []
-        self.paragraphs: list[str] = []
-        self.open: list[str] | None = None
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        marks = f"{a.get('class') or ''} {a.get('id') or ''}"
-        skip = tag in self.SKIP or bool(tag in ("div", "section", "span") and self.PLAYER.search(marks))
-        if tag not in self.VOID:
-            self.stack.append((tag, skip or bool(self.stack and self.stack[-1][1])))
-        if tag == "p":
-            self._close()
-            self.open = []
-
-    def handle_endtag(self, tag):
-        if tag == "p":
-            self._close()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                break
-
-    def handle_data(self, data):
-        if self.open is not None and not (self.stack and self.stack[-1][1]):
-            self.open.append(data)
-
-    def _close(self):
-        if self.open:
-            text = re.sub(r"\s+", " ", "".join(self.open)).strip()
-            if text:
-                self.paragraphs.append(text)
-        self.open = None
-
-
-def article_text(html: str | None) -> str:
-    """Paragraphs up to "return to text", joined by blank lines."""
-    p = _Article()
-    p.feed(html or "")
-    p.close()
-    p._close()
-    out = []
-    for text in p.paragraphs:
-        if "return to text" in text.lower():
-            break
-        out.append(text)
-    return "\n\n".join(out)
-
-
-def articles(pages: DataFrame) -> DataFrame:
-    """page_id, url, text."""
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([article_text(h) for h in b.column(2).to_pylist()], pa.string())], names=["page_id", "url", "text"])
-
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text string")

@@ -1,12 +1,16 @@
 """Incremental ingest as a Structured Streaming job: what is available now, then stop.
 
 The checkpoint remembers which files were read; a batch drops records whose key is
-stored already, continues the ids and appends to member partitions.  A batch that is
-run again finds its own batch number and writes nothing.
+stored already, continues the ids and appends to member partitions.  Rows carry the
+stream they came by and its batch number, so a batch that is run again finds itself and
+writes nothing, and a stream with a new checkpoint is another stream, whose batches
+count from 0 again.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import Future
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,25 +19,27 @@ from loomwright.operators.ingest import numbered
 
 def run_available(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str = "postUrl", order: tuple[str, ...] = ("postedAt", "postUrl")) -> None:
     """Read new parquet files of ``source`` and append unseen records to ``target`` (chunk_id, batch, member partitions)."""
+    stream: Future = Future()  # the id that the checkpoint keeps
 
     def write(batch: DataFrame, number: int) -> None:
-        stored = stored_rows(spark, target, schema)
-        if stored.where(F.col("batch") == number).limit(1).count():
+        stored, name = stored_rows(spark, target, schema), f"{stream.result(timeout=300)}:{number}"
+        if stored.where(F.col("batch") == name).limit(1).count():
             return
         unseen = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(batch.where(F.col(key).isNull()))
         unseen = unseen.join(stored.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
-        numbered(unseen, stored, order).withColumn("batch", F.lit(number).cast("long")).write.mode("append").partitionBy("member").parquet(target)
+        numbered(unseen, stored, order).withColumn("batch", F.lit(name)).write.mode("append").partitionBy("member").parquet(target)
 
-    stream = spark.readStream.schema(schema).parquet(source)
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream.set_result(query.id)
     query.awaitTermination()
 
 
 def stored_rows(spark: SparkSession, target: str, schema) -> DataFrame:
+    """What ``target`` holds; no rows where it isn't there yet."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.parquet(target)
     except AnalysisException:
         empty = spark.createDataFrame([], schema)
-        return empty.withColumns({"chunk_id": F.lit(None).cast("long"), "batch": F.lit(None).cast("long")})
+        return empty.withColumns({"chunk_id": F.lit(None).cast("long"), "batch": F.lit(None).cast("string")})

@@ -11,7 +11,7 @@ from loomwright.operators import ingest as I
 from loomwright.operators import likeness as L
 from loomwright.operators import retrieval as R
 from loomwright.operators import statistics as S
-from loomwright.sources import readers
+from loomwright.sources import pages, readers
 from loomwright.streaming import incremental
 
 
@@ -72,10 +72,39 @@ def test_roles(spark):
 
 
 def test_passages():
-    assert I.split_passage("") == [] and I.split_passage(None) == []
+    assert I.split_passage("") == [] and I.split_passage(None) == [] and I.split_passage(" x ") == ["x"]
     long = "A" * 50 + ". " + "B" * 50 + "."
-    assert I.split_passage("short\n\n" + long, 60) == ["short " + "A" * 50 + ".", "B" * 50 + "."]
+    assert I.split_passage("short\n\n" + long, 60) == ["short\n\n" + "A" * 50 + ".", "B" * 50 + "."]
     assert I.split_passage("C" * 100, 60) == ["C" * 100]
+    paragraphs = ["a" * 20, "b" * 20, "c" * 20, "d" * 20]
+    assert I.split_passage("\n\n".join(paragraphs), 50) == ["a" * 20 + "\n\n" + "b" * 20, "c" * 20 + "\n\n" + "d" * 20]
+
+
+def test_passages_lose_no_word(spark):
+    text = " ".join(f"Word{k} and more{'.' if k % 7 == 0 else ''}" for k in range(3000)) + "\n\n" + "tail. " * 2000
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = I.passages(docs).orderBy("pos").collect()
+    assert {r["doc_id"] for r in got} == {1} and " ".join(r["passage"] for r in got).split() == text.split() and max(len(r["passage"]) for r in got) <= 6000
+
+
+def test_numbered_ids_are_dense_on_many_wide_rows(spark, tmp_path):
+    rows = spark.range(500_000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("a"), F.repeat(F.sha2((F.col("id") + 1).cast("string"), 512), 3).alias("b"))
+    rows = rows.repartition(64, "k")
+    stored = spark.createDataFrame([(41,)], "chunk_id long")
+    got = I.numbered(rows, stored, ("a",))
+    got.select("chunk_id", "a", "b").write.parquet(f"{tmp_path}/out")
+    for frame in (spark.read.parquet(f"{tmp_path}/out"), got):
+        x = frame.agg(F.count("chunk_id").alias("n"), F.count_distinct("chunk_id").alias("d"), F.min("chunk_id").alias("low"), F.max("chunk_id").alias("high")).first()
+        assert tuple(x) == (500_000, 500_000, 42, 500_041)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.alias("x").join(back.alias("y"), F.col("x.chunk_id") + 1 == F.col("y.chunk_id")).where("x.a > y.a").count() == 0
+
+
+def test_numbered_takes_empty_sides_and_ties(spark):
+    none = spark.createDataFrame([], "chunk_id long")
+    rows = spark.createDataFrame([(1, "x"), (1, "x"), (None, "y")], "k int, v string")
+    assert sorted(r["chunk_id"] for r in I.numbered(rows, none, ("k",)).collect()) == [0, 1, 2]
+    assert I.numbered(rows.limit(0), none, ("k",)).count() == 0
 
 
 def test_turns_and_clean(spark):
@@ -96,9 +125,58 @@ def test_retry():
     assert len(calls) == 3
 
 
+def test_chair_turns(spark):
+    text = "CHAIR SMITH. Good afternoon to all.\nSTEVE J. JONES. A question.\nCHAIR SMITH. An answer that\nPage 3 of the meeting\n17\ngoes on. NEIL said no.\nVICE CHAIR SMITHSON. Other."
+    t = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [r["body"] for r in I.chair_turns(t, F.lit("Smith"), 5).orderBy("pos").collect()] == ["Good afternoon to all.", "An answer that goes on. NEIL said no."]
+
+
+def test_page_date(spark):
+    for text, want in (("Held on June 5, 2020.", datetime.date(2020, 6, 5)), ("JUNE 31, 2020", None), ("x" * 1500 + "June 5, 2020", None), ("may 1 1999", datetime.date(1999, 5, 1)), (None, None)):
+        assert one(spark, T.page_date, text) == want
+
+
 def test_article_text():
-    html = '<nav><p>menu</p></nav><div id="article"><p>One <b>two</b></p><div class="video"><p>play</p></div><p>Return to text</p><p>Note</p></div>'
-    assert readers.article_text(html) == "One two" and readers.article_text(None) == ""
+    html = '<p>outside</p><div id="article"><p>One <b>two</b></p><div class="video"><p>play</p></div><p class="sr-only">help</p><p>Watch live now</p><p>We return to text later</p><p>Return to text</p><p>Note</p></div>'
+    assert pages.article_text(html) == "One two\n\nWe return to text later" and pages.article_text(None) == ""
+    assert pages.article_text('<p>a</p><main id="content"><p>b<p>c</p></main>') == "b\n\nc" and pages.article_text("<script>x</script><p>a &amp; b</p>") == "a & b"
+
+
+def test_page_bodies():
+    long = "words " * 100
+    html = f"<nav><p>menu</p></nav><p>lead</p><article>{long}<b>end</b></article><div class='my-content-box'>short</div>"
+    assert pages.body_text(html) == (long + "end").strip() and pages.body_text("<header><p>h</p></header><p>a\n b</p><p>c</p>") == "a b c"
+    assert pages.rendered_text(f"<main><p>{long}</p><p>two</p></main><p>x</p>") == long.strip() + "\n\ntwo" and pages.rendered_text("<p>a</p><p></p><p>b</p>") == "a\n\nb"
+    assert pages.body_text(None) == "" and pages.longer_of(None, "pdf") == "pdf"
+
+
+def test_pages_as_a_table(spark):
+    rows = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (2, None, None, 6)], "page_id long, url string, html string, text int")
+    assert sorted((r["page_id"], r["text"]) for r in pages.texts(rows).collect()) == [(1, "a"), (2, "")]
+
+
+def test_kendall_ties_bound_and_nulls(spark):
+    rows = spark.createDataFrame([(1.0, 1.0), (2.0, 1.0), (3.0, 4.0), (None, 2.0), (float("nan"), 3.0)], "a double, b double")
+    assert math.isclose(S.kendall(rows, "a", "b").first()["tau"], 2 / math.sqrt(6))
+    assert S.kendall(rows.limit(1), "a", "b").first()["tau"] is None and S.kendall(rows.limit(0), "a", "b").first()["tau"] is None
+    with pytest.raises(Exception, match="more than 2 rows"):
+        S.kendall(rows, "a", "b", bound=2).collect()
+
+
+def test_auc_over_ranges(spark):
+    rng = np.random.default_rng(4)
+    score, label = rng.integers(0, 300, 5000), rng.integers(0, 2, 5000)
+    rows = spark.createDataFrame([(int(a), int(b)) for a, b in zip(score, label)], "s long, y int").repartition(7)
+    want = np.mean([(score[label == 0] < x).mean() for x in score[label == 1]])
+    assert math.isclose(S.auc(rows, "s", "y").first()["auc"], want, rel_tol=1e-12) and S.auc(rows.where("y = 1"), "s", "y").first()["auc"] is None
+
+
+def test_as_of_by_key_and_clashing_columns(spark):
+    d = datetime.date
+    series = spark.createDataFrame([("x", d(2020, 1, 10), 1.0), ("y", d(2020, 1, 5), 2.0), ("x", d(2020, 1, 10), 3.0)], "series string, date date, value double")
+    left = spark.createDataFrame([("x", d(2020, 1, 12), 9.0), ("x", d(2020, 1, 12), 8.0), ("y", d(2020, 1, 1), 7.0), (None, d(2020, 1, 9), 6.0)], "series string, date date, value double")
+    got = sorted((r["series"] or "", r["value"] or 0) for r in S.as_of(left, series, "date", by=("series",)).collect())
+    assert got == [("", 0), ("x", 3.0), ("x", 3.0), ("y", 0)]
 
 
 def test_lda_separates():
@@ -119,6 +197,10 @@ def test_incremental_stream_is_idempotent(spark, tmp_path):
     spark.createDataFrame([("u2", datetime.datetime(2024, 1, 3), "b"), ("u3", datetime.datetime(2024, 1, 3), "b")], schema).write.mode("append").parquet(src)
     incremental.run_available(spark, src, rows.schema, out, cp)
     assert sorted((r["postUrl"], r["chunk_id"]) for r in spark.read.parquet(out).collect()) == [("u1", 0), ("u2", 1), ("u3", 2)]
+    late, again = str(tmp_path / "late"), str(tmp_path / "cp2")  # a lost checkpoint: batch numbers start anew, records don't vanish
+    spark.createDataFrame([("u9", datetime.datetime(2024, 1, 9), "a"), ("u1", datetime.datetime(2024, 1, 1), "a")], schema).write.parquet(late)
+    incremental.run_available(spark, late, rows.schema, out, again)
+    assert sorted((r["postUrl"], r["chunk_id"]) for r in spark.read.parquet(out).collect()) == [("u1", 0), ("u2", 1), ("u3", 2), ("u9", 3)]
 
 
 def test_readers(spark, tmp_path):
