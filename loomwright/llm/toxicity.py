@@ -13,7 +13,7 @@ hash of their id.  Scoring reads every whole text and nothing else.
 from __future__ import annotations
 
 import math
-
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fraction, held_out, learnable
+from .common import fraction, held_out, learnable, released, small_batches
 
 _LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
@@ -57,6 +57,19 @@ def fold(text: str | None) -> str:
     return f" {' '.join((text or '').translate(_FOLD).split())} "
 
 
+def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs of overlapping spans, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 @dataclass
 class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)  # " beginning" -> weight
@@ -90,8 +103,8 @@ class Lexicon:
             else:
                 excused.append((at, end))
         if excused:
-            # b is the blank after the phrase, where the next word's entry begins
-            best = {at: w for at, w in best.items() if not any(a <= at < b for a, b in excused)}
+            starts, ends = merged(excused)  # an end is the blank after a phrase, where the next word's entry begins
+            best = {at: w for at, w in best.items() if not (k := bisect_right(starts, at)) or at >= ends[k - 1]}
         total = sum(best.values())
         words = folded.count(" ") - 1
         return math.log1p(total), math.log1p(100.0 * total / (words + 20))
@@ -162,17 +175,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> list:
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; a null text scores as an empty one."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the sample it was learned from
 
     def judge(batches):
         lex = shared.value
         automaton = lex.automaton()
         for batch in batches:
-            scores = [lex.score(lex.features(automaton, t)) for t in batch.column(2).to_pylist()]
+            scores = [lex.score(lex.features(automaton, t)) for at in range(0, batch.num_rows, 64) for t in batch.column(2).slice(at, 64).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(released(judge), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op2_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = 5000) -> DataFrame:
