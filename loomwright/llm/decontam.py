@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import released, small_batches
+from .common import released, small_batches, stored
 from .textnum import NON_WORD, shingles, word_hashes
 
 RADIUS, WORDS = 23, 5
@@ -104,7 +105,11 @@ class Index:
         for n, hits in starts.items():
             m = max(1, n - WORDS + 1)  # shingles in a window
             last = max(0, len(doc) - m)
-            reach = np.unique(np.clip((np.array(hits)[:, None] - np.arange(m)).ravel(), 0, last))
+            hits = np.unique(hits)  # of the windows that hold a hit, the starts: a union of ranges
+            edge = np.zeros(last + 2, dtype=np.int64)
+            np.add.at(edge, np.clip(hits - m + 1, 0, last), 1)
+            np.add.at(edge, np.minimum(hits, last) + 1, -1)
+            reach = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
             own = self.lengths[n]
             for at in range(0, len(reach), 4096):
                 self._windows(doc, reach[at : at + 4096], m, own, least, best)
@@ -136,46 +141,61 @@ class Index:
 _HITS = "array<struct<item_id:bigint,first_word:bigint,similarity:double>>"
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block_items: int = 20_000) -> DataFrame:
-    """The columns of ``docs`` with ``hits``: item_id, first_word, similarity of each item found.
+def mark(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block_items: int = 20_000, name: str = "hits") -> DataFrame:
+    """The columns of ``docs`` with ``name`` (replaced if it is there): item_id, first_word, similarity of each item found.
 
     Null, empty and wordless texts hold nothing; wordless items are found nowhere.  A
     document shorter than an item is one window.  Items are taken ``block_items`` at a
-    time, so what reaches a worker is bounded; each block is a pass over the documents.
+    time, so what reaches a worker is bounded; each block is a pass over the documents,
+    which are then written once with a row number, and the hits of each pass, too.
     """
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null and item_id is not null")
     blocks = max(1, -(-items.count() // block_items))
-    df = docs.withColumn("hits", F.array().cast(_HITS))
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(Index(sorted({(r[0], r[1]) for r in part.collect()})))
-        df = _marked(df, index, least)
-    return df
 
+    def index(k):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        return spark.sparkContext.broadcast(Index(sorted({(r[0], r[1]) for r in part.collect()})))
 
-def _marked(df: DataFrame, index, least: float) -> DataFrame:
-    names = df.columns
-    text_at, hits_at = names.index("text"), names.index("hits")
+    kept = [c for c in docs.columns if c != name]
+    if blocks == 1:
+        return _marked(docs.select(*kept), index(0), least, name)
+    rows = stored(docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)], F.monotonically_increasing_id().alias("row")), "numbered-documents")
+    found = None
+    for k in range(blocks):
+        ix = index(k)
+        own = _marked(rows.select("row", F.col(f"c{kept.index('text')}").alias("text")), ix, least, "hits").where(F.size("hits") > 0)
+        own = stored(own.select("row", "hits"), "hits")
+        found = own if found is None else found.unionByName(own)
+        ix.unpersist()
+    all_hits = found.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    out = rows.join(all_hits, "row", "left")
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(kept)], F.coalesce("hits", F.array().cast(_HITS)).alias(name))
+
+
+def _marked(df: DataFrame, index, least: float, name: str) -> DataFrame:
+    names, text_at = df.columns, df.columns.index("text")
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("similarity", pa.float64())]))
 
     def find(batches):
         ix = index.value
         for batch in batches:
-            old, new = batch.column(hits_at).to_pylist(), []
+            new = []
             for at in range(0, batch.num_rows, 256):
                 new += [[{"item_id": i, "first_word": w, "similarity": s} for i, w, s in ix.search(t, least)] for t in batch.column(text_at).slice(at, 256).to_pylist()]
-            cols = list(batch.columns)
-            cols[hits_at] = pa.array([a + b for a, b in zip(old, new, strict=True)], kind)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, kind)], names=[*names, name])
 
-    return df.mapInArrow(released(find), df.schema)
+    hits = df.select(F.array().cast(_HITS).alias(name)).schema.fields
+    return df.mapInArrow(released(find), StructType([*df.schema.fields, *hits]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
-    return mark(docs, benchmark, least).where(F.size("hits") == 0).drop("hits")
+    name = "hits"
+    while name in docs.columns:  # a caller's own column stays
+        name += "_"
+    return mark(docs, benchmark, least, name=name).where(F.size(name) == 0).drop(name)
 
 
 def op5_decontamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
