@@ -131,7 +131,8 @@ def identify(docs: DataFrame, per_language: int = 400, clusters: int = 4, keep:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], names=[*keys, "lang_pred", "score", "accepted"])
 
     schema = kept.schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
-    return docs.select(F.col("text").cast("string").alias("_text"), *(keep or keys)).mapInArrow(released(judge), schema)
+    named = [c.alias(f"c{k}") for k, c in enumerate(keep or [docs[f"`{c}`"] for c in keys])]  # a caller's names can't clash
+    return docs.select(F.col("text").cast("string").alias("t"), *named).mapInArrow(released(judge), schema)
 
 
 def op9_language(spark: SparkSession, docs: DataFrame) -> DataFrame:
