@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import released, shared_dir, small_batches
 
 CHUNK = 1 << 20
 SALTS = 16
@@ -34,6 +34,7 @@ def plan_records(pages: DataFrame, least: int = 1000) -> DataFrame:
     that repeat both page_id and payload are all responses if theirs is the largest id.
     The join is salted, so a payload that a third of all pages share is dealt out.
     """
+    small_batches(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), F.encode(html, "UTF-8").alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
@@ -101,7 +102,7 @@ def write_archive(records: DataFrame, path: str, chunk: int = CHUNK) -> None:
 
     cols = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     rows = records.select(F.spark_partition_id().alias("archive"), F.monotonically_increasing_id().alias("record"), *cols)
-    rows.mapInArrow(cut, _TABLE).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(released(cut), _TABLE).write.option("compression", "zstd").parquet(path)
 
 
 class CorruptArchive(ValueError):
@@ -178,7 +179,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     chunks = spark.read.schema(_TABLE).parquet(path)
     alone = (F.col("chunk") == 0) & F.col("last")
     many = chunks.where(~alone).repartition("record").sortWithinPartitions("archive", "record", "chunk")
-    return chunks.where(alone).mapInArrow(parse, out).unionByName(many.mapInArrow(parse, out))
+    return chunks.where(alone).mapInArrow(released(parse), out).unionByName(many.mapInArrow(released(parse), out))
 
 
 def op8_warc(spark: SparkSession, pages: DataFrame) -> DataFrame:
