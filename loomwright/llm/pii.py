@@ -30,12 +30,12 @@ BASE = {
 }
 #: High-recall generators of further spans, in the order of their kinds.
 MORE = {
-    "email": (r"[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z]{2,24}){1,4}", r"(?:\(at\)|\[at\]| at )"),
+    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z]{2,}+)++", r"(?:\(at\)|\[at\]| at )"),
     "card": (r"(?<![0-9])[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}[._/][0-9]{4}(?![0-9])", r"[0-9]{4}[._/][0-9]{4}[._/]"),
     "phone": (r"(?<![0-9+(])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", r"[0-9]{3}[\x20.-][0-9]{4}"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}"),
-    "secret": (r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z])(?:[Pp]assword|[Pp]asswd|[Tt]oken|[Ss]ecret|[Aa]pi_?[Kk]ey)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{8,128}+\"?", r"AKIA|[=:]"),
+    "secret": (r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z])(?:[Pp]assword|[Pp]asswd|[Tt]oken|[Ss]ecret|[Aa]pi_?[Kk]ey)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{8,}+\"?", r"AKIA|[=:]"),
 }
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret")
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string,score:double>>"
@@ -296,14 +296,20 @@ def _overlap(a, b):
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` with _base and _spans (start, kind, end, value, score).
+    """The columns of ``docs`` with base_spans and spans (start, kind, end, value, score; replaced if they are there).
 
     A null text counts as empty.  A proposal that overlaps a base span, or a better
     proposal (by score, then start, then kind), is left out.
     """
+    kept = [F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c not in ("base_spans", "spans")]
+    return _found(docs).select(*kept, F.col("_base").alias("base_spans"), F.col("_spans").alias("spans"))
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """c0, c1, ... (the columns of ``docs``, so no name can clash), _text, _base, _spans."""
     trees, cut = model(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("_text", "_base", "_more", "_spans")]
-    df = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    df = docs.select(*own, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     text = F.col("_text")
     none = F.array().cast(_SPAN)
     maybe = text.rlike(r"[0-9@]|\(at\)|\[at\]| at |AKIA|[=:]")
@@ -341,12 +347,12 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` redacted; a null text stays null, other columns as they are."""
-    new = F.when(F.col("text").isNotNull(), redacted(F.col("_text"), F.col("_spans"))).alias("text")
-    return find(docs).select(*[new if c == "text" else F.col(c) for c in docs.columns])
+    new = F.when(F.col(f"c{docs.columns.index('text')}").isNotNull(), redacted(F.col("_text"), F.col("_spans"))).alias("text")
+    return _found(docs).select(*[new if c == "text" else F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op1_pii(spark: SparkSession, docs: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
-    return find(docs.select("doc_id", "text")).select(
-        "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)], F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans")
+    return _found(docs.select("doc_id", "text")).select(
+        F.col("c0").alias("doc_id"), *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)], F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans")
     )
