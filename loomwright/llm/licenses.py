@@ -89,7 +89,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFr
     between = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     phrase = begin + "(?:" + "|".join(between.join(p.split()) for p in PHRASES) + ")" + end
     maybe = (F.contains(low, F.lit("license")) | F.contains(low, F.lit("cc"))) & low.rlike(phrase)
-    df = docs.select(*kept, lowered(F.col("text")).alias("_low"))
+    own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)]  # so a caller's names can't clash
+    df = docs.select(*own, lowered(F.col("text")).alias("_low"))
     df = df.withColumn("_words", F.when(maybe, words_of(low)))
     places = []
     for p, label in PHRASES.items():
@@ -121,7 +122,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFr
     base = F.transform("_places", lambda x: x["label"])
     join = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     return df.select(
-        *kept,
+        *[F.col(f"c{k}").alias(c) for k, c in enumerate(kept)],
         F.regexp_count(low, F.lit(_FAST)).cast("long").alias("n_words"),
         F.size("_places").cast("long").alias("n_base"),
         F.array_min(at).alias("first_word"),
@@ -194,8 +195,7 @@ def _sql() -> str:
     return rf"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(low, '{WORD}') AS ws,
-        list_transform(list_filter(string_split(low, chr(10)), lambda l: regexp_matches(l, 'licen|permission|redistribut|creative|cc|mit|apache|gnu|compliance')),
-                       lambda l: list_distinct(regexp_extract_all(l, '{WORD}'))) AS bs FROM d),
+        list_transform(string_split(low, chr(10)), lambda l: list_distinct(regexp_extract_all(l, '{WORD}'))) AS bs FROM d),
 p AS (SELECT doc_id, len(ws) AS n_words, flatten([
     {lists}]) AS pl,
   list_filter(flatten([{", ".join(met)}]), lambda m: m.share > 0) AS met FROM w)
