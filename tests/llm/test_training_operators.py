@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -188,7 +189,7 @@ def test_language_and_und(spark):
     got = ids_of(langid.op9_language(spark, docs).collect())
     assert all(got[i]["lang_pred"] == x for i, _, x in rows) and got[93]["lang_pred"] == "en"
     assert all(got[i]["lang_pred"] == "und" and got[i]["rejected"] for i in (90, 91, 92))
-    clash = docs.withColumn("score", F.lit("mine")).withColumn("accepted", F.lit(1))
+    clash = docs.withColumn("score", F.lit("mine")).withColumn("accepted", F.lit(1)).withColumn("_text", F.lit("mine")).withColumn("t", F.lit(2))
     assert langid.identify(clash).where("accepted").count() == 81
 
 
@@ -212,6 +213,49 @@ def test_toxicity_counts_a_word_right_after_an_exception():
     assert lex.features(a, "kabar not blargish blargish")[0] == np.log1p(3.0) and lex.features(a, "not blargish, not blargish") == (0.0, 0.0)
 
 
+def test_toxicity_equals_plain_search():
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcd", k=r.randint(1, 4)))
+    for _ in range(40):
+        weights = {f" {toxicity.fold(word()).strip()}": r.random() + 0.1 for _ in range(6)}
+        phrases = sorted({toxicity.fold(f"{word()} {word()}") for _ in range(4)})
+        lex = toxicity.Lexicon(weights=weights, exceptions=phrases)
+        text = " ".join(word() for _ in range(r.randint(0, 120)))
+        folded = toxicity.fold(text)
+        excused = {k for p in phrases for a in range(len(folded)) if folded.startswith(p, a) for k in range(a, a + len(p) - 1)}
+        total = 0.0
+        for at in range(len(folded)):
+            own = [w for k, w in weights.items() if folded.startswith(k, at)]
+            total += max(own) if own and at not in excused else 0.0
+        got = lex.features(lex.automaton(), text)
+        words = len(folded.split())
+        assert np.allclose(got, (np.log1p(total), np.log1p(100 * total / (words + 20))))
+
+
+def test_toxicity_of_many_exceptions_is_fast():
+    import time
+
+    lex = toxicity.Lexicon(weights={" abcd": 1.0}, exceptions=[" abcd ef "])
+    began = time.time()
+    assert lex.features(lex.automaton(), "abcd ef " * 60_000) == (0.0, 0.0) and time.time() - began < 5
+
+
+def test_language_equals_plain_centroids_and_ties():
+    r = random.Random(2)
+    say = lambda letters, n: " ".join("".join(r.choices(letters, k=4)) for _ in range(n))
+    texts_, langs = [say(a, 30) for a in ("abcd", "efgh") for _ in range(12)], ["x"] * 12 + ["y"] * 12
+    model = langid.fit(texts_ + texts_[:3], langs + ["a"] * 3, clusters=3)
+    asked = [say(a, n) for a in ("abcd", "efgh", "abef") for n in (1, 5, 40)] + texts_[:2]
+    counts = np.array([langid.trigram_counts(t) for t in asked])
+    top, score, _ = model.predict(counts)
+    for c, k, s in zip(counts, top, score, strict=True):
+        v = np.log1p(c.astype(np.float32)) * model.idf
+        v = v / np.linalg.norm(v)
+        best = [max(float(v @ m) for m, o in zip(model.centroids, model.owner, strict=True) if o == j) for j in range(3)]
+        assert np.isclose(max(best), best[k], atol=1e-5) and 0 < s <= 1
+    assert model.languages == ["a", "x", "y"] and model.predict(np.zeros((1, langid.BINS)))[0][0] == 0  # equal cosines: the first by name
+
+
 def test_decontamination_finds_planted(spark):
     r = random.Random(5)
     item = " ".join(r.choices(WORDS, k=40))
@@ -224,7 +268,55 @@ def test_decontamination_finds_planted(spark):
     got = decontam.op5_decontamination(spark, docs, bench).collect()
     assert {(g["doc_id"], g["item_id"]) for g in got} == {(1, 7), (4, 7), (5, 7)}
     assert decontam.decontaminate(docs, bench).columns == docs.columns
-    assert decontam.mark(docs, bench, block_items=1).where(F.size("hits") > 0).count() == 3
+    in_blocks = decontam.mark(docs.withColumn("row", F.lit(5)), bench, block_items=1)
+    assert in_blocks.columns == [*docs.columns, "row", "hits"]
+    assert {r["doc_id"]: r["hits"] for r in in_blocks.collect()} == {r["doc_id"]: r["hits"] for r in decontam.mark(docs, bench).collect()}
+    own = docs.withColumn("hits", F.lit("mine"))
+    kept = decontam.decontaminate(own, bench)
+    assert kept.columns == own.columns and {r["hits"] for r in kept.collect()} == {"mine"}
+
+
+def test_decontamination_equals_brute_force(spark):
+    r = random.Random(15)
+    items = [" ".join(r.choices(WORDS, k=n)) for n in (3, 5, 12, 12, 30, 60)]
+    rows = []
+    for k in range(60):
+        w = items[k % len(items)].split()
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = f"other{r.randrange(99)}"
+        rows.append((k, " ".join([*r.choices(WORDS, k=r.randint(0, 20)), *w, *r.choices(WORDS, k=r.randint(0, 20))])))
+    rows += [(100, items[4] + " " + items[4]), (101, f"{items[1]} " * 3000)]
+
+    def grams(w):
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)]
+
+    want = set()
+    for i, text in rows:
+        w = text.split()
+        for j, item in enumerate(items):
+            b = Counter(grams(item.split()))
+            n = len(item.split())
+            for at in range(max(1, len(w) - n + 1)):
+                a = Counter(grams(w[at : at + n]))
+                if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                    want.add((i, j))
+                    break
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontam.op5_decontamination(spark, docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(g["doc_id"], g["item_id"]) for g in got} == want and len(got) == len(want)
+
+
+def test_decontamination_of_a_long_text_stays_small():
+    import tracemalloc
+
+    r = random.Random(3)
+    item = " ".join(r.choices(WORDS, k=2000))
+    index = decontam.Index([(1, item)])
+    tracemalloc.start()
+    found = index.search(" ".join([item] * 30))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0][:2] == (1, 0) and found[0][2] == 1.0 and peak < 300 << 20
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -249,7 +341,12 @@ def test_pii_base_equals_brute_force(spark):
         assert got[i]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         assert set(filter(None, text.split(","))) <= set(got[i]["spans"].split(","))
     assert "secret:" in got[5]["spans"]
-    red = ids_of(pii.redact(docs.drop("_base")).collect())
+    found = ids_of(pii.find(docs.withColumn("spans", F.lit("mine"))).collect())
+    assert all(f["_base"] == 1 and len(f["base_spans"]) <= len(f["spans"]) for f in found.values())
+    long = spark.createDataFrame([(1, "token=" + "k3Y" * 80 + " end"), (2, f"{'a' * 300}.b at {'c' * 90} dot de dot fg dot hi dot jk dot lm"), (3, None)], "doc_id long, text string")
+    assert [r["text"] for r in pii.redact(long).orderBy("doc_id").collect()] == ["[SECRET] end", "[EMAIL]", None]
+    assert pii.redact(docs).columns == docs.columns
+    red = ids_of(pii.redact(docs).collect())
     assert red[7]["text"] == "😀 [EMAIL]" and red[3]["text"] is None and red[4]["text"] == ""
 
 
@@ -258,6 +355,8 @@ def test_licenses(spark):
     docs = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(rows)], "doc_id long, text string, labels string")
     got = ids_of(licenses.scan(docs).collect())
     assert [got[i]["base_labels"] for i in range(7)] == ["mit", "gpl", "", "", "cc-by", "", ""]
+    clash = licenses.scan(docs.withColumns({"_low": F.lit("a"), "_words": F.lit("b"), "_met": F.lit("c")})).collect()
+    assert {(r["_low"], r["_words"], r["_met"]) for r in clash} == {("a", "b", "c")} and {r["doc_id"]: r["labels"] for r in clash} == {i: r["labels"] for i, r in got.items()}
     assert got[4]["n_base"] == 2 and (got[4]["first_word"], got[4]["last_word"]) == (1, 6) and got[5]["labels"] == "mit" and got[6]["score"] == 0.0 and got[2]["n_words"] == 0
 
 
@@ -285,9 +384,34 @@ def test_near_duplicates_equal_brute_force(spark):
     good = [(i, np.array(x) / np.linalg.norm(x), y) for i, x, y in rows[: len(v)] if y is not None]
     n = {i: sum(1 for j, b, z in good if j != i and z == y and a @ b >= 0.93) for i, a, y in good}
     assert {i: got[i]["n_links"] for i in n} == n and len(got) == len(rows)
+    root = {i: i for i in n}
+    for _ in n:
+        for i, a, y in good:
+            for j, b, z in good:
+                if z == y and a @ b >= 0.93:
+                    root[i] = root[j] = min(root[i], root[j])
+    assert {i: got[i]["component_id"] for i in n} == root and all(got[i]["kept"] == (root[i] == i) for i in n)
     assert all(got[i]["kept"] and got[i]["n_links"] == 0 for i in (100, 101, 102, 103, 104))
 
 
+def test_near_duplicates_recall_at_the_threshold(spark):
+    r = np.random.default_rng(7)
+    dim, n = 64, 1500
+    base = r.normal(size=(n, dim))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = r.normal(size=(n, dim))
+    off -= (off * base).sum(1, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cosine = np.r_[np.full(n // 2, 0.9305), r.uniform(0.92, 0.99, n - n // 2)][:, None]
+    v = np.r_[base, cosine * base + np.sqrt(1 - cosine**2) * off]
+    rows = [(i, x.tolist(), 3) for i, x in enumerate(v)]
+    got = {x["vec_id"]: x["n_links"] for x in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=500).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    found = np.array([got[i] for i in range(len(v))])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum() > 1000
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     bench = spark.createDataFrame([], "item_id long, text string")
