@@ -4,60 +4,19 @@ from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.sources.shared import removed, shared_dir, stored, stored_at  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, read by Spark from wherever ``sf_dir`` points."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_LOCAL: dict[str, str] = {}  # application id -> temporary folder, for masters of one machine
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where that is unset, a local master (as in tests) gets a temporary folder; a cluster
-    must name one, as no folder of one machine is seen by the others.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        name = spark.sparkContext.applicationId
-        if name not in _LOCAL:
-            _LOCAL[name] = "file://" + tempfile.mkdtemp(prefix="loomwright-")
-        root = _LOCAL[name]
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """The rows of ``df`` written to the shared folder and read back.
-
-    This cuts lineage: later stages read files that survive lost executors,
-    and steps that must agree (such as partition numbers) see one version.
-    """
-    return _stored(df, shared_dir(df.sparkSession, what))
-
-
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    spark, schema = df.sparkSession, df.schema
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")  # the files hold all that the shuffles did
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(schema).parquet(path)
-
-
 class Scratch:
     """Tables in the shared folder that a job removes when their last reader is done."""
 
@@ -68,15 +27,13 @@ class Scratch:
         """``df`` written and read back; a ``light`` table, whose last step is cheap, in as many files as there
         are cores at most, not one a shuffle partition."""
         path = shared_dir(self.spark, what)
-        out = _stored(df.coalesce(self.spark.sparkContext.defaultParallelism) if light else df, path)
+        out = stored_at(df.coalesce(self.spark.sparkContext.defaultParallelism) if light else df, path)
         self.paths[id(out)] = (path, out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            path, _ = self.paths.pop(id(t))
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            removed(self.spark, self.paths.pop(id(t))[0])
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
