@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import shared_dir, table
+from loomwright.llm.common import removed, shared_dir, table
 from loomwright.llm.decontam import decontaminate
 from loomwright.llm.langid import identify
 from loomwright.llm.ngramjoin import one_of_each
@@ -59,9 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_dir(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last:
+            removed(spark, last)  # no later stage reads it
+        docs, last = spark.read.parquet(path), path
     return docs
