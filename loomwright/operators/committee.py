@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ OFFICES = (
     ("Jeffrey R. Schmid", "2023-08-21", "pres:Kansas City"),
     ("Anna Paulson", "2025-07-01", "pres:Philadelphia"),
 )
+#: Member, first day in the chair, the day after the last (None: still there).
+CHAIRS = (("Jerome H. Powell", "2018-02-05", "2026-05-22"), ("Kevin M. Warsh", "2026-05-22", None))
 #: Bank, modulus, remainder of the years in which it votes.
 ROTATION = (
     ("Chicago", 2, 1), ("Cleveland", 2, 0), ("Boston", 3, 0), ("Philadelphia", 3, 1), ("Richmond", 3, 2), ("St. Louis", 3, 0),
@@ -63,10 +67,17 @@ def roles(dates: DataFrame, office: DataFrame, turns: DataFrame) -> DataFrame:
     always = F.col("office").isin("governor", "chair", "pres:NY")
     turn = F.coalesce(F.pmod(F.year("date"), F.col("modulus")) == F.col("remainder"), F.lit(False))
     voting = F.when(F.col("date").isNull(), None).otherwise(F.coalesce(always, F.lit(False)) | turn)
-    chair = F.when(F.col("date").isNull(), None).otherwise(F.coalesce(F.col("office") == "chair", F.lit(False)))
+    terms = [(F.col("member") == m) & (F.col("date") >= F.lit(a).cast("date")) & (F.lit(True) if b is None else F.col("date") < F.lit(b).cast("date")) for m, a, b in CHAIRS]
+    chair = F.when(F.col("date").isNull(), None).otherwise(reduce(lambda x, y: x | y, terms))
     return held.select("member", "date", "office", voting.alias("is_voting"), chair.alias("is_chair"))
 
 
+def sitting(roles_: DataFrame, voting_only: bool = False) -> DataFrame:
+    """member, date, office of those in office, or of those who vote."""
+    kept = roles_.where("office is not null")
+    return (kept.where("is_voting") if voting_only else kept).select("member", "date", "office")
+
+
 def roster(chunks: DataFrame, meetings: DataFrame, least: int = 5) -> DataFrame:
     """date, member, n: members with at least ``least`` chunks dated on or before the meeting.
 

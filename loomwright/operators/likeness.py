@@ -77,6 +77,31 @@ def cross_validated(rows: DataFrame) -> DataFrame:
     return every.groupBy("part", "fold").applyInPandas(one, "part string, fold long, true string, pred string, log_p double")
 
 
+def class_scores(rows: DataFrame, member: str) -> DataFrame:
+    """part, fold, true, own, score: the held-out log-probability that each row is ``member``'s; ``own`` where it is."""
+    every = _folds(rows, rows.select("part", "fold").distinct())
+
+    def one(pdf):
+        import pandas as pd
+
+        held = (pdf["own"] == pdf["fold"]).to_numpy()
+        x, y = np.array([np.asarray(v, dtype=float) for v in pdf["embedding"]]), pdf["label"].to_numpy()
+        if not held.any() or member not in y[~held] or len(np.unique(y[~held])) < 2:
+            return pd.DataFrame({"part": [], "fold": [], "true": [], "own": [], "score": []})
+        model = fit(x[~held], y[~held])
+        score = log_probabilities(model, x[held])[:, list(model[0]).index(member)]
+        return pd.DataFrame({"part": pdf["part"][held], "fold": pdf["fold"][held], "true": y[held], "own": y[held] == member, "score": score})
+
+    return every.groupBy("part", "fold").applyInPandas(one, "part string, fold long, true string, own boolean, score double")
+
+
+def decisions(predictions: DataFrame, positive: str) -> DataFrame:
+    """part, true, decision: out-of-fold decision values of two classes, log p(positive) - log p(other), from log_p of the true one."""
+    p = F.least(F.exp("log_p"), F.lit(1 - 1e-12))
+    odds = F.col("log_p") - F.log(1 - p)
+    return predictions.select("part", "true", F.when(F.col("true") == positive, odds).otherwise(-odds).alias("decision"))
+
+
 def recall(predictions: DataFrame) -> DataFrame:
     """part, true, n, recall."""
     return predictions.groupBy("part", "true").agg(F.count("*").alias("n"), F.avg((F.col("true") == F.col("pred")).cast("int")).alias("recall"))

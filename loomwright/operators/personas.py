@@ -58,11 +58,14 @@ def completion_prompt(seed: Column, remaining: Column, found: Column | None = No
 class FirstStatement:
     """Replies with the first words of the prompt and of its first statement; without a statement it fails (empty)."""
 
+    def __init__(self, head: int = 8, said: int = 12):
+        self.head, self.said = head, said
+
     def reply(self, system: Column, user: Column) -> Column:
         lines = F.split(user, "\n")
         said = F.get(F.filter(lines, lambda s: F.startswith(s, F.lit("- "))), F.lit(0))
         start = lambda s, n: F.array_join(F.slice(F.split(F.trim(s), r"\s+"), 1, n), " ")
-        text = F.concat(start(F.get(lines, F.lit(0)), 8), F.lit(" "), start(F.substring(said, 3, 1 << 30), 12))
+        text = F.concat(start(F.get(lines, F.lit(0)), self.head), F.lit(" "), start(F.substring(said, 3, 1 << 30), self.said))
         return F.when(said.isNull(), "").otherwise(clean_reply(text))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import index_queries, series_queries, source_queries, text_queries, vector_queries
+from . import index_queries, likeness_queries, series_queries, source_queries, text_queries, vector_queries
 
-_MODULES = (vector_queries, series_queries, text_queries, index_queries, source_queries)
+_MODULES = (vector_queries, series_queries, text_queries, index_queries, source_queries, likeness_queries)
 
 
 def queries() -> dict:

@@ -113,16 +113,17 @@ def baseline_accuracy(spark, d):
 def separation(spark, d):
     """Mean of the index where the next change is up less that where it is down, and the correlation."""
     p = panel(spark, d)
-    return p.agg(F.round(F.avg(F.when(F.col("y") > 0, F.col("x"))) - F.avg(F.when(F.col("y") < 0, F.col("x"))), 6).alias("sep"), F.round(F.when(F.count("*") >= 3, F.corr("x", "y")), 6).alias("r"), F.round(F.regr_slope("y", "x"), 6).alias("slope"))
+    return p.agg(F.round(F.regr_intercept("y", "x"), 4).alias("intercept"), F.round(F.avg(F.when(F.col("y") > 0, F.col("x"))) - F.avg(F.when(F.col("y") < 0, F.col("x"))), 6).alias("sep"), F.round(F.when(F.count("*") >= 3, F.corr("x", "y")), 6).alias("r"), F.round(F.regr_slope("y", "x"), 6).alias("slope"))
 
 
 def histogram(spark, d):
-    """Density over 13 bins of [-3, 3] of the standardised series; the last bin is closed."""
-    p = panel(spark, d)
+    """Densities over 13 bins of [-3, 3] of two samples, standardised together; the last bin is closed."""
+    p = panel(spark, d).select("x", F.when(F.col("y") > 0, "up").otherwise("other").alias("sample"))
     stats = p.agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))
-    z = p.crossJoin(F.broadcast(stats)).withColumn("z", (F.col("x") - F.col("mu")) / F.col("sd")).where("z between -3 and 3")
-    b = z.withColumn("bin", F.least(F.floor((F.col("z") + 3) / (6 / 13)), F.lit(12)).cast("long"))
-    return b.groupBy("bin").agg(F.count("*").alias("n"))
+    z = p.crossJoin(F.broadcast(stats)).select("sample", ((F.col("x") - F.col("mu")) / (F.col("sd") + 1e-9)).alias("z")).where("z between -3 and 3")
+    b = z.groupBy("sample", F.least(F.floor((F.col("z") + 3) / (6 / 13)), F.lit(12)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    n = b.groupBy("sample").agg(F.sum("n").alias("all"))
+    return b.join(F.broadcast(n), "sample").select("sample", "bin", "n", F.round(F.col("n") / F.col("all") / (6 / 13), 6).alias("density"))  # two rows
 
 
 def index_by_decision(spark, d):
@@ -140,6 +141,11 @@ def office_range_join(spark, d):
     return C.roles(dates, C.offices(spark), C.rotation(spark))
 
 
+def voting_roster(spark, d):
+    dates = spark.sql("SELECT explode(sequence(DATE'2010-01-15', DATE'2026-06-15', INTERVAL 3 MONTH)) AS date")
+    return C.sitting(C.roles(dates, C.offices(spark), C.rotation(spark)), voting_only=True)
+
+
 def _activity(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     return e.select(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("member"), F.to_date("ts").alias("posted"), "value", "event_type", "event_id")
@@ -197,11 +203,12 @@ ORACLES = {
     "kendall_tau_b": f"WITH {_PA} SELECT round(sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y)))), 6) AS tau FROM p a JOIN p b ON a.i < b.i",
     "base_rate": f"WITH {_PA}, c AS (SELECT sign(y) AS cls, count(*) AS n FROM p GROUP BY 1) SELECT round(max(n) / sum(n), 6) AS base_rate, sum(n)::BIGINT AS n FROM c",
     "baseline_accuracy": f"WITH {_PA}, {_DB}, j AS (SELECT i, cls, lag(sign(y)::INT, 1, 99) OVER (ORDER BY i) AS prev, sign(y) AS s FROM p JOIN dc USING (i)) SELECT round(avg((prev = s)::INT) FILTER (prev <> 99), 6) AS persistence, round(avg((cls = s)::INT) FILTER (cls <> 99), 6) AS walk_forward FROM j WHERE i >= 24",
-    "separation": f"WITH {_PA} SELECT round(avg(x) FILTER (y > 0) - avg(x) FILTER (y < 0), 6) AS sep, round(corr(x, y), 6) AS r, round(regr_slope(y, x), 6) AS slope FROM p",
-    "histogram": f"WITH {_PA}, z AS (SELECT (x - avg(x) OVER ()) / (stddev_pop(x) OVER ()) AS z FROM p) SELECT least(floor((z + 3) / (6.0::DOUBLE / 13)), 12)::BIGINT AS bin, count(*) AS n FROM z WHERE z BETWEEN -3 AND 3 GROUP BY 1",
+    "separation": f"WITH {_PA} SELECT round(regr_intercept(y, x), 4) AS intercept, round(avg(x) FILTER (y > 0) - avg(x) FILTER (y < 0), 6) AS sep, round(corr(x, y), 6) AS r, round(regr_slope(y, x), 6) AS slope FROM p",
+    "histogram": f"WITH {_PA}, z AS (SELECT CASE WHEN y > 0 THEN 'up' ELSE 'other' END AS sample, (x - avg(x) OVER ()) / (stddev_pop(x) OVER () + 1e-9) AS z FROM p), b AS (SELECT sample, least(floor((z + 3) / (6.0::DOUBLE / 13)), 12)::BIGINT AS bin, count(*) AS n FROM z WHERE z BETWEEN -3 AND 3 GROUP BY ALL) SELECT sample, bin, n, round(n / (sum(n) OVER (PARTITION BY sample)) / (6.0::DOUBLE / 13), 6) AS density FROM b",
     "index_by_decision": f"WITH {_PA} SELECT sign(y)::INT AS cls, count(*) AS n, round(quantile_cont(x, 0.5), 6) AS median_x FROM p WHERE date >= DATE '1997-01-01' GROUP BY 1",
     "taylor": f"WITH {_PA} SELECT i, round(2 + m + 0.5 * (m - 2) - (4.0 - 4.4) - x / 100, 6) AS gap, round(log10(x), 6) AS log_x FROM p",
     "office_range_join": f"WITH {_OFF}, dt AS (SELECT unnest(generate_series(DATE '2010-01-15', DATE '2026-06-15', INTERVAL 3 MONTH))::DATE AS date), mb AS (SELECT DISTINCT member FROM o), h AS (SELECT mb.member, dt.date, office FROM dt CROSS JOIN mb LEFT JOIN o ON o.member = mb.member AND start <= dt.date AND (stop IS NULL OR dt.date < stop)) SELECT member, date, office, coalesce(office IN ('governor', 'chair', 'pres:NY'), false) OR coalesce(year(date) % md = rm, false) AS is_voting, coalesce(office = 'chair', false) AS is_chair FROM h LEFT JOIN rot ON 'pres:' || bank = office",
+    "voting_roster": f"WITH {_OFF}, dt AS (SELECT unnest(generate_series(DATE '2010-01-15', DATE '2026-06-15', INTERVAL 3 MONTH))::DATE AS date) SELECT member, date, office FROM dt JOIN o ON start <= dt.date AND (stop IS NULL OR dt.date < stop) LEFT JOIN rot ON 'pres:' || bank = office WHERE office IS NOT NULL AND (office IN ('governor', 'chair', 'pres:NY') OR coalesce(year(date) % md = rm, false))",
     "roster": f"WITH {_ACT} SELECT date, member, count(*)::BIGINT AS n FROM ev JOIN wk ON posted <= date GROUP BY ALL HAVING count(*) >= 5",
     "committee_index": f"WITH {_ACT}, v AS (SELECT date, member, avg(value) AS v FROM ev JOIN wk ON posted <= date GROUP BY ALL HAVING count(value) >= 5) SELECT date, round(avg(v), 6) AS \"index\", count(*) AS n_members FROM v GROUP BY date",
     "modal_vote": f"WITH {_ACT}, c AS (SELECT weekofyear(posted)::INT AS meeting, CASE event_id % 3 WHEN 0 THEN 'hike' WHEN 1 THEN 'cut' ELSE 'hold' END AS vote, count(*) AS n, min(event_id) AS f FROM ev GROUP BY ALL) SELECT meeting, vote, n FROM (SELECT *, row_number() OVER (PARTITION BY meeting ORDER BY n DESC, f) AS r FROM c) WHERE r = 1",

@@ -26,6 +26,10 @@ def anchors(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.when(F.col("label") < 5, "high").otherwise("low").alias("pole"), "embedding")
 
 
+#: Sizes of the subsets of the battery.
+SIZES = (1, 2, 3, 5, 8, 12)
+
+
 def _r(c, n=6):
     return F.round(F.col(c), n).alias(c)
 
@@ -95,21 +99,22 @@ def _per_query(spark, d):
 
 def tau_by_topic(spark, d):
     s = _per_query(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("query_idx").orderBy(F.round("stance", 9).desc(), "member")))
-    t = _tau(s, spark, ("query_idx",))
-    return t.groupBy((F.col("query_idx") % 3).alias("topic")).agg(F.round(F.avg("tau"), 6).alias("tau"), F.count("*").alias("n"))
+    groups = spark.createDataFrame([(f"s{k}", f"topic {k % 3}") for k in range(4)], "subtopic string, topic string")  # s4 has none
+    t = _tau(s, spark, ("query_idx",)).withColumn("subtopic", F.concat(F.lit("s"), (F.col("query_idx") % 5).cast("string")))
+    return t.join(F.broadcast(groups), "subtopic").groupBy("topic").agg(F.round(F.avg("tau"), 6).alias("tau"), F.count("*").alias("n"))
 
 
 def tau_by_query_size(spark, d):
-    """tau of the mean stance over subsets of the battery: 10 repetitions of four sizes, drawn by a portable hash."""
+    """tau of the mean stance over subsets of the battery: 40 repetitions of six sizes, drawn by a portable hash."""
     per = _per_query(spark, d)
-    reps = spark.range(10).select(F.col("id").alias("rep"))
+    reps = spark.range(40).select(F.col("id").alias("rep"))
     draw = battery(spark, d).select("query_idx").crossJoin(F.broadcast(reps))
     order = Window.partitionBy("rep").orderBy(F.md5(F.concat_ws(":", F.lit("s"), "rep", "query_idx").cast("binary")))
-    sizes = spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("long") for x in (1, 3, 5, 8)])).alias("size"))
+    sizes = spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("long") for x in SIZES])).alias("size"))
     draw = draw.withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(sizes)).where("place <= size")
     s = per.join(F.broadcast(draw), "query_idx").groupBy("size", "rep", "member").agg(F.avg("stance").alias("stance"))
     s = s.withColumn("rank", F.row_number().over(Window.partitionBy("size", "rep").orderBy(F.round("stance", 9).desc(), "member")))
-    return _tau(s, spark, ("size", "rep")).groupBy("size").agg(F.round(F.percentile("tau", F.lit(0.5)), 6).alias("median_tau"), F.round(F.stddev_pop("tau"), 6).alias("spread"))
+    return _tau(s, spark, ("size", "rep")).groupBy("size").agg(F.round(F.percentile("tau", F.lit(0.5)), 6).alias("median_tau"), F.round(F.avg("tau"), 6).alias("mean_tau"), F.round(F.stddev_pop("tau"), 6).alias("spread"))
 
 
 def left_join_vectors(spark, d):
@@ -161,8 +166,8 @@ ORACLES = {
     "stance_retrieved": _head() + f", {_MV.format(by='query_idx, member', src='top')}, m2 AS (SELECT member, pos, avg(v) AS v FROM mv GROUP BY ALL), s AS (SELECT member, sum(v*u) AS stance FROM m2 JOIN ax USING (pos) GROUP BY member) SELECT member, round(stance, 6) AS stance, {_RANK.format(p='')} AS rank FROM s",
     "kendall_stance": _head() + f", {_MV.format(by='query_idx, member', src='top')}, m2 AS (SELECT member, pos, avg(v) AS v FROM mv GROUP BY ALL), s AS (SELECT member, sum(v*u) AS stance FROM m2 JOIN ax USING (pos) GROUP BY member), r AS (SELECT {_RANK.format(p='')} AS rank, substr(member, 2)::INT AS ext FROM s) SELECT round({_TAU}, 6) AS tau FROM r x JOIN r y ON x.ext < y.ext",
     "tau_by_depth": _head(k=5) + f", e AS (SELECT k, query_idx, member, embedding FROM top, (SELECT unnest(range(1, 6)) AS k) WHERE rank <= k), {_MV.format(by='k, query_idx, member', src='e')}, m2 AS (SELECT k, member, pos, avg(v) AS v FROM mv GROUP BY ALL), s AS (SELECT k, member, sum(v*u) AS stance FROM m2 JOIN ax USING (pos) GROUP BY k, member), r AS (SELECT k, {_RANK.format(p='PARTITION BY k')} AS rank, substr(member, 2)::INT AS ext FROM s) SELECT x.k AS k, round({_TAU}, 6) AS tau FROM r x JOIN r y ON x.k = y.k AND x.ext < y.ext GROUP BY x.k",
-    "tau_by_topic": _head() + f", {_MV.format(by='query_idx, member', src='top')}, s AS (SELECT query_idx, member, sum(v*u) AS stance FROM mv JOIN ax USING (pos) GROUP BY ALL), r AS (SELECT query_idx, {_RANK.format(p='PARTITION BY query_idx')} AS rank, substr(member, 2)::INT AS ext FROM s), t AS (SELECT x.query_idx AS query_idx, {_TAU} AS tau FROM r x JOIN r y ON x.query_idx = y.query_idx AND x.ext < y.ext GROUP BY x.query_idx) SELECT query_idx % 3 AS topic, round(avg(tau), 6) AS tau, count(*) AS n FROM t GROUP BY 1",
-    "tau_by_query_size": _head() + f", {_MV.format(by='query_idx, member', src='top')}, p AS (SELECT query_idx, member, sum(v*u) AS stance FROM mv JOIN ax USING (pos) GROUP BY ALL), dr AS (SELECT rep, query_idx, row_number() OVER (PARTITION BY rep ORDER BY md5('s:' || rep || ':' || query_idx)) AS place FROM bat, (SELECT unnest(range(10)) AS rep)), s AS (SELECT size, rep, member, avg(stance) AS stance FROM p JOIN dr USING (query_idx), (SELECT unnest([1, 3, 5, 8]) AS size) WHERE place <= size GROUP BY ALL), r AS (SELECT size, rep, {_RANK.format(p='PARTITION BY size, rep')} AS rank, substr(member, 2)::INT AS ext FROM s), t AS (SELECT x.size AS size, x.rep AS rep, {_TAU} AS tau FROM r x JOIN r y ON x.size = y.size AND x.rep = y.rep AND x.ext < y.ext GROUP BY ALL) SELECT size::BIGINT AS size, round(quantile_cont(tau, 0.5), 6) AS median_tau, round(stddev_pop(tau), 6) AS spread FROM t GROUP BY size",
+    "tau_by_topic": _head() + f", {_MV.format(by='query_idx, member', src='top')}, s AS (SELECT query_idx, member, sum(v*u) AS stance FROM mv JOIN ax USING (pos) GROUP BY ALL), r AS (SELECT query_idx, {_RANK.format(p='PARTITION BY query_idx')} AS rank, substr(member, 2)::INT AS ext FROM s), t AS (SELECT x.query_idx AS query_idx, {_TAU} AS tau FROM r x JOIN r y ON x.query_idx = y.query_idx AND x.ext < y.ext GROUP BY x.query_idx) SELECT 'topic ' || (query_idx % 5 % 3) AS topic, round(avg(tau), 6) AS tau, count(*) AS n FROM t WHERE query_idx % 5 < 4 GROUP BY 1",
+    "tau_by_query_size": _head() + f", {_MV.format(by='query_idx, member', src='top')}, p AS (SELECT query_idx, member, sum(v*u) AS stance FROM mv JOIN ax USING (pos) GROUP BY ALL), dr AS (SELECT rep, query_idx, row_number() OVER (PARTITION BY rep ORDER BY md5('s:' || rep || ':' || query_idx)) AS place FROM bat, (SELECT unnest(range(40)) AS rep)), s AS (SELECT size, rep, member, avg(stance) AS stance FROM p JOIN dr USING (query_idx), (SELECT unnest([1, 2, 3, 5, 8, 12]) AS size) WHERE place <= size GROUP BY ALL), r AS (SELECT size, rep, {_RANK.format(p='PARTITION BY size, rep')} AS rank, substr(member, 2)::INT AS ext FROM s), t AS (SELECT x.size AS size, x.rep AS rep, {_TAU} AS tau FROM r x JOIN r y ON x.size = y.size AND x.rep = y.rep AND x.ext < y.ext GROUP BY ALL) SELECT size::BIGINT AS size, round(quantile_cont(tau, 0.5), 6) AS median_tau, round(avg(tau), 6) AS mean_tau, round(stddev_pop(tau), 6) AS spread FROM t GROUP BY size",
     "left_join_vectors": f"SELECT source, count(*) AS n, count(embedding) AS with_vector, round(sum(coalesce({_DOT.format(a='embedding', b='embedding')}, 0)), 4) AS squares FROM documents LEFT JOIN embeddings ON doc_id = vec_id GROUP BY source",
     "confusion_recall": f"WITH {_CH}, {_MV.format(by='member', src='ch')}, q AS (SELECT member AS pred, list(v ORDER BY pos) AS q FROM mv GROUP BY member), s AS (SELECT member, pred, row_number() OVER (PARTITION BY chunk_id ORDER BY round({_DOT.format(a='embedding', b='q')}, 9) DESC, pred) AS r FROM ch, q) SELECT member AS \"true\", pred, count(*) AS n FROM s WHERE r = 1 GROUP BY ALL",
     "recall_tau": f"WITH {_CH}, {_MV.format(by='member', src='ch')}, q AS (SELECT member AS pred, list(v ORDER BY pos) AS q FROM mv GROUP BY member), s AS (SELECT member, pred, row_number() OVER (PARTITION BY chunk_id ORDER BY round({_DOT.format(a='embedding', b='q')}, 9) DESC, pred) AS r FROM ch, q), a AS (SELECT member AS \"true\", avg((member = pred)::INT) AS recall FROM s WHERE r = 1 GROUP BY member) SELECT \"true\", round(recall, 6) AS recall, round(2 * greatest(recall, 1 - recall) - 1, 6) AS tau FROM a",

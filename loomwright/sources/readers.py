@@ -49,6 +49,22 @@ def json_list(spark: SparkSession, path: str, element: str = "string") -> DataFr
     return spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<{element}>")).alias("pos", "value"))
 
 
+#: Query settings by name: the file, and the element's type.
+SETTINGS = {"curated": ("queries/curated.json", "string"), "pool": ("queries/pool_72.json", "struct<q:string,subtopic:string,dove_end:string,hawk_end:string>")}
+
+
+def load_queries(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """query_idx and query (curated), or the pool's q, subtopic and ends; another name raises KeyError."""
+    path, element = SETTINGS[name]
+    rows = json_list(spark, f"{root}/{path}", element).withColumnRenamed("pos", "query_idx")
+    return rows.withColumnRenamed("value", "query") if element == "string" else rows.select("query_idx", "value.*")
+
+
+def load_anchors(spark: SparkSession, path: str) -> DataFrame:
+    """pole, pos, text of a map of lists."""
+    return json_map(spark, path, "array<string>").select(F.col("key").alias("pole"), F.posexplode("value").alias("pos", "text"))
+
+
 def macro_csv(spark: SparkSession, path: str, series: str) -> DataFrame:
     """series, date, value: the date column is observation_date, DATE or the first; other text than numbers is skipped."""
     raw = spark.read.csv(path, header=True)
