@@ -1,7 +1,7 @@
 """Shrinkage linear discriminant analysis: attribution and detectability.
 
-Folds are independent groups; each is fitted by one Arrow task on the vectors of that
-fold (members x queries rows, a bounded design), and the metrics are aggregations.
+A problem (part) is one Arrow task over its vectors (members x queries rows, a bounded
+design), which fits its folds in turn, and the metrics are aggregations.
 """
 
 from __future__ import annotations
@@ -47,9 +47,32 @@ def log_probabilities(model, x: np.ndarray) -> np.ndarray:
     return score - np.log(np.exp(score).sum(1, keepdims=True))
 
 
-def _folds(rows: DataFrame, folds: DataFrame) -> DataFrame:
-    """Every row once for each fold of its group: fold is the held-out one."""
-    return rows.withColumnRenamed("fold", "own").join(folds, "part").select("part", "fold", "own", "label", "embedding")
+def _held_out(rows: DataFrame, schema: str, judge) -> DataFrame:
+    """What ``judge(classes, log-probabilities, labels)`` gives for the rows of each fold, fitted on the part's other folds.
+
+    A part is one task, which holds its vectors once and takes the folds in turn.  Folds
+    whose other rows have a single label are left out.
+    """
+
+    def one(pdf):
+        import pandas as pd
+
+        x = np.array([np.asarray(v, dtype=float) for v in pdf["embedding"]])
+        y, fold = pdf["label"].to_numpy(dtype=object), pdf["fold"].to_numpy()
+        out: dict[str, list] = {c.split()[0]: [] for c in schema.split(", ")}
+        for f in np.unique(fold):
+            held = fold == f
+            if len(np.unique(y[~held])) >= 2:
+                model = fit(x[~held], y[~held])
+                found = judge(model[0], log_probabilities(model, x[held]), y[held])
+                if found is not None:
+                    n = int(held.sum())
+                    for c, values in {"part": [pdf["part"].iloc[0]] * n, "fold": [f] * n, "true": y[held], **found}.items():
+                        out[c] += list(values)
+        kinds = {"string": object, "long": "int64", "double": "float64", "boolean": bool}
+        return pd.DataFrame({c: pd.Series(out[c], dtype=kinds[t]) for c, t in (x.split() for x in schema.split(", "))})
+
+    return rows.select("part", "fold", "label", "embedding").groupBy("part").applyInPandas(one, schema)
 
 
 def cross_validated(rows: DataFrame) -> DataFrame:
@@ -58,41 +81,21 @@ def cross_validated(rows: DataFrame) -> DataFrame:
     rows: part (an independent problem), fold, label, embedding.  Used for attribution
     (fold = query) and for two-way detectability (explicit folds).
     """
-    every = _folds(rows, rows.select("part", "fold").distinct())
 
-    def one(pdf):
-        import pandas as pd
-
-        held = (pdf["own"] == pdf["fold"]).to_numpy()
-        x = np.array([np.asarray(v, dtype=float) for v in pdf["embedding"]])
-        y = pdf["label"].to_numpy()
-        if not held.any() or len(np.unique(y[~held])) < 2:
-            return pd.DataFrame({"part": [], "fold": [], "true": [], "pred": [], "log_p": []})
-        model = fit(x[~held], y[~held])
-        lp = log_probabilities(model, x[held])
-        col = {c: k for k, c in enumerate(model[0])}
-        own = [lp[i, col[t]] if t in col else float("nan") for i, t in enumerate(y[held])]
-        return pd.DataFrame({"part": pdf["part"][held], "fold": pdf["fold"][held], "true": y[held], "pred": model[0][lp.argmax(1)], "log_p": own})
+    def judge(classes, lp, y):
+        col = {c: k for k, c in enumerate(classes)}
+        return {"pred": classes[lp.argmax(1)], "log_p": [lp[i, col[t]] if t in col else float("nan") for i, t in enumerate(y)]}
 
-    return every.groupBy("part", "fold").applyInPandas(one, "part string, fold long, true string, pred string, log_p double")
+    return _held_out(rows, "part string, fold long, true string, pred string, log_p double", judge)
 
 
 def class_scores(rows: DataFrame, member: str) -> DataFrame:
     """part, fold, true, own, score: the held-out log-probability that each row is ``member``'s; ``own`` where it is."""
-    every = _folds(rows, rows.select("part", "fold").distinct())
-
-    def one(pdf):
-        import pandas as pd
 
-        held = (pdf["own"] == pdf["fold"]).to_numpy()
-        x, y = np.array([np.asarray(v, dtype=float) for v in pdf["embedding"]]), pdf["label"].to_numpy()
-        if not held.any() or member not in y[~held] or len(np.unique(y[~held])) < 2:
-            return pd.DataFrame({"part": [], "fold": [], "true": [], "own": [], "score": []})
-        model = fit(x[~held], y[~held])
-        score = log_probabilities(model, x[held])[:, list(model[0]).index(member)]
-        return pd.DataFrame({"part": pdf["part"][held], "fold": pdf["fold"][held], "true": y[held], "own": y[held] == member, "score": score})
+    def judge(classes, lp, y):
+        return {"own": y == member, "score": lp[:, list(classes).index(member)]} if member in classes else None
 
-    return every.groupBy("part", "fold").applyInPandas(one, "part string, fold long, true string, own boolean, score double")
+    return _held_out(rows, "part string, fold long, true string, own boolean, score double", judge)
 
 
 def decisions(predictions: DataFrame, positive: str) -> DataFrame:

@@ -14,11 +14,14 @@ from concurrent.futures import Future
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.operators.ingest import numbered
+from loomwright.operators.ingest import new_records, numbered
 
 
-def run_available(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str = "postUrl", order: tuple[str, ...] = ("postedAt", "postUrl")) -> None:
-    """Read new parquet files of ``source`` and append unseen records to ``target`` (chunk_id, batch, member partitions)."""
+def run_available(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str = "postUrl", order: tuple[str, ...] = ("postedAt", "postUrl"), marks: tuple[str, ...] = ()) -> None:
+    """Read new parquet files of ``source`` and append unseen records to ``target`` (chunk_id, batch, member partitions).
+
+    With ``marks`` (such as member, source) records older than their group's newest stored one are left out, too.
+    """
     stream: Future = Future()  # the id that the checkpoint keeps
 
     def write(batch: DataFrame, number: int) -> None:
@@ -26,7 +29,10 @@ def run_available(spark: SparkSession, source: str, schema, target: str, checkpo
         if stored.where(F.col("batch") == name).limit(1).count():
             return
         unseen = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(batch.where(F.col(key).isNull()))
-        unseen = unseen.join(stored.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+        if marks:
+            unseen = new_records(unseen, stored, key, marks)
+        else:
+            unseen = unseen.join(stored.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
         numbered(unseen, stored, order).withColumn("batch", F.lit(name)).write.mode("append").partitionBy("member").parquet(target)
 
     query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

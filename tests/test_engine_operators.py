@@ -203,6 +203,39 @@ def test_incremental_stream_is_idempotent(spark, tmp_path):
     assert sorted((r["postUrl"], r["chunk_id"]) for r in spark.read.parquet(out).collect()) == [("u1", 0), ("u2", 1), ("u3", 2), ("u9", 3)]
 
 
+def test_stream_with_marks(spark, tmp_path):
+    schema = "postUrl string, postedAt timestamp, member string"
+    day = lambda d: datetime.datetime(2024, 1, d)
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    spark.createDataFrame([("u1", day(5), "a"), ("u2", day(1), "b")], schema).write.parquet(src)
+    incremental.run_available(spark, src, spark.createDataFrame([], schema).schema, out, cp, marks=("member",))
+    spark.createDataFrame([("u3", day(4), "a"), ("u4", day(4), "b"), (None, day(9), "a"), (None, day(9), "a")], schema).write.mode("append").parquet(src)
+    incremental.run_available(spark, src, spark.createDataFrame([], schema).schema, out, cp, marks=("member",))
+    assert sorted((r["postUrl"] or "", r["member"]) for r in spark.read.parquet(out).collect()) == [("", "a"), ("", "a"), ("u1", "a"), ("u2", "b"), ("u4", "b")]
+
+
+def test_class_scores_and_decisions(spark):
+    r = np.random.default_rng(4)
+    rows = [("p", k % 4, y, (r.normal(size=3) + 6 * (y == "a")).tolist()) for y in "ab" for k in range(20)]
+    df = spark.createDataFrame(rows, "part string, fold long, label string, embedding array<double>")
+    s = L.class_scores(df, "a").collect()
+    assert len(s) == 40 and min(x["score"] for x in s if x["own"]) > max(x["score"] for x in s if not x["own"])
+    d = L.decisions(L.cross_validated(df), "a").collect()
+    assert all((x["decision"] > 0) == (x["true"] == "a") for x in d) and L.class_scores(df, "z").count() == 0 and L.cross_validated(df.where("label = 'a'")).count() == 0
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / "queries").mkdir()
+    (tmp_path / "queries" / "curated.json").write_text('["one", "two"]')
+    (tmp_path / "queries" / "pool_72.json").write_text('[{"q": "a", "subtopic": "s", "dove_end": "d", "hawk_end": "h"}]')
+    (tmp_path / "anchors.json").write_text('{"hawk": ["x", "y"], "dove": []}')
+    assert [tuple(r) for r in readers.load_queries(spark, str(tmp_path), "curated").collect()] == [(0, "one"), (1, "two")]
+    assert readers.load_queries(spark, str(tmp_path), "pool").first().asDict() == {"query_idx": 0, "q": "a", "subtopic": "s", "dove_end": "d", "hawk_end": "h"}
+    assert [tuple(r) for r in readers.load_anchors(spark, str(tmp_path / "anchors.json")).collect()] == [("hawk", 0, "x"), ("hawk", 1, "y")]
+    with pytest.raises(KeyError):
+        readers.load_queries(spark, str(tmp_path), "other")
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("observation_date,X\n2020-01-01,1.5\n2020-02-01,.\n")
     assert [r["value"] for r in readers.macro_csv(spark, str(tmp_path / "a.csv"), "X").collect()] == [1.5]
