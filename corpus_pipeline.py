@@ -43,7 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(docs, known=1 << 18)
+    return pack(docs, known=1 << 16)
 
 
 STAGES = [
