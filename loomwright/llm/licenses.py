@@ -37,6 +37,10 @@ TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("cc-by", "Licensed under CC BY-NC 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
 )
 
@@ -102,21 +106,18 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFr
     probes: set[str] = set()
     for _, ws, _ in rows:
         probes |= set(sorted(ws, key=lambda w: (len(w) < 4, ws.index(w)))[: len(ws) - _need(ws, threshold) + 1])
-    probed = _probe(sorted(w for w in probes if not any(v != w and v in w for v in probes)))
+    probed = _probe(sorted(w for w in probes if not any(v != w and v in w for v in probes))) if probes else lambda text: F.lit(False)
     lines = F.filter(F.split(low, "\n"), probed)
-    df = df.withColumn("_blocks", F.when(probed(low), F.transform(lines, lambda x: F.array_distinct(words_of(x)))))
-    # windows are only needed where a text of several lines holds enough of a template's words somewhere
-    df = df.withColumn("_all", F.when(probed(low) & F.contains(low, F.lit("\n")), words_of(low)))
-    df = df.withColumn("_distinct", F.array_distinct("_all"))
-    met = []
-    for label, ws, length in rows:
-        need, n = _need(ws, threshold), len(ws)
-        in_line = F.array_max(F.transform(F.col("_blocks"), _overlap(ws, need)))
-        enough = F.size(F.array_intersect(F.array(*map(F.lit, ws)), F.col("_distinct"))) >= need
-        best = F.greatest(in_line, F.when(enough, _best_window(F.col("_all"), ws, need, length)))
-        met.append(F.when(best >= need, F.struct(F.lit(label).alias("label"), (best / n).cast("double").alias("share"))))
     none = F.array().cast("array<struct<label:string,share:double>>")
-    df = df.withColumn("_met", F.when(F.col("_blocks").isNotNull(), F.array_compact(F.array(*met))).otherwise(none))
+    if rows:
+        find = _Templates([(label, ws, _need(ws, threshold), length) for label, ws, length in rows])
+        in_lines = F.flatten(F.transform(F.transform(lines, lambda x: F.array_distinct(words_of(x))), find.met))
+        # windows are only needed where a text of several lines holds enough of a template's words somewhere
+        df = df.withColumn("_all", F.when(probed(low) & F.contains(low, F.lit("\n")), words_of(low)))
+        met = F.concat(in_lines, F.coalesce(find.met_in_windows(F.col("_all")), none))
+        df = df.withColumn("_met", F.when(probed(low), met).otherwise(none))
+    else:
+        df = df.withColumn("_met", none)
 
     at = F.transform("_places", lambda x: x["at"])
     base = F.transform("_places", lambda x: x["label"])
@@ -147,25 +148,60 @@ def _places(words: Column, phrase: list[str], label: str) -> Column:
     return F.transform(at, lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))
 
 
-def _overlap(ordered: list[str], need: int):
-    """How many template words a block holds, or 0 where a filter shows that they are too few."""
-    n, all_words = len(ordered), F.array(*map(F.lit, ordered))
-    prefix = F.array(*map(F.lit, ordered[: n - need + 1]))
-
-    def count(block):
-        common = F.array_intersect(all_words, block)  # in the template's order
-        # the second common word leaves room for the others
-        early = F.coalesce(F.array_position(all_words, F.get(common, F.lit(1))) + F.lit(need - 2) <= n, F.lit(need < 2))
-        return F.when((F.size(block) >= need) & F.arrays_overlap(block, prefix) & early, F.size(common)).otherwise(0)
-
-    return count
-
-
-def _best_window(words: Column, ordered: list[str], need: int, length: int) -> Column:
-    """The most template words in any ``length`` words one after another; windows begin with a template word."""
-    overlap = _overlap(ordered, need)
-    starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.get(words, i - 1).isin(ordered))
-    return F.array_max(F.transform(starts, lambda i: overlap(F.array_distinct(F.slice(words, i, F.lit(length))))))
+class _Templates:
+    """Templates (label, words in the global order, need, length) as literals, with an inverted index of their
+    prefixes: what a block costs depends on the templates that it shares a prefix word with, not on their number."""
+
+    def __init__(self, rows: list[tuple[str, list[str], int, int]]):
+        places: dict[str, list[int]] = {}
+        for k, (_, words, need, _) in enumerate(rows):
+            for w in words[: len(words) - need + 1]:
+                places.setdefault(w, []).append(k)
+        self.all = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"), F.lit(need).alias("need"), F.lit(length).alias("length")) for label, words, need, length in rows])
+        self.prefixes = F.array(*map(F.lit, places))
+        self.index = F.create_map(*[x for w, own in places.items() for x in (F.lit(w), F.array(*map(F.lit, own)))])
+
+    def candidates(self, block: Column) -> Column:
+        """The templates that share a prefix word with a block (prefix filter)."""
+        hits = F.array_intersect(self.prefixes, block)
+        return F.array_distinct(F.flatten(F.transform(hits, lambda w: F.element_at(self.index, w))))
+
+    @staticmethod
+    def held(t: Column, block: Column) -> Column:
+        """How many of a template's words a block holds, or 0 where a filter shows that they are too few."""
+        common = F.array_intersect(t["words"], block)  # in the template's order
+        # length filter; the second common word leaves room for the others (positional filter)
+        early = F.coalesce(F.array_position(t["words"], F.get(common, F.lit(1))) + t["need"] - 2 <= F.size(t["words"]), t["need"] < 2)
+        return F.when((F.size(block) >= t["need"]) & early, F.size(common)).otherwise(0)
+
+    @staticmethod
+    def told(t: Column, count: Column) -> Column:
+        return F.when(count >= t["need"], F.struct(t["label"].alias("label"), (count / F.size(t["words"])).cast("double").alias("share")))
+
+    def met(self, block: Column) -> Column:
+        """label, share of the templates that a block of distinct words meets."""
+
+        def one(i):
+            t = F.get(self.all, i)
+            return self.told(t, self.held(t, block))
+
+        return F.array_compact(F.transform(self.candidates(block), one))
+
+    def met_in_windows(self, words: Column) -> Column:
+        """The same for windows of a text's words, as long as each template and beginning with one of its words;
+        only templates are tried of which the whole text holds enough words."""
+
+        def best(i, whole):
+            t = F.get(self.all, i)
+            starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_contains(t["words"], F.get(words, k - 1)))
+            counts = F.transform(starts, lambda k: self.held(t, F.array_distinct(F.slice(words, k, t["length"]))))
+            enough = F.size(F.array_intersect(t["words"], whole)) >= t["need"]
+            return F.when(enough, self.told(t, F.array_max(counts)))
+
+        def tried(whole):
+            return F.array_compact(F.transform(self.candidates(whole), lambda i: best(i, whole)))
+
+        return F.get(F.transform(F.array(F.array_distinct(words)), tried), F.lit(0))  # one element, worked out once
 
 
 def _need(words: list[str], threshold: float) -> int:
