@@ -226,7 +226,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
             sequence, offset = base[k] + within // count[k], slots[k] + (within % count[k]) * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = rows.join(counts, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local_rank")).alias("rank"))
+    # parts x lengths rows grow with the corpus: slim rows are sorted to meet them, and nothing is broadcast
+    ranked = rows.join(counts.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local_rank")).alias("rank"))
     return ranked.mapInArrow(released(put), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
