@@ -256,6 +256,18 @@ def test_language_equals_plain_centroids_and_ties():
     assert model.languages == ["a", "x", "y"] and model.predict(np.zeros((1, langid.BINS)))[0][0] == 0  # equal cosines: the first by name
 
 
+def test_language_rejects_foreign_texts():
+    r = random.Random(6)
+    say = lambda syllables, n: " ".join("".join(r.choices(syllables, k=r.randint(1, 3))) for _ in range(n))
+    en, de = ["the", "and", "ing", "ti", "on", "re", "sh", "ea"], ["der", "und", "ei", "ch", "ö", "ung", "pf", "zu"]
+    texts_ = [say(a, r.randint(5, 200)) for a in (en, de) for _ in range(150)]
+    model = langid.fit(texts_, ["en"] * 150 + ["de"] * 150)
+    accepted = lambda some: model.predict(np.array([langid.trigram_counts(t) for t in some]))[2].mean()
+    assert accepted([say(a, n) for a in (en, de) for n in (5, 20, 100) for _ in range(50)]) > 0.99
+    for foreign in ("абвгдежз", "αβγδεζηθ", "qxjvkwzb"):
+        assert accepted([say(list(foreign), n) for n in (10, 50, 300) for _ in range(50)]) < 0.05
+
+
 def test_decontamination_finds_planted(spark):
     r = random.Random(5)
     item = " ".join(r.choices(WORDS, k=40))
