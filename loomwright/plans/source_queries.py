@@ -34,15 +34,15 @@ def page_links(spark, d):
 
 
 def sitemap_urls(spark, d):
-    p = _read(spark, d, "pages").groupBy((F.col("page_id") % 7).alias("part")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(F.concat(F.lit("<url><loc> "), "url", F.lit("</loc></url>"))), ""), F.lit("</urlset>")).alias("xml"))
+    p = _read(spark, d, "pages").groupBy(F.floor(F.col("page_id") / 50).alias("part")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(F.concat(F.lit("<url><loc> "), "url", F.lit("</loc></url>"))), ""), F.lit("</urlset>")).alias("xml"))
     return listing.sitemap_links(p, r"https?://[^<\s]+")
 
 
 def _date_pages(spark, d):
-    """Pages that name the days of a customer group's orders in three ways."""
+    """Pages that name the days of a customer's orders in three ways."""
     day = F.date_format("o_orderdate", "yyyyMMdd")
     way = F.element_at(F.array(F.concat(F.lit("presconf"), day), F.concat(F.lit("M"), day, F.lit("meeting")), F.concat(F.lit("minutes"), day)), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    return _read(spark, d, "orders").groupBy((F.col("o_custkey") % 700).alias("page")).agg(F.array_join(F.collect_list(way), " ").alias("html"))
+    return _read(spark, d, "orders").groupBy(F.col("o_custkey").alias("page")).agg(F.array_join(F.collect_list(way), " ").alias("html"))
 
 
 def meeting_days(spark, d):
@@ -50,11 +50,11 @@ def meeting_days(spark, d):
 
 
 def paged_links(spark, d):
-    """A listing of nine pages; the links of each that no page before had, up to the first page without any."""
-    o = _read(spark, d, "orders").select((F.when(F.col("o_orderkey") % 9 < 5, F.col("o_orderkey") % 9).otherwise(F.col("o_orderkey") % 9 - 5)).alias("k"), (F.col("o_orderkey") % 9).alias("page"), "o_custkey", "o_orderkey")
-    link = F.concat(F.lit("/p"), F.when(F.col("page") < 5, F.col("page")).otherwise(F.lit(0)).cast("string"), F.lit("/"), (F.col("o_custkey") % 5).cast("string"))
-    pages = o.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", link.alias("l")))), lambda x: x["l"]).alias("links"))
-    return listing.paged(pages, 7).select("page", "href")
+    """Each customer's listing of up to nine pages, of which the later ones repeat a link; up to the first page that adds none."""
+    o = _read(spark, d, "orders").select(F.col("o_custkey").alias("site"), (F.col("o_orderkey") % 9).alias("page"), "o_orderkey")
+    link = F.concat(F.lit("/a"), F.least("page", F.lit(4)).cast("string"))
+    pages = o.groupBy("site", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", link.alias("l")))), lambda x: x["l"]).alias("links"))
+    return listing.paged(pages, 7, ("site",)).select("site", "page", "href")
 
 
 def near_start(spark, d):
@@ -111,7 +111,8 @@ ORACLES = {
         SELECT page_id, pos::INT AS pos, regexp_extract(a, '(?is)^<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS href, trim(regexp_replace(regexp_replace(a, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS label FROM a""",
     "sitemap_urls": "SELECT DISTINCT url FROM pages",
     "meeting_days": "SELECT DISTINCT o_orderdate::DATE AS date FROM orders WHERE o_orderkey % 3 < 2 AND o_orderdate >= DATE '1996-01-01'",
-    "paged_links": "SELECT DISTINCT o_orderkey % 9 AS page, '/p' || (o_orderkey % 9) || '/' || (o_custkey % 5) AS href FROM orders WHERE o_orderkey % 9 < 5",
+    "paged_links": """WITH l AS (SELECT DISTINCT o_custkey AS site, o_orderkey % 9 AS page, '/a' || least(o_orderkey % 9, 4) AS href FROM orders WHERE o_orderkey % 9 < 7), f AS (SELECT site, href, min(page) AS page FROM l GROUP BY ALL),
+        s AS (SELECT l.site, min(l.page) AS stop FROM l WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.site = l.site AND f.page = l.page) GROUP BY l.site) SELECT f.site, f.page, f.href FROM f LEFT JOIN s USING (site) WHERE stop IS NULL OR f.page < stop""",
     "near_start": "SELECT doc_id, length(text)::INT AS n FROM documents WHERE length(text) >= 400 AND (contains(lower(substr(text, 1, 1500)), 'then') OR contains(lower(source), 'then'))",
     "least_lengths": "SELECT source, " + ", ".join(f"count(*) FILTER (length(text) >= {k}) AS n{k}" for k in (80, 200, 400)) + " FROM documents GROUP BY source",
     "theme_numbers": "SELECT list_position([" + ", ".join(f"'{n}'" for n, _ in T.THEMES) + "], theme)::INT - 1 AS number, rtrim(string_split(theme, ' ')[1], '&') AS label, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(p_name || ' ' || p_type), '{'|'.join(k)}') THEN '{n}'" for n, k in T.THEMES) + " ELSE 'Other' END AS theme FROM part) WHERE theme <> 'Other' GROUP BY 1, 2",

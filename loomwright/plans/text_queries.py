@@ -46,12 +46,11 @@ def seed_words(spark, d):
 
 
 def matched_lengths(spark, d):
-    """What follows each text's seed and the whole text before it in its source, cut to the shorter one's number of
-    words, where that is 3 or more."""
-    x = _docs(spark, d).select("doc_id", "source", T.words(F.col("text")).alias("w"))
-    x = x.withColumn("a", F.expr("slice(w, greatest(4, int(floor(size(w) * 0.5))) + 1, size(w))")).withColumn("b", F.lag("w").over(Window.partitionBy("source").orderBy("doc_id")))
-    m = F.least(F.size("a"), F.size("b"))
-    return x.where("a is not null and b is not null").withColumn("m", m).where("m >= 3").select("doc_id", "m", F.array_join(F.expr("slice(a, 1, m)"), " ").alias("a"), F.array_join(F.expr("slice(b, 1, m)"), " ").alias("b"))
+    """Each text's seed and what follows it, cut to the shorter one's number of words, where that is 3 or more."""
+    x = _docs(spark, d).select("doc_id", T.words(F.col("text")).alias("w")).withColumn("k", F.greatest(F.lit(4), F.floor(F.size("w") * 0.5).cast("int")))
+    x = x.select("doc_id", F.expr("slice(w, k + 1, size(w))").alias("a"), F.expr("slice(w, 1, k)").alias("b")).where("a is not null")
+    x = x.withColumn("m", F.least(F.size("a"), F.size("b"))).where("m >= 3")
+    return x.select("doc_id", "m", F.array_join(F.expr("slice(a, 1, m)"), " ").alias("a"), F.array_join(F.expr("slice(b, 1, m)"), " ").alias("b"))
 
 
 def clean_turns(spark, d):
@@ -119,8 +118,8 @@ def json_fields(spark, d):
 def link_dates(spark, d):
     """The first link of each date in a page of links, by position."""
     o = spark.read.parquet(f"{d}/orders.parquet")
-    h = o.select((F.col("o_custkey") % 700).alias("page"), "o_orderkey", F.concat(F.lit('<a href="/f/X'), F.date_format("o_orderdate", "yyyyMMdd"), F.lit('meeting.pdf">')).alias("a"))
-    # one page lists the orders of some customers, so the pages grow in number before they grow in size
+    h = o.select(F.col("o_custkey").alias("page"), "o_orderkey", F.concat(F.lit('<a href="/f/X'), F.date_format("o_orderdate", "yyyyMMdd"), F.lit('meeting.pdf">')).alias("a"))
+    # a page lists one customer's orders, so pages grow in number, not in size
     h = h.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "a"))), lambda x: x["a"]), " ").alias("html"))
     x = h.select("page", F.posexplode(F.regexp_extract_all("html", F.lit(r"X(\d{8})meeting\.pdf"), 1)).alias("pos", "day"))
     r = x.withColumn("r", F.row_number().over(Window.partitionBy("page", "day").orderBy("pos"))).where("r = 1")
@@ -189,7 +188,7 @@ def responses(spark, d):
 
 
 def embedded_texts(spark, d):
-    return I.embedded(spark.read.parquet(f"{d}/benchmark.parquet"), I.HashEmbedding()).select("key", F.round(T.dot(F.col("embedding"), F.col("embedding")), 4).alias("square"))
+    return I.embedded(spark.read.parquet(f"{d}/benchmark.parquet"), I.HashEmbedding()).select("key", F.md5(F.array_join(F.transform("embedding", lambda x: F.format_number(x, 5)), ",").cast("binary")).alias("digest"))
 
 
 def _theme_sql(col):
@@ -212,7 +211,7 @@ ORACLES = {
     "theme_bucket": f"SELECT {_theme_sql(chr(112) + '_name || chr(32) || p_type')} AS theme, count(*) AS n FROM part GROUP BY 1",
     "theme_by_language": f"SELECT lang, {_theme_sql('text')} AS theme, count(*) AS n FROM documents GROUP BY ALL",
     "seed_words": f"WITH x AS (SELECT doc_id, {_W.format(t='text')} AS w FROM documents) SELECT doc_id, len(w)::INT AS n, array_to_string(w[1:greatest(4, floor(len(w) * 0.5)::INT)], ' ') AS seed, greatest(1, len(w) - greatest(4, floor(len(w) * 0.5)::INT))::INT AS remaining FROM x WHERE len(w) >= 8",
-    "matched_lengths": f"WITH w AS (SELECT doc_id, source, {_W.format(t='text')} AS w FROM documents), x AS (SELECT doc_id, w[greatest(4, floor(len(w) * 0.5)::INT) + 1:] AS a, lag(w) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM w), y AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE least(len(a), len(b)) END AS m FROM x) SELECT doc_id, m::INT AS m, array_to_string(a[1:m], ' ') AS a, array_to_string(b[1:m], ' ') AS b FROM y WHERE m >= 3",
+    "matched_lengths": f"WITH w AS (SELECT doc_id, {_W.format(t='text')} AS w FROM documents), k AS (SELECT *, greatest(4, floor(len(w) * 0.5)::INT) AS k FROM w), x AS (SELECT doc_id, w[k + 1:] AS a, w[1:k] AS b FROM k WHERE w IS NOT NULL), y AS (SELECT *, least(len(a), len(b)) AS m FROM x) SELECT doc_id, m::INT AS m, array_to_string(a[1:m], ' ') AS a, array_to_string(b[1:m], ' ') AS b FROM y WHERE m >= 3",
     "clean_turns": "WITH x AS (SELECT conv_id, turn, " + _clean_sql("text") + " AS body FROM conversations) SELECT * FROM x WHERE length(body) >= 80",
     "speaker_turns": "WITH c AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role, " + _clean_sql("replace(text, chr(10), ' ')") + " AS body FROM conversations) SELECT doc_id, pos::INT AS pos, body FROM c WHERE role = 'user' AND length(body) >= 80",
     "chair_turns": "WITH c AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role, " + _clean_sql("replace(text, chr(10), ' ')") + " AS body FROM conversations) SELECT doc_id, pos::INT AS pos, body FROM c WHERE role = 'user' AND length(body) >= 80",
@@ -226,7 +225,7 @@ ORACLES = {
     "opinion_numbers": "SELECT conv_id AS source_id, turn AS chunk, 'opinion-' || conv_id || '-' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS opinion_id FROM conversations",
     "keyed_union": "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS v, count(*) AS n FROM orders GROUP BY 1",
     "json_fields": "SELECT coalesce(json_extract_string(props, '$.k'), '') AS k, count(*) AS n FROM events GROUP BY 1",
-    "link_dates": "WITH x AS (SELECT o_custkey % 700 AS page, row_number() OVER (PARTITION BY o_custkey % 700 ORDER BY o_orderkey) - 1 AS pos, o_orderdate::DATE AS day FROM orders) SELECT page, min(pos)::INT AS pos, day FROM x GROUP BY page, day",
+    "link_dates": "WITH x AS (SELECT o_custkey AS page, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderdate::DATE AS day FROM orders) SELECT page, min(pos)::INT AS pos, day FROM x GROUP BY page, day",
     "hash_split": "WITH x AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('0:' || doc_id), doc_id) <= 10 AS t FROM documents) SELECT source, sum(t::INT)::BIGINT AS n_test, max(doc_id) FILTER (t) AS last FROM x GROUP BY source",
 }
 QUERIES = {n: globals()[n] for n in (*ORACLES, "passages", "article_text", "page_body", "page_rendered", "attribution", "detectability", "responses", "embedded_texts")}

@@ -177,14 +177,16 @@ def resolved_slug(cache: Column, candidate: Column, discovered: Column) -> Colum
     return F.coalesce(some(cache), some(candidate), some(discovered))
 
 
-def paged(listing: DataFrame, most: int = 7) -> DataFrame:
-    """page, pos, href: the links of a paged listing (page from 0, links in order), each where it stands first, up
-    to the first page that adds none, and ``most`` pages at most."""
-    found = listing.where(F.col("page") < most).select("page", F.posexplode("links").alias("pos", "href"))
-    first = found.groupBy("href").agg(F.min(F.struct("page", "pos")).alias("at")).select("at.page", "at.pos", "href")
-    new = listing.where(F.col("page") < most).select("page").join(first.groupBy("page").agg(F.count("*").alias("new")), "page", "left")
-    stop = new.agg(F.coalesce(F.min(F.when(F.coalesce("new", F.lit(0)) == 0, F.col("page"))), F.lit(most)).alias("stop"))
-    return first.crossJoin(F.broadcast(stop)).where("page < stop").select("page", "pos", "href").orderBy("page", "pos")
+def paged(listing: DataFrame, most: int = 7, by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., page, pos, href: the links of paged listings (page from 0, links in order), each where it stands
+    first, up to the first page that adds none, and ``most`` pages at most."""
+    some = listing.where(F.col("page") < most)
+    found = some.select(*by, "page", F.posexplode("links").alias("pos", "href"))
+    first = found.groupBy(*by, "href").agg(F.min(F.struct("page", "pos")).alias("at")).select(*by, "at.page", "at.pos", "href")
+    new = some.select(*by, "page").join(first.groupBy(*by, "page").agg(F.count("*").alias("new")), [*by, "page"], "left")
+    stop = new.groupBy(*by).agg(F.coalesce(F.min(F.when(F.coalesce("new", F.lit(0)) == 0, F.col("page"))), F.lit(most)).alias("stop"))
+    upto = first.join(stop, list(by)) if by else first.crossJoin(F.broadcast(stop))  # one row
+    return upto.where("page < stop").select(*by, "page", "pos", "href").orderBy(*by, "page", "pos")
 
 
 def sitemap_links(sitemap: DataFrame, pattern: str) -> DataFrame:
