@@ -102,10 +102,11 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFr
     df = df.withColumn("_places", F.when(F.col("_words").isNotNull(), F.flatten(F.array(*places))).otherwise(F.array().cast("array<struct<at:bigint,label:string>>")))
 
     # templates: a met block holds at least one of ANY n - need + 1 of a template's words, so
-    # texts and lines are first probed for that many of the longer, then rarer words
+    # texts and lines are first probed for that many of the longer words: those that other templates
+    # are probed for, too, then the rarer ones
     probes: set[str] = set()
-    for _, ws, _ in rows:
-        probes |= set(sorted(ws, key=lambda w: (len(w) < 4, ws.index(w)))[: len(ws) - _need(ws, threshold) + 1])
+    for _, ws, _ in sorted(rows, key=lambda r: len(r[1])):
+        probes |= set(sorted(ws, key=lambda w: (len(w) < 4, w not in probes, ws.index(w)))[: len(ws) - _need(ws, threshold) + 1])
     probed = _probe(sorted(w for w in probes if not any(v != w and v in w for v in probes))) if probes else lambda text: F.lit(False)
     lines = F.filter(F.split(low, "\n"), probed)
     none = F.array().cast("array<struct<label:string,share:double>>")
