@@ -49,14 +49,15 @@ def json_list(spark: SparkSession, path: str, element: str = "string") -> DataFr
     return spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<{element}>")).alias("pos", "value"))
 
 
-#: Query settings by name: the file, and the element's type.
-SETTINGS = {"curated": ("queries/curated.json", "string"), "pool": ("queries/pool_72.json", "struct<q:string,subtopic:string,dove_end:string,hawk_end:string>")}
+#: Query settings by name, with the type of their elements.
+SETTINGS = {"curated": "string", "pool": "struct<q:string,subtopic:string,dove_end:string,hawk_end:string>"}
 
 
-def load_queries(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """query_idx and query (curated), or the pool's q, subtopic and ends; another name raises KeyError."""
-    path, element = SETTINGS[name]
-    rows = json_list(spark, f"{root}/{path}", element).withColumnRenamed("pos", "query_idx")
+def load_queries(spark: SparkSession, folder: str, name: str, file: str | None = None) -> DataFrame:
+    """query_idx and query (curated), or the pool's q, subtopic and ends, from ``file`` (else name.json) of a
+    folder; another name raises KeyError."""
+    element = SETTINGS[name]
+    rows = json_list(spark, f"{folder}/{file or f'{name}.json'}", element).withColumnRenamed("pos", "query_idx")
     return rows.withColumnRenamed("value", "query") if element == "string" else rows.select("query_idx", "value.*")
 
 

@@ -225,12 +225,11 @@ def test_class_scores_and_decisions(spark):
 
 
 def test_settings(spark, tmp_path):
-    (tmp_path / "queries").mkdir()
-    (tmp_path / "queries" / "curated.json").write_text('["one", "two"]')
-    (tmp_path / "queries" / "pool_72.json").write_text('[{"q": "a", "subtopic": "s", "dove_end": "d", "hawk_end": "h"}]')
+    (tmp_path / "curated.json").write_text('["one", "two"]')
+    (tmp_path / "many.json").write_text('[{"q": "a", "subtopic": "s", "dove_end": "d", "hawk_end": "h"}]')
     (tmp_path / "anchors.json").write_text('{"hawk": ["x", "y"], "dove": []}')
     assert [tuple(r) for r in readers.load_queries(spark, str(tmp_path), "curated").collect()] == [(0, "one"), (1, "two")]
-    assert readers.load_queries(spark, str(tmp_path), "pool").first().asDict() == {"query_idx": 0, "q": "a", "subtopic": "s", "dove_end": "d", "hawk_end": "h"}
+    assert readers.load_queries(spark, str(tmp_path), "pool", "many.json").first().asDict() == {"query_idx": 0, "q": "a", "subtopic": "s", "dove_end": "d", "hawk_end": "h"}
     assert [tuple(r) for r in readers.load_anchors(spark, str(tmp_path / "anchors.json")).collect()] == [("hawk", 0, "x"), ("hawk", 1, "y")]
     with pytest.raises(KeyError):
         readers.load_queries(spark, str(tmp_path), "other")
