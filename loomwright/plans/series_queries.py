@@ -61,7 +61,8 @@ def yoy_series(spark, d):
 def briefing(spark, d):
     """One row a meeting: as-of value, year-over-year change and a sentence; null where one is missing."""
     a = asof_value(spark, d).join(yoy_series(spark, d), "date")
-    text = F.format_string("Conditions as of %s: the level is %.2f, %.1f%% over the year.", F.col("date").cast("string"), "value", "yoy")
+    number = lambda c, digits: F.col(c).cast(f"decimal(18,{digits})").cast("string")  # noqa: E731  halves go up, as in SQL
+    text = F.concat(F.lit("Conditions as of "), F.col("date").cast("string"), F.lit(": the level is "), number("value", 2), F.lit(", "), number("yoy", 1), F.lit("% over the year."))
     return a.select("date", "value", "yoy", F.when(F.col("value").isNotNull() & F.col("yoy").isNotNull(), text).alias("text"))
 
 
@@ -193,7 +194,7 @@ ORACLES = {
     "asof_value": f"WITH {_MO}, {_ME} SELECT me.date, mo.value FROM me ASOF LEFT JOIN mo ON me.date >= mo.date",
     "asof_offset": f"WITH {_ME}, dy AS (SELECT o_orderdate::DATE AS date, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY 1), l AS (SELECT date, date + 8 AS later FROM me) SELECT l.date, dy.value FROM l ASOF LEFT JOIN dy ON l.later >= dy.date",
     "yoy_series": f"WITH {_MO}, {_ME}, {_YOY} SELECT date, yoy FROM yy",
-    "briefing": f"WITH {_MO}, {_ME}, {_YOY} SELECT k.date, k.now AS value, yy.yoy, CASE WHEN k.now IS NOT NULL AND yy.yoy IS NOT NULL THEN printf('Conditions as of %s: the level is %.2f, %.1f%% over the year.', k.date::VARCHAR, k.now, yy.yoy) END AS text FROM k JOIN yy USING (date)",
+    "briefing": f"WITH {_MO}, {_ME}, {_YOY} SELECT k.date, k.now AS value, yy.yoy, CASE WHEN k.now IS NOT NULL AND yy.yoy IS NOT NULL THEN 'Conditions as of ' || k.date || ': the level is ' || k.now::DECIMAL(18,2) || ', ' || yy.yoy::DECIMAL(18,1) || '% over the year.' END AS text FROM k JOIN yy USING (date)",
     "decisions": f"WITH {_MO}, {_ME}, s AS (SELECT date, value / 10000 AS value FROM mo), mm AS (SELECT date + 10 AS date, date + 18 AS later FROM me), b AS (SELECT mm.date, mm.later, s.value AS before FROM mm ASOF LEFT JOIN s ON mm.date >= s.date), a AS (SELECT b.*, s.value AS a0 FROM b ASOF LEFT JOIN s ON b.later >= s.date), c AS (SELECT date, before, CASE WHEN (SELECT max(date) FROM s) > date THEN a0 END AS after FROM a), e AS (SELECT *, round_even((after - before) * 100, 0)::BIGINT AS bps FROM c) SELECT date, round(before, 6) AS before, round(after, 6) AS after, bps, CASE WHEN bps > 0 THEN 'hike' WHEN bps < 0 THEN 'cut' WHEN bps = 0 THEN 'hold' END AS label FROM e",
     "momentum": f"WITH {_PA} SELECT i, round(m, 6) AS m, lag(sign(y)::INT, 1, 99) OVER (ORDER BY i) AS prev, sign(y)::INT AS sign FROM p",
     "walkforward_ols1": f"WITH {_PA}, {_O1} SELECT i, round(b0 + b1 * x, 4) AS pred FROM g WHERE i >= 16",
