@@ -36,6 +36,21 @@ class Scratch:
             removed(self.spark, self.paths.pop(id(t))[0])
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever characters their names hold."""
+    return [df[quoted(c)] for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    """A column's name for select(), dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1 and so on, for Python stages, which can't take names with dots."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
     """Let this session's Arrow batches hold at most so many rows and bytes; smaller settings stay.
 

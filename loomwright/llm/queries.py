@@ -11,6 +11,7 @@ from .ngramjoin import op3_ngram_join
 from .packing import op4_pack
 from .pii import op1_pii
 from .runs import op12_periodic_runs
+from .substrings import op11_substrings
 from .tokens import op7_token_table
 from .toxicity import op2_toxicity
 from .veccodes import OP13_SQL, op13_vector_codes
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op6_near_duplicates": lambda spark, d: op6_near_duplicates(spark, table(spark, d, "embeddings")),
         "op7_token_ids": lambda spark, d: op7_token_table(spark, table(spark, d, "documents")),
         "op9_language": lambda spark, d: op9_language(spark, table(spark, d, "documents")),
+        "op11_substrings": lambda spark, d: op11_substrings(spark, table(spark, d, "documents")),
         "op12_periodic_runs": lambda spark, d: op12_periodic_runs(spark, table(spark, d, "documents")),
         "op13_vector_codes": lambda spark, d: op13_vector_codes(spark, table(spark, d, "embeddings")),
         "op8_warc": lambda spark, d: op8_warc(spark, table(spark, d, "pages")),

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import released, small_batches
+from .common import numbered_columns, quoted, released, small_batches
 
 RUNS = "array<struct<start:long,length:long,period:long>>"
 
@@ -163,7 +163,7 @@ def periodic_runs(docs: DataFrame, exponent: int = 4, least: int = 6) -> DataFra
         raise ValueError("runs of less than three periods can't be told from single Lyndon edges")
     small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c.lower() not in ("n_words", "runs", "collapsed")]
-    docs = docs.select(*[f"`{c.replace('`', '``')}`" for c in names])
+    docs = docs.select(*map(quoted, names))
     at = next(k for k, c in enumerate(names) if c.lower() == "text")
 
     def run(batches):
@@ -176,7 +176,7 @@ def periodic_runs(docs: DataFrame, exponent: int = 4, least: int = 6) -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(w) for w in words], pa.int64()), told, pa.array(left, pa.string())], names=[*names, "n_words", "runs", "collapsed"])
 
     extra = StructType().add("n_words", "long").add("runs", docs.sparkSession.range(0).select(F.lit(None).cast(RUNS)).schema[0].dataType).add("collapsed", "string")
-    return docs.mapInArrow(released(run), StructType([*docs.schema.fields, *extra.fields]))
+    return numbered_columns(docs).mapInArrow(released(run), StructType([*docs.schema.fields, *extra.fields]))
 
 
 def made_periodic(docs: DataFrame) -> DataFrame:

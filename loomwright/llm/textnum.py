@@ -86,3 +86,30 @@ def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
 def shingle_set(text: str | None, k: int = 5, table: np.ndarray = SPACES) -> np.ndarray:
     """The sorted distinct k-word shingles of a text."""
     return np.unique(shingles(word_hashes(text, table), k))
+
+
+def word_places(data: bytes, table: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of some UTF-8 bytes begin and end."""
+    edge = np.ones(len(data) + 2, dtype=np.int8)
+    edge[1:-1] = table[np.frombuffer(data, dtype=np.uint8)]
+    step = np.diff(edge)
+    return np.flatnonzero(step == -1), np.flatnonzero(step == 1)
+
+
+class Prefixes:
+    """Sums from which the hash of any span of a sequence of numbers is a difference."""
+
+    def __init__(self, numbers: np.ndarray):
+        n = len(numbers)
+        _powers(n + 1)
+        self.total = np.zeros(n + 1, dtype=U)
+        np.cumsum(numbers.astype(U) * _POW[:n], out=self.total[1:])
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[start]) * _NEG[start] + (end - start).astype(U))
+
+
+def exact_words(data: bytes, table: np.ndarray = SPACES) -> np.ndarray:
+    """One uint64 per word of some UTF-8 bytes, unchanged."""
+    start, end = word_places(data, table)
+    return Prefixes(np.frombuffer(data, dtype=np.uint8).astype(U) + U(1)).spans(start, end) if len(start) else np.empty(0, dtype=U)

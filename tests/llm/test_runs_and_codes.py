@@ -133,7 +133,7 @@ def test_codes_of_a_table(spark):
     want, books = plain_codes(rows)
     assert Counter(map(tuple, found.rows.select("vec_id", "code", "error").collect())) == want
     assert [[tuple(e) for e in b] for b in found.codebooks] == books
-    assert found.scans[0] == 8 * sum(want.values()) and sum(found.scans[1:]) < 0.7 * 5 * found.scans[0]
+    assert 0 < found.scans[0] <= 8 * sum(want.values()) and sum(found.scans[1:]) < 0.7 * 5 * found.scans[0]
     got = veccodes.op13_vector_codes(spark, table).collect()
     sums = Counter()
     for r in found.rows.collect():
