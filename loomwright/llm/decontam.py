@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import released, small_batches, stored
+from .common import numbered_columns, quoted, released, small_batches, stored
 from .textnum import NON_WORD, shingles, word_hashes
 
 RADIUS, WORDS = 23, 5
@@ -52,15 +52,16 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class Index:
-    """Benchmark items by length: shingles, fingerprints, block tables."""
+    """Benchmark items by length: shingles, fingerprints, block tables.  Items are told apart by their place in ``items``."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]]):
         self.lengths: dict[int, dict] = {}
+        self.names = [item_id for item_id, _ in items]
         found = []
-        for item_id, text in items:
+        for place, (_, text) in enumerate(items):
             words = word_hashes((text or "").lower(), NON_WORD)
             if len(words):
-                found.append((item_id, len(words), shingles(words, WORDS)))
+                found.append((place, len(words), shingles(words, WORDS)))
         keys, owner = [], []
         for n in sorted({x[1] for x in found}):
             own = [x for x in found if x[1] == n]
@@ -82,14 +83,14 @@ class Index:
         self.maybe[keys >> np.uint64(44)] = True
         self.widths = sorted({min(n, WORDS) for n in self.lengths})
 
-    def search(self, text: str | None, least: float = 0.8) -> list[tuple[int, int, float]]:
-        """(item_id, first word, similarity) of the best window for each item found."""
+    def search(self, text: str | None, least: float = 0.8) -> list[tuple[int | None, int, float]]:
+        """(item_id, first word, similarity) of the best window for each item found, in the order of the items."""
         words = word_hashes((text or "").lower(), NON_WORD)
         best: dict[int, tuple[float, int]] = {}
         for k in self.widths:
             if len(words) >= k:
                 self._search(words, shingles(words, k), k, least, best)
-        return [(i, at, s) for i, (s, at) in sorted(best.items())]
+        return [(self.names[i], at, s) for i, (s, at) in sorted(best.items())]
 
     def _search(self, words, doc, k, least, best) -> None:
         hit = np.flatnonzero(self.maybe[doc >> np.uint64(44)])
@@ -141,27 +142,31 @@ class Index:
 _HITS = "array<struct<item_id:bigint,first_word:bigint,similarity:double>>"
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block_items: int = 20_000, name: str = "hits") -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block_items: int = 20_000, block_chars: int = 1 << 24, name: str = "hits") -> DataFrame:
     """The columns of ``docs`` with ``name`` (replaced if it is there): item_id, first_word, similarity of each item found.
 
-    Null, empty and wordless texts hold nothing; wordless items are found nowhere.  A
-    document shorter than an item is one window.  Items are taken ``block_items`` at a
-    time, so what reaches a worker is bounded; each block is a pass over the documents,
-    which are then written once with a row number, and the hits of each pass, too.
+    Null, empty and wordless texts hold nothing; wordless items are found nowhere.  An
+    item is a row of ``benchmark``, whatever its id: null ids are found as null, texts
+    that share an id each, rows that repeat whole once.  A document shorter than an item
+    is one window.  Items are taken some ``block_items`` or ``block_chars`` characters at
+    a time, whichever is less, so what reaches a worker is bounded; each block is a pass
+    over the documents, which are then written once with a row number, and the hits of
+    each pass, too.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null and item_id is not null")
-    blocks = max(1, -(-items.count() // block_items))
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
+    size = items.agg(F.count("*").alias("rows"), F.sum(F.length("text").cast("long")).alias("chars")).first()
+    blocks = max(1, -(-size["rows"] // block_items), -(-(size["chars"] or 0) // block_chars))
 
     def index(k):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        return spark.sparkContext.broadcast(Index(sorted({(r[0], r[1]) for r in part.collect()})))
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        return spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
 
     kept = [c for c in docs.columns if c != name]
     if blocks == 1:
-        return _marked(docs.select(*kept), index(0), least, name)
-    rows = stored(docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)], F.monotonically_increasing_id().alias("row")), "numbered-documents")
+        return _marked(docs.select(*map(quoted, kept)), index(0), least, name)
+    rows = stored(docs.select(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(kept)], F.monotonically_increasing_id().alias("row")), "numbered-documents")
     found = None
     for k in range(blocks):
         ix = index(k)
@@ -187,7 +192,7 @@ def _marked(df: DataFrame, index, least: float, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, kind)], names=[*names, name])
 
     hits = df.select(F.array().cast(_HITS).alias(name)).schema.fields
-    return df.mapInArrow(released(find), StructType([*df.schema.fields, *hits]))
+    return numbered_columns(df).mapInArrow(released(find), StructType([*df.schema.fields, *hits]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fraction, held_out, learnable, released, small_batches
+from .common import fraction, held_out, learnable, quoted, released, small_batches
 
 BINS = 4096
 _LETTER = re.compile(r"[^\W\d_]")
@@ -114,7 +114,7 @@ def identify(docs: DataFrame, per_language: int = 400, clusters: int = 4, keep:
     model = fit([t for t, _ in rows], [x for _, x in rows], clusters)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # languages x clusters x BINS numbers
-    kept = docs.select(*(keep or [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]))
+    kept = docs.select(*(keep or [quoted(c) for c in docs.columns if c not in ("lang_pred", "score", "accepted")]))
     keys = kept.columns
 
     def judge(batches):
@@ -131,7 +131,7 @@ def identify(docs: DataFrame, per_language: int = 400, clusters: int = 4, keep:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], names=[*keys, "lang_pred", "score", "accepted"])
 
     schema = kept.schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
-    named = [c.alias(f"c{k}") for k, c in enumerate(keep or [docs[f"`{c}`"] for c in keys])]  # a caller's names can't clash
+    named = [c.alias(f"c{k}") for k, c in enumerate(keep or [docs[quoted(c)] for c in keys])]  # a caller's names can't clash
     return docs.select(F.col("text").cast("string").alias("t"), *named).mapInArrow(released(judge), schema)
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, released, small_batches
+from .common import Scratch, quoted, released, small_batches
 from .graph import components
 from .textnum import U, mix, shingle_set
 
@@ -511,7 +511,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     member = joined.join(groups, "root").select("doc_id", "of_text", (row == F.col("best")).alias("_stays")).distinct()
     member = scratch.stored(member.select(F.col("doc_id").alias("_id"), F.col("of_text").alias("_of"), "_stays"), "members", light=True)
     scratch.drop(joined)
-    known = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("of_text"))
+    known = docs.select(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("of_text"))
     alone = among(known, member.select("_of"), "left_anti")
     maybe = among(known, member.select("_of"))
     told = maybe.join(member, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("of_text") == F.col("_of")), "left")

@@ -87,7 +87,8 @@ def test_bounded_token_reads_touch_fewer_pages(spark):
 
 
 def test_decontamination_of_nulls_and_repeats(spark, docs):
-    bench = spark.createDataFrame([(1, "the and of that with shing joe mail org said under the apache license today"), (1, None), (None, "word word"), (2, ""), (3, "of that with shing joe"), (3, "of that with shing joe")], "item_id long, text string")
+    bench = [(1, "the and of that with shing joe mail org said under the apache license today"), (1, None), (None, "words words"), (2, ""), (3, "of that with shing joe"), (3, "of that with shing joe")]
+    bench = spark.createDataFrame(bench, "item_id long, text string")
     hits = decontam.op5_decontamination(spark, docs, bench).collect()
     assert Counter((r["doc_id"], r["item_id"]) for r in hits) == Counter({(None, 1): 2, (7, 1): 2, (None, 3): 2, (7, 3): 2})
     assert ids(decontam.decontaminate(docs, bench).collect()) == IDS - Counter({None: 2, 7: 2})
@@ -121,3 +122,20 @@ def test_empty_pipeline(spark, docs, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_items_are_rows(spark, docs):
+    bench = spark.createDataFrame([(None, "other text entirely"), (None, "word word word"), (4, "of that with shing joe"), (4, "under the apache license today")], "item_id long, text string")
+    for blocks in ({}, {"block_items": 1}, {"block_chars": 30}):
+        found = decontam.mark(docs, bench, **blocks).select("doc_id", F.inline("hits")).collect()
+        assert Counter((r["doc_id"], r["item_id"]) for r in found) == Counter({(None, 4): 4, (7, 4): 4, (7, None): 1, (12, None): 1})
+    assert ids(decontam.decontaminate(docs, bench).collect()) == IDS - Counter({None: 2, 7: 3, 12: 1})
+
+
+def test_any_column_name(spark, docs):
+    odd = docs.withColumn("a.b", F.lit(1)).withColumn("hits", F.lit(2))
+    bench = spark.createDataFrame([(1, "other text entirely")], "item_id long, text string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = {"benchmark": lambda: decontam.decontaminate(odd, bench)}.get(name, lambda stage=stage: stage(spark, odd, ""))()
+        assert df.columns == odd.columns and df.count() > 0
+    assert corpus_pipeline.packing(spark, odd, "").count() >= len(ROWS) - 1
