@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import removed, shared_dir, table
+from loomwright.llm.common import quoted, removed, shared_dir, table
 from loomwright.llm.decontam import decontaminate
 from loomwright.llm.langid import identify
 from loomwright.llm.ngramjoin import one_of_each
@@ -22,7 +22,7 @@ from loomwright.llm.pii import redact
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those too far from every language, go."""
-    return identify(docs).where("accepted").select(*docs.columns)
+    return identify(docs).where("accepted").select(*map(quoted, docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
