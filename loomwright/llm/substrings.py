@@ -108,13 +108,13 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, se
     index = scratch.stored(index, "index", light=True)
     whole = index.where("n > 1").select("seed", "block", F.expr("shiftleft(1L, width) - 1").alias("mask"))
     ends = index.where("mixed").select("one.k1", "one.k2", F.struct("one.first", "width", "seed", "block").alias("block"))
-    ends = ends.groupBy("k1", "k2").agg(F.collect_list("block").alias("todo"))  # of one text
+    ends = scratch.stored(ends.groupBy("k1", "k2").agg(F.collect_list("block").alias("todo")), "ends", light=True)  # of one text
     read = texts.join(ends.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "todo")
     single = scratch.stored(read.mapInArrow(released(_windows_of_rows(window)), "seed long, window long, block long, place int"), "windows")
     twice = single.groupBy("seed", "window").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low <> high").select("seed", "window")
     found = single.join(twice, ["seed", "window"]).groupBy("seed", "block").agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"))
     masks = scratch.stored(whole.unionByName(found).groupBy("seed", "block").agg(F.expr("bit_or(mask)").alias("mask")), "masks", light=True)
-    scratch.drop(single, index)
+    scratch.drop(single, index, ends)
     marks = again.join(masks, ["seed", "block"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "mask")).alias("marks"))  # of one text
     out = scratch.stored(marks, "marks", light=True)
     scratch.drop(again, masks)
