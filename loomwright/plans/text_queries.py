@@ -169,11 +169,7 @@ def attribution(spark, d):
 
 def detectability(spark, d):
     """Two-way accuracy of each member against member m0 as tau."""
-    r = _rows(spark, d)
-    others = r.where("label <> 'm0'").select(F.col("label").alias("p")).distinct()
-    pairs = r.where("label = 'm0'").crossJoin(F.broadcast(others)).withColumn("part", F.col("p")).drop("p")
-    both = pairs.unionByName(r.where("label <> 'm0'").withColumn("part", F.col("label")))
-    a = L.cross_validated(both).groupBy("part").agg(F.avg((F.col("true") == F.col("pred")).cast("int")).alias("acc"))
+    a = L.against(_rows(spark, d), "m0").groupBy("part").agg(F.avg((F.col("true") == F.col("pred")).cast("int")).alias("acc"))
     return a.select("part", F.round(T.detect_tau(F.col("acc")), 6).alias("tau"))
 
 

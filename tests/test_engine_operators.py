@@ -179,11 +179,98 @@ def test_as_of_by_key_and_clashing_columns(spark):
     assert got == [("", 0), ("x", 3.0), ("x", 3.0), ("y", 0)]
 
 
-def test_lda_separates():
+def test_weighted_ranking_over_time_equals_the_ranking_of_all_rows(spark):
+    r, day = np.random.default_rng(6), datetime.date(2020, 1, 1)
+    rows = []
+    for i in range(900):
+        posted = day + datetime.timedelta(days=int(r.integers(0, 700)))
+        rows.append((i, f"m{i % 3}", i % 2, posted, float(np.round(r.normal(), 1 if i % 2 else 6))))
+    rows += [(1000 + i, "same", 0, day, 0.5) for i in range(9)] + [(2000, "one", 1, day, 0.3), (2001, "late", 1, datetime.date(2030, 1, 1), 0.3), (2002, "one", 1, None, 0.3), (2003, "one", 1, day, None)]
+    df = spark.createDataFrame(rows, "chunk_id long, member string, query_idx int, posted date, rel double").repartition(6)
+    dates = [day + datetime.timedelta(days=d) for d in (0, 3, 200, 201, 650, 2000)]
+    settings = [(b, t) for b in (0.0, 0.6, 1.5, 40.0) for t in (0.3, 2.0)]
+    days = spark.createDataFrame([(d,) for d in dates], "date date")
+    got = R.expanding_top_k_weighted(df, days, 3, settings)
+    found = {}
+    for x in got.collect():
+        found.setdefault((x["beta"], x["tau"], x["date"], x["member"], x["query_idx"]), []).append((x["rank"], x["chunk_id"]))
+    want = {}
+    z = lambda v: (v - v.mean()) / v.std() if v.std() > 1e-9 else v * 0
+    for d in dates:
+        for m, q in {(x[1], x[2]) for x in rows}:
+            own = [x for x in rows if x[1] == m and x[2] == q and x[3] and x[3] <= d and x[4] is not None]
+            if own:
+                rel, age = np.array([x[4] for x in own]), np.array([(d - x[3]).days / 365.25 for x in own])
+                for b, t in settings:
+                    score = np.round(z(rel) + b * z(np.exp(-age / t)), 9)
+                    best = sorted(range(len(own)), key=lambda i: (-score[i], own[i][0]))[:3]
+                    want[b, t, d, m, q] = [(k + 1, own[i][0]) for k, i in enumerate(best)]
+    assert {k: sorted(v) for k, v in found.items()} == want
+    kept = R.recency_layers(R.first_seen(df, days), 3, ("member", "query_idx")).count()
+    assert kept < len(rows) / 2
+
+
+def plain_fit(x, y):
+    """Shrinkage discriminant analysis from the rows themselves."""
+    classes, scale = np.unique(y), x.std(0)
+    scale, cov, means, priors = np.where(scale > 0, scale, 1.0), 0, [], []
+    for c in classes:
+        own = x[y == c]
+        m = own.mean(0)
+        z = (own - m) / scale
+        n, p = z.shape
+        s = z.T @ z / n
+        mu = np.trace(s) / p
+        delta = ((s - mu * np.eye(p)) ** 2).sum() / p
+        beta = min(delta, max(0.0, (((z**2).sum(1) ** 2).sum() / n - (s**2).sum()) / (n * p)))
+        w = beta / delta if delta > 0 else 0.0
+        cov = cov + n / len(x) * np.outer(scale, scale) * ((1 - w) * s + w * mu * np.eye(p))
+        means.append(m)
+        priors.append(n / len(x))
+    w = np.linalg.lstsq(cov, np.array(means).T, rcond=None)[0].T
+    return classes, w, -0.5 * (w * np.array(means)).sum(1) + np.log(priors)
+
+
+def plain_scores(x, y, fold):
+    out = {}
+    for f in np.unique(fold):
+        held = fold == f
+        if len(np.unique(y[~held])) < 2:
+            continue
+        classes, w, b = plain_fit(x[~held], y[~held])
+        s = x[held] @ w.T + b
+        s = s - s.max(1, keepdims=True)
+        lp = s - np.log(np.exp(s).sum(1, keepdims=True))
+        for i, row in zip(np.flatnonzero(held), lp, strict=True):
+            out[i] = (classes[row.argmax()], dict(zip(classes, row, strict=True)))
+    return out
+
+
+def test_moments_add_up_to_the_fit_of_all_rows(spark):
     rng = np.random.default_rng(2)
-    x = np.r_[rng.normal(0, 1, (40, 5)), rng.normal(3, 1, (40, 5))]
-    y = np.repeat(["a", "b"], 40)
-    assert (np.array(["a", "b"])[L.log_probabilities(L.fit(x, y), x).argmax(1)] == y).mean() > 0.97
+    x = np.r_[rng.normal(0, 1, (40, 5)), rng.normal(1, 2, (30, 5)), rng.normal(0.5, 1, (9, 5)), rng.normal(2, 1, (1, 5))] + 3
+    x[:, 4] = 7.0  # no spread
+    y = np.repeat(["a", "b", "c", "d"], [40, 30, 9, 1])
+    fold = rng.integers(0, 4, 80)
+    w, b = L.fit([L.moments(x[y == c][:3]) + L.moments(x[y == c][3:]) if (y == c).sum() > 3 else L.moments(x[y == c]) for c in "abcd"])
+    _, w0, b0 = plain_fit(x, y)
+    assert np.allclose(w, w0, rtol=1e-5, atol=1e-7) and np.allclose(b, b0, rtol=1e-5, atol=1e-6)
+    rows = [("p", int(f), str(c), v.tolist()) for f, c, v in zip(fold, y, x, strict=True)]
+    rows += [("q", int(f) % 2, str(c), (-v).tolist()) for f, c, v in zip(fold, y, x, strict=True)] + [("p", 0, None, x[0].tolist()), ("p", 0, "a", None), ("one", 1, "a", [1.0])]
+    df = spark.createDataFrame(rows, "part string, fold long, label string, embedding array<double>").repartition(7)
+    got = {part: [] for part in "pq"}
+    for r in L.cross_validated(df).collect():
+        got[r["part"]].append((r["fold"], r["true"], r["pred"], round(r["log_p"], 5)))
+    for part, sign, folds in (("p", 1, fold), ("q", -1, fold % 2)):
+        want = [(int(folds[i]), str(y[i]), str(pred), round(float(lp[y[i]]), 5) if y[i] in lp else math.nan) for i, (pred, lp) in plain_scores(sign * x, y, folds).items()]
+        assert sorted(map(str, got[part])) == sorted(map(str, want))
+    plan = L.cross_validated(df)._jdf.queryExecution().toString()
+    assert "partial_aggregate_metrics" in plan or "partial_" in plan
+    pairs = L.against(df.where("part = 'p'").select("fold", "label", "embedding"), "a").collect()
+    for other in "bcd":
+        use = (y == "a") | (y == other)
+        want = plain_scores(x[use], y[use], fold[use])
+        assert sorted((r["true"], r["pred"]) for r in pairs if r["part"] == other) == sorted((str(y[use][i]), str(pred)) for i, (pred, _) in want.items())
 
 
 def test_incremental_stream_is_idempotent(spark, tmp_path):
