@@ -131,10 +131,11 @@ def respond(chunks: DataFrame, members: DataFrame, battery: DataFrame, provider,
     return _answers(asked, provider, bios, briefing, prompt).select("member", "query_idx", "response")
 
 
-def respond_at(chunks: DataFrame, roster: DataFrame, battery: DataFrame, provider, k: int = 3, bios: DataFrame | None = None, briefings: DataFrame | None = None, prompt: Callable = index_prompt, top: DataFrame | None = None) -> DataFrame:
+def respond_at(chunks: DataFrame, roster: DataFrame, battery: DataFrame, provider, k: int = 3, bios: DataFrame | None = None, briefings: DataFrame | None = None, prompt: Callable = index_prompt, top: DataFrame | None = None, settings: DataFrame | None = None) -> DataFrame:
     """date, member, query_idx, response: the answers of a roster (date, member) at each of its dates.
 
-    ``top`` (date, member, query_idx, chunk_id, rank) may give another ranking than relevance.  Only chunks ``posted`` on or before a date are retrieved for it; with ``briefings``
+    ``top`` (date, member, query_idx, chunk_id, rank) may give another ranking than relevance, one for each of a few
+    ``settings``, whose columns it then has; so have the answers.  Only chunks ``posted`` on or before a date are retrieved for it; with ``briefings``
     (date, briefing) the answer is given in the light of that day's conditions.  One plan
     for all dates.
     """
@@ -143,11 +144,15 @@ def respond_at(chunks: DataFrame, roster: DataFrame, battery: DataFrame, provide
         scored = R.scored(slim, battery.select("query_idx", "q")).select("query_idx", "member", "chunk_id", "posted", "rel")
         top = R.expanding_top_k(scored, roster.select("date"), k)
     asked = roster.select("date", "member").crossJoin(R.small(battery.select("query_idx", "question")))
-    asked = asked.join(statements(top, chunks, ("date", "member", "query_idx")), ["date", "member", "query_idx"], "left").withColumn("_has", F.lit(True))
+    also = settings.columns if settings is not None else []
+    if settings is not None:
+        asked = asked.crossJoin(R.small(settings))
+    keys = [*also, "date", "member", "query_idx"]
+    asked = asked.join(statements(top, chunks, tuple(keys)), keys, "left").withColumn("_has", F.lit(True))
     if briefings is not None:
         asked = asked.join(briefings.select("date", "briefing"), "date", "left")
     answers = _answers(asked, provider, bios, F.col("briefing") if briefings is not None else None, prompt)
-    return answers.select("date", "member", "query_idx", "response")
+    return answers.select(*keys, "response")
 
 
 def _answers(asked: DataFrame, provider, bios, briefing, prompt) -> DataFrame:
@@ -168,10 +173,10 @@ def mean_generated(answers: DataFrame, provider, by: tuple[str, ...]) -> DataFra
     return R.mean_vectors(with_vectors(filled, provider, "response"), by)
 
 
-def committee_index(answers: DataFrame, provider, ax: DataFrame) -> DataFrame:
-    """date, index, n_members: the mean over members of their mean answers' places on the axis."""
-    each = mean_position(answers, provider, ax, ("date", "member"))
-    return each.groupBy("date").agg(F.avg("position").alias("index"), F.count("*").alias("n_members"))
+def committee_index(answers: DataFrame, provider, ax: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., date, index, n_members: the mean over members of their mean answers' places on the axis."""
+    each = mean_position(answers, provider, ax, (*by, "date", "member"))
+    return each.groupBy(*by, "date").agg(F.avg("position").alias("index"), F.count("*").alias("n_members"))
 
 
 def vote_at(chunks: DataFrame, roster: DataFrame, question: DataFrame, provider, briefings: DataFrame, k: int = 3) -> DataFrame:

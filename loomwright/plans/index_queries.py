@@ -19,7 +19,10 @@ from loomwright.operators import statistics as S
 from loomwright.plans.series_queries import _OFF
 from loomwright.sources.shared import stored
 
-BETAS, TAU, EVAL, WARM_UP = (0.0, 0.6, 1.5), 2.0, "2019-01-01", 16
+BETAS, TAUS, EVAL, WARM_UP = (0.0, 0.6, 1.5), (1.0, 2.0, 4.0), "2019-01-01", 16
+#: Without a weight of recency its decay doesn't matter.
+SETTINGS = [(b, t) for b in BETAS for t in TAUS if b or t == 2.0]
+SETTING = ("beta", "tau")
 NAMES = tuple(dict.fromkeys(m for m, _, _ in C.OFFICES))[:10]
 SERIES = {"cpi": "1-URGENT", "core_pce": "2-HIGH", "unrate": "3-MEDIUM"}
 
@@ -152,34 +155,34 @@ def persona_answers_alone(spark, d):
     return a.groupBy("member").agg(F.count("*").alias("asked"), F.count_if(F.length("response") > 0).alias("answered"))
 
 
-def weighted_top(spark, d, beta, k=3):
-    """date, member, query_idx, chunk_id, rank by relevance and recency on each meeting's day."""
+def _sweep(spark, d, k=3):
+    """beta, tau, date, index, n_members: the conditioned index for each setting, from one retrieval."""
     rows = R.scored(chunks(spark, d), battery(spark, d).select("query_idx", "q")).select("query_idx", "member", "chunk_id", "posted", "rel")
-    rows = rows.join(F.broadcast(decided(spark, d).select("date")), F.col("posted") <= F.col("date"))  # the calendar
-    rows = rows.withColumn("age", R.age_in_years(F.col("posted"), F.col("date")))
-    return R.top_k_weighted(rows, k, beta, TAU, ("date", "query_idx", "member"))
+    top = R.expanding_top_k_weighted(rows, decided(spark, d).select("date"), k, SETTINGS)
+    settings = spark.createDataFrame([(float(b), float(t)) for b, t in SETTINGS], "beta double, tau double")
+    answers = P.respond_at(chunks(spark, d, True), _in_office(spark, d), battery(spark, d), P.FirstStatement(), briefings=conditions(spark, d), top=top, settings=settings)
+    return P.committee_index(answers, P.DigestVectors(), _axis(spark, d), SETTING)
 
 
-def _panel(spark, d, index, name="index"):
-    """i, date, x, m, bps of the meetings that have an index and decision: a row a meeting, written once, as
+def _panel(spark, d, index, name="index", by=()):
+    """by..., i, date, x, m, bps of the meetings that have an index and decision: a row a meeting, written once, as
     the measures read it several times."""
-    w = Window.orderBy("date")
+    w = Window.partitionBy(*by).orderBy("date")
     p = index.join(decided(spark, d).select("date", F.col("bps").cast("double").alias("bps")), "date")
-    p = p.select("date", F.round(name, 9).alias("x"), "bps", (F.row_number().over(w) - 1).cast("long").alias("i"))
-    return stored(p.withColumn("m", S.momentum(F.col("x"))), "panel")
+    p = p.select(*by, "date", F.round(name, 9).alias("x"), "bps", (F.row_number().over(w) - 1).cast("long").alias("i"))
+    return stored(p.withColumn("m", S.momentum(F.col("x"), by=by)), "panel")
 
 
-def _accuracy(panel, two=True):
-    """n, accuracy of the walk-forward classes in the evaluation window."""
-    c = S.dead_band(panel, "x", "bps", "m" if two else None, WARM_UP).select("i", "cls").join(panel, "i")
+def _accuracy(panel, two=True, by=()):
+    """by..., n, accuracy of the walk-forward classes in the evaluation window."""
+    c = S.dead_band(panel, "x", "bps", "m" if two else None, WARM_UP, by).select(*by, "i", "cls").join(panel, [*by, "i"])
     good = (F.col("date") >= F.lit(EVAL).cast("date")) & (F.col("cls") != 99)
-    return c.agg(F.count("*").alias("n"), F.avg(F.when(good, (F.col("cls") == F.signum("bps").cast("int")).cast("double"))).alias("accuracy"))
+    return c.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.when(good, (F.col("cls") == F.signum("bps").cast("int")).cast("double"))).alias("accuracy"))
 
 
 def retrieval_sweep(spark, d):
-    """Accuracy of the conditioned index by the weight of recency."""
-    rows = [_accuracy(_panel(spark, d, _index(spark, d, True, weighted_top(spark, d, b)))).withColumn("beta", F.lit(b)) for b in BETAS]
-    return reduce(lambda a, b: a.unionByName(b), rows).select("beta", "n", _r("accuracy"))
+    """Accuracy of the conditioned index by the weight of recency and its decay."""
+    return _accuracy(_panel(spark, d, _sweep(spark, d), by=SETTING), by=SETTING).select(*SETTING, "n", _r("accuracy"))
 
 
 def accuracy_table(spark, d):
@@ -208,21 +211,22 @@ def accuracy_table(spark, d):
 
 
 def sensitivity(spark, d, least=40):
-    """Ten measures of the conditioned index by the weight of recency; weights with fewer than ``least`` meetings are left out."""
-    out = []
+    """Ten measures of the conditioned index by the weight of recency and its decay; settings with fewer than ``least``
+    meetings are left out."""
     target = _asof(spark, macro_long(spark, d), ("target",)).select("date", F.col("value").alias("target"))
-    for b in BETAS[:2]:
-        p = _panel(spark, d, _index(spark, d, True, weighted_top(spark, d, b))).join(target, "date")
-        w = S.walk_forward(p, "x", "bps", WARM_UP, "m").withColumn("late", F.col("date") >= F.lit(EVAL).cast("date"))
-        e = F.col("late")
-        corr = lambda x, y, c: F.when(F.count_if(c & F.col(x).isNotNull() & F.col(y).isNotNull()) >= 3, F.corr(F.when(c, F.col(x)), F.when(c, F.col(y))))
-        up, down = F.avg(F.when(e & (F.col("bps") > 0), F.col("x"))), F.avg(F.when(e & (F.col("bps") < 0), F.col("x")))
-        row = w.agg(F.count("*").alias("n"), corr("pred", "bps", e).alias("r_pred"), corr("x", "bps", e).alias("r_idx"), (up - down).alias("sep"), corr("x", "target", F.lit(True)).alias("r_tgt"))
-        late = w.where("late").select(F.col("x"), (-F.col("x")).alias("neg"), (F.col("bps") > 0).cast("int").alias("hike"), (F.col("bps") < 0).cast("int").alias("cut"))
-        for one in (S.auc(late, "x", "hike").withColumnRenamed("auc", "auc_hike"), S.auc(late, "neg", "cut").withColumnRenamed("auc", "auc_cut"), S.kendall(p, "x", "target").withColumnRenamed("tau", "tau_tgt"), S.kendall(p, "x", "bps").withColumnRenamed("tau", "tau_bps"), _accuracy(p.drop("target")).select(F.col("accuracy").alias("acc3"))):
-            row = row.crossJoin(F.broadcast(one))  # each is one row
-        out.append(row.where(F.col("n") >= least).select(F.lit(b).alias("beta"), "n", *[_r(c) for c in ("acc3", "r_pred", "r_idx", "auc_hike", "auc_cut", "sep", "r_tgt", "tau_tgt", "tau_bps")]))
-    return reduce(lambda a, b: a.unionByName(b), out)
+    p = _panel(spark, d, _sweep(spark, d), by=SETTING).join(target, "date")
+    w = S.walk_forward(p, "x", "bps", WARM_UP, "m", SETTING).withColumn("late", F.col("date") >= F.lit(EVAL).cast("date"))
+    e = F.col("late")
+    corr = lambda x, y, c: F.when(F.count_if(c & F.col(x).isNotNull() & F.col(y).isNotNull()) >= 3, F.corr(F.when(c, F.col(x)), F.when(c, F.col(y))))
+    up, down = F.avg(F.when(e & (F.col("bps") > 0), F.col("x"))), F.avg(F.when(e & (F.col("bps") < 0), F.col("x")))
+    rows = w.groupBy(*SETTING).agg(F.count("*").alias("n"), corr("pred", "bps", e).alias("r_pred"), corr("x", "bps", e).alias("r_idx"), (up - down).alias("sep"), corr("x", "target", F.lit(True)).alias("r_tgt"))
+    late = w.where("late").select(*SETTING, F.col("x"), (-F.col("x")).alias("neg"), (F.col("bps") > 0).cast("int").alias("hike"), (F.col("bps") < 0).cast("int").alias("cut"))
+    auc = lambda x, y: S.auc(late, x, y, SETTING).withColumnRenamed("auc", f"auc_{y}")
+    renamed = p.withColumnRenamed("tau", "decay")
+    tau = lambda y, c: S.kendall(renamed, "x", y, ("beta", "decay")).withColumnsRenamed({"tau": c, "decay": "tau"})
+    for one in (auc("x", "hike"), auc("neg", "cut"), tau("target", "tau_tgt"), tau("bps", "tau_bps"), _accuracy(p.drop("target"), by=SETTING).select(*SETTING, F.col("accuracy").alias("acc3"))):
+        rows = rows.join(one, list(SETTING), "left")
+    return rows.where(F.col("n") >= least).select(*SETTING, "n", *[_r(c) for c in ("acc3", "r_pred", "r_idx", "auc_hike", "auc_cut", "sep", "r_tgt", "tau_tgt", "tau_bps")])
 
 
 def completions(spark, d):
@@ -264,13 +268,13 @@ _AX = f"av AS (SELECT item_id % 2 AS low, {_VEC.format(t=chr(39) * 2 + ' || text
 _BASE = ", ".join((_ME, _LM, _CO, _DE, _CH, _SC, _RO, _IN, _AX))
 
 
-def _score(beta, k):
+def _score(beta, k, tau=2.0):
     """Rows of the ranking at weight ``beta`` (None: relevance alone), as CTE tp{k}."""
     if beta is None:
         rows = "SELECT date, member, query_idx, chunk_id, text, rel AS score FROM sc JOIN de ON posted <= date"
     else:
         z = "CASE WHEN stddev_pop({x}) OVER w > 1e-9 THEN ({x} - avg({x}) OVER w) / (stddev_pop({x}) OVER w) ELSE 0 END"
-        rows = f"SELECT date, member, query_idx, chunk_id, text, {z.format(x='rel')} + {beta} * {z.format(x='fresh')} AS score FROM (SELECT *, exp(-greatest((date - posted) / 365.25::DOUBLE, 0) / {TAU}) AS fresh FROM sc JOIN de ON posted <= date) WINDOW w AS (PARTITION BY date, member, query_idx)"
+        rows = f"SELECT date, member, query_idx, chunk_id, text, {z.format(x='rel')} + {beta} * {z.format(x='fresh')} AS score FROM (SELECT *, exp(-greatest((date - posted) / 365.25::DOUBLE, 0) / {tau}) AS fresh FROM sc JOIN de ON posted <= date) WINDOW w AS (PARTITION BY date, member, query_idx)"
     return f"tp{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date, member, query_idx ORDER BY score DESC, chunk_id) AS r FROM ({rows})) WHERE r <= 3)"
 
 
@@ -321,9 +325,9 @@ def _auc_sql(k, x, y):
     return f"(SELECT round(sum(p * before) / nullif(sum(p) * sum(n), 0), 6) FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT {x} AS s, count(*) FILTER ({y}) AS p, count(*) FILTER (NOT {y}) AS n {late} GROUP BY 1)))"
 
 
-def _sense_sql(k, beta):
+def _sense_sql(k, beta, tau):
     late = f"FILTER (date >= DATE '{EVAL}')"
-    return f"""SELECT {beta}::DOUBLE AS beta, count(*) AS n, (SELECT accuracy FROM (SELECT {_acc_sql(k)})) AS acc3, round(corr(pred, bps) {late}, 6) AS r_pred, round(corr(x, bps) {late}, 6) AS r_idx, {_auc_sql(k, 'x', 'bps > 0')} AS auc_hike, {_auc_sql(k, '-x', 'bps < 0')} AS auc_cut,
+    return f"""SELECT {beta}::DOUBLE AS beta, {tau}::DOUBLE AS tau, count(*) AS n, (SELECT accuracy FROM (SELECT {_acc_sql(k)})) AS acc3, round(corr(pred, bps) {late}, 6) AS r_pred, round(corr(x, bps) {late}, 6) AS r_idx, {_auc_sql(k, 'x', 'bps > 0')} AS auc_hike, {_auc_sql(k, '-x', 'bps < 0')} AS auc_cut,
  round(avg(x) FILTER (date >= DATE '{EVAL}' AND bps > 0) - avg(x) FILTER (date >= DATE '{EVAL}' AND bps < 0), 6) AS sep, round(corr(x, target), 6) AS r_tgt, {_tau_sql(k, 'x', 'target')} AS tau_tgt, {_tau_sql(k, 'x', 'bps')} AS tau_bps FROM pt{k} HAVING count(*) >= 40"""
 
 
@@ -348,14 +352,17 @@ def _table_sql():
     return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(rows)
 
 
+def _settings_sql(more=lambda k: ()):
+    return [_BASE] + [x for k, (b, t) in enumerate(SETTINGS) for x in (_score(b, k, t), _index_sql(k), _panel_sql(k, f"ix{k}"), *more(k))]
+
+
 def _sweep_sql():
-    parts = [_BASE] + [x for k, b in enumerate(BETAS) for x in (_score(b, k), _index_sql(k), _panel_sql(k, f"ix{k}"))]
-    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {b}::DOUBLE AS beta, {_acc_sql(k)}" for k, b in enumerate(BETAS))
+    return "WITH " + ", ".join(_settings_sql()) + " " + " UNION ALL ".join(f"SELECT {b}::DOUBLE AS beta, {t}::DOUBLE AS tau, {_acc_sql(k)}" for k, (b, t) in enumerate(SETTINGS))
 
 
 def _sensitivity_sql():
-    parts = [_BASE] + [x for k, b in enumerate(BETAS[:2]) for x in (_score(b, k), _index_sql(k), _panel_sql(k, f"ix{k}"), f"pt{k} AS (SELECT f.*, cx.target FROM fi{k} f JOIN cx USING (date))")]
-    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(_sense_sql(k, b) for k, b in enumerate(BETAS[:2]))
+    parts = _settings_sql(lambda k: (f"pt{k} AS (SELECT f.*, cx.target FROM fi{k} f JOIN cx USING (date))",))
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(_sense_sql(k, b, t) for k, (b, t) in enumerate(SETTINGS))
 
 
 ORACLES = {

@@ -155,12 +155,43 @@ def test_pages_as_a_table(spark):
     assert sorted((r["page_id"], r["text"]) for r in pages.texts(rows).collect()) == [(1, "a"), (2, "")]
 
 
-def test_kendall_ties_bound_and_nulls(spark):
+def plain_tau(a, b):
+    x, y = np.sign(np.subtract.outer(a, a)), np.sign(np.subtract.outer(b, b))
+    n = np.abs(x).sum() * np.abs(y).sum()
+    return float((x * y).sum() / math.sqrt(n)) if n else None
+
+
+def test_inversions():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 17, 64, 65):
+        rank, w = r.permutation(n), r.integers(1, 9, n)
+        assert S.inversions(rank, w) == sum(int(w[i] * w[j]) for i in range(n) for j in range(i + 1, n) if rank[i] > rank[j])
+
+
+def test_kendall_ties_and_nulls(spark):
     rows = spark.createDataFrame([(1.0, 1.0), (2.0, 1.0), (3.0, 4.0), (None, 2.0), (float("nan"), 3.0)], "a double, b double")
     assert math.isclose(S.kendall(rows, "a", "b").first()["tau"], 2 / math.sqrt(6))
     assert S.kendall(rows.limit(1), "a", "b").first()["tau"] is None and S.kendall(rows.limit(0), "a", "b").first()["tau"] is None
-    with pytest.raises(Exception, match="more than 2 rows"):
-        S.kendall(rows, "a", "b", bound=2).collect()
+    r = np.random.default_rng(9)
+    groups = {"wide": (r.normal(size=700), r.normal(size=700)), "tied": (r.integers(0, 3, 700), r.normal(size=700)), "hot": (np.where(r.random(600) < 0.5, 1.0, r.normal(size=600)), np.where(r.random(600) < 0.6, 2.0, r.integers(0, 40, 600))), "flat": (np.ones(400), r.normal(size=400)), None: (np.arange(30.0), r.permutation(30)), "copies": (r.integers(0, 4, 900), r.integers(0, 4, 900))}
+    groups["near"] = (groups["wide"][0], groups["wide"][0] + r.normal(size=700) * 0.1)
+    table = [(g, float(x), float(y)) for g, (a, b) in groups.items() for x, y in zip(a, b, strict=True)]
+    df = spark.createDataFrame(table, "g string, a double, b double").repartition(5)
+    want = {g: plain_tau(np.asarray(a, float), np.asarray(b, float)) for g, (a, b) in groups.items()}
+    for whole, ranges in ((256, 32), (5000, 32), (4, 3), (0, 1)):
+        got = {x["g"]: x["tau"] for x in S.kendall(df, "a", "b", ("g",), whole, ranges).collect()}
+        assert got.keys() == want.keys()
+        for g, t in want.items():
+            assert got[g] == t if t is None else math.isclose(got[g], t, abs_tol=1e-12), (g, whole)
+    assert math.isclose(S.kendall(df.where("g = 'near'"), "a", "b").first()["tau"], want["near"])
+
+
+def test_kendall_of_a_million_rows(spark):
+    """b falls with a in blocks of 1,000: pairs inside a block are discordant, all others concordant."""
+    n, block = 1_000_000, 1000
+    df = spark.range(n).select(F.col("id").alias("a"), (F.floor(F.col("id") / block) * block + block - 1 - F.col("id") % block).alias("b"))
+    inside, pairs = n // block * (block * (block - 1) // 2), n * (n - 1) // 2
+    assert math.isclose(S.kendall(df, "a", "b").first()["tau"], (pairs - 2 * inside) / pairs, rel_tol=1e-12)
 
 
 def test_auc_over_ranges(spark):
