@@ -94,8 +94,8 @@ def recency_layers(seen: DataFrame, k: int, by: tuple[str, ...], held: int = 500
     """Of rows with ``_first``, those that any mix of relevance and recency can rank among the k best of their group.
 
     For a given day a row's score is a sum of its relevance and of a function that falls with its age, so a row
-    that k others surpass in both never ranks; rows are peeled into k layers.  A task peels what it reads,
-    ``held`` rows at a time, before the shuffle, each group and meeting peels what the tasks kept.
+    that k others surpass in both never ranks; rows are peeled into k layers.  A task peels what it reads, all
+    groups at once and about ``held`` rows at a time, before the shuffle by group and meeting, and again behind it.
     """
     keys = [*by, "_first"]
 
@@ -115,7 +115,7 @@ def recency_layers(seen: DataFrame, k: int, by: tuple[str, ...], held: int = 500
             yield layers(pd.concat(waiting), keys, k)
 
     slim = seen.select(*keys, "chunk_id", "posted", F.col("rel").cast("double").alias("rel"))
-    return slim.mapInPandas(peeled, slim.schema).groupBy(*keys).applyInPandas(lambda pdf: layers(pdf, keys, k), slim.schema)
+    return slim.mapInPandas(peeled, slim.schema).repartition(*keys).mapInPandas(peeled, slim.schema)
 
 
 def _spreads(seen: DataFrame, days: DataFrame, taus: list[float], by: tuple[str, ...]) -> DataFrame:
