@@ -108,3 +108,21 @@ def decisions(meetings: DataFrame, target: DataFrame) -> DataFrame:
     both = both.crossJoin(F.broadcast(last)).withColumn("after", F.when(F.col("last") > F.col("date"), F.col("after")))
     bps = F.rint((F.col("after") - F.col("before")) * 100).cast("long")
     return both.withColumn("bps", bps).select("date", "before", "after", "bps", F.when(F.col("bps") > 0, "hike").when(F.col("bps") < 0, "cut").when(F.col("bps") == 0, "hold").alias("label"))
+
+
+def interval_join(points: DataFrame, spans: DataFrame, on: str, start: str, end: str, days: int = 16) -> DataFrame:
+    """Pairs of ``points`` and ``spans`` (other column names) where start <= on < end; an open end never ends.
+
+    For sides too large to broadcast: time is cut into buckets of ``days``, a span stands in each that it meets, and
+    the sides meet by bucket, so no pair is looked at but those of one bucket.  Days beyond the points' range make no
+    bucket.  Null days and starts meet nothing.
+    """
+    day = lambda c: F.unix_date(F.col(c).cast("date"))
+    bucket = lambda d: F.floor(d / days).cast("long")
+    edge = points.agg(F.min(day(on)).alias("_low"), F.max(day(on)).alias("_high"))
+    asked = points.withColumn("_bucket", bucket(day(on)))
+    first = F.greatest(day(start), F.col("_low"))
+    last = F.least(F.coalesce(day(end) - 1, F.col("_high")), F.col("_high"))
+    met = spans.crossJoin(F.broadcast(edge)).where(first <= last).withColumn("_bucket", F.explode(F.sequence(bucket(first), bucket(last)))).drop("_low", "_high")
+    inside = (F.col(on).cast("date") >= F.col(start).cast("date")) & (F.col(end).isNull() | (F.col(on).cast("date") < F.col(end).cast("date")))
+    return asked.join(met, "_bucket").where(inside).drop("_bucket")

@@ -112,16 +112,23 @@ def _sums_by_ranges(points: DataFrame, by: tuple[str, ...], ranges: int) -> Data
     return t.where(F.col("all") > 0).select(*by, s.cast("decimal(38,0)").alias("s"), (F.col("all") - F.col("a")).cast("decimal(38,0)").alias("x"), (F.col("all") - F.col("b")).cast("decimal(38,0)").alias("y"))
 
 
-def kendall(rows: DataFrame, a: str, b: str, by: tuple[str, ...] = (), whole: int = 256, ranges: int = 32) -> DataFrame:
+def kendall(rows: DataFrame, a: str, b: str, by: tuple[str, ...] = (), whole: int = 256, ranges: int = 32, few: bool = False) -> DataFrame:
     """by..., tau: Kendall's tau-b over the pairs of each group (plain tau without ties); null without two different values.
 
     Equal rows are counted first.  A group of up to ``whole`` different rows is one array, whose pairs are compared in
     place; of a larger one inversions are counted, in about a ``ranges``-th of its rows at a time.  Both give the same
-    numbers.  Rows with a null or NaN on either side are left out; groups without other rows are left out, too (without
+    numbers.  ``few`` says that groups are small by their kind (members, meetings), so arrays do for all and the plan is
+    one aggregation.  Rows with a null or NaN on either side are left out; groups without other rows are left out, too (without
     ``by`` there is one row whatever there is).
     """
     good = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(F.col(a).cast("double")) & ~F.isnan(F.col(b).cast("double")))
-    points = good.groupBy(*by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).agg(F.count("*").alias("_w"))
+    point = [F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")]
+    fine = (F.col("x") > 0) & (F.col("y") > 0)
+    d = lambda c: F.col(c).cast("double")
+    tau = F.when(fine, d("s") / F.sqrt(F.when(fine, d("x") * d("y")))).alias("tau")
+    if few:
+        return _sums_in_place(good.select(*by, *point, F.lit(1).cast("long").alias("_w")), by).select(*by, tau)
+    points = good.groupBy(*by, *point).agg(F.count("*").alias("_w"))
     at = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
     cuts = points.groupBy(*[F.col(k).alias(f"_by{n}") for n, k in enumerate(by)]).agg(F.count("*").alias("_n"), F.percentile_approx("_a", at, 1000).alias("_ca"), F.percentile_approx("_b", at, 1000).alias("_cb"))
     if by:
@@ -133,9 +140,7 @@ def kendall(rows: DataFrame, a: str, b: str, by: tuple[str, ...] = (), whole: in
     t = small.unionByName(_sums_by_ranges(sized.where(F.col("_n") > whole), by, ranges))
     if not by:  # arrays of nothing make a row as well
         t = t.agg(*[F.sum(c).alias(c) for c in ("s", "x", "y")])
-    fine = (F.col("x") > 0) & (F.col("y") > 0)
-    d = lambda c: F.col(c).cast("double")
-    return t.select(*by, F.when(fine, d("s") / F.sqrt(F.when(fine, d("x") * d("y")))).alias("tau"))
+    return t.select(*by, tau)
 
 
 def permutation_p(n: int, tau: float) -> float:
@@ -262,13 +267,13 @@ def dead_band(rows: DataFrame, x: str, y: str, m: str | None = None, start: int
     return rows.select(*by, "i").join(picked, [*by, "i"], "left").select(*by, "i", "band", F.coalesce("cls", F.lit(99)).alias("cls"))
 
 
-def lead_lag(rows: DataFrame, a: str, b: str, low: int = -2, high: int = 8) -> DataFrame:
+def lead_lag(rows: DataFrame, a: str, b: str, low: int = -2, high: int = 8, few: bool = False) -> DataFrame:
     """shift, n, r, tau: Pearson and Kendall correlation of a[t] with b[t + shift]; null for fewer than three
-    pairs.  Pairs with a null or NaN are left out."""
+    pairs.  Pairs with a null or NaN are left out; ``few`` as in kendall()."""
     shifts = rows.sparkSession.range(low, high + 1).select(F.col("id").alias("shift"))
     x = rows.select("i", F.col(a).alias("_a")).crossJoin(F.broadcast(shifts))
     y = rows.select(F.col("i").alias("j"), F.col(b).alias("_b"))
     j = x.join(y, F.col("j") == F.col("i") + F.col("shift")).where("_a is not null and _b is not null and not isnan(_a) and not isnan(_b)")
     r = j.groupBy("shift").agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.corr("_a", "_b")).alias("r"))
-    tau = kendall(j, "_a", "_b", ("shift",))
+    tau = kendall(j, "_a", "_b", ("shift",), few=few)
     return r.join(tau, "shift", "left").select("shift", "n", "r", F.when(F.col("n") >= 3, F.col("tau")).alias("tau"))

@@ -223,7 +223,7 @@ def sensitivity(spark, d, least=40):
     late = w.where("late").select(*SETTING, F.col("x"), (-F.col("x")).alias("neg"), (F.col("bps") > 0).cast("int").alias("hike"), (F.col("bps") < 0).cast("int").alias("cut"))
     auc = lambda x, y: S.auc(late, x, y, SETTING).withColumnRenamed("auc", f"auc_{y}")
     renamed = p.withColumnRenamed("tau", "decay")
-    tau = lambda y, c: S.kendall(renamed, "x", y, ("beta", "decay")).withColumnsRenamed({"tau": c, "decay": "tau"})
+    tau = lambda y, c: S.kendall(renamed, "x", y, ("beta", "decay"), few=True).withColumnsRenamed({"tau": c, "decay": "tau"})
     for one in (auc("x", "hike"), auc("neg", "cut"), tau("target", "tau_tgt"), tau("bps", "tau_bps"), _accuracy(p.drop("target"), by=SETTING).select(*SETTING, F.col("accuracy").alias("acc3"))):
         rows = rows.join(one, list(SETTING), "left")
     return rows.where(F.col("n") >= least).select(*SETTING, "n", *[_r(c) for c in ("acc3", "r_pred", "r_idx", "auc_hike", "auc_cut", "sep", "r_tgt", "tau_tgt", "tau_bps")])

@@ -90,11 +90,11 @@ def walkforward_class(spark, d):
 
 
 def lead_lag(spark, d):
-    return S.lead_lag(panel(spark, d), "m", "y").select("shift", "n", _r("r"), _r("tau"))
+    return S.lead_lag(panel(spark, d), "m", "y", few=True).select("shift", "n", _r("r"), _r("tau"))
 
 
 def kendall_tau_b(spark, d):
-    return S.kendall(panel(spark, d).withColumn("yr", F.round(F.col("y"))), "x", "yr").select(_r("tau"))
+    return S.kendall(panel(spark, d).withColumn("yr", F.round(F.col("y"))), "x", "yr", few=True).select(_r("tau"))
 
 
 def base_rate(spark, d):
@@ -147,6 +147,21 @@ def voting_roster(spark, d):
     return C.sitting(C.roles(dates, C.offices(spark), C.rotation(spark)), voting_only=True)
 
 
+def tau_orders(spark, d):
+    """Kendall's tau-b of all orders' days and prices in thousands, by priority."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderpriority", F.unix_date(F.to_date("o_orderdate")).alias("day"), F.floor(F.col("o_totalprice") / 1000).alias("price"))
+    return S.kendall(o, "day", "price", ("o_orderpriority",)).select("o_orderpriority", _r("tau", 9))
+
+
+def orders_and_transit(spark, d):
+    """Orders of each day and priority, and the orders that are being shipped on that day: from the first line's day to the last's."""
+    o = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.to_date("o_orderdate").alias("date"), "o_orderpriority").agg(F.count("*").alias("orders"))
+    line = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.min(F.to_date("l_shipdate")).alias("sent"), F.max(F.to_date("l_shipdate")).alias("done"), F.count("*").alias("lines"))
+    spans = line.groupBy("sent", "done").agg(F.count("*").alias("shipping"), F.sum("lines").alias("lines"))
+    met = C.interval_join(o.select("date").distinct(), spans, "date", "sent", "done")
+    return o.join(met.groupBy("date").agg(F.sum("shipping").alias("shipping"), F.sum("lines").alias("lines")), "date").select("date", "o_orderpriority", "orders", "shipping", "lines")
+
+
 def _activity(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     return e.select(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("member"), F.to_date("ts").alias("posted"), "value", "event_type", "event_id")
@@ -209,6 +224,8 @@ ORACLES = {
     "index_by_decision": f"WITH {_PA} SELECT sign(y)::INT AS cls, count(*) AS n, round(quantile_cont(x, 0.5), 6) AS median_x FROM p WHERE date >= DATE '1997-01-01' GROUP BY 1",
     "taylor": f"WITH {_PA} SELECT i, round(2 + m + 0.5 * (m - 2) - (4.0 - 4.4) - x / 100, 6) AS gap, round(log10(x), 6) AS log_x FROM p",
     "office_range_join": f"WITH {_OFF}, dt AS (SELECT unnest(generate_series(DATE '2010-01-15', DATE '2026-06-15', INTERVAL 3 MONTH))::DATE AS date), mb AS (SELECT DISTINCT member FROM o), h AS (SELECT mb.member, dt.date, office FROM dt CROSS JOIN mb LEFT JOIN o ON o.member = mb.member AND start <= dt.date AND (stop IS NULL OR dt.date < stop)) SELECT member, date, office, coalesce(office IN ('governor', 'chair', 'pres:NY'), false) OR coalesce(year(date) % md = rm, false) AS is_voting, coalesce(office = 'chair', false) AS is_chair FROM h LEFT JOIN rot ON 'pres:' || bank = office",
+    "tau_orders": "WITH p AS (SELECT o_orderpriority, o_orderdate::DATE - DATE '1970-01-01' AS day, floor(o_totalprice / 1000) AS price, row_number() OVER () AS i FROM orders) SELECT x.o_orderpriority, round(sum(sign(x.day - y.day) * sign(x.price - y.price)) / (sqrt(sum(abs(sign(x.day - y.day)))) * sqrt(sum(abs(sign(x.price - y.price))))), 9) AS tau FROM p x JOIN p y ON x.o_orderpriority = y.o_orderpriority AND x.i < y.i GROUP BY 1",
+    "orders_and_transit": "WITH o AS (SELECT o_orderdate::DATE AS date, o_orderpriority, count(*) AS orders FROM orders GROUP BY ALL), l AS (SELECT min(l_shipdate::DATE) AS sent, max(l_shipdate::DATE) AS done, count(*) AS lines FROM lineitem GROUP BY l_orderkey), s AS (SELECT sent, done, count(*) AS shipping, sum(lines) AS lines FROM l GROUP BY ALL) SELECT date, o_orderpriority, orders, sum(shipping)::BIGINT AS shipping, sum(lines)::BIGINT AS lines FROM o JOIN s ON sent <= date AND date < done GROUP BY ALL",
     "voting_roster": f"WITH {_OFF}, dt AS (SELECT unnest(generate_series(DATE '2010-01-15', DATE '2026-06-15', INTERVAL 3 MONTH))::DATE AS date) SELECT member, date, office FROM dt JOIN o ON start <= dt.date AND (stop IS NULL OR dt.date < stop) LEFT JOIN rot ON 'pres:' || bank = office WHERE office IS NOT NULL AND (office IN ('governor', 'chair', 'pres:NY') OR coalesce(year(date) % md = rm, false))",
     "roster": f"WITH {_ACT} SELECT date, member, count(*)::BIGINT AS n FROM ev JOIN wk ON posted <= date GROUP BY ALL HAVING count(*) >= 5",
     "committee_index": f"WITH {_ACT}, v AS (SELECT date, member, avg(value) AS v FROM ev JOIN wk ON posted <= date GROUP BY ALL HAVING count(value) >= 5) SELECT date, round(avg(v), 6) AS \"index\", count(*) AS n_members FROM v GROUP BY date",

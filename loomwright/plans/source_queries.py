@@ -9,12 +9,23 @@ from loomwright.functions import scalar as T
 from loomwright.operators import ingest as I
 from loomwright.operators import retrieval as R
 from loomwright.sources import listing, sinks
+from loomwright.sources.shared import shared_dir
+from loomwright.streaming import incremental
 
 
 def _read(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def unseen_posts(spark, d):
+    """Events as posts by a stream that keeps the keys it has seen: one of each user, kind and address."""
+    path = f"{d}/events.parquet"
+    posts = lambda e: e.select(F.col("ts").cast("timestamp").alias("postedAt"), F.col("user_id").alias("member"), F.col("event_type").alias("source"), F.get_json_object("props", "$.k").alias("address"))
+    out = shared_dir(spark, "posts")
+    incremental.run_stateful(spark, f"{d}/events.parque[t]", spark.read.parquet(path).schema, out, shared_dir(spark, "posts-seen"), ("member", "source", "address"), "postedAt", prepare=posts)
+    return spark.read.parquet(out).groupBy("source").agg(F.count("*").alias("posts"), F.count_distinct("member").alias("members"), F.count_distinct("address").alias("addresses"))
+
+
 def name_slugs(spark, d):
     """Surnames, shard names and the slugs a site may use for a name."""
     c = _read(spark, d, "customer").select("c_custkey", F.concat(F.col("c_mktsegment"), F.lit(" J. "), F.replace("c_name", F.lit("#"), F.lit(" No."))).alias("name"))
@@ -119,5 +130,6 @@ ORACLES = {
     "ages": "SELECT o_orderkey, round(datediff('day', o_orderdate::DATE, DATE '1998-08-02') / 365.25::DOUBLE, 6) AS age, round(exp(-greatest(datediff('day', o_orderdate::DATE, DATE '1998-08-02') / 365.25::DOUBLE, 0) / 2.0), 6) AS fresh FROM orders",
     "halves": "SELECT conv_id, (count(*) // 2)::BIGINT AS n_first, (count(*) - count(*) // 2)::BIGINT AS n_second FROM conversations GROUP BY conv_id",
     "tidy_texts": "SELECT doc_id, md5(regexp_replace(replace(text, '. ', ' ' || chr(10) || ' ' || chr(10)), '\\s+\\n', chr(10), 'g')) AS digest FROM documents",
+    "unseen_posts": "SELECT source, count(*) AS posts, count(DISTINCT member) AS members, count(DISTINCT address) AS addresses FROM (SELECT DISTINCT user_id AS member, event_type AS source, json_extract_string(props, '$.k') AS address FROM events) GROUP BY source",
 }
 QUERIES = {n: globals()[n] for n in (*ORACLES, "opinions")}

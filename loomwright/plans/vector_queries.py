@@ -69,7 +69,7 @@ def _external(spark):
 
 
 def _tau(s, spark, by=()):
-    return S.kendall(s.join(_external(spark), "member"), "rank", "ext", by)
+    return S.kendall(s.join(_external(spark), "member"), "rank", "ext", by, few=True)
 
 
 def kendall_stance(spark, d):
@@ -79,7 +79,7 @@ def kendall_stance(spark, d):
 def kendall_p(spark, d):
     """The exact permutation p-value of the retrieved ranking's tau."""
     s = _stance_retrieved(spark, d).join(_external(spark), "member")
-    t = S.kendall(s, "rank", "ext").crossJoin(F.broadcast(s.agg(F.count("*").alias("n"))))
+    t = S.kendall(s, "rank", "ext", few=True).crossJoin(F.broadcast(s.agg(F.count("*").alias("n"))))
     return S.two_sided_p(t).select("n", _r("tau"), _r("p"))
 
 

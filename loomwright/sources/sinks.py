@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from loomwright.operators.ingest import conform
+from loomwright.operators.ingest import CHUNK_COLUMNS, conform
 
 
 def shard(member: Column) -> Column:
@@ -15,21 +18,62 @@ def shard(member: Column) -> Column:
     return F.replace(F.replace(F.lower(member), F.lit(" "), F.lit("_")), F.lit("."), F.lit(""))
 
 
-def append_pair(chunks: DataFrame, vectors: DataFrame, root: str) -> None:
-    """Appends chunks (conformed, a folder a member) and their vectors (chunk_id, embedding).
+def commit(spark: SparkSession, root: str, batch: str) -> int:
+    """Adds ``batch`` to the commits under ``root`` and returns its number: the next one that no other writer takes first.
 
-    Vectors go first: a run that ends between the two leaves vectors without a chunk, which
-    readers never see, and a second run writes both again.
+    The entry is written aside and renamed to its number, which fails where that is taken, so each number has one
+    writer and an entry is seen whole or not at all.
     """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs_path = jvm.org.apache.hadoop.fs.Path
+    folder, aside = fs_path(f"{root}/commits"), fs_path(f"{root}/commits/.{batch}")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), conf)
+    fs = folder.getFileSystem(conf)
+    fs.mkdirs(folder)
+    out = fs.create(aside, True)
+    out.write(bytearray(batch.encode()))
+    out.close()
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    number = max([int(f.getPath().getName()) + 1 for f in fs.listStatus(folder) if f.getPath().getName().isdigit()], default=0)
+    while True:
+        try:
+            files.rename(aside, fs_path(f"{root}/commits/{number:012d}"), none)
+            return number
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            number += 1
+
+
+def committed(spark: SparkSession, root: str) -> DataFrame:
+    """batch: those that are committed under ``root``; one small file each."""
+    return spark.read.text(f"{root}/commits", pathGlobFilter="[0-9]*").select(F.col("value").alias("batch"))
+
+
+def append_pair(chunks: DataFrame, vectors: DataFrame, root: str) -> str:
+    """Appends chunks (conformed, a folder a member) and their vectors (chunk_id, embedding) as one batch; its name.
+
+    Both sides are written to folders of the batch, then the batch is committed.  Readers take committed batches
+    only, so a run that ends in between leaves the pair as it was, and a second run writes another batch.  Appends of
+    several writers commit one after another.
+    """
+    spark, batch = chunks.sparkSession, uuid.uuid4().hex
     members = chunks.select("chunk_id", shard(F.col("member")).alias("shard"))
-    vectors.select("chunk_id", F.col("embedding").cast("array<float>")).join(members, "chunk_id").write.mode("append").partitionBy("shard").parquet(f"{root}/embeddings")
-    conform(chunks).withColumn("shard", shard(F.col("member"))).write.mode("append").partitionBy("shard").parquet(f"{root}/chunks")
+    vectors.select("chunk_id", F.col("embedding").cast("array<float>")).join(members, "chunk_id").write.partitionBy("shard").parquet(f"{root}/embeddings/batch={batch}")
+    conform(chunks).withColumn("shard", shard(F.col("member"))).write.partitionBy("shard").parquet(f"{root}/chunks/batch={batch}")
+    commit(spark, root, batch)
+    return batch
 
 
 def read_pair(spark: SparkSession, root: str) -> DataFrame:
-    """Chunks with their vector; of vectors that were written again one is taken, chunks without one have null."""
-    v = spark.read.parquet(f"{root}/embeddings").dropDuplicates(["chunk_id"]).select("chunk_id", "embedding")
-    return spark.read.parquet(f"{root}/chunks").drop("shard").join(v, "chunk_id", "left")
+    """Chunks of committed batches with their vector; of vectors that stand twice in a batch one is taken, chunks without
+    one have null."""
+    done = F.broadcast(committed(spark, root))  # one row a batch
+    schema = StructType.fromDDL("chunk_id long, embedding array<float>, batch string, shard string")
+    side = lambda name, schema: spark.read.schema(schema).parquet(f"{root}/{name}").join(done, "batch", "left_semi")
+    v = side("embeddings", schema).dropDuplicates(["batch", "chunk_id"]).select("batch", "chunk_id", "embedding")
+    stored = StructType([StructField(c, StructType.fromDDL(f"x {t}")[0].dataType) for c, t in CHUNK_COLUMNS.items()]).add("batch", "string").add("shard", "string")
+    return side("chunks", stored).drop("shard").join(v, ["batch", "chunk_id"], "left").drop("batch")
 
 
 def dump(rows: DataFrame, path: str) -> None:

@@ -49,3 +49,18 @@ def stored_rows(spark: SparkSession, target: str, schema) -> DataFrame:
     except AnalysisException:
         empty = spark.createDataFrame([], schema)
         return empty.withColumns({"chunk_id": F.lit(None).cast("long"), "batch": F.lit(None).cast("string")})
+
+
+def run_stateful(spark: SparkSession, source: str, schema, target: str, checkpoint: str, keys: tuple[str, ...], time: str, late: str = "30 days", per_batch: int | None = None, prepare=None) -> None:
+    """Appends records of new parquet files of ``source`` to ``target`` whose ``keys`` (such as member, source and address)
+    haven't been seen, without reading the target.
+
+    Seen keys are the stream's state, dealt by key over the executors and kept for ``late`` behind the newest ``time``;
+    records without a time, or older than that, are left out.  The sink commits each batch's files once, so a run that
+    ends early goes on where it was.  ``per_batch`` bounds the files of a batch; ``prepare`` may derive columns.
+    """
+    reader = spark.readStream.schema(schema)
+    rows = (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(source)
+    rows = prepare(rows) if prepare else rows
+    fresh = rows.where(F.col(time).isNotNull()).withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
+    fresh.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

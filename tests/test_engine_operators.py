@@ -184,6 +184,7 @@ def test_kendall_ties_and_nulls(spark):
         for g, t in want.items():
             assert got[g] == t if t is None else math.isclose(got[g], t, abs_tol=1e-12), (g, whole)
     assert math.isclose(S.kendall(df.where("g = 'near'"), "a", "b").first()["tau"], want["near"])
+    assert math.isclose(S.kendall(df.where("g = 'near'"), "a", "b", few=True).first()["tau"], want["near"])
 
 
 def test_kendall_of_a_million_rows(spark):

@@ -92,3 +92,65 @@ def test_load_chunks_in_order(spark, tmp_path):
     assert all(len(r["embedding"]) == 64 for r in got)
     with pytest.raises(ValueError):
         readers.load_chunks(spark, str(tmp_path), "other")
+
+
+def test_a_pair_is_committed_whole(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "pair")
+    chunks = lambda *ids: spark.createDataFrame([(i, "Jane Doe", f"t{i}") for i in ids], "chunk_id long, member string, text string")
+    vectors = lambda *ids: spark.createDataFrame([(i, [float(i)]) for i in ids], "chunk_id long, embedding array<double>")
+    sinks.append_pair(chunks(1, 2), vectors(1, 1), root)
+    told = lambda: sorted((int(r["chunk_id"]), r["embedding"] and list(r["embedding"])) for r in sinks.read_pair(spark, root).collect())
+    assert told() == [(1, [1.0]), (2, None)]
+    for step in ("conform", "commit"):  # a run ends between the two sides, or before the commit
+        with monkeypatch.context() as m, pytest.raises(RuntimeError):
+            m.setattr(sinks, step, lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+            sinks.append_pair(chunks(3), vectors(3), root)
+        assert told() == [(1, [1.0]), (2, None)]
+    sinks.append_pair(chunks(3), vectors(3), root)
+    assert told() == [(1, [1.0]), (2, None), (3, [3.0])]
+    assert [sinks.commit(spark, root, b) for b in ("x", "y")] == [2, 3] and sinks.committed(spark, root).count() == 4
+
+
+def test_writers_commit_one_after_another(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda k: sinks.commit(spark, str(tmp_path), f"batch{k}"), range(24)))
+    assert sorted(numbers) == list(range(24)) and {r["batch"] for r in sinks.committed(spark, str(tmp_path)).collect()} == {f"batch{k}" for k in range(24)}
+
+
+def test_seen_keys_are_the_state_of_the_stream(spark, tmp_path):
+    from loomwright.streaming import incremental
+
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    schema = "member string, source string, url string, postedAt timestamp"
+    day = lambda d: datetime.datetime(2024, 1, d)
+
+    def ingest(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        incremental.run_stateful(spark, src, spark.createDataFrame([], schema).schema, out, cp, ("member", "source", "url"), "postedAt", "10 days")
+        return sorted((r["member"], r["source"], r["url"], r["postedAt"].day) for r in spark.read.parquet(out).collect())
+
+    first = [("a", "s", "u1", 5), ("b", "s", "u1", 4)]
+    assert ingest(("a", "s", "u1", day(5)), ("a", "s", "u1", day(5)), ("b", "s", "u1", day(4)), ("b", "s", "u2", None)) == first
+    more = sorted([*first, ("a", "t", "u1", 6), ("b", "s", "u9", 20)])
+    assert ingest(("a", "s", "u1", day(5)), ("a", "t", "u1", day(6)), ("b", "s", "u9", day(20))) == more  # a restart knows what it has seen
+    assert ingest(("b", "s", "u9", day(20)), ("c", "s", "old", day(2)), ("c", "s", "new", day(21))) == sorted([*more, ("c", "s", "new", 21)])
+
+
+def test_interval_join(spark):
+    import random
+
+    from loomwright.operators import committee as C
+
+    rnd, day = random.Random(3), lambda d: datetime.date(2020, 1, 1) + datetime.timedelta(days=d)
+    points = [(i, day(rnd.randrange(300)) if i else None) for i in range(80)]
+    spans = [(j, day(rnd.randrange(-200, 300)), None) for j in range(4)] + [(j, day(a := rnd.randrange(-100, 350)), day(a + rnd.randrange(-3, 120))) for j in range(4, 60)] + [(99, None, day(5)), (98, day(-9000), day(9000))]
+    p, s = spark.createDataFrame(points, "i long, at date"), spark.createDataFrame(spans, "j long, start date, stop date")
+    want = sorted((i, j) for i, at in points for j, a, b in spans if at and a and a <= at and (b is None or at < b))
+    for days in (1, 16, 1000):
+        got = C.interval_join(p, s, "at", "start", "stop", days)
+        assert sorted((r["i"], r["j"]) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("NestedLoop") <= 1  # the one row of the points' range
+    assert C.interval_join(p.limit(0), s, "at", "start", "stop").count() == 0
