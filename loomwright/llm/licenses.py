@@ -1,7 +1,8 @@
 """License scans (10): exact set-similarity join of text blocks with license templates.
 
-Native: DataFrame functions only.  Blocks are lines, and windows of as many words as
-the template has, over the whole text, so a notice wrapped over lines is met.  A block meets a template of n
+Native: DataFrame functions only.  Blocks are windows of as many words as the template
+has, over the whole text: where lines end plays no part, so a notice wrapped over lines is
+met, and words scattered over a long line are not.  A block meets a template of n
 distinct words if it holds at least ceil(threshold * n) of them.  The template words
 are ordered by their frequency in the whole corpus, rarest first, so a block that
 meets a template must hold one of its first n - need + 1 words (prefix filter), have
@@ -102,21 +103,17 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFr
     df = df.withColumn("_places", F.when(F.col("_words").isNotNull(), F.flatten(F.array(*places))).otherwise(F.array().cast("array<struct<at:bigint,label:string>>")))
 
     # templates: a met block holds at least one of ANY n - need + 1 of a template's words, so
-    # texts and lines are first probed for that many of the longer words: those that other templates
+    # texts are first probed for that many of the longer words: those that other templates
     # are probed for, too, then the rarer ones
     probes: set[str] = set()
     for _, ws, _ in sorted(rows, key=lambda r: len(r[1])):
         probes |= set(sorted(ws, key=lambda w: (len(w) < 4, w not in probes, ws.index(w)))[: len(ws) - _need(ws, threshold) + 1])
-    probed = _probe(sorted(w for w in probes if not any(v != w and v in w for v in probes))) if probes else lambda text: F.lit(False)
-    lines = F.filter(F.split(low, "\n"), probed)
     none = F.array().cast("array<struct<label:string,share:double>>")
     if rows:
+        probed = _probe(sorted(w for w in probes if not any(v != w and v in w for v in probes)))
         find = _Templates([(label, ws, _need(ws, threshold), length) for label, ws, length in rows])
-        in_lines = F.flatten(F.transform(F.transform(lines, lambda x: F.array_distinct(words_of(x))), find.met))
-        # windows are only needed where a text of several lines holds enough of a template's words somewhere
-        df = df.withColumn("_all", F.when(probed(low) & F.contains(low, F.lit("\n")), words_of(low)))
-        met = F.concat(in_lines, F.coalesce(find.met_in_windows(F.col("_all")), none))
-        df = df.withColumn("_met", F.when(probed(low), met).otherwise(none))
+        df = df.withColumn("_all", F.when(probed(low), words_of(low)))
+        df = df.withColumn("_met", F.coalesce(find.met(F.col("_all")), none))
     else:
         df = df.withColumn("_met", none)
 
@@ -179,28 +176,21 @@ class _Templates:
     def told(t: Column, count: Column) -> Column:
         return F.when(count >= t["need"], F.struct(t["label"].alias("label"), (count / F.size(t["words"])).cast("double").alias("share")))
 
-    def met(self, block: Column) -> Column:
-        """label, share of the templates that a block of distinct words meets."""
+    def met(self, words: Column) -> Column:
+        """label, share of the templates that a window of a text's words meets.  Windows begin with a template's word,
+        and the need-th of its words from there must stand in them; only templates are tried of which the whole
+        text holds enough words."""
 
-        def one(i):
-            t = F.get(self.all, i)
-            return self.told(t, self.held(t, block))
-
-        return F.array_compact(F.transform(self.candidates(block), one))
-
-    def met_in_windows(self, words: Column) -> Column:
-        """The same for windows of a text's words, as long as each template and beginning with one of its words;
-        only templates are tried of which the whole text holds enough words."""
-
-        def best(i, whole):
-            t = F.get(self.all, i)
-            starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_contains(t["words"], F.get(words, k - 1)))
+        def best(t, whole):
+            at = F.filter(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_contains(t["words"], F.get(words, k - 1)))
+            # bound to a name by transform, as Spark works out again what a lambda mentions
+            starts = F.flatten(F.transform(F.array(at), lambda x: F.filter(x, lambda k, j: F.get(x, j + t["need"] - 1) < k + t["length"])))
             counts = F.transform(starts, lambda k: self.held(t, F.array_distinct(F.slice(words, k, t["length"]))))
             enough = F.size(F.array_intersect(t["words"], whole)) >= t["need"]
             return F.when(enough, self.told(t, F.array_max(counts)))
 
         def tried(whole):
-            return F.array_compact(F.transform(self.candidates(whole), lambda i: best(i, whole)))
+            return F.array_compact(F.transform(self.candidates(whole), lambda i: best(F.get(self.all, i), whole)))
 
         return F.get(F.transform(F.array(F.array_distinct(words)), tried), F.lit(0))  # one element, worked out once
 
@@ -228,11 +218,12 @@ def _sql() -> str:
     met = []
     for label, text in TEMPLATES:
         ws = _template_words(text)
-        met.append(f"list_transform(bs, lambda b: {{'label': '{label}', 'share': CASE WHEN len(list_intersect(b, {ws!r})) >= {_need(ws, 0.8)} THEN len(list_intersect(b, {ws!r})) / {float(len(ws))} ELSE 0 END}})")
+        need, long, counts = _need(ws, 0.8), _length(text), "list_max(list_transform(list_filter(range(len(ws)), lambda i: list_contains({ws}, ws[i+1])), lambda i: len(list_intersect(ws[i+1:i+{long}], {ws}))))"
+        share = f"CASE WHEN len(list_intersect(ws, {ws!r})) >= {need} THEN {counts.format(ws=repr(ws), long=long)} END"
+        met.append(f"list_transform([{share}], lambda n: {{'label': '{label}', 'share': CASE WHEN n >= {need} THEN n / {float(len(ws))} ELSE 0 END}})")
     return rf"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
-w AS (SELECT doc_id, regexp_extract_all(low, '{WORD}') AS ws,
-        list_transform(string_split(low, chr(10)), lambda l: list_distinct(regexp_extract_all(l, '{WORD}'))) AS bs FROM d),
+w AS (SELECT doc_id, regexp_extract_all(low, '{WORD}') AS ws FROM d),
 p AS (SELECT doc_id, len(ws) AS n_words, flatten([
     {lists}]) AS pl,
   list_filter(flatten([{", ".join(met)}]), lambda m: m.share > 0) AS met FROM w)

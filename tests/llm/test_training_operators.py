@@ -382,13 +382,58 @@ def test_licenses_wrapped_over_lines(spark):
     notices["apache"], notices["gpl"] = licenses.TEMPLATES[1][1], licenses.TEMPLATES[3][1]
     far = " ".join(f"{w} {'filler ' * 30}" for w in notices["bsd"].split()).replace("filler filler ", "filler\n")
     rows = [(label, f"{'plain words\n' * 9}# {textwrap.fill(text, width, subsequent_indent='# ')}\nplain words") for label, text in notices.items() for width in (24, 48)]
-    rows += [("", far), ("", "Redistribution and use in source\nand binary forms")]
+    rows += [("", far), ("", far.replace("\n", " ")), ("", "Redistribution and use in source\nand binary forms")]
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = ids_of(licenses.scan(docs).collect())
     assert [got[i]["labels"] for i in range(len(rows))] == [label for label, _ in rows]
     assert all(got[i]["score"] == 1.0 for i, (label, _) in enumerate(rows) if label) and got[len(rows) - 1]["score"] == 0.0
 
 
+def test_license_windows_equal_brute_force_and_sql(spark):
+    import duckdb
+
+    r = random.Random(10)
+    filler = ["plain", "word", "the", "of", "license", "software", "under", "is", "and", "mit", "\n", "Über"]
+    rows = [None, "", "the", "Released\nunder, the (MIT", "released under the terms of the license mit"]
+    for k in range(260):
+        kept = [w for w in licenses.TEMPLATES[k % len(licenses.TEMPLATES)][1].split() if r.random() > 0.12]
+        if k % 4 == 1:  # words in between, some of them the template's own
+            kept = [x for w in kept for x in ((w, r.choice(filler + kept)) if r.random() < 0.15 else (w,))]
+        if k % 4 == 2:
+            r.shuffle(kept)
+        if k % 4 == 3:  # scattered
+            kept = [x for w in kept for x in (w, *r.choices(filler, k=4))]
+        before, after = r.choices(filler, k=r.randrange(30)), r.choices(filler, k=r.randrange(30))
+        rows.append(r.choice((" ", "\n", ", ")).join([*before, *kept, *after]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = ids_of(licenses.op10_licenses(spark, docs).collect())
+
+    def plain(text):
+        words, found, best = re.findall(licenses.WORD, (text or "").lower()), set(), 0.0
+        for label, notice in licenses.TEMPLATES:
+            own = re.findall("[0-9a-z]+", notice.lower())
+            for k in range(len(words)):
+                share = len(set(words[k : k + len(own)]) & set(own)) / len(set(own))
+                if share >= 0.8 - 1e-9:
+                    found.add(label)
+                    best = max(best, share)
+        at = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        return ",".join(sorted({y for _, y in at})), ",".join(sorted(found | {y for _, y in at})), 1.0 if at else best
+
+    want = {i: plain(t) for i, t in enumerate(rows)}
+    assert {i: (x["base_labels"], x["labels"], pytest.approx(x["score"])) for i, x in got.items()} == want
+    assert sum(1 for base, labels, _ in want.values() if labels != base) > 90 and sum(1 for _, labels, _ in want.values() if not labels) > 40
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(rows)))
+    cur = con.execute(licenses.OP10_SQL)
+    names = [c[0] for c in cur.description]
+    for row in cur.fetchall():
+        row = dict(zip(names, row))
+        mine = got[row["doc_id"]].asDict()
+        assert (row.pop("score"), row) == (pytest.approx(mine.pop("score")), mine)
+
+
 def test_near_duplicates_equal_brute_force(spark):
     r = np.random.default_rng(6)
     base = r.normal(size=(40, 16))
