@@ -383,19 +383,53 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, scratch: Scrat
     return links
 
 
-def across(blocks: DataFrame, pairs: DataFrame, nodes: DataFrame, roots: DataFrame, cell: int) -> DataFrame:
+def cells(blocks: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """sig, hub, loose, no, members: the nodes of each signature of several blocks, dealt anew to blocks of
+    about ``most``: those of its commonest component so far, and the others (loose).
+
+    Two nodes of the commonest component need not be compared, so only blocks of loose nodes are paired,
+    with each other and with the rest.  A signature whose nodes are all in one component has no rows.
+    """
+
+    def unpack(batches):
+        for batch in batches:
+            for sig, hub, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                node = np.frombuffer(members, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), sig)), pa.array(np.full(len(node), hub)), pa.array(node)], names=["sig", "hub", "node"])
+
+    def pack(batches):
+        for batch in batches:
+            members = [np.unique(np.array(x, dtype=np.int64)).tobytes() for x in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(members, pa.binary())], names=["sig", "hub", "loose", "no", "members"])
+
+    member = blocks.where("sig is not null").select("sig", "hub", "members").mapInArrow(released(unpack), "sig long, hub long, node long")
+    member = member.join(roots, "node", "left").select("sig", "hub", "node", F.coalesce("root", "node").alias("root"))
+    sizes = member.groupBy("sig", "root").agg(F.count("*").alias("n"), F.min("hub").alias("hub"))
+    sizes = sizes.groupBy("sig").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("total"), F.min("hub").alias("hub")).where("top.n < total")
+    dealt = member.select("sig", "node", "root").join(sizes, "sig").withColumn("loose", F.col("root") != F.col("top.root"))
+    count = F.ceil(F.when(F.col("loose"), F.col("total") - F.col("top.n")).otherwise(F.col("top.n")) / most)
+    dealt = dealt.withColumn("no", F.pmod(F.xxhash64("node"), count).cast("int"))
+    return dealt.groupBy("sig", "hub", "loose", "no").agg(F.collect_list("node").alias("members")).mapInArrow(released(pack), "sig long, hub long, loose boolean, no int, members binary")
+
+
+def across(blocks: DataFrame, dealt: DataFrame, pairs: DataFrame, nodes: DataFrame, roots: DataFrame, cell: int) -> DataFrame:
     """Pairs of nodes of one signature that lie in different components so far, without those that
     the sketches rule out.  In a block, its smallest node has met the others already.
 
     Blocks of one smallest node mostly hold the same nodes, so they go together, each node once: in one
     cell, or where they hold more than ``cell`` nodes or 16 times as many members, in several.
+    ``dealt`` are the cells of the signatures of several blocks.
     ``pairs`` are those of the smallest nodes, whose number is that of the nodes.
     """
     one = blocks.where("sig is null and length(members) > 16").select("hub", F.col("members").alias("x"), F.lit(None).cast("binary").alias("y"))
-    many = blocks.where("sig is not null")
-    within = many.select("hub", F.col("members").alias("x"), F.lit(None).cast("binary").alias("y"))
-    first, second = many.alias("f"), many.alias("s")
-    between = first.join(second, (F.col("f.sig") == F.col("s.sig")) & (F.col("f.no") < F.col("s.no"))).select(F.col("s.hub").alias("hub"), F.col("f.members").alias("x"), F.col("s.members").alias("y"))
+    loose, rest = dealt.where("loose"), dealt.where("not loose")
+    within = loose.select("hub", F.col("members").alias("x"), F.col("members").alias("y"))
+
+    def met(first, second, which):
+        f, s = first.alias("f"), second.alias("s")
+        return f.join(s, (F.col("f.sig") == F.col("s.sig")) & which).select(F.col("f.hub").alias("hub"), F.col("f.members").alias("x"), F.col("s.members").alias("y"))
+
+    between = met(loose, loose, F.col("f.no") < F.col("s.no")).unionByName(met(loose, rest, F.lit(True)))
     todo = one.unionByName(within).unionByName(between)
     weight = todo.groupBy("hub").agg((F.sum(F.length("x") + F.coalesce(F.length("y"), F.lit(0))) / 8).alias("members"))
     weight = weight.join(pairs.groupBy(F.col("a").alias("hub")).agg(F.count("*").alias("others")), "hub", "left")
@@ -484,8 +518,9 @@ def jaccard_join(docs: DataFrame, most: int = 2048, bucket_size: int = 1 << 20,
     links = verified(maybe, docs, nodes, scratch, "links")
     scratch.drop(maybe)
     roots = scratch.stored(components(links), "roots", light=True)
-    more = scratch.stored(across(blocks, pairs, nodes, roots, cell), "more")
-    scratch.drop(blocks, pairs)
+    dealt = scratch.stored(cells(blocks, roots, most), "cells", light=True)
+    more = scratch.stored(across(blocks, dealt, pairs, nodes, roots, cell), "more")
+    scratch.drop(blocks, dealt, pairs)
     if not more.isEmpty():
         further = verified(more, docs, nodes, scratch, "further")
         scratch.drop(roots)

@@ -107,3 +107,23 @@ def test_saturated_sketches_coarsen_exactly():
     held = ngramjoin.Sketches(np.array([200]), [ngramjoin.sketch(s)]).counts[256][0]
     assert (held == np.minimum(np.bincount((s >> np.uint64(56)).astype(int), minlength=256), 3)).all()
     assert len(shingle_set("a b c d e f")) == 2
+
+
+def test_only_loose_nodes_of_a_signature_are_paired(spark):
+    def block(sig, no, members):
+        return members[0] if sig is None else min(members), sig, no, np.array(members, dtype=np.int64).tobytes()
+
+    linked, mixed, alone = list(range(100, 140)), list(range(200, 260)), list(range(300, 320))
+    rows = [block(7, k, linked[10 * k : 10 * k + 10]) for k in range(4)] + [block(8, k, mixed[10 * k : 10 * k + 10]) for k in range(6)]
+    rows += [block(9, k, alone[10 * k : 10 * k + 10]) for k in range(2)] + [block(None, None, [1, 2, 3])]
+    blocks = spark.createDataFrame(rows, "hub long, sig long, no int, members binary")
+    far = [203, 219, 231, 244, 258]  # not in the component of the rest of their signature
+    roots = [(x, 100) for x in linked] + [(x, 200) for x in mixed if x not in far]
+    found = ngramjoin.cells(blocks, spark.createDataFrame(roots, "node long, root long"), 8).collect()
+    held = {}
+    for r in found:
+        held.setdefault((r["sig"], r["loose"]), []).append(np.frombuffer(r["members"], np.int64).tolist())
+    assert sorted(held) == [(8, False), (8, True), (9, False), (9, True)]  # all of 7 are linked
+    assert held[8, True] == [far] and sorted(sum(held[8, False], [])) == [x for x in mixed if x not in far]
+    assert sorted(sum(held[9, True] + held[9, False], [])) == alone and len(sum(held[9, False], [])) == 1
+    assert {r["hub"] for r in found if r["sig"] == 8} == {200}
