@@ -161,14 +161,26 @@ def cover(need: np.ndarray, capacity: int, rounds: int = 12, rate: float = 0.02,
     return found, sum(sum(c.values()) for c in found.values()), bound
 
 
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY, programs: int = 12) -> tuple[list[tuple[np.ndarray, int]], int, float]:
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY, programs: int = 12, rates: tuple[float, ...] = (0.02, 0.1, 0.5, 2.0), gap: float = 1e-3) -> tuple[list[tuple[np.ndarray, int]], int, float]:
     """(lengths of a configuration, number of sequences) that hold the histogram exactly; how many sequences
     the program gave; and the bound below which no packing can be.
 
     Rounding: the longest lengths first, each takes the configurations that were opened for it, most used
     first, in whole numbers and as long as pieces are left for them.  What is left is a smaller program of
     its own, until one gives nothing; the few pieces left then are filled in, the longest first.
+    Lengths that fill sequences in many ways need small steps of the weights; few lengths that compete for
+    the same fillers need large ones.  So the steps ``rates`` are tried in turn until a packing is within
+    ``gap`` of the bound; where none is, the smallest packing counts.
     """
+    if len(rates) > 1:
+        tried, least = [], 0.0
+        for rate in rates:
+            tried.append(configurations(histogram, capacity, programs, (rate,)))
+            least = max(least, tried[-1][2])
+            if sum(times for _, times in tried[-1][0]) <= np.ceil(least * (1 + gap)):
+                break
+        found, by_program, _ = min(tried, key=lambda x: sum(times for _, times in x[0]))
+        return found, by_program, least
     need = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         need[length] = n
@@ -181,7 +193,7 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, programs
     for attempt in range(programs):
         if not need.any():
             break
-        found, _, bound = cover(need, capacity, seed=4 + attempt)
+        found, _, bound = cover(need, capacity, rate=rates[0], seed=4 + attempt)
         least, before = least or bound, by_program
         for length in sorted(found, reverse=True):
             for key, x in sorted(found[length].items(), key=lambda c: -c[1]):

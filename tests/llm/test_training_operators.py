@@ -138,6 +138,20 @@ def test_packing_program_places_nearly_all(kind):
     assert bound <= total <= most and by_program >= 0.95 * total
 
 
+def test_packing_weights_matter_where_lengths_compete():
+    hard = [
+        ({1365: 6000, 683: 6000, 682: 3000}, 7000, 7004),
+        ({1000: 3000, 1048: 3000, 700: 2000, 648: 2500, 400: 1500, 348: 3000}, 5300, 5380),
+    ]
+    for histogram, most, without in hard:
+        found, _, bound = packing.configurations(histogram)
+        still = packing.configurations(histogram, rates=(0.0,))[0]
+        assert bound <= sum(times for _, times in found) <= most < without <= sum(times for _, times in still)
+        need = np.zeros(2049)
+        need[list(histogram)] = list(histogram.values())
+        assert packing.cover(need, 2048, rate=0.5)[1] < packing.cover(need, 2048, rate=0.0)[1]
+
+
 def test_packing_cover_is_one_and_bounded():
     need = np.zeros(65, dtype=np.int64)
     need[[60, 40, 33, 30, 20, 4, 3]] = [5, 7, 2, 6, 9, 12, 1]
