@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomwright.functions.scalar import dot, detect_tau
 from loomwright.operators import retrieval as R
 from loomwright.operators import statistics as S
+from loomwright.operators.pruned import CellIndex
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -39,6 +40,17 @@ def topk_retrieve(spark, d):
     return t.select("query_idx", "member", "chunk_id", F.col("rank").cast("long").alias("rank"), _r("rel"))
 
 
+def topk_pruned(spark, d):
+    """The rows of topk_retrieve from an index of cells, most of which no query reads."""
+    t = CellIndex(chunks(spark, d)).top_k(battery(spark, d), 3)
+    return t.select("query_idx", "member", "chunk_id", F.col("rank").cast("long").alias("rank"), _r("rel"))
+
+
+def topk_work(spark, d):
+    """How many vectors each query of topk_pruned scores, of how many."""
+    return CellIndex(chunks(spark, d)).work(battery(spark, d), 3)
+
+
 def topk_weighted(spark, d):
     rows = R.scored(chunks(spark, d), battery(spark, d)).select("query_idx", "member", "chunk_id", "rel", (F.pmod("chunk_id", F.lit(900)) / 365.25).alias("age"))
     t = R.top_k_weighted(rows, 3, 0.6, 2.0)
@@ -157,6 +169,7 @@ _TAU = "sum(sign(x.rank - y.rank) * sign(x.ext - y.ext)) / sqrt(sum(abs(sign(x.r
 
 ORACLES = {
     "topk_retrieve": _head() + " SELECT query_idx, member, chunk_id, rank, round(rel, 6) AS rel FROM top",
+    "topk_pruned": _head() + " SELECT query_idx, member, chunk_id, rank, round(rel, 6) AS rel FROM top",
     "topk_weighted": f"""WITH {_CH}, {_B.format(n=15)}, {_SC}, z AS (SELECT *, exp(-greatest((chunk_id % 900) / 365.25, 0) / 2.0) AS fresh FROM sc),
         s AS (SELECT *, (rel - avg(rel) OVER w) / (stddev_pop(rel) OVER w) + 0.6 * (fresh - avg(fresh) OVER w) / (stddev_pop(fresh) OVER w) AS score FROM z WINDOW w AS (PARTITION BY query_idx, member)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_idx, member ORDER BY score DESC, chunk_id) AS rank FROM s)
@@ -172,4 +185,4 @@ ORACLES = {
     "confusion_recall": f"WITH {_CH}, {_MV.format(by='member', src='ch')}, q AS (SELECT member AS pred, list(v ORDER BY pos) AS q FROM mv GROUP BY member), s AS (SELECT member, pred, row_number() OVER (PARTITION BY chunk_id ORDER BY round({_DOT.format(a='embedding', b='q')}, 9) DESC, pred) AS r FROM ch, q) SELECT member AS \"true\", pred, count(*) AS n FROM s WHERE r = 1 GROUP BY ALL",
     "recall_tau": f"WITH {_CH}, {_MV.format(by='member', src='ch')}, q AS (SELECT member AS pred, list(v ORDER BY pos) AS q FROM mv GROUP BY member), s AS (SELECT member, pred, row_number() OVER (PARTITION BY chunk_id ORDER BY round({_DOT.format(a='embedding', b='q')}, 9) DESC, pred) AS r FROM ch, q), a AS (SELECT member AS \"true\", avg((member = pred)::INT) AS recall FROM s WHERE r = 1 GROUP BY member) SELECT \"true\", round(recall, 6) AS recall, round(2 * greatest(recall, 1 - recall) - 1, 6) AS tau FROM a",
 }
-QUERIES = {name: globals()[name] for name in (*ORACLES, "kendall_p")}
+QUERIES = {name: globals()[name] for name in (*ORACLES, "kendall_p", "topk_work")}
