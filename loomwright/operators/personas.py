@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loomwright.functions.scalar import clean_reply, dot, seed_of, words
 from loomwright.operators import ingest as I
 from loomwright.operators import retrieval as R
+from loomwright.sources.store import KeyedStore
 
 # --- prompts -----------------------------------------------------------------------------
 
@@ -262,15 +263,11 @@ def detect_taus(completions: DataFrame, vectors, least: int = 8) -> DataFrame:
 
 
 def cached(rows: DataFrame, path: str, keys: tuple[str, ...], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What ``make`` gives for ``rows``, kept as a table at ``path`` under ``keys``: only rows whose keys aren't
-    there yet are made, and appended in one commit.  Returns the table's rows for the keys of ``rows``."""
-    from pyspark.errors import AnalysisException
-
-    spark = rows.sparkSession
-    try:
-        known = spark.read.parquet(path).select(*keys)
-        missing = rows.join(known, list(keys), "left_anti")
-    except AnalysisException:
-        missing = rows
-    make(missing.dropDuplicates(list(keys))).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(rows.select(*keys).distinct(), list(keys), "left_semi")
+    """What ``make`` gives for ``rows``, kept at ``path`` under ``keys`` (see ``KeyedStore``): only rows whose keys aren't
+    there yet are made, and a lookup reads the buckets of its keys.  Nulls are keys like others.
+
+    Returns the kept rows for the keys of ``rows``; of two writers that make the same key, the first to commit counts.
+    """
+    address = F.sha1(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    store = KeyedStore(rows.sparkSession, path, key="_address")
+    return store.fill(rows.withColumn("_address", address), lambda missing: make(missing.drop("_address")).withColumn("_address", address)).drop("_address")

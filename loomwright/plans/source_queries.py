@@ -10,6 +10,7 @@ from loomwright.operators import ingest as I
 from loomwright.operators import retrieval as R
 from loomwright.sources import listing, sinks
 from loomwright.sources.shared import shared_dir
+from loomwright.sources.store import KeyedStore
 from loomwright.streaming import incremental
 
 
@@ -26,6 +27,18 @@ def unseen_posts(spark, d):
     return spark.read.parquet(out).groupBy("source").agg(F.count("*").alias("posts"), F.count_distinct("member").alias("members"), F.count_distinct("address").alias("addresses"))
 
 
+def stored_lengths(spark, d):
+    """Lengths of texts from a store by content address that was filled twice, labelled texts first, and compacted."""
+    x = _read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    x = x.withColumn("key", T.cache_key("m", 64, F.col("text")))
+    store = KeyedStore(spark, shared_dir(spark, "lengths"), "key string, n int", buckets=8)
+    make = lambda rows: rows.select("key", F.length("text").alias("n"))
+    store.fill(x.join(_read(spark, d, "labels"), "doc_id", "left_semi"), make)
+    kept = store.fill(x, make)
+    store.compact()
+    return x.select("doc_id", "key").join(kept, "key").select("doc_id", "key", "n")
+
+
 def name_slugs(spark, d):
     """Surnames, shard names and the slugs a site may use for a name."""
     c = _read(spark, d, "customer").select("c_custkey", F.concat(F.col("c_mktsegment"), F.lit(" J. "), F.replace("c_name", F.lit("#"), F.lit(" No."))).alias("name"))
@@ -130,6 +143,7 @@ ORACLES = {
     "ages": "SELECT o_orderkey, round(datediff('day', o_orderdate::DATE, DATE '1998-08-02') / 365.25::DOUBLE, 6) AS age, round(exp(-greatest(datediff('day', o_orderdate::DATE, DATE '1998-08-02') / 365.25::DOUBLE, 0) / 2.0), 6) AS fresh FROM orders",
     "halves": "SELECT conv_id, (count(*) // 2)::BIGINT AS n_first, (count(*) - count(*) // 2)::BIGINT AS n_second FROM conversations GROUP BY conv_id",
     "tidy_texts": "SELECT doc_id, md5(regexp_replace(replace(text, '. ', ' ' || chr(10) || ' ' || chr(10)), '\\s+\\n', chr(10), 'g')) AS digest FROM documents",
+    "stored_lengths": "SELECT doc_id, sha1('m:64:' || coalesce(text, '')) AS key, length(coalesce(text, ''))::INT AS n FROM documents",
     "unseen_posts": "SELECT source, count(*) AS posts, count(DISTINCT member) AS members, count(DISTINCT address) AS addresses FROM (SELECT DISTINCT user_id AS member, event_type AS source, json_extract_string(props, '$.k') AS address FROM events) GROUP BY source",
 }
 QUERIES = {n: globals()[n] for n in (*ORACLES, "opinions")}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
@@ -18,26 +19,28 @@ def shard(member: Column) -> Column:
     return F.replace(F.replace(F.lower(member), F.lit(" "), F.lit("_")), F.lit("."), F.lit(""))
 
 
-def commit(spark: SparkSession, root: str, batch: str) -> int:
+def commit(spark: SparkSession, root: str, batch: str, replaces: tuple[str, ...] = ()) -> int:
     """Adds ``batch`` to the commits under ``root`` and returns its number: the next one that no other writer takes first.
 
-    The entry is written aside and renamed to its number, which fails where that is taken, so each number has one
-    writer and an entry is seen whole or not at all.
+    The entry is written aside and then gets its number as a name, which fails where that is taken, so each number
+    has one writer and an entry is seen whole or not at all.  Batches that it ``replaces`` no longer count from then on.
     """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     fs_path = jvm.org.apache.hadoop.fs.Path
-    folder, aside = fs_path(f"{root}/commits"), fs_path(f"{root}/commits/.{batch}")
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), conf)
+    folder, text = fs_path(f"{root}/commits"), "\n".join([batch, *(f"-{b}" for b in replaces)])
     fs = folder.getFileSystem(conf)
     fs.mkdirs(folder)
+    number = max([int(f.getPath().getName()) + 1 for f in fs.listStatus(folder) if f.getPath().getName().isdigit()], default=0)
+    if fs.getUri().getScheme() == "file":  # its rename takes an existing name, a link never does
+        return _linked(folder.toUri().getPath(), batch, text, number)
+    aside, files = fs_path(folder, f".{batch}"), jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), conf)
     out = fs.create(aside, True)
-    out.write(bytearray(batch.encode()))
+    out.write(bytearray(text.encode()))
     out.close()
     none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-    number = max([int(f.getPath().getName()) + 1 for f in fs.listStatus(folder) if f.getPath().getName().isdigit()], default=0)
     while True:
         try:
-            files.rename(aside, fs_path(f"{root}/commits/{number:012d}"), none)
+            files.rename(aside, fs_path(folder, f"{number:012d}"), none)
             return number
         except Py4JJavaError as e:
             if "FileAlreadyExists" not in str(e.java_exception):
@@ -45,9 +48,33 @@ def commit(spark: SparkSession, root: str, batch: str) -> int:
             number += 1
 
 
+def _linked(folder: str, batch: str, text: str, number: int) -> int:
+    aside = os.path.join(folder, f".{batch}")
+    with open(aside, "w") as out:
+        out.write(text)
+    while True:
+        try:
+            os.link(aside, os.path.join(folder, f"{number:012d}"))
+        except FileExistsError:
+            number += 1
+        else:
+            os.unlink(aside)
+            return number
+
+
+def _entries(spark: SparkSession, root: str) -> DataFrame:
+    number = F.col("_metadata.file_name").cast("long").alias("number")
+    return spark.read.text(f"{root}/commits", pathGlobFilter="[0-9]*").select(F.col("value").alias("batch"), number)
+
+
+def replaced(spark: SparkSession, root: str) -> DataFrame:
+    """batch: those that a later commit replaced."""
+    return _entries(spark, root).where(F.col("batch").startswith("-")).select(F.substring("batch", 2, 1 << 20).alias("batch")).distinct()
+
+
 def committed(spark: SparkSession, root: str) -> DataFrame:
-    """batch: those that are committed under ``root``; one small file each."""
-    return spark.read.text(f"{root}/commits", pathGlobFilter="[0-9]*").select(F.col("value").alias("batch"))
+    """batch, number: those that are committed under ``root`` and not replaced; one small file each."""
+    return _entries(spark, root).where(~F.col("batch").startswith("-")).join(replaced(spark, root), "batch", "left_anti")
 
 
 def append_pair(chunks: DataFrame, vectors: DataFrame, root: str) -> str:

@@ -115,8 +115,8 @@ def test_writers_commit_one_after_another(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 
     with ThreadPoolExecutor(8) as pool:
-        numbers = list(pool.map(lambda k: sinks.commit(spark, str(tmp_path), f"batch{k}"), range(24)))
-    assert sorted(numbers) == list(range(24)) and {r["batch"] for r in sinks.committed(spark, str(tmp_path)).collect()} == {f"batch{k}" for k in range(24)}
+        numbers = list(pool.map(lambda k: sinks.commit(spark, str(tmp_path), f"batch{k}"), range(64)))
+    assert sorted(numbers) == list(range(64)) and {r["batch"] for r in sinks.committed(spark, str(tmp_path)).collect()} == {f"batch{k}" for k in range(64)}
 
 
 def test_seen_keys_are_the_state_of_the_stream(spark, tmp_path):
