@@ -58,6 +58,21 @@ def luhn(number: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0
 
 
+def mod97(account: Column) -> Column:
+    """1 if an account number (two capitals, two digits, capitals and digits, blanks between) has the right check digits,
+    -1 if it has others; 0 for another form."""
+    flat = F.replace(account, F.lit(" "), F.lit(""))
+    moved = F.concat(F.substring(flat, F.lit(5), F.length(flat)), F.substring(flat, 1, 4))
+
+    def add(rest, c):
+        code = F.ascii(c)
+        return F.when(code >= 65, rest * 100 + code - 55).otherwise(rest * 10 + code - 48) % 97
+
+    formed = flat.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$")
+    rest = F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), add)
+    return F.when(formed, F.when(rest == 1, 1).otherwise(-1)).otherwise(0)
+
+
 def valid(kind: str, value: Column) -> Column:
     """The further conditions on a match of a base pattern."""
     if kind == "ip":
@@ -107,7 +122,7 @@ _CONTEXT = {
     "secret": "(?i)(?:password|passwd|token|secret|key|login)",
     "other": "(?i)(?:version|page|figure|isbn|order|part|serial|total|look|arrive|meet)",
 }
-FEATURES = ("length", "digits", "groups", "upper", "kinds_of_character", "contact", "number", "secret", "other", "luhn", "joined", "area")
+FEATURES = ("length", "digits", "groups", "upper", "kinds_of_character", "contact", "number", "secret", "other", "luhn", "mod97", "spelled", "joined", "area")
 
 
 def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
@@ -119,6 +134,8 @@ def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
         "upper": F.regexp_count(value, F.lit("[A-Z]")),
         "kinds_of_character": F.size(F.array_distinct(F.split(value, ""))),
         "luhn": F.when(F.length(d).between(12, 19), luhn(d)).otherwise(False).cast("int"),
+        "mod97": mod97(value),
+        "spelled": value.rlike(r"\(at\)|\[at\]|[\x20(\[]dot[\x20)\]]").cast("int"),
         "joined": (before.rlike("[A-Za-z0-9]$") | after.rlike("^[A-Za-z0-9]")).cast("int"),
         "area": F.when(d.rlike("^[2-9]"), 1).otherwise(0),
     }
@@ -153,12 +170,17 @@ def _training_set() -> list[tuple[str, str, str, str, int]]:
         area = str(2 + rnd(8)) + num(2)
         out.append(("phone", pick(good), pick([f"({area}) {num(3)}-{num(4)}", f"{area}-{num(3)}-{num(4)}", f"{area} {num(3)} {num(4)}"]), pick([" ", ".", ","]), 1))
         out.append(("phone", pick(bad), f"{pick('01')}{num(2)}{pick('.-')}{num(3)}{pick('.-')}{num(4)}", pick([" ", "x", "-"]), 0))
-        out.append(("email", pick(good), f"{pick(names)}{pick([' at ', '(at)', ' [at] '])}mail{rnd(9)}{pick([' dot ', '(dot)', '[dot]'])}com", " ", 1))
-        out.append(("email", pick(["we look ", "they arrive ", "meet "]), f"us at noon.{pick(['Then', 'And', 'We', 'The'])}", " ", 0))
+        out.append(("email", pick(good), f"{pick(names)}{pick([' at ', '(at)', ' [at] '])}{pick(['mail', 'post', 'example', 'uni'])}{pick(['', num(1)])}{pick([' dot ', '(dot)', '[dot]'])}{pick(['com', 'org', 'net'])}", " ", 1))
+        out.append(("email", pick(["we look ", "they arrive ", "meet ", *good]), f"{pick(['us', 'with', 'and', 'these', 'stay', 'arrivals'])} at {pick(['noon', 'and', 'home', 'the', 'last'])}.{pick(['', ' '])}{pick(['Then', 'And', 'We', 'The', 'Afterwards'])}", pick([" ", ",", "."]), 0))
         out.append(("ssn", pick(["ssn ", "social ", "tax id ", "the "]), f"{1 + rnd(8)}{num(2)}-{num(2)}-{num(4)}", pick([" ", "."]), 1))
         out.append(("ssn", pick(bad), f"000-{num(2)}-{num(4)}", pick([" ", "."]), 0))
-        out.append(("iban", pick(["iban ", "account ", "pay "]), f"{pick(['DE', 'FR', 'ES', 'GB'])}{num(18 + rnd(3))}", " ", 1))
-        out.append(("iban", pick(bad), f"{pick(['AB', 'QX', 'ID'])}{num(2)}ABCD{num(4)}", "", 0))
+        for label in (1, 0):  # in the same places: check digits tell them apart, and context where it can
+            country, rest = pick(["DE", "FR", "ES", "GB", "AB", "QX", "ID"]), pick([num(18), num(20), "".join(pick("ABCDEF0123456789") for _ in range(12 + rnd(8)))])
+            check = 98 - int("".join(str(int(ch, 36)) for ch in rest + country + "00")) % 97
+            check = check if label else (check + rnd(96)) % 97 + 1
+            account = f"{country}{check:02d}{rest}"
+            shown = pick([account, " ".join(account[i : i + 4] for i in range(0, len(account), 4))])
+            out.append(("iban", pick(["iban ", "account ", "pay ", "the ", "passport ", "order ", ""]), shown, pick([" ", "."]), label))
         out.append(("secret", pick(["the ", "with ", "", "login "]), pick([f"AKIA{''.join(pick('ABCDEFGHJKLMNPQRSTUVWXYZ234567') for _ in range(16))}", f"password={hexa(18)}", f'token = "{hexa(40)}"', f"secret: {hexa(24)}"]), " ", 1))
         out.append(("secret", pick(["choose a ", "the "]), pick(["password: required", "token = optional", "secret: nothing_here", "token: identifier"]), " ", 0))
         c = num(15)
