@@ -126,9 +126,9 @@ def opinions(spark, d):
 
 
 _NAME = "c_mktsegment || ' J. ' || replace(c_name, '#', ' No.')"
-_WORDS = f"string_split(trim(regexp_replace(lower({_NAME}), '[^a-z]+', ' ', 'g')), ' ')"
+_WORDS = f"list_filter(string_split(replace(lower({_NAME}), '.', ''), ' '), lambda v: v <> '')"
 ORACLES = {
-    "name_slugs": f"""WITH x AS (SELECT c_custkey, {_NAME} AS name, {_WORDS} AS w FROM customer), y AS (SELECT *, [w[1] || '-' || w[-1], array_to_string(w, '-'), array_to_string(list_filter(w, lambda v: length(v) > 1), '-'), w[-1]] AS s FROM x)
+    "name_slugs": f"""WITH x AS (SELECT c_custkey, {_NAME} AS name, {_WORDS} AS w FROM customer), y AS (SELECT *, [array_to_string(w, '_'), w[1] || '_' || w[-1]] AS s FROM x)
         SELECT c_custkey, upper(string_split(name, ' ')[-1]) AS surname, replace(replace(lower(name), ' ', '_'), '.', '') AS shard, array_to_string(list_filter(s, lambda v, i: list_position(s, v) = i), '|') AS slugs, regexp_replace(name, '[^A-Za-z0-9.-]+', '_', 'g') AS model FROM y""",
     "page_titles": "SELECT page_id, trim(string_split(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) || ' | Site', '|')[1]) AS title, CASE WHEN split_part(url || '.v2.htm', '/', -1) = '' THEN url ELSE regexp_replace(split_part(url || '.v2.htm', '/', -1), '\\.[^.]*$', '') END AS slug FROM pages",
     "page_links": r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["''][^"'']*["''][^>]*>.*?</a>')) AS a, generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["''][^"'']*["''][^>]*>.*?</a>'), 1) - 1 AS pos FROM pages)

@@ -165,10 +165,29 @@ def spoken_records(meetings: DataFrame, provider, speaker: str, source: str, now
 
 
 def author_candidates(name: Column) -> Column:
-    """Slugs that a site may use for an author: first-last, all names, last; each once, in this order."""
-    w = F.split(F.trim(F.regexp_replace(F.lower(name), "[^a-z]+", " ")), " ")
-    parts = F.filter(w, lambda x: F.length(x) > 1)
-    return F.array_distinct(F.array(F.concat_ws("-", F.get(w, F.lit(0)), F.element_at(w, -1)), F.array_join(w, "-"), F.array_join(parts, "-"), F.element_at(w, -1)))
+    """Slugs that a site may use for an author: all names, then first and last; each once.  One name alone has none."""
+    w = F.filter(F.split(F.lower(F.replace(name, F.lit("."), F.lit(""))), r"\s+"), lambda x: F.length(x) > 0)
+    both = F.array_distinct(F.array(F.array_join(w, "_"), F.concat_ws("_", F.get(w, F.lit(0)), F.try_element_at(w, F.lit(-1)))))
+    return F.when(F.size(w) > 1, both).otherwise(F.array().cast("array<string>"))
+
+
+def titled(listing: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The paged listings (page from 0, title) whose first page's title holds the surname; other sites' pages go."""
+    right = listing.where((F.col("page") == 0) & F.contains(F.lower("title"), F.lit(name_parts(name)[1]))).select(*by).distinct()
+    return listing.join(right, list(by), "left_semi") if by else listing.join(F.broadcast(right.select(F.lit(1))), F.lit(True), "left_semi")
+
+
+def discovered_slug(index: DataFrame, provider, name: str, base: str, most: int = 40) -> DataFrame:
+    """slug, one row or none: the author's slug on the page behind the first link of an index (page from 0, html; ``most``
+    pages) whose label holds both names before its colon, and that leads to an author."""
+    first, last = name_parts(name)
+    found = index.where(F.col("page") < most).select("page", F.posexplode(links(F.col("html"))).alias("pos", "link"))
+    speaker = F.lower(F.substring_index("link.label", ":", 1))
+    found = found.where(F.contains(speaker, F.lit(first)) & F.contains(speaker, F.lit(last)))
+    behind = fetched(found.select("page", "pos", T.absolute_url(F.col("link.href"), base).alias("url")), provider)
+    hrefs = F.transform(links(F.col("body")), lambda x: F.regexp_extract(x["href"], r"/author/([a-z0-9_]+)\.htm", 1))
+    slug = F.get(F.filter(hrefs, lambda x: x != ""), F.lit(0))
+    return behind.select("page", "pos", slug.alias("slug")).where("slug is not null").orderBy("page", "pos").limit(1).select("slug")
 
 
 def resolved_slug(cache: Column, candidate: Column, discovered: Column) -> Column:

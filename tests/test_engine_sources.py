@@ -154,3 +154,21 @@ def test_interval_join(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[0].count("NestedLoop") <= 1  # the one row of the points' range
     assert C.interval_join(p.limit(0), s, "at", "start", "stop").count() == 0
+
+
+def test_authors_of_a_site(spark):
+    names = spark.createDataFrame([("John C. Williams",), ("  Ann   Lee ",), ("Cher",), ("",), (None,)], "n string")
+    got = [r["s"] for r in names.select(listing.author_candidates(F.col("n")).alias("s")).collect()]
+    assert got == [["john_c_williams", "john_williams"], ["ann_lee"], [], [], []]
+
+    rows = spark.createDataFrame([("a", 0, "Speeches of John Williams"), ("a", 1, None), ("b", 0, "Not found"), ("b", 1, "Williams"), ("c", 0, None)], "site string, page int, title string")
+    assert sorted((r["site"], r["page"]) for r in listing.titled(rows, "John Williams", ("site",)).collect()) == [("a", 0), ("a", 1)]
+    one = lambda s: listing.titled(rows.where(F.col("site") == s).drop("site"), "John Williams").count()
+    assert [one("a"), one("b"), one("c")] == [2, 0, 0]
+
+    page = lambda *links: "".join(f'<a href="{h}">{t}</a>' for h, t in links)
+    index = [(0, page(("/review/r1.htm", "Ann Lee: John Williams and others"))), (1, page(("/review/r2.htm", "John C Williams: Rates"), ("/review/r3.htm", "John C Williams: Prices"))), (50, page(("/review/r4.htm", "Ann Lee: Late"))), (2, None)]
+    shelf = listing.Shelf({"https://x.org/review/r2.htm": "no author", "https://x.org/review/r3.htm": page(("/about", "x"), ("/author/john_c_williams.htm", "J")), "https://x.org/review/r4.htm": page(("/author/ann_lee.htm", "A"))})
+    table = spark.createDataFrame(index, "page int, html string")
+    slug = lambda name, most=40: [r["slug"] for r in listing.discovered_slug(table, shelf, name, "https://x.org", most).collect()]
+    assert slug("John Williams") == ["john_c_williams"] and slug("Ann Lee") == [] and slug("Ann Lee", 60) == ["ann_lee"] and slug("Bo Ek") == []
