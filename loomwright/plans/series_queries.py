@@ -93,6 +93,13 @@ def lead_lag(spark, d):
     return S.lead_lag(panel(spark, d), "m", "y", few=True).select("shift", "n", _r("r"), _r("tau"))
 
 
+def lead_lag_level(spark, d):
+    """The level of the monthly index against the level of another monthly series up to eight months on and two back."""
+    level = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.trunc("l_shipdate", "month").alias("date")).agg(F.round(F.avg(F.col("l_quantity").cast("double")), 4).alias("level"))
+    rows = months(spark, d).join(level, "date", "left")
+    return S.lead_lag(rows, "value", "level", few=True).select("shift", "n", _r("r"), _r("tau"))
+
+
 def kendall_tau_b(spark, d):
     return S.kendall(panel(spark, d).withColumn("yr", F.round(F.col("y"))), "x", "yr", few=True).select(_r("tau"))
 
@@ -215,6 +222,7 @@ ORACLES = {
     "walkforward_ols1": f"WITH {_PA}, {_O1} SELECT i, round(b0 + b1 * x, 4) AS pred FROM g WHERE i >= 16",
     "walkforward_ols2": f"WITH {_PA}, c AS (SELECT *, covar_pop(x, x) OVER w AS sxx, covar_pop(m, m) OVER w AS smm, covar_pop(x, m) OVER w AS sxm, covar_pop(x, y) OVER w AS sxy, covar_pop(m, y) OVER w AS smy, avg(x) OVER w AS ax, avg(m) OVER w AS am, avg(y) OVER w AS ay FROM p {_W}), b AS (SELECT *, (sxy * smm - smy * sxm) / (sxx * smm - sxm * sxm) AS b1, (smy * sxx - sxy * sxm) / (sxx * smm - sxm * sxm) AS b2 FROM c WHERE i >= 16) SELECT i, round(ay - b1 * ax - b2 * am + b1 * x + b2 * m, 4) AS pred FROM b",
     "walkforward_class": f"WITH {_PA}, {_DB} SELECT i, round(band, 6)::DOUBLE AS band, cls::INT AS cls FROM dc",
+    "lead_lag_level": f"WITH {_MO}, le AS (SELECT date_trunc('month', l_shipdate)::DATE AS date, round(avg(l_quantity::DOUBLE), 4) AS level FROM lineitem GROUP BY 1), p AS (SELECT i, value, level FROM mo LEFT JOIN le USING (date)), j AS (SELECT shift, a.i AS t, a.value AS m, b.level AS y FROM p a, (SELECT unnest(range(-2, 9)) AS shift) JOIN p b ON b.i = a.i + shift WHERE b.level IS NOT NULL), k AS (SELECT u.shift, sum(sign(u.m - v.m) * sign(u.y - v.y)) / sqrt(sum(abs(sign(u.m - v.m))) * sum(abs(sign(u.y - v.y)))) AS tau FROM j u JOIN j v ON u.shift = v.shift AND u.t < v.t GROUP BY u.shift) SELECT shift, count(*) AS n, round(corr(m, y), 6) AS r, round(any_value(tau), 6) AS tau FROM j JOIN k USING (shift) GROUP BY shift",
     "lead_lag": f"WITH {_PA}, j AS (SELECT shift, a.i AS t, a.m, b.y FROM p a, (SELECT unnest(range(-2, 9)) AS shift) JOIN p b ON b.i = a.i + shift), k AS (SELECT u.shift, sum(sign(u.m - v.m) * sign(u.y - v.y)) / sqrt(sum(abs(sign(u.m - v.m))) * sum(abs(sign(u.y - v.y)))) AS tau FROM j u JOIN j v ON u.shift = v.shift AND u.t < v.t GROUP BY u.shift) SELECT shift, count(*) AS n, round(corr(m, y), 6) AS r, round(any_value(tau), 6) AS tau FROM j JOIN k USING (shift) GROUP BY shift",
     "kendall_tau_b": f"WITH {_PA} SELECT round(sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y)))), 6) AS tau FROM p a JOIN p b ON a.i < b.i",
     "base_rate": f"WITH {_PA}, c AS (SELECT sign(y) AS cls, count(*) AS n FROM p GROUP BY 1) SELECT round(max(n) / sum(n), 6) AS base_rate, sum(n)::BIGINT AS n FROM c",
