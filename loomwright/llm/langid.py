@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fraction, held_out, learnable, quoted, released, small_batches
+from .common import fraction, give_back, held_out, learnable, quoted, released, small_batches
 
 BINS = 4096
 _LETTER = re.compile(r"[^\W\d_]")
@@ -68,11 +68,17 @@ class Model:
 def fit(texts: list[str], langs: list[str], clusters: int = 4, slack: float = 0.5) -> Model:
     """``slack`` times the smallest cosine of a training text of its length is still accepted."""
     languages = sorted(set(langs))
-    counts = np.array([trigram_counts(t) for t in texts]).reshape(-1, BINS)
     y = np.array([languages.index(x) for x in langs], dtype=int)
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 0.05
+    x, n, having = np.empty((len(texts), BINS), np.float32), np.zeros(len(texts), dtype=np.int64), np.zeros(BINS, dtype=np.int64)
+    for i, t in enumerate(texts):  # the driver holds one table of this size, no copies
+        x[i] = own = trigram_counts(t)
+        n[i] = own.sum()
+        having += own > 0
+    idf = np.log((1 + len(x)) / (1 + having)).astype(np.float32) + 0.05
     model = Model(languages, np.zeros((0, BINS), np.float32), np.zeros(0, int), idf, np.zeros(24), 40.0)
-    x, centroids, owner = model.vectors(counts), [], []
+    for at in range(0, len(x), 64):
+        x[at : at + 64] = model.vectors(x[at : at + 64])
+    centroids, owner = [], []
     for k in range(len(languages)):
         own = x[y == k]
         c = own[np.linspace(0, len(own) - 1, min(clusters, len(own))).astype(int)]
@@ -85,7 +91,7 @@ def fit(texts: list[str], langs: list[str], clusters: int = 4, slack: float = 0.
     if languages:
         model.centroids, model.owner = np.concatenate(centroids).astype(np.float32), np.array(owner)
         cosine = (x @ model.centroids.T).max(1)
-        band = np.minimum(np.log2(np.maximum(counts.sum(1), 1)).astype(int), 23)
+        band = np.minimum(np.log2(np.maximum(n, 1)).astype(int), 23)
         for b in range(24):
             near = cosine[(band >= b - 1) & (band <= b + 1)]
             model.least[b] = slack * near.min() if len(near) else 0.0
@@ -112,6 +118,8 @@ def identify(docs: DataFrame, per_language: int = 400, clusters: int = 4, keep:
     small_batches(docs.sparkSession)
     rows = training_rows(docs, per_language)
     model = fit([t for t, _ in rows], [x for _, x in rows], clusters)
+    del rows
+    give_back()
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # languages x clusters x BINS numbers
     kept = docs.select(*(keep or [quoted(c) for c in docs.columns if c not in ("lang_pred", "score", "accepted")]))

@@ -555,3 +555,21 @@ def test_pipeline_run_equals_plain_python(spark, tmp_path):
         s.sort()
         assert s[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(s, s[1:])) and sum(x[1] for x in s) <= 2048
     assert sorted(by_seq) == list(range(len(by_seq))) and len(by_seq) <= -(-sum(g["length"] for g in got) // 2048) + 1
+
+
+def test_fit_of_languages_holds_one_table_of_its_rows():
+    import tracemalloc
+
+    from loomwright.llm.langid import BINS, fit
+
+    texts = [f"{w} number {k} of the {w}s" for k in range(300) for w in ("haus", "casa")]
+    fit(texts[:4], ["de", "es"] * 2)  # imports
+    tracemalloc.start()
+    try:
+        model = fit(texts, ["de", "es"] * 300)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.languages == ["de", "es"] and len(model.centroids) == 8
+    table = len(texts) * BINS * 4
+    assert table < peak < 2.5 * table  # the table, and the rows of one language
